@@ -26,6 +26,18 @@ def prior(labels: DataFrame, label: str) -> float:
     return 0.5 if row.p is None else float(row.p)
 
 
+def least_by_hash(rows: DataFrame, by: str, most: int, id_col: str = "doc_id") -> DataFrame:
+    """The ``most`` rows of each value of ``by`` whose hashed id is least.
+
+    The values' counts, one row a value, tell which hashes can be among them, so only about twice as many rows are ranked.
+    """
+    counts = rows.groupBy(by).agg(F.count("*").alias("n"))
+    share = F.least(F.lit(1.0), 2.0 * F.lit(most) / F.col("n") + 64.0 / F.col("n"))
+    hashed = rows.join(F.broadcast(counts), by).filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < share * float(1 << 30))  # a row for each label or language
+    order = Window.partitionBy(by).orderBy(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)), id_col)
+    return hashed.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most).drop("k", "n")
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, *, per_label: int = PER_LABEL, max_chars: int = MAX_CHARS) -> pd.DataFrame:
     """text and y of at most ``per_label`` documents for each of labels 0 and 1, the smallest by a hash of the id.
 
@@ -33,8 +45,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, *, per_label: int = P
     """
     known = labels.filter(F.col(label).isin(0, 1) & (crc_mod("doc_id", FOLDS) != HELD_OUT)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).filter("y = other").select("doc_id", "y")
-    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_label).select("doc_id", "y")
+    chosen = least_by_hash(known, "y", per_label)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.length("text") <= max_chars)
     found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # chosen: 2 * per_label rows at most
     return found.toPandas().sort_values("doc_id", ignore_index=True)[["text", "y"]]

@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from postloom.llm import labelled
 from postloom.llm.base import characters, crc_mod, shared, text_chunks, with_empty_text
@@ -148,8 +147,7 @@ def learn(docs: DataFrame, *, chars: int = TRAINING_CHARS, per_language: int = T
     Documents over ``max_chars`` aren't learned from, nor are held-out ones or those without id, text or lang.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", labelled.FOLDS) != labelled.HELD_OUT)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language).select("doc_id", "lang").distinct()
+    chosen = labelled.least_by_hash(known, "lang", per_language).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter(F.length("text") <= max_chars)
     rows = texts.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect()  # per_language rows a language
     found: dict[str, list[str]] = {}
