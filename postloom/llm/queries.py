@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postloom.llm import chat, decontaminate, extraction, langid, packing, quality, topk, toxicity
+from postloom.llm import chat, decontaminate, extraction, jaccard, langid, packing, quality, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,12 +59,16 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_windows(turns.unionByName(probe)))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_html_extraction, op4_toxicity, op5_quality_classifier, op6_language_id, op7_exact_top_k, op8_chat_formatting, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_html_extraction, op4_toxicity, op5_quality_classifier, op6_language_id, op7_exact_top_k, op8_chat_formatting, op9_ngram_jaccard_join, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
