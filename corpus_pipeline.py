@@ -1,8 +1,82 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences, in stages that each read what the one before wrote.
 
-STAGES = []
+``run(spark, sf_dir)`` starts from the ``documents`` table; a stage is a function of the session, the documents so far and the
+folder of tables. Stages are written as Parquet in a shared folder and read again, so each works on settled input.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from postloom.llm import decontaminate, jaccard, langid, packing, quality
+from postloom.llm.base import ensure_checkpoint_dir
+
+#: Columns of documents.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Documents whose best language needs less than this share fewer bits than the next can't be told and are rejected.
+LEAST_CERTAINTY = 0.02
+
+
+def _columns(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS)
+
+
+def _keep(docs: DataFrame, keyed: DataFrame) -> DataFrame:
+    """The documents with one of the ids. Those without id are kept: what was decided for an id says nothing of them."""
+    ids = keyed.select(F.col("doc_id").alias("kept_id")).distinct()
+    return _columns(docs).join(ids, F.col("doc_id") == F.col("kept_id"), "left_semi").unionByName(_columns(docs).filter("doc_id IS NULL"))
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learned from the labels, doesn't reject; null and empty ones are rejected."""
+    model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep_good(_columns(docs), model)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told: not ``und`` and not between two languages."""
+    return langid.keep_certain(_columns(docs), langid.learn(docs), LEAST_CERTAINTY)
+
+
+def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, of the least id, for each group that near-duplicates connect; of rows with that id and text, one."""
+    found = jaccard.near_duplicates(docs)
+    kept = _keep(docs, found.filter("doc_id = class_id"))
+    return kept.dropDuplicates(["doc_id", "text"])
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no item of the benchmark occurs."""
+    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    ids = found.select(F.col("doc_id").alias("leaked_id")).distinct()
+    return _columns(docs).join(ids, F.col("doc_id") == F.col("leaked_id"), "left_anti")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("language", language_stage),
+    ("duplicates", duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+
+#: Models, hashes and token ids are beyond SQL; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -177,3 +177,17 @@ def identify(docs: DataFrame) -> DataFrame:
     model = shared(docs.sparkSession, learn(docs))
     rows = with_empty_text(docs, F.col("doc_id").cast("long").alias("doc_id"), labelled.held_out().alias("held_out"))
     return rows.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def _keep_certain(model, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, scores = predict(model.value, batch.column("text"))
+            yield batch.filter(pa.array((np.array(found, object) != UNKNOWN) & (scores >= least)))
+
+    return run
+
+
+def keep_certain(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows whose whole text has a language, by a margin of ``least`` or more over the next one, unchanged."""
+    return docs.mapInArrow(_keep_certain(shared(docs.sparkSession, model), least), docs.schema)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm import labelled
-from postloom.llm.base import U64, mix, shared, text_chunks, with_empty_text, word_hashes, words
+from postloom.llm.base import U64, mix, shared, text_bytes, text_chunks, with_empty_text, word_hashes, words
 
 BINS, TREES, DEPTH, RATE, LEAST = 64, 60, 4, 0.15, 10
 THRESHOLD = 0.3
@@ -213,3 +213,18 @@ def score(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, p
     model = shared(docs.sparkSession, learn(docs, labels, per_label=per_label))
     rows = with_empty_text(docs, F.col("doc_id").cast("long").alias("doc_id"), labelled.held_out().alias("held_out"))
     return rows.mapInArrow(_score(model, threshold), "doc_id long, held_out boolean, score double, predicted int")
+
+
+def _keep_good(model, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column("text")
+            good = (score_array(model.value, text) >= threshold) & (np.diff(text_bytes(text)[1]) > 0)
+            yield batch.filter(pa.array(good))
+
+    return run
+
+
+def keep_good(docs: DataFrame, model: Trees, *, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows whose whole text scores ``threshold`` or more, unchanged; null and empty texts go."""
+    return docs.mapInArrow(_keep_good(shared(docs.sparkSession, model), threshold), docs.schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postloom.llm import chat, decontaminate, extraction, jaccard, langid, packing, quality, topk, toxicity
+from postloom.llm import brown, chat, decontaminate, extraction, jaccard, langid, packing, quality, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(_table(spark, sf_dir, "pages"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -68,7 +72,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_html_extraction, op4_toxicity, op5_quality_classifier, op6_language_id, op7_exact_top_k, op8_chat_formatting, op9_ngram_jaccard_join, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_html_extraction, op3_lm_scoring, op4_toxicity, op5_quality_classifier, op6_language_id, op7_exact_top_k, op8_chat_formatting, op9_ngram_jaccard_join, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
