@@ -1 +1,181 @@
-"""To come."""
+"""Votes, precision, recall, correlations, calibration."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from postloom.operators import evaluation
+from postloom.plans.registry import query
+from postloom.session import table
+
+_VOTES = "(SELECT event_id % 200 AS item, event_type AS kind, user_id % 5 AS worker, CAST(floor(value) AS INTEGER) % 2 AS score FROM events)"
+
+
+def _votes(spark, sf_dir):
+    return table(spark, sf_dir, "events").select((F.col("event_id") % 200).alias("item"), F.col("event_type").alias("kind"), (F.col("user_id") % 5).alias("worker"), (F.floor("value").cast("int") % 2).alias("score"))
+
+
+@query(f"""
+WITH o AS (SELECT item, kind, worker, min(score) AS score FROM {_VOTES} GROUP BY ALL), c AS (SELECT item, kind, score, count(*) AS n FROM o GROUP BY ALL),
+     r AS (SELECT *, row_number() OVER (PARTITION BY item, kind ORDER BY n DESC, score) AS k, lead(n) OVER (PARTITION BY item, kind ORDER BY n DESC, score) AS second FROM c),
+     w AS (SELECT item, kind, score AS winner FROM r WHERE k = 1 AND n > 1 AND (second IS NULL OR n > second))
+SELECT item, max(winner) FILTER (kind = 'view') AS view, max(winner) FILTER (kind = 'click') AS click, max(winner) FILTER (kind = 'error') AS error FROM w GROUP BY item
+HAVING view IS NOT NULL AND click IS NOT NULL AND error IS NOT NULL
+""")
+def agg_vote_majority(spark, sf_dir):
+    winners = evaluation.majority(_votes(spark, sf_dir), "item", "kind", "worker", "score")
+    return evaluation.complete(winners, "item", "kind", ["view", "click", "error"])
+
+
+@query("""
+WITH a AS (SELECT conv_id, turn, CASE WHEN length(text) % 2 = 0 THEN 'y' ELSE 'n' END AS answer FROM conversations WHERE turn < 4)
+SELECT conv_id, string_agg(answer, '' ORDER BY turn, answer) AS answers, CAST(sum(CAST(answer = CASE WHEN turn IN (0, 2) THEN 'y' ELSE 'n' END AS INTEGER)) AS INTEGER) AS n_right FROM a GROUP BY conv_id HAVING count(*) = 4
+""")
+def agg_bot_score(spark, sf_dir):
+    answers = table(spark, sf_dir, "conversations").filter("turn < 4").select("conv_id", "turn", F.when(F.length("text") % 2 == 0, "y").otherwise("n").alias("answer"))
+    return evaluation.attention(answers, "conv_id", "turn", "answer", ["y", "n", "y", "n"]).filter(F.length("answers") == 4)
+
+
+@query("SELECT event_type, vote, count(*) AS n FROM (SELECT event_type, CASE WHEN value < 50 THEN 'no' WHEN value < 150 THEN 'unsure' ELSE 'yes' END AS vote FROM events) GROUP BY ALL")
+def agg_crosstab_melt(spark, sf_dir):
+    vote = F.when(F.col("value") < 50, "no").when(F.col("value") < 150, "unsure").otherwise("yes")
+    wide = table(spark, sf_dir, "events").withColumn("vote", vote).groupBy("event_type").pivot("vote", ["no", "unsure", "yes"]).agg(F.count(F.lit(1)))
+    return wide.unpivot("event_type", ["no", "unsure", "yes"], "vote", "n").filter("n > 0")
+
+
+@query("""
+WITH s AS (SELECT d.lang, count(*) AS n, avg(CAST(l.quality AS DOUBLE)) AS p FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.lang)
+SELECT round(sum(p * n) / sum(n), 9) AS base_rate FROM s WHERE p IS NOT NULL
+""")
+def agg_base_rate_strat(spark, sf_dir):
+    """The positive share of each stratum's labelled rows, weighted by the stratum's size."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    strata = rows.groupBy("lang").agg(F.count("*").alias("n"), F.avg(F.col("quality").cast("double")).alias("p")).filter("p IS NOT NULL")
+    return strata.agg(F.round(F.sum(F.col("p") * F.col("n")) / F.sum("n"), 9).alias("base_rate"))
+
+
+_SCORED = "(SELECT l.doc_id, l.toxic, d.n_chars, row_number() OVER (ORDER BY d.n_chars DESC, l.doc_id) AS rank FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
+
+
+def _scored(spark, sf_dir):
+    from postloom.operators.retrieval import ranked
+
+    return ranked(table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id"), "n_chars", "doc_id")
+
+
+@query(f"SELECT avg(toxic) FILTER (rank <= 20) AS top20, avg(toxic) FILTER (n_chars > 3000) AS above, CASE WHEN count(*) FILTER (rank <= 1) >= 2 THEN avg(toxic) FILTER (rank <= 1) END AS too_few FROM {_SCORED}")
+def agg_precision(spark, sf_dir):
+    label = F.col("toxic")
+    return _scored(spark, sf_dir).agg(*(evaluation.precision(label, c).alias(k) for k, c in (("top20", F.col("rank") <= 20), ("above", F.col("n_chars") > 3000), ("too_few", F.col("rank") <= 1))))
+
+
+@query(f"SELECT 100.0 * count(*) FILTER (toxic = 1 AND rank <= 100) / count(*) FILTER (toxic = 1) AS recall100, 100.0 * count(*) FILTER (toxic = 1 AND n_chars > 2000) / count(*) FILTER (toxic = 1) AS recall_above FROM {_SCORED}")
+def agg_recall(spark, sf_dir):
+    return _scored(spark, sf_dir).agg(evaluation.recall(F.col("toxic"), F.col("rank") <= 100).alias("recall100"), evaluation.recall(F.col("toxic"), F.col("n_chars") > 2000).alias("recall_above"))
+
+
+@query("SELECT event_type, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high, count(*) AS n FROM events GROUP BY event_type")
+def agg_auc_summary(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"))
+
+
+@query("""
+WITH g AS (SELECT quality AS t, CAST(n_chars > 1000 AS INTEGER) AS g FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+     c AS (SELECT count(*) FILTER (t = 1 AND g = 1) AS tp, count(*) FILTER (t = 0 AND g = 1) AS fp, count(*) FILTER (t = 1 AND g = 0) AS fn, count(*) FILTER (t = 0 AND g = 0) AS tn FROM g)
+SELECT tp, fp, fn, tn, round(tp / CAST(tp + fp AS DOUBLE), 9) AS precision, round(tp / CAST(tp + fn AS DOUBLE), 9) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 9) AS f1, round((tp + tn) / CAST(tp + fp + fn + tn AS DOUBLE), 9) AS accuracy FROM c
+""")
+def agg_prf(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").withColumn("guess", (F.col("n_chars") > 1000).cast("int"))
+    c = rows.agg(*evaluation.confusion(F.col("quality"), F.col("guess")))
+    tp, fp, fn, tn = (F.col(k) for k in ("tp", "fp", "fn", "tn"))
+    return c.select("*", F.round(F.try_divide(tp, tp + fp), 9).alias("precision"), F.round(F.try_divide(tp, tp + fn), 9).alias("recall"), F.round(F.try_divide(2.0 * tp, 2 * tp + fp + fn), 9).alias("f1"), F.round((tp + tn) / (tp + fp + fn + tn), 9).alias("accuracy"))
+
+
+@query("""
+WITH r AS (SELECT l_quantity, l_extendedprice, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS a, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS b FROM lineitem)
+SELECT round(corr(l_quantity, l_extendedprice), 6) AS pearson, round(corr(a, b), 6) AS spearman FROM r
+""")
+def agg_corr(spark, sf_dir):
+    r = evaluation.spearman(table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice"), "l_quantity", "l_extendedprice")
+    return r.select(F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"))
+
+
+@query("""
+WITH r AS (SELECT user_id, event_type, avg(value) AS m, stddev_samp(value) AS s FROM events WHERE user_id < 40 AND event_type IN ('view', 'click') GROUP BY ALL),
+     w AS (SELECT user_id, max(m) FILTER (event_type = 'view') AS view, max(m) FILTER (event_type = 'click') AS click FROM r GROUP BY user_id)
+SELECT user_id, round(view, 6) AS view, round(click, 6) AS click, CAST(dense_rank() OVER (ORDER BY view DESC) AS BIGINT) AS view_rank FROM w WHERE view IS NOT NULL
+""")
+def agg_run_compare(spark, sf_dir):
+    from postloom.operators.entities import wide_scores
+    from postloom.operators.retrieval import dense_ranked
+
+    runs = table(spark, sf_dir, "events").filter("user_id < 40 AND event_type IN ('view', 'click')").groupBy("user_id", "event_type").agg(F.avg("value").alias("m"))
+    wide = dense_ranked(wide_scores(runs, "user_id", "event_type", "m", ["view", "click"]).filter("view IS NOT NULL"), "view")
+    return wide.select("user_id", F.round("view", 6).alias("view"), F.round("click", 6).alias("click"), F.col("dense_rank").alias("view_rank"))
+
+
+@query("""
+WITH r AS (SELECT o_custkey, min(o_totalprice) AS a, max(o_totalprice) AS b, count(*) AS n FROM orders WHERE o_custkey < 200 GROUP BY o_custkey),
+     p AS (SELECT sum(sign((x.a - y.a) * (x.b - y.b))) AS s FROM r x JOIN r y ON x.o_custkey < y.o_custkey)
+SELECT round(2 * s / (count(*) * (count(*) - 1.0)), 9) AS tau, round(avg(pow(a - b, 2)), 1) AS mse FROM r, p GROUP BY s
+""")
+def agg_kendall_mse(spark, sf_dir):
+    runs = table(spark, sf_dir, "orders").filter("o_custkey < 200").groupBy("o_custkey").agg(F.min("o_totalprice").alias("a"), F.max("o_totalprice").alias("b"))
+    return evaluation.kendall(runs, "a", "b").select(F.round("tau", 9).alias("tau"), F.round("mse", 1).alias("mse"))
+
+
+@query()
+def ml_logreg_platt(spark, sf_dir):
+    """A one-feature logistic fit for each language: quality on the logarithm of the length."""
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").select("lang", F.log1p("n_chars").alias("x"), F.col("quality").cast("double").alias("y"))
+    return evaluation.platt(rows, "x", "y", "lang", 12)
+
+
+@query()
+def ml_pattern_lr(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+
+    from postloom.operators import ml
+
+    patterns = ["!!", "###|%%%", r" \| ", r"(\S+ )\1\1"]
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "text", "quality")
+    model = ml.pattern_model(rows, patterns, "text", "quality")
+    return model.transform(ml.pattern_features(rows, patterns, "text")).select("doc_id", "quality", vector_to_array("probability")[1].alias("score"))
+
+
+@query("""
+WITH d AS (SELECT CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem),
+     f AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2 FROM d)
+SELECT round(slope, 4) AS slope, round(intercept, 2) AS intercept, round(r2, 6) AS r2, round(sqrt(avg(pow(y - slope * x - intercept, 2))), 2) AS rmse FROM d, f GROUP BY slope, intercept, r2
+""")
+def ml_ols(spark, sf_dir):
+    from postloom.operators import ml
+
+    f = ml.least_squares(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice")
+    return f.select(F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"), F.round("r2", 6).alias("r2"), F.round("rmse", 2).alias("rmse"))
+
+
+@query()
+def ml_pipeline_tokenizer(spark, sf_dir):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import RegexTokenizer
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return Pipeline(stages=[RegexTokenizer(inputCol="text", outputCol="tokens", pattern=r"\W")]).fit(docs).transform(docs).select("doc_id", F.size("tokens").alias("n_tokens"))
+
+
+@query("SELECT doc_id, length(text) / (length(text) + 1000.0) AS lost, 1000.0 / (length(text) + 1000.0) AS hired FROM documents")
+def ml_model_inference(spark, sf_dir):
+    """Scores of several classes in one pass; the model here is a stand-in of closed form, loaded once a task."""
+    from postloom.operators import ml
+
+    def load():
+        import pandas as pd
+
+        def model(texts: pd.Series) -> pd.DataFrame:
+            n = texts.str.len().astype(float)
+            return pd.DataFrame({"lost": n / (n + 1000.0), "hired": 1000.0 / (n + 1000.0)})
+
+        return model
+
+    return ml.score_batches(table(spark, sf_dir, "documents"), "doc_id", "text", load, ["lost", "hired"])

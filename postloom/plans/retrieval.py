@@ -1 +1,237 @@
-"""To come."""
+"""Ranks, top-k, samples and lift."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from postloom.functions import text
+from postloom.operators import lift, retrieval
+from postloom.plans.registry import query
+from postloom.session import table
+
+_RANKED = "(SELECT event_id, user_id, event_type, value, row_number() OVER (ORDER BY value DESC, event_id) AS rank FROM events)"
+_HASH = "(event_id * 7919) % 1000003"
+
+
+def _ranked(spark, sf_dir):
+    return retrieval.ranked(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"), "value", "event_id")
+
+
+def _list(spark, ranks):
+    return spark.createDataFrame([(r,) for r in ranks], "rank long")
+
+
+@query(f"SELECT event_id, rank FROM {_RANKED}")
+def win_row_number_global(spark, sf_dir):
+    return _ranked(spark, sf_dir).select("event_id", "rank")
+
+
+@query("SELECT event_id, dense_rank() OVER (ORDER BY value DESC) AS dense_rank FROM events")
+def win_dense_rank_global(spark, sf_dir):
+    return retrieval.dense_ranked(table(spark, sf_dir, "events").select("event_id", "value"), "value").select("event_id", "dense_rank")
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents")
+def win_rank_first(spark, sf_dir):
+    return retrieval.ranked(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id").select("doc_id", "rank")
+
+
+@query("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 100")
+def topk_score(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", "value").orderBy(F.desc("value"), "event_id").limit(100)
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey")
+def sort_order_by(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal").orderBy("c_acctbal", "c_custkey")
+
+
+@query(f"SELECT event_id, rank FROM {_RANKED} WHERE rank < (SELECT CAST(floor(0.05 * count(*)) AS BIGINT) FROM events)")
+def topk_base_rate(spark, sf_dir):
+    """Ranks below the base rate's share of all rows."""
+    events = table(spark, sf_dir, "events")
+    return _ranked(spark, sf_dir).filter(F.col("rank") < int(0.05 * events.count())).select("event_id", "rank")
+
+
+@query(f"SELECT event_id, rank FROM {_RANKED} WHERE rank BETWEEN 1000 - 50 AND 1000 + 50")
+def topk_sorted_cutoff(spark, sf_dir):
+    return _ranked(spark, sf_dir).filter(F.col("rank").between(950, 1050)).select("event_id", "rank")
+
+
+@query("(SELECT event_id, value FROM events WHERE value > 50 ORDER BY value, event_id LIMIT 25) UNION ALL (SELECT event_id, value FROM events WHERE value < 50 ORDER BY value DESC, event_id LIMIT 25)")
+def topk_around_threshold(spark, sf_dir):
+    return retrieval.around(table(spark, sf_dir, "events").select("event_id", "value"), "value", "event_id", 50.0, 50)
+
+
+@query("SELECT event_id FROM events WHERE value >= 150.0")
+def topk_threshold_calibrated(spark, sf_dir):
+    from postloom.functions.scalar import sigmoid_root
+
+    return table(spark, sf_dir, "events").filter(F.col("value") >= sigmoid_root(0.02, -3.0)).select("event_id")
+
+
+@query(f"SELECT event_id FROM events WHERE {_HASH} % 1000 < 100")
+def smp_bernoulli(spark, sf_dir):
+    return retrieval.fraction_sample(table(spark, sf_dir, "events"), "event_id", 0.1).select("event_id")
+
+
+@query(f"SELECT event_id FROM events ORDER BY {_HASH}, event_id LIMIT 100")
+def smp_random_limit(spark, sf_dir):
+    return table(spark, sf_dir, "events").orderBy(retrieval.hash_order(F.col("event_id")), "event_id").limit(100).select("event_id")
+
+
+@query(f"SELECT event_id FROM events WHERE {_HASH} % 1000 < CASE event_type WHEN 'view' THEN 50 WHEN 'error' THEN 500 ELSE 0 END")
+def smp_stratified(spark, sf_dir):
+    return retrieval.fraction_sample(table(spark, sf_dir, "events"), "event_id", {"view": 0.05, "error": 0.5}, by="event_type").select("event_id")
+
+
+@query(f"SELECT event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY {_HASH}, event_id) <= 20")
+def smp_group_n(spark, sf_dir):
+    return retrieval.per_group(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", 20, [retrieval.hash_order(F.col("event_id")), "event_id"])
+
+
+def _ranks_sql(ranks) -> str:
+    return f"SELECT event_id, rank FROM {_RANKED} WHERE rank IN ({', '.join(map(str, ranks))})"
+
+
+@query(_ranks_sql(retrieval.log_ranks()))
+def smp_rank_log(spark, sf_dir):
+    return _ranked(spark, sf_dir).join(_list(spark, retrieval.log_ranks()), "rank").select("event_id", "rank")
+
+
+@query(_ranks_sql(retrieval.log_ranks(20, 5)))
+def smp_rank_log20(spark, sf_dir):
+    return _ranked(spark, sf_dir).join(_list(spark, retrieval.log_ranks(20, 5)), "rank").select("event_id", "rank")
+
+
+@query(_ranks_sql(retrieval.step_ranks()))
+def smp_rank_step(spark, sf_dir):
+    return _ranked(spark, sf_dir).join(_list(spark, retrieval.step_ranks()), "rank").select("event_id", "rank")
+
+
+@query(f"SELECT event_id, CAST({_HASH} % 5 AS INTEGER) AS class FROM events WHERE {_HASH} % 1000 < 50")
+def smp_without_repeat(spark, sf_dir):
+    """Disjoint samples for five classes: each class owns a residue of the hash."""
+    place = retrieval.hash_order(F.col("event_id"))
+    return table(spark, sf_dir, "events").filter(place % 1000 < 50).select("event_id", (place % 5).cast("int").alias("class"))
+
+
+@query()
+def smp_greedy_motif(spark, sf_dir):
+    pairs = table(spark, sf_dir, "documents").select(F.explode(text.ngrams(F.split(F.lower("text"), " "), 2)).alias("motif"), "n_chars")
+    counts = pairs.groupBy("motif").agg(F.count("*").alias("n"), F.avg("n_chars").alias("lift")).filter("n >= 20")
+    return spark.createDataFrame([(i, m) for i, m in enumerate(retrieval.greedy_motifs(counts), 1)], "rank int, motif string")
+
+
+@query("""
+WITH c AS (SELECT d.doc_id, k.keyword, row_number() OVER (PARTITION BY d.doc_id ORDER BY k.keyword) AS own, d.n_chars FROM documents d JOIN (VALUES ('the and'), ('que de'), ('die')) k(keyword) ON contains(d.text, k.keyword))
+SELECT keyword, doc_id FROM c WHERE own = 1 QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY n_chars DESC, doc_id) <= 5
+""")
+def smp_per_cell_exclusive(spark, sf_dir):
+    """The longest documents of each keyword; a document belongs to its first keyword only, so no two cells share one."""
+    keywords = ["die", "que de", "the and"]
+    first = F.get(F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.col("text"), k)), F.lit(0))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", first.alias("keyword")).filter("keyword IS NOT NULL")
+    return retrieval.per_group(docs, "keyword", 5, [F.desc("n_chars"), "doc_id"]).select("keyword", "doc_id")
+
+
+@query()
+def smp_bootstrap(spark, sf_dir):
+    """Replicates with Poisson(1) weights drawn from a hash of row and replicate: mean of each replicate."""
+    from postloom.operators.evaluation import bootstrap_means
+
+    return bootstrap_means(table(spark, sf_dir, "labels"), "doc_id", "quality", 50)
+
+
+@query(f"SELECT event_id FROM (SELECT event_id FROM events ORDER BY value DESC, event_id LIMIT 1000) ORDER BY {_HASH}, event_id LIMIT 50")
+def smp_top_pool(spark, sf_dir):
+    top = table(spark, sf_dir, "events").orderBy(F.desc("value"), "event_id").limit(1000)
+    return top.orderBy(retrieval.hash_order(F.col("event_id")), "event_id").limit(50).select("event_id")
+
+
+@query(f"""
+WITH r AS (SELECT d.*, CAST(contains(d.text, 'the and') AS INTEGER) AS a, CAST(contains(d.text, 'que de') AS INTEGER) AS b, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents d), k(k) AS (VALUES (50), (100), (200))
+SELECT CAST(k AS INTEGER) AS k, avg(a) FILTER (rank <= k) / avg(a) AS lift_a, avg(b) FILTER (rank <= k) / avg(b) AS lift_b, round(stddev_samp(a) FILTER (rank <= k) / sqrt(k), 9) AS se_a FROM r, k GROUP BY k
+""")
+def agg_lift_keyword(spark, sf_dir):
+    """Share of a keyword in the top k over its share in all, and its standard error; ranked once for all k."""
+    flagged = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.col("text").contains("the and").cast("int").alias("a"), F.col("text").contains("que de").cast("int").alias("b"))
+    r, ks = retrieval.ranked(flagged, "n_chars", "doc_id"), (50, 100, 200)
+    parts = F.array(*(F.struct(F.lit(k).alias("k"), (F.avg(F.when(F.col("rank") <= k, F.col("a"))) / F.avg("a")).alias("lift_a"), (F.avg(F.when(F.col("rank") <= k, F.col("b"))) / F.avg("b")).alias("lift_b"), F.round(F.stddev(F.when(F.col("rank") <= k, F.col("a"))) / F.sqrt(F.lit(k)), 9).alias("se_a")) for k in ks))
+    return r.agg(parts.alias("p")).select(F.inline("p"))
+
+
+@query("""
+WITH t AS (SELECT doc_id, text FROM documents ORDER BY n_chars DESC, doc_id LIMIT 100),
+     a AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_split(lower(text), ' ')) AS word FROM t) GROUP BY word HAVING count(*) >= 10),
+     b AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_split(lower(text), ' ')) AS word FROM documents) GROUP BY word)
+SELECT a.word, a.n AS n_part, b.n AS n_whole, (a.n / 100.0) / (b.n / CAST((SELECT count(*) FROM documents) AS DOUBLE)) AS lift FROM a JOIN b ON a.word = b.word
+""")
+def agg_lift_word(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    top = lift.word_counts(docs.orderBy(F.desc("n_chars"), "doc_id").limit(100)).filter("n >= 10")
+    return lift.lift(top, lift.word_counts(docs), "word", 100, docs.count())
+
+
+@query("""
+WITH a AS (SELECT user_id, avg(value) AS l FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT user_id, avg(value) AS l FROM events WHERE event_id % 2 = 1 GROUP BY 1),
+     r AS (SELECT a.user_id, row_number() OVER (ORDER BY a.l DESC, a.user_id) AS r0, row_number() OVER (ORDER BY b.l DESC, a.user_id) AS r1, round(b.l / a.l - 1, 9) AS lift_change FROM a JOIN b ON a.user_id = b.user_id)
+SELECT user_id, r1 - r0 AS rank_change, lift_change FROM r
+""")
+def agg_lift_change(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    both = [events.filter(F.col("event_id") % 2 == k).groupBy("user_id").agg(F.avg("value").alias(f"l{k}")) for k in (0, 1)]
+    joined = both[0].join(both[1], "user_id")
+    for k in (0, 1):
+        joined = retrieval.ranked(joined, f"l{k}", "user_id").withColumnRenamed("rank", f"r{k}")
+    return joined.select("user_id", (F.col("r1") - F.col("r0")).alias("rank_change"), F.round(F.col("l1") / F.col("l0") - 1, 9).alias("lift_change"))
+
+
+@query("""
+WITH g AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM (SELECT doc_id, string_split(lower(text), ' ') AS w FROM documents)),
+     a AS (SELECT gram, count(*) AS n FROM g WHERE doc_id % 2 = 0 GROUP BY gram HAVING count(*) >= 15), b AS (SELECT gram, count(*) AS n FROM g WHERE doc_id % 2 = 1 GROUP BY gram)
+SELECT a.gram, a.n AS n_part, b.n AS n_whole, (a.n / 500.0) / (b.n / 500.0) AS lift FROM a LEFT JOIN b ON a.gram = b.gram
+""")
+def agg_ngram_lift(spark, sf_dir):
+    grams = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.ngrams(F.split(F.lower("text"), " "), 2)).alias("gram"))
+    a, b = (grams.filter(F.col("doc_id") % 2 == k).groupBy("gram").agg(F.count("*").alias("n")) for k in (0, 1))
+    return lift.lift(a.filter("n >= 15"), b, "gram", 500, 500)
+
+
+@query(f"SELECT CAST(floor(log10(rank) * 2) AS BIGINT) AS bucket, round(avg(value), 6) AS value, avg(rank) AS rank FROM {_RANKED} GROUP BY 1")
+def agg_rank_bucket_mean(spark, sf_dir):
+    return _ranked(spark, sf_dir).groupBy(F.floor(F.log10("rank") * 2).alias("bucket")).agg(F.round(F.avg("value"), 6).alias("value"), F.avg("rank").alias("rank"))
+
+
+@query(f"SELECT CAST(floor((rank - 1) / 20) AS BIGINT) AS block, avg(rank) AS rank, round(avg(value), 6) AS value FROM {_RANKED} GROUP BY 1")
+def agg_block_mean(spark, sf_dir):
+    return _ranked(spark, sf_dir).groupBy(F.floor((F.col("rank") - 1) / 20).alias("block")).agg(F.avg("rank").alias("rank"), F.round(F.avg("value"), 6).alias("value"))
+
+
+@query(f"SELECT CAST(arg_min(rank, (abs(value - 200), rank)) AS BIGINT) AS rank FROM {_RANKED}")
+def agg_nearest_score_rank(spark, sf_dir):
+    return _ranked(spark, sf_dir).agg(F.min_by("rank", F.struct(F.abs(F.col("value") - 200), F.col("rank"))).alias("rank"))
+
+
+@query(f"SELECT CAST((rank - 1) * 20 // (SELECT count(*) FROM events) AS BIGINT) AS bin, count(*) AS n, round(avg(value), 6) AS value FROM {_RANKED} GROUP BY 1")
+def agg_point_mean(spark, sf_dir):
+    """Means of twenty equal bins of the rank."""
+    n = table(spark, sf_dir, "events").count()
+    return _ranked(spark, sf_dir).groupBy(F.floor((F.col("rank") - 1) * 20 / n).alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("value"))
+
+
+@query("SELECT CAST(ntile(51) OVER (ORDER BY value, event_id) AS INTEGER) AS bin, event_id FROM events")
+def agg_qcut(spark, sf_dir):
+    """Quantile bins of (nearly) equal numbers, the first ones larger, from global ranks."""
+    n = table(spark, sf_dir, "events").count()
+    r = retrieval.ranked(table(spark, sf_dir, "events").select("event_id", (-F.col("value")).alias("value")), "value", "event_id")
+    small, large = n // 51, n % 51
+    edge = large * (small + 1)
+    at = F.col("rank") - 1
+    bin_ = F.when(at < edge, F.floor(at / (small + 1))).otherwise(large + F.floor((at - edge) / max(small, 1))) + 1
+    return r.select(bin_.cast("int").alias("bin"), "event_id")
+
+
+@query("SELECT bin, round(avg(value), 6) AS value, count(*) AS n FROM (SELECT CAST(ntile(51) OVER (ORDER BY value, event_id) AS INTEGER) AS bin, value FROM events) GROUP BY bin")
+def agg_qcut_mean(spark, sf_dir):
+    return agg_qcut(spark, sf_dir).join(table(spark, sf_dir, "events"), "event_id").groupBy("bin").agg(F.round(F.avg("value"), 6).alias("value"), F.count("*").alias("n"))

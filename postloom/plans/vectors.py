@@ -1 +1,44 @@
-"""To come."""
+"""Queries over embeddings."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from postloom.functions import scalar
+from postloom.operators import ml, vectors
+from postloom.plans.registry import query
+from postloom.session import table
+
+_V = "(SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+
+
+@query(f"SELECT a.vec_id, round(list_cosine_similarity(a.v, b.v), 9) AS cosine FROM {_V} a JOIN {_V} b ON a.vec_id = b.vec_id + 1")
+def fn_cosine(spark, sf_dir):
+    """Each vector with the one before."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("a"))
+    return v.join(v.select((F.col("vec_id") + 1).alias("vec_id"), F.col("a").alias("b")), "vec_id").select("vec_id", F.round(scalar.cosine(F.col("a"), F.col("b")), 9).alias("cosine"))
+
+
+@query(f"""
+WITH p AS (SELECT a.vec_id, list_cosine_similarity(a.v, b.v) AS s FROM {_V} a JOIN {_V} b ON a.vec_id <> b.vec_id), m AS (SELECT vec_id, max(1 - s) AS d FROM p GROUP BY vec_id)
+SELECT round(-(SELECT avg(s) FROM p), 9) AS mean_diversity, round(avg(d), 9) AS mean_max_diversity FROM m
+""")
+def fn_diversity(spark, sf_dir):
+    d = vectors.diversity(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return d.select(F.round("mean_diversity", 9).alias("mean_diversity"), F.round("mean_max_diversity", 9).alias("mean_max_diversity"))
+
+
+@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 9) AS cosine FROM {_V} a JOIN {_V} b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.5")
+def fn_similar_pairs(spark, sf_dir):
+    return vectors.similar_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.5).select("a", "b", F.round("cosine", 9).alias("cosine"))
+
+
+@query()
+def agg_community(spark, sf_dir):
+    return vectors.communities(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.4, 3)
+
+
+@query()
+def agg_kmeans(spark, sf_dir):
+    placed, silhouette = ml.clusters(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8)
+    return placed.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("silhouette", F.lit(silhouette))
