@@ -9,6 +9,7 @@ length and its rank among pieces of that length.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -215,12 +216,18 @@ class Encoder:
         return out
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One encoder a worker process."""
+    return Encoder(path)
+
+
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])
 
 
 def _pieces(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seen = Encoder(path), TaskContext.get().partitionId(), Counter()
+        encode, part, seen = encoder(path), TaskContext.get().partitionId(), Counter()
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
