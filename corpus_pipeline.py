@@ -24,12 +24,6 @@ def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS)
 
 
-def _keep(docs: DataFrame, keyed: DataFrame) -> DataFrame:
-    """The documents with one of the ids. Those without id are kept: what was decided for an id says nothing of them."""
-    ids = keyed.select(F.col("doc_id").alias("kept_id")).distinct()
-    return _columns(docs).join(ids, F.col("doc_id") == F.col("kept_id"), "left_semi").unionByName(_columns(docs).filter("doc_id IS NULL"))
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, learned from the labels, doesn't reject; null and empty ones are rejected."""
     model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -42,10 +36,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the least id, for each group that near-duplicates connect; of rows with that id and text, one."""
+    """One document, of the least id, for each group that near-duplicates connect; of rows with that id and text, one.
+
+    Documents without id are kept: a decision can't be tied to them.
+    """
     found = jaccard.near_duplicates(docs)
-    kept = _keep(docs, found.filter("doc_id = class_id"))
-    return kept.dropDuplicates(["doc_id", "text"])
+    ids = found.filter("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = _columns(docs).join(ids, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id", "text"])  # dealt by doc_id already
+    return kept.unionByName(_columns(docs).filter("doc_id IS NULL"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
