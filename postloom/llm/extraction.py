@@ -88,9 +88,7 @@ def page_lines(page: str) -> list[tuple[str, int, int]]:
         take(page[at : m.start()])
         at = m.end()
         tag = (m[3] or m[6] or "").lower()
-        if not tag:
-            if m[1] and m[1].lower() not in ("noscript", "noembed"):
-                flush()
+        if not tag:  # a comment, a declaration or an element of raw text, which leave the block as it is
             continue
         if m[6] and not m[0].endswith(">"):
             continue  # the page ends inside this tag

@@ -1,7 +1,7 @@
 """Language by cross-parsing entropy.
 
 A suffix automaton of labelled text stands for each language. A document is parsed, from left to right, into the longest
-pieces that occur in a language's text; the language that needs the fewest phrases, normalised by what a phrase's place
+pieces that occur in a language's text (a character that the text hasn't ends its phrase and belongs to it); the language that needs the fewest phrases, normalised by what a phrase's place
 in its text costs, is the prediction. The automata are one flat transition table, and numpy parses blocks of many documents
 in step, for all languages at once.
 """
@@ -108,13 +108,13 @@ def phrases(model: Model, codes: np.ndarray) -> np.ndarray:
     state = np.repeat(model.roots[:, None], n, 1)
     count = np.zeros((k, n), np.int32)
     for column in np.ascontiguousarray(codes.T):
-        state += column
-        state = model.table[state]
-        lost = np.flatnonzero(state.ravel() == 0)
+        following = model.table[state + column]
+        lost = np.flatnonzero(following.ravel() == 0)
         if len(lost):
             count.ravel()[lost] += 1
-            state.ravel()[lost] = enter[lost // n, column[lost % n]]
-    return count + (codes[:, 0] != PAD)
+            following.ravel()[lost] = enter[lost // n, column[lost % n]]
+        state = following
+    return count + (state != model.roots[:, None])
 
 
 def predict(model: Model, array: pa.Array) -> tuple[list[str], np.ndarray]:
