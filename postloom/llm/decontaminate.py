@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.base import U64, mix, shared, text_chunks, word_hashes, words
+from postloom.llm.base import U64, lean, mix, shared, text_chunks, word_hashes, words
 
 #: An item occurs where its edit distance in words is at most this share of its words; recall aimed at there; most walks.
 MAX_EDITS, RECALL, MOST_WALKS = 0.2, 0.98, 12
@@ -202,6 +202,7 @@ SCHEMA = "doc_id long, item_id long, distance int, word int, n_words int"
 
 
 def _find(model):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         filters = [[np.unpackbits(x).view(bool) for x in t.filters] for t in m.tables]

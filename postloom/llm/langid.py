@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm import labelled
-from postloom.llm.base import characters, crc_mod, shared, text_chunks, with_empty_text
+from postloom.llm.base import characters, crc_mod, lean, shared, text_chunks, with_empty_text
 
 UNKNOWN = "und"
 #: Characters of a language's automaton, documents that they may come from, and letters told apart (the most frequent).
@@ -157,6 +157,7 @@ def learn(docs: DataFrame, *, chars: int = TRAINING_CHARS, per_language: int = T
 
 
 def _predict(model):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.schema.get_field_index("text")
@@ -180,6 +181,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def _keep_certain(model, least: float):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, scores = predict(model.value, batch.column("text"))

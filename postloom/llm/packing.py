@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from postloom.llm.base import checkpoint, shared, with_empty_text
+from postloom.llm.base import checkpoint, lean, shared, with_empty_text
 
 CAPACITY = 1024
 END_ID = 2
@@ -226,6 +226,7 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 
 
 def _pieces(path: str, end_id: int, capacity: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, seen = encoder(path), TaskContext.get().partitionId(), Counter()
         end = np.array([end_id], "<u4").tobytes()
@@ -250,6 +251,7 @@ def _pieces(path: str, end_id: int, capacity: int):
 
 
 def _place(table):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table.value
         keys = (t["length"] << 44) | t["rank"]

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm import labelled
-from postloom.llm.base import U64, mix, shared, text_bytes, text_chunks, with_empty_text, word_hashes, words
+from postloom.llm.base import U64, lean, mix, shared, text_bytes, text_chunks, with_empty_text, word_hashes, words
 
 BINS, TREES, DEPTH, RATE, LEAST = 64, 60, 4, 0.15, 10
 THRESHOLD = 0.3
@@ -187,6 +187,7 @@ def score_array(model: Trees, array: pa.Array) -> np.ndarray:
 
 
 def _score(model, threshold: float):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.schema.get_field_index("text")
@@ -216,6 +217,7 @@ def score(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, p
 
 
 def _keep_good(model, threshold: float):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column("text")

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from postloom.llm.base import lean
 from pyspark.sql.window import Window
 
 K, SCALE, EVERY = 20, 64, 20
@@ -126,6 +128,7 @@ def search_block(slices: np.ndarray, least: np.ndarray, ids: np.ndarray, query_i
 
 
 def _blocks(rows: int, index: bool):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)) if index else None  # a partition has about ``rows`` rows
         for batch in table.combine_chunks().to_batches() if index else batches:

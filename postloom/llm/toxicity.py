@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm import labelled
-from postloom.llm.base import U64, characters, shared, text_chunks, with_empty_text
+from postloom.llm.base import U64, characters, lean, shared, text_chunks, with_empty_text
 
 ORDERS, BITS = (3, 4, 5, 6), 20
 #: Features kept: those in at least MIN_TEXTS training texts, of the largest ratios; and the prior count of a ratio.
@@ -107,6 +107,7 @@ def score_array(model: Model, array: pa.Array) -> np.ndarray:
 
 
 def _score(model):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = score_array(model.value, batch.column(2))
