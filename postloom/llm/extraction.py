@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postloom.llm.base import lean
+
 #: Lines of a window, and the text length at which a window's sum is a surge.
 WINDOW, SURGE = 3, 80
 
@@ -25,7 +27,9 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 NEVER = {"nav", "footer", "aside", "form", "head", "button", "select", "option", "menu", "dialog", "svg", "canvas", "object", "audio", "video", "map", "datalist", "fieldset"}
 ARTICLE = {"article", "main"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"}
-NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "adbox", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "paywall", "nav", "navbar", "navigation", "navi", "menu", "menus", "breadcrumb", "breadcrumbs", "pagination", "pager", "toc", "sidebar", "sidebars", "side", "aside", "rail", "widget", "widgets", "footer", "foot", "masthead", "topbar", "toolbar", "header", "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "discussion", "share", "sharing", "social", "related", "recommended", "recommendations", "skip", "copyright", "legal", "disclaimer"}
+NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "adbox", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "paywall", "nav", "navbar", "navigation", "navi", "menu", "menus", "breadcrumb", "breadcrumbs", "pagination", "pager", "toc", "sidebar", "sidebars", "side", "aside", "rail", "widget", "widgets", "footer", "foot", "masthead", "topbar", "toolbar", "header", "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "discussion", "share", "sharing", "social", "related", "recommended", "recommendations", "skip", "copyright", "legal", "disclaimer", "announcement", "announcements", "toast", "promoted", "affiliate", "responses", "feedback", "guestbook"}
+#: Names beside "header" that make it the article's own.
+OWN_HEADER = {"article", "post", "entry", "story", "content"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -35,6 +39,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _NAME = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_CAMEL = re.compile(r"([a-z])([A-Z])")
 _PART = re.compile(r"[a-z]+|\d+")
 _SPACE = re.compile(r"\s+")
 
@@ -45,14 +50,15 @@ def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
     if not attributes or tag in ("html", "body", *ARTICLE):
         return False
     for kind, *values in _NAME.findall(attributes):
-        value = next((v for v in values if v), "").lower()
+        value = _CAMEL.sub(r"\1-\2", next((v for v in values if v), "")).lower()
         if kind.lower() == "hidden" or kind.lower() == "aria-hidden" and value == "true":
             return True
         if kind.lower() == "role" and value in ROLES:
             return True
         if kind.lower() in ("class", "id"):
             parts = _PART.findall(value)
-            if any(x in NAMES and not (x == "header" and inside_article) for x in parts):
+            own = inside_article or not OWN_HEADER.isdisjoint(parts)
+            if any(x in NAMES and not (x == "header" and own) for x in parts):
                 return True
     return False
 
@@ -162,6 +168,7 @@ def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
 
 
 def _extract(window: int, surge: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
