@@ -64,13 +64,26 @@ def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     return r.agg(F.corr(a, b).alias("pearson"), F.corr(f"{a}_rank", f"{b}_rank").alias("spearman"))
 
 
-def kendall(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Kendall's tau-a and mean squared difference; every pair of rows is compared, so for tables of runs, not of posts."""
-    mse = rows.agg(F.avg(F.pow(F.col(a) - F.col(b), 2)).alias("mse"), F.count("*").alias("n"))
-    left, right = (rows.select(F.monotonically_increasing_id().alias(f"k{s}"), F.col(a).alias(f"a{s}"), F.col(b).alias(f"b{s}")) for s in ("1", "2"))
-    agree = F.signum((F.col("a1") - F.col("a2")) * (F.col("b1") - F.col("b2")))
-    total = left.join(right, F.col("k1") < F.col("k2")).agg(F.sum(agree).alias("s"))
-    return total.join(mse).select((2 * F.col("s") / (F.col("n") * (F.col("n") - 1))).alias("tau"), "mse")
+def kendall(rows: DataFrame, a: str, b: str, block: int = 2048) -> DataFrame:
+    """Kendall's tau-a and mean squared difference. Every pair counts, so rows are compared block by block."""
+    import numpy as np
+    import pandas as pd
+
+    from postloom.operators.vectors import block_pairs, blocks_of
+
+    both = rows.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    pairs = block_pairs(*blocks_of(both, lambda f: (f["a"].to_numpy().tobytes(), f["b"].to_numpy().tobytes()), block))
+
+    def agree(frames):
+        for frame in frames:
+            for r in frame.itertuples():
+                a1, b1, a2, b2 = (np.frombuffer(x) for x in (r.keys, r.matrix, r.keys2, r.matrix2))
+                total = float((np.sign(a1[:, None] - a2) * np.sign(b1[:, None] - b2)).sum())
+                yield pd.DataFrame({"s": [total / 2 if r.i == r.j else total]})
+
+    total = pairs.mapInPandas(agree, "s double").agg(F.sum("s").alias("s"), F.lit(1).alias("_k"))
+    mse = both.agg(F.avg(F.pow(F.col("a") - F.col("b"), 2)).alias("mse"), F.count("*").alias("n"), F.lit(1).alias("_k"))
+    return total.join(mse, "_k").select((2 * F.col("s") / (F.col("n") * (F.col("n") - 1))).alias("tau"), "mse")
 
 
 def bootstrap_means(rows: DataFrame, key: str, value: str, rounds: int) -> DataFrame:

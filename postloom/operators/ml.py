@@ -55,3 +55,27 @@ def score_batches(rows: DataFrame, key: str, text: str, load: Callable[[], Calla
 
     kinds = dict(rows.dtypes)
     return rows.select(key, text).mapInPandas(run, ", ".join([f"{key} {kinds[key]}", *(f"{c} double" for c in classes)]))
+
+
+def train_classifier(rows: DataFrame, text: str, label: str, key: str, *, features: int = 1 << 14, strengths: tuple[float, ...] = (0.3, 0.1, 0.03, 0.01), patience: int = 1):
+    """A text classifier on hashed words; regularisation is loosened until the area under the ROC curve on a held-out fifth stops growing.
+
+    Returns the best model and its area. The fifth is drawn by a hash of the key.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.feature import HashingTF, RegexTokenizer
+
+    fold = F.pmod(F.xxhash64(key), F.lit(5))
+    known = rows.filter(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double"))
+    training, held = known.filter(fold != 0), known.filter(fold == 0)
+    best, area, worse = None, 0.0, 0
+    for strength in strengths:
+        model = Pipeline(stages=[RegexTokenizer(inputCol=text, outputCol="_t", pattern=r"\s+"), HashingTF(inputCol="_t", outputCol="features", numFeatures=features, binary=True), LogisticRegression(labelCol=label, regParam=strength, maxIter=20)]).fit(training)
+        now = BinaryClassificationEvaluator(labelCol=label).evaluate(model.transform(held))
+        if best is None or now > area:
+            best, area, worse = model, now, 0
+        elif (worse := worse + 1) > patience:
+            break
+    return best, area

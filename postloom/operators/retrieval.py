@@ -14,16 +14,24 @@ def ranked(rows: DataFrame, score: str, tie: str, ranges: int = RANGES) -> DataF
     """A row number over all rows by falling score, ties by rising ``tie``, without one task for all rows.
 
     Approximate quantiles cut the scores into ranges; rows are numbered within a range and the counts of the ranges
-    above are added. The result is exact whatever the cuts.
+    above are added. A score that many rows share is a range of its own, cut again by quantiles of a numeric ``tie``.
+    The result is exact whatever the cuts.
     """
-    cuts = sorted(set(rows.select(F.col(score).cast("double").alias("s")).approxQuantile("s", [i / ranges for i in range(1, ranges)], 0.002)))
-    band = F.lit(0) if not cuts else F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col(score).cast("double")))
-    dealt = rows.withColumn("_band", F.when(F.col(score).isNull(), F.lit(len(cuts) + 1)).otherwise(band))
-    above = Window.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy("_band").agg(F.count("*").alias("_n"))  # a row for each range
-    offsets = counts.select("_band", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"))
-    within = Window.partitionBy("_band").orderBy(F.desc_nulls_last(score), tie)
-    return dealt.withColumn("rank", F.row_number().over(within).cast("long")).join(F.broadcast(offsets), "_band").withColumn("rank", F.col("rank") + F.col("_above")).drop("_band", "_above")
+    s = F.col(score).cast("double")
+    found = rows.select(s.alias("s")).approxQuantile("s", [i / ranges for i in range(1, ranges)], 0.002)
+    cuts, hot = sorted(set(found)), sorted({x for x in found if found.count(x) > 1})
+    above = F.lit(0) if not cuts else F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > s))
+    band = F.when(s.isNull(), F.lit(2 * len(cuts) + 2)).otherwise(2 * above + (s.isin(*hot).cast("int") if hot else F.lit(0)))
+    part = F.lit(0)
+    if hot and dict(rows.dtypes)[tie] in ("int", "bigint", "smallint", "tinyint", "double", "float"):
+        ties = sorted(set(rows.filter(s.isin(*hot)).select(F.col(tie).cast("double").alias("t")).approxQuantile("t", [i / ranges for i in range(1, ranges)], 0.002)))
+        part = F.when(s.isin(*hot), F.size(F.filter(F.array(*map(F.lit, ties)), lambda c: c < F.col(tie).cast("double")))).otherwise(0) if ties else part
+    dealt = rows.withColumns({"_band": band, "_part": part})
+    counts = dealt.groupBy("_band", "_part").agg(F.count("*").alias("_n"))  # a row for each range
+    before = Window.orderBy("_band", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_band", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_above"))
+    within = Window.partitionBy("_band", "_part").orderBy(F.desc_nulls_last(score), tie)
+    return dealt.withColumn("rank", F.row_number().over(within).cast("long")).join(F.broadcast(offsets), ["_band", "_part"]).withColumn("rank", F.col("rank") + F.col("_above")).drop("_band", "_part", "_above")
 
 
 def dense_ranked(rows: DataFrame, score: str, ranges: int = RANGES) -> DataFrame:

@@ -179,3 +179,32 @@ def ml_model_inference(spark, sf_dir):
         return model
 
     return ml.score_batches(table(spark, sf_dir, "documents"), "doc_id", "text", load, ["lost", "hired"])
+
+
+@query()
+def ml_training(spark, sf_dir):
+    from postloom.operators import ml
+
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "text", "toxic")
+    _, area = ml.train_classifier(rows, "text", "toxic", "doc_id", strengths=(0.1, 0.01))
+    return spark.createDataFrame([(area,)], "auroc double")
+
+
+@query("SELECT c_custkey AS user_id, (length(c_name) % 2) * 1.0 AS is_org, 1.0 / (1 + length(c_mktsegment)) AS age_score FROM customer WHERE c_custkey NOT IN (SELECT doc_id FROM labels)")
+def ml_demographics(spark, sf_dir):
+    """Profiles without a prediction yet, scored in batches by a stand-in model from name and description."""
+    import pandas as pd
+
+    from postloom.operators import ml
+    from postloom.sources.readers import pending
+
+    def load():
+        def model(texts: pd.Series) -> pd.DataFrame:
+            name, segment = texts.str.split("|").str[0].str.len(), texts.str.split("|").str[1].str.len()
+            return pd.DataFrame({"is_org": (name % 2).astype(float), "age_score": 1.0 / (1 + segment)})
+
+        return model
+
+    profiles = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.concat_ws("|", "c_name", "c_mktsegment").alias("text"))
+    done = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("user_id"))
+    return ml.score_batches(pending(profiles, done, "user_id"), "user_id", "text", load, ["is_org", "age_score"])

@@ -96,6 +96,13 @@ def agg_cooccurrence(spark, sf_dir):
     return lift.cooccurrence(table(spark, sf_dir, "documents"), KEYWORDS, top=50)
 
 
+@query("SELECT keyword, count(*) AS n_words, CAST(sum(n) AS BIGINT) AS n FROM (SELECT k.keyword, w.word, count(*) AS n FROM (SELECT lower(text) AS text, unnest(string_split(lower(text), ' ')) AS word FROM documents) w JOIN (VALUES ('thand'), ('schein')) k(keyword) ON contains(w.text, k.keyword) GROUP BY ALL) GROUP BY keyword")
+def kw_cooccurrence(spark, sf_dir):
+    """How many words, and occurrences of words, stand in texts with each keyword."""
+    found = lift.cooccurrence(table(spark, sf_dir, "documents"), ["thand", "schein"])
+    return found.groupBy("keyword").agg(F.count("*").alias("n_words"), F.sum("n").alias("n"))
+
+
 @query("SELECT avg(CAST(contains(text, 'the and') AS INTEGER)) AS the_and, avg(CAST(contains(text, 'que de') AS INTEGER)) AS que_de FROM documents")
 def agg_mean_base_rate(spark, sf_dir):
     return table(spark, sf_dir, "documents").agg(*(F.avg(c).alias(k) for c, k in zip(text.contains_flags(F.col("text"), ["the and", "que de"]), ("the_and", "que_de"), strict=True)))

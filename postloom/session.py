@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC, adaptive plans, ANSI left on. Python's Arrow path is for the few operators that need it.
 SETTINGS = {
@@ -28,3 +30,24 @@ def session(master: str | None = None, app: str = "postloom", **settings: str) -
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the Parquet tables in ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; a temporary one only where it is unset and Spark runs locally."""
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    folder = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="postloom-")
+    sc.setCheckpointDir(folder)
+    return folder
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder, so that rounds don't grow the plan and a lost executor loses nothing."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)

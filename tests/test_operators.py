@@ -28,6 +28,21 @@ def test_ranked_is_exact_with_ties_and_nulls(spark):
     assert retrieval.ranked(df.limit(0), "s", "id").count() == 0
 
 
+def test_ranked_cuts_a_shared_score(spark):
+    values = [(i * 37 % 1001, 1.0 if i % 3 else float(i % 5)) for i in range(1001)]
+    df = spark.createDataFrame(values, "id int, s double")
+    want = [v[0] for v in sorted(values, key=lambda v: (-v[1], v[0]))]
+    assert [r.id for r in retrieval.ranked(df, "s", "id", 16).orderBy("rank").collect()] == want
+
+
+def test_kendall_over_blocks(spark):
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 9, 70), rng.integers(0, 9, 70)
+    want = sum(np.sign(a[i] - a[j]) * np.sign(b[i] - b[j]) for i in range(70) for j in range(i)) * 2 / (70 * 69)
+    got = evaluation.kendall(spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b, strict=True)], "a int, b int"), "a", "b", block=20).first()
+    assert abs(got.tau - want) < 1e-9 and abs(got.mse - ((a - b) ** 2).mean()) < 1e-9
+
+
 def test_votes(spark):
     votes = [("one", "k", "w1", 1), ("agree", "k", "w1", 1), ("agree", "k", "w2", 1), ("agree", "k", "w3", 0), ("tie", "k", "w1", 1), ("tie", "k", "w2", 1), ("tie", "k", "w3", 0), ("tie", "k", "w4", 0), ("twice", "k", "w1", 1), ("twice", "k", "w1", 1)]
     df = spark.createDataFrame(votes, "item string, kind string, worker string, score int")
