@@ -43,10 +43,23 @@ def gap_pattern(parts: list[str]) -> str:
     return r"[.\w\s\d]*".join(parts)
 
 
+def _after_all(run: Column, parts: list[str]) -> Column:
+    """Where the first way to find the parts one after the other ends; null if there is none."""
+    at = F.lit(1)
+    for p in parts:
+        at = F.nullif(F.call_function("locate", F.lit(p), run, at), F.lit(0)) + len(p)
+    return at
+
+
 def ngram_gap(text: Column, parts: list[str]) -> Column:
-    """One part: a substring (a pattern if it has a bar); more: in order with a gap."""
+    """One part: a substring (a pattern if it has a bar); more: in order with a gap.
+
+    Plain parts are looked for between the characters that no gap may hold, which needs no backtracking over the text.
+    """
     if len(parts) == 1:
         return text.rlike(parts[0]) if "|" in parts[0] else text.contains(parts[0])
+    if all(re.fullmatch(r"[a-zA-Z0-9 ]+", p) for p in parts):
+        return F.exists(F.split(text, r"[^.\w\s]+"), lambda run: _after_all(run, parts).isNotNull())
     return text.rlike(gap_pattern(parts))
 
 

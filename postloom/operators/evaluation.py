@@ -45,22 +45,22 @@ def confusion(truth: Column, guess: Column) -> list[Column]:
     return [F.count_if((truth == t) & (guess == g)).alias(name) for name, t, g in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0), ("tn", 0, 0))]
 
 
-def average_rank(rows: DataFrame, value: str) -> DataFrame:
-    """Each row with the mean rank of its value: values are counted first, and only distinct ones are ranked."""
+def average_ranks(rows: DataFrame, value: str) -> DataFrame:
+    """Each distinct value and the mean rank of its rows: values are counted first, and only distinct ones are ranked."""
     from postloom.operators.retrieval import ranked
 
     counts = rows.groupBy(value).agg(F.count("*").alias("_c"))
     order = ranked(counts.withColumn("_neg", -F.col(value)), "_neg", value)
     bands = order.withColumn("_b", F.floor((F.col("rank") - 1) / 4096))
-    offsets = bands.groupBy("_b").agg(F.sum("_c").alias("_s")).withColumn("_o", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = bands.groupBy("_b").agg(F.sum("_c").alias("_s")).select("_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o"))  # a row for 4096 values
     within = F.sum("_c").over(Window.partitionBy("_b").orderBy("rank"))
-    means = bands.withColumn("_w", within).join(offsets.select("_b", "_o"), "_b").select(value, (F.col("_o") + F.col("_w") - (F.col("_c") - 1) / 2).alias(f"{value}_rank"))
-    return rows.join(means, value)
+    return bands.withColumn("_w", within).join(offsets, "_b").select(value, (F.col("_o") + F.col("_w") - (F.col("_c") - 1) / 2).alias(f"{value}_rank"))
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Pearson and Spearman correlation of two columns."""
-    r = average_rank(average_rank(rows, a), b)
+    r = rows.join(average_ranks(rows, a), a).join(average_ranks(rows, b), b)
     return r.agg(F.corr(a, b).alias("pearson"), F.corr(f"{a}_rank", f"{b}_rank").alias("spearman"))
 
 

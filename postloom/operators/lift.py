@@ -22,7 +22,10 @@ def cooccurrence(docs: DataFrame, keywords: list[str], top: int | None = None) -
     """keyword, word, n (in texts with the keyword), n_all and pct; all keywords in one pass over the texts."""
     lowered = docs.select(F.lower("text").alias("text"))
     hits = F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.col("text"), k))
-    words = lowered.select(hits.alias("hits"), F.explode(F.split("text", " ")).alias("word")).groupBy("word", "hits").agg(F.count("*").alias("n"))
+    each = F.split("text", " ")
+    # repeated for the words inside one expression, so that a text is searched once and not for each of its words
+    paired = F.arrays_zip(each.alias("word"), F.array_repeat(hits, F.size(each)).alias("hits"))
+    words = lowered.select(F.inline(paired).alias("word", "hits")).groupBy("word", "hits").agg(F.count("*").alias("n"))
     total = words.groupBy("word").agg(F.sum("n").alias("n_all"))
     near = words.select("word", "n", F.explode("hits").alias("keyword")).groupBy("keyword", "word").agg(F.sum("n").alias("n"))
     out = near.join(total, "word").select("keyword", "word", "n", "n_all", (F.col("n") / F.col("n_all")).alias("pct"))

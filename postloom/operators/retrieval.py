@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,7 +21,10 @@ def ranked(rows: DataFrame, score: str, tie: str, ranges: int = RANGES) -> DataF
     s = F.col(score).cast("double")
     found = rows.select(s.alias("s")).approxQuantile("s", [i / ranges for i in range(1, ranges)], 0.002)
     cuts, hot = sorted(set(found)), sorted({x for x in found if found.count(x) > 1})
-    above = F.lit(0) if not cuts else F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > s))
+    if cuts:
+        at = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_s", outputCol="_at", handleInvalid="keep")
+        rows = at.transform(rows.withColumn("_s", F.coalesce(s, F.lit(0.0)))).drop("_s")
+    above = len(cuts) - F.col("_at").cast("int") if cuts else F.lit(0)
     band = F.when(s.isNull(), F.lit(2 * len(cuts) + 2)).otherwise(2 * above + (s.isin(*hot).cast("int") if hot else F.lit(0)))
     part = F.lit(0)
     if hot and dict(rows.dtypes)[tie] in ("int", "bigint", "smallint", "tinyint", "double", "float"):
@@ -31,7 +35,7 @@ def ranked(rows: DataFrame, score: str, tie: str, ranges: int = RANGES) -> DataF
     before = Window.orderBy("_band", "_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_band", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_above"))
     within = Window.partitionBy("_band", "_part").orderBy(F.desc_nulls_last(score), tie)
-    return dealt.withColumn("rank", F.row_number().over(within).cast("long")).join(F.broadcast(offsets), ["_band", "_part"]).withColumn("rank", F.col("rank") + F.col("_above")).drop("_band", "_part", "_above")
+    return dealt.withColumn("rank", F.row_number().over(within).cast("long")).join(F.broadcast(offsets), ["_band", "_part"]).withColumn("rank", F.col("rank") + F.col("_above")).drop("_band", "_part", "_above", "_at")
 
 
 def dense_ranked(rows: DataFrame, score: str, ranges: int = RANGES) -> DataFrame:
