@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm import labelled
-from postloom.llm.base import U64, characters, lean, shared, text_chunks, with_empty_text
+from postloom.llm.base import U64, characters, distinct, lean, shared, text_chunks, with_empty_text
 
 ORDERS, BITS = (3, 4, 5, 6), 20
 #: Features kept: those in at least MIN_TEXTS training texts, of the largest ratios; and the prior count of a ratio.
@@ -57,7 +57,7 @@ def occurrences(data: np.ndarray, off: np.ndarray, index: np.ndarray | None) ->
             where = np.flatnonzero((feature >= 0) & valid)
             feature = feature[where].astype(np.int64)
         keys.append((text[where] << BITS) | feature)
-    both = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.int64)
+    both = distinct(np.concatenate(keys))
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
