@@ -66,7 +66,7 @@ def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
 def page_lines(page: str) -> list[tuple[str, int, int]]:
     """(text, characters of link text, element) of the page's lines in order; element is 1 in an article element, 0 elsewhere, -1 where no article can be.
 
-    A line that is -1 has no text: it marks the place of what was left out.
+    A line that is -1 has no text: it marks the place of what was left out, once for neighbours.
     """
     lines: list[tuple[str, int, int]] = []
     words: list[str] = []
@@ -117,7 +117,8 @@ def page_lines(page: str) -> list[tuple[str, int, int]]:
             if bad:
                 if not unwanted:
                     flush()
-                    lines.append(("", 0, -1))
+                    if not lines or lines[-1][2] != -1:
+                        lines.append(("", 0, -1))
                 unwanted += 1
                 stack.append((tag, True))
             elif tag in ARTICLE:
@@ -159,7 +160,7 @@ def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
             end = i
             while end < len(sums) and sums[end]:  # the dive
                 end += 1
-            while first and sizes[first - 1]:  # short lines just before the surge, such as a heading
+            while any(sizes[max(0, first - window) : first]):  # short lines before the surge, such as a heading
                 first -= 1
             spans.append((first, end))
             i = end

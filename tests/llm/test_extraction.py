@@ -43,3 +43,9 @@ def test_rows(spark):
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([(1, "u", "Hello there.", 12)] * 2 + [(2, None, "", 0), (None, "v", "", 0)], key=str)
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_short_lines_around_what_is_left_out_stay():
+    page = "<article><h1>T</h1><div class=ad>x</div><p>S.</p><p>" + WORDS + "</p>" + "<aside>a</aside><form>f</form><div class=adSlot>x</div>" * 3 + "<p>End.</p></article>"
+    assert main_text(page).split("\n") == ["T", "S.", WORDS.strip(), "End."]
+    assert main_text(page.replace("article>", "div>")).split("\n") == ["T", "S.", WORDS.strip(), "End."]
