@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from postloom.llm.base import U64, lean, mix, shared, text_chunks, word_hashes, words
 
 #: An item occurs where its edit distance in words is at most this share of its words; recall aimed at there; most walks.
-MAX_EDITS, RECALL, MOST_WALKS = 0.2, 0.98, 12
+MAX_EDITS, RECALL, MOST_WALKS = 0.2, 0.995, 24
 #: Items with fewer words take no part.
 LEAST_WORDS = 5
 #: (least words of an item, words of its windows, stride of the documents' windows, steps of a walk, sampled steps): any
