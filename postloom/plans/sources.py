@@ -136,10 +136,13 @@ def src_resume(spark, sf_dir):
 
 
 def _lines(spark, sf_dir):
-    """Raw lines: posts with and without places, and broken ones."""
-    where = F.when(F.col("event_id") % 3 == 0, F.struct(F.struct(F.col("event_id").cast("string").alias("id_str"), F.col("event_type").alias("location")).alias("user")))
-    body = F.when(F.col("event_id") % 11 == 0, F.lit('{"location":"broken')).otherwise(F.to_json(F.struct(F.col("event_id").cast("string").alias("id_str"), where["user"].alias("user"), F.when(F.col("event_id") % 4 == 0, F.struct(F.lit("p").alias("id"))).alias("place"))))
-    return _written(spark, table(spark, sf_dir, "events").select(body.alias("value")), "text")
+    """Raw lines: posts with and without users and places, and broken ones."""
+    post_id = F.col("event_id").cast("string")
+    user = F.when(F.col("event_id") % 3 == 0, F.struct(post_id.alias("id_str"), F.col("event_type").alias("location")))
+    place = F.when(F.col("event_id") % 4 == 0, F.struct(F.lit("p").alias("id")))
+    post = F.to_json(F.struct(post_id.alias("id_str"), user.alias("user"), place.alias("place")))
+    line = F.when(F.col("event_id") % 11 == 0, F.lit('{"location":"broken')).otherwise(post)
+    return _written(spark, table(spark, sf_dir, "events").select(line.alias("value")), "text")
 
 
 @query("SELECT CAST(event_id AS VARCHAR) AS id_str, event_type AS location FROM events WHERE event_id % 3 = 0 AND event_id % 11 <> 0")
