@@ -81,9 +81,10 @@ def kendall(rows: DataFrame, a: str, b: str, block: int = 2048) -> DataFrame:
                 total = float((np.sign(a1[:, None] - a2) * np.sign(b1[:, None] - b2)).sum())
                 yield pd.DataFrame({"s": [total / 2 if r.i == r.j else total]})
 
-    total = pairs.mapInPandas(agree, "s double").agg(F.sum("s").alias("s"), F.lit(1).alias("_k"))
-    mse = both.agg(F.avg(F.pow(F.col("a") - F.col("b"), 2)).alias("mse"), F.count("*").alias("n"), F.lit(1).alias("_k"))
-    return total.join(mse, "_k").select((2 * F.col("s") / (F.col("n") * (F.col("n") - 1))).alias("tau"), "mse")
+    total = pairs.mapInPandas(agree, "s double").select("s", F.lit(None).cast("double").alias("d"))
+    apart = both.select(F.lit(None).cast("double").alias("s"), F.pow(F.col("a") - F.col("b"), 2).alias("d"))
+    n = F.count("d")
+    return total.unionByName(apart).agg((2 * F.sum("s") / (n * (n - 1))).alias("tau"), F.avg("d").alias("mse"))
 
 
 def bootstrap_means(rows: DataFrame, key: str, value: str, rounds: int) -> DataFrame:
