@@ -190,7 +190,7 @@ def ml_training(spark, sf_dir):
     return spark.createDataFrame([(area,)], "auroc double")
 
 
-@query("SELECT c_custkey AS user_id, (length(c_name) % 2) * 1.0 AS is_org, 1.0 / (1 + length(c_mktsegment)) AS age_score FROM customer WHERE c_custkey NOT IN (SELECT doc_id FROM labels)")
+@query("SELECT c_custkey AS user_id, CAST(length(c_name) % 2 AS DOUBLE) AS is_org, 1.0 / CAST(1 + length(c_mktsegment) AS DOUBLE) AS age_score FROM customer WHERE c_custkey NOT IN (SELECT doc_id FROM labels)")
 def ml_demographics(spark, sf_dir):
     """Profiles without a prediction yet, scored in batches by a stand-in model from name and description."""
     import pandas as pd
