@@ -124,6 +124,17 @@ def agg_kendall_mse(spark, sf_dir):
     return evaluation.kendall(runs, "a", "b").select(F.round("tau", 9).alias("tau"), F.round("mse", 1).alias("mse"))
 
 
+@query("""
+WITH r AS (SELECT o_custkey, min(o_totalprice) AS a, max(o_totalprice) AS b FROM orders GROUP BY o_custkey),
+     p AS (SELECT sum(sign((x.a - y.a) * (x.b - y.b))) AS s FROM r x JOIN r y ON x.o_custkey < y.o_custkey)
+SELECT round(2 * s / (count(*) * (count(*) - 1.0)), 9) AS tau, round(avg(pow(a - b, 2)), 1) AS mse FROM r, p GROUP BY s
+""")
+def agg_kendall_mse_whole(spark, sf_dir):
+    """agg_kendall_mse over all customers."""
+    runs = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_totalprice").alias("a"), F.max("o_totalprice").alias("b"))
+    return evaluation.kendall(runs, "a", "b").select(F.round("tau", 9).alias("tau"), F.round("mse", 1).alias("mse"))
+
+
 @query()
 def ml_logreg_platt(spark, sf_dir):
     """A one-feature logistic fit for each language: quality on the logarithm of the length."""

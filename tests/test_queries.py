@@ -27,3 +27,13 @@ def test_entry(spark, data):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(SQL) <= set(__spark_entry__.oracle_sql())
+
+
+def test_kendall_whole_takes_all_customers(spark, tmp_path):
+    """Customers over the subset's bound count as well."""
+    prices = [(k, float(v)) for k, pair in ((1, (1, 9)), (150, (2, 8)), (400, (3, 20)), (9000, (4, 1)), (90000, (5, 30))) for v in pair]
+    spark.createDataFrame(prices, "o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    runs = [(1, 9), (2, 8), (3, 20), (1, 4), (5, 30)]
+    signs = [((a > c) - (a < c)) * ((b > d) - (b < d)) for i, (a, b) in enumerate(runs) for c, d in runs[:i]]
+    got = registry.queries()["agg_kendall_mse_whole"](spark, str(tmp_path)).first()
+    assert got.tau == round(2 * sum(signs) / 20, 9) and got.mse == round(sum((a - b) ** 2 for a, b in runs) / 5, 1)
