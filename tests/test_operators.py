@@ -103,6 +103,27 @@ def test_communities_are_greedy(spark):
     assert set(rows(vectors.communities(df, "id", "v", 0.9, 3))) == want
 
 
+def test_communities_of_many_rounds(spark, monkeypatch):
+    """A chain in which each community waits for the one before: as many rounds as communities."""
+    n = 53  # hub k has n + 2 - k leaves of its own, and one leaf shared with hub k + 1
+    edges = [(1000 * k, 1000 * k + j) for k in range(n) for j in range(1, n + 3 - k)] + [(1000 * (k + 1), 1000 * k + 1) for k in range(n - 1)]
+    ids = sorted({x for e in edges for x in e})
+    pairs = spark.createDataFrame([(min(e), max(e)) for e in edges], "a long, b long").coalesce(1).cache()
+    monkeypatch.setattr(vectors, "similar_pairs", lambda *_: pairs)
+    got = rows(vectors.communities(spark.createDataFrame([(i,) for i in ids], "id long"), "id", "v", 0.9, 3))
+    near = {i: {i} for i in ids}
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    want = set()
+    while any(len(x) >= 3 for x in near.values()):
+        best = max(near, key=lambda i: (len(near[i]), -i))
+        gone = near[best]
+        want |= {(best, j) for j in gone}
+        near = {i: x - gone for i, x in near.items() if i not in gone}
+    assert set(got) == want and len({c for c, _ in got}) == n
+
+
 def test_corrupt_and_marked_lines(spark, tmp_path):
     path = str(tmp_path / "lines")
     spark.createDataFrame([('{"id": 1, "place":{"x": 1}}',), ('{"id": 2}',), ('{"place":{broken',)], "value string").write.text(path)
