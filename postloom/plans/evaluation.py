@@ -114,6 +114,23 @@ def agg_run_compare(spark, sf_dir):
     return wide.select("user_id", F.round("view", 6).alias("view"), F.round("click", 6).alias("click"), F.col("dense_rank").alias("view_rank"))
 
 
+@query("""
+WITH r AS (SELECT user_id, event_type, avg(value) AS m, stddev_samp(value) AS s FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL),
+     w AS (SELECT user_id, max(m) FILTER (event_type = 'view') AS view, max(m) FILTER (event_type = 'click') AS click, max(s) FILTER (event_type = 'view') AS view_std, max(s) FILTER (event_type = 'click') AS click_std FROM r GROUP BY user_id)
+SELECT user_id, round(view, 6) AS view, round(click, 6) AS click, round(view_std, 6) AS view_std, round(click_std, 6) AS click_std, CAST(dense_rank() OVER (ORDER BY view DESC) AS BIGINT) AS view_rank FROM w WHERE view IS NOT NULL
+""")
+def agg_run_compare_whole(spark, sf_dir):
+    """agg_run_compare over all users, with the standard deviation of each run (null for one event)."""
+    from postloom.operators.retrieval import dense_ranked
+
+    mean, std = F.avg("value"), F.stddev_samp("value")
+    events = table(spark, sf_dir, "events").filter("event_type IN ('view', 'click')")
+    runs = events.groupBy("user_id").pivot("event_type", ["view", "click"]).agg(mean.alias("m"), std.alias("s"))
+    wide = dense_ranked(runs.filter("view_m IS NOT NULL"), "view_m")
+    values = {"view": "view_m", "click": "click_m", "view_std": "view_s", "click_std": "click_s"}
+    return wide.select("user_id", *(F.round(c, 6).alias(k) for k, c in values.items()), F.col("dense_rank").alias("view_rank"))
+
+
 @query("""
 WITH r AS (SELECT o_custkey, min(o_totalprice) AS a, max(o_totalprice) AS b, count(*) AS n FROM orders WHERE o_custkey < 200 GROUP BY o_custkey),
      p AS (SELECT sum(sign((x.a - y.a) * (x.b - y.b))) AS s FROM r x JOIN r y ON x.o_custkey < y.o_custkey)
