@@ -176,3 +176,27 @@ def test_decontamination(spark):
     several = decontaminate.find(df, bench, pass_bytes=2000)
     assert Counter((r.doc_id, r.item_id) for r in several.collect() if r.distance == 0) == Counter({(a, b): n for (a, b, d), n in got.items() if d == 0})
     assert decontaminate.find(df.limit(0), bench).count() == 0 and decontaminate.find(df, bench.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kinds", [(0, 1, 2), (2,)])
+@pytest.mark.parametrize("n", [8, 10, 15, 16, 18, 20, 22, 30])
+def test_short_items_with_all_allowed_edits_are_found(n, kinds):
+    rng = np.random.default_rng(n)
+    items = [" ".join(f"w{x}" for x in rng.integers(0, 5000, n)) for _ in range(300)]
+    model = decontaminate.build(list(range(300)), items)
+    hits = 0
+    for i, item in enumerate(items):
+        words = item.split()
+        for at in sorted(rng.permutation(n)[: n // 5].tolist(), reverse=True):
+            kind = kinds[int(rng.integers(len(kinds)))]
+            words[at : at + (kind != 1)] = [] if kind == 2 else ["new"]
+        before, after = ([f"x{x}" for x in rng.integers(0, 5000, k)] for k in (int(rng.integers(9)), 20))
+        hashes = decontaminate.hashes_of([" ".join([*before, *words, *after])])[0]
+        filters = [[np.unpackbits(x).view(bool) for x in t.filters] for t in model.tables]
+        hits += (0, i) in decontaminate.search(model, hashes, np.array([0, len(hashes)]), filters)
+    assert hits >= 0.985 * 300
+
+
+def test_missed_recall_is_an_error():
+    with pytest.raises(ValueError):
+        decontaminate.build([1], [" ".join(f"w{x}" for x in range(15))], most=1)
