@@ -1,9 +1,11 @@
 """Language-model scores by class-based n-grams.
 
 Words that are frequent, and the endings of all others, are assigned to classes by exchange clustering: each is moved to
-the class that most raises the mutual information of neighbouring classes, until few move. The log-probability of a text
-is the sum over its tokens of the class-transition and the word-emission probability. Word counts of the whole training
-text stay in a table; only the most frequent words, a fixed number, are broadcast, and other words of a text are joined.
+the class that most raises the mutual information of neighbouring classes, until few move. Every further word of the
+training text is then moved once more, by the counts of its own neighbours' classes, so that only words it doesn't hold
+have the class of their ending; transitions are counted over the classes of all words. The log-probability of a text is
+the sum over its tokens of the class-transition and the word-emission probability. Counts and classes of words stay in a
+table; only those of the most frequent words, a fixed number, are broadcast, and other words of a text are joined.
 """
 
 from __future__ import annotations
@@ -64,6 +66,7 @@ class Items:
     counts: np.ndarray
     clustered: int
     endings: list[bytes]
+    each: bool = False  # frequent words beyond the clustered ones have items of their own, after ``rest``
 
     def __post_init__(self):
         self.index = {w: i for i, w in enumerate(self.words)}
@@ -71,10 +74,12 @@ class Items:
         self.rest = 1 + self.clustered + len(self.endings)
         self.ending = ending
         self.item = np.array([1 + i if i < self.clustered else ending.get(w[-ENDING:], self.rest) for i, w in enumerate(self.words)], np.int64)
+        if self.each:
+            self.item[self.clustered :] = self.rest + 1 + np.arange(len(self.words) - self.clustered)
         self.logs = np.log10(self.counts + 1.0)
 
     def __reduce__(self):  # only what the rest is made from is sent
-        return Items, (self.words, self.counts, self.clustered, self.endings)
+        return Items, (self.words, self.counts, self.clustered, self.endings, self.each)
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Frequent-word numbers (or -1) and items."""
@@ -160,6 +165,103 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
     return group
 
 
+#: A count of neighbours of one class: before a word, or after it (``classes`` more).
+CONTEXT = np.dtype([("code", "<u2"), ("n", "<u4")])
+
+
+def _contexts(model, classes: int):
+    """word, and its CONTEXT counts as bytes, of the words that aren't clustered."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, group = model.value
+        others: dict[bytes, int] = {}
+        parts: list[np.ndarray] = []
+        held = 0
+
+        def drain() -> pa.RecordBatch:
+            keys, times = np.unique(np.concatenate(parts), return_counts=True)
+            found = np.empty(len(keys), CONTEXT)
+            found["code"], found["n"] = keys % (2 * classes), times
+            number = keys // (2 * classes)
+            cuts = np.flatnonzero(np.append(True, number[1:] != number[:-1])).tolist()
+            names = items.words + list(others)
+            words = [names[i] for i in number[cuts].tolist()]
+            counts = [found[i:j].tobytes() for i, j in zip(cuts, [*cuts[1:], len(keys)], strict=True)]
+            parts.clear()
+            others.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.binary())], names=["word", "counts"])
+
+        for batch in batches:
+            for _, words in tokens(batch.column(0)):
+                number, item = items.of(words)
+                for k in np.flatnonzero(number < 0).tolist():
+                    number[k] = len(items.words) + others.setdefault(words[k], len(others))
+                path = np.zeros(len(words) + 2, np.int64)
+                path[1:-1] = group[item]
+                at = np.flatnonzero(number >= items.clustered)
+                if len(at):
+                    parts.append(np.concatenate([number[at] * 2 * classes + path[at], (number[at] * 2 + 1) * classes + path[at + 2]]))
+                    held += 2 * len(at)
+                if held > 4_000_000:
+                    yield drain()
+                    held = 0
+        if parts:
+            yield drain()
+
+    return run
+
+
+def assign(owner: np.ndarray, code: np.ndarray, n: np.ndarray, now: np.ndarray, joint: np.ndarray) -> np.ndarray:
+    """The best class of each word, from counts of its neighbours' classes (owner rising, all words there), as in an exchange.
+
+    ``now``: the class in which ``joint`` counts the word so far; the word is taken out of it first.
+    """
+    classes, words, at = len(joint), len(now), np.arange(len(n))
+    table = np.concatenate([joint, joint.T])  # by code: the neighbour's class, then the word's
+    base = table[code]
+    low = _xlogx(table)[code]
+    base[at, now[owner]] = np.maximum(base[at, now[owner]] - n, 0)
+    low[at, now[owner]] = _xlogx(base[at, now[owner]])
+    first = np.searchsorted(owner, np.arange(words))
+    gain = np.add.reduceat(_xlogx(base + n[:, None]) - low, first)
+    both = np.zeros((2, words, classes))
+    both[code // classes, owner, code % classes] = n
+    i, b = np.nonzero((both[0] > 0) & (both[1] > 0))  # neighbours on both sides meet in a class's transition to itself
+    left, right, own, same = both[0][i, b], both[1][i, b], joint[b, b], now[i] == b
+    whole, less_left, less_right = (np.maximum(own - same * x, 0) for x in (left + right, left, right))
+    gain[i, b] += _xlogx(whole + left + right) - _xlogx(whole) - _xlogx(less_left + left) + _xlogx(less_left) - _xlogx(less_right + right) + _xlogx(less_right)
+    total = both[0].sum(1)
+    for sums in (joint.sum(1), joint.sum(0)):
+        rest = np.repeat(sums[None], words, 0)
+        rest[np.arange(words), now] = np.maximum(rest[np.arange(words), now] - total, 0)
+        gain -= _xlogx(rest + total[:, None]) - _xlogx(rest)
+    gain[:, 0] = -np.inf
+    return gain.argmax(1)
+
+
+def _assign(model, joint, chunk: int = 1000):
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (items, group), sums = model.value, joint.value
+        classes = len(sums)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, chunk):
+                words, lists = (batch.column(k).slice(lo, chunk).to_pylist() for k in (0, 1))
+                parts = [b"".join(x) for x in lists]
+                found = np.frombuffer(b"".join(parts), CONTEXT)
+                owner = np.repeat(np.arange(len(words)), [len(p) // CONTEXT.itemsize for p in parts])
+                keys, which = np.unique(owner * 2 * classes + found["code"], return_inverse=True)
+                n = np.bincount(which, found["n"])
+                owner, code = keys // (2 * classes), keys % (2 * classes)
+                now = group[[items.ending.get(w[-ENDING:], items.rest) for w in words]]
+                best = assign(owner, code, n, now, sums)
+                times = np.bincount(owner, n * (code < classes)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(times), pa.array(best.astype(np.int64))], names=["word", "n", "class"])
+
+    return run
+
+
 @dataclass
 class Model:
     items: Items
@@ -172,21 +274,64 @@ class Model:
     base_only: bool
 
 
-def _scores(model):
+def _paths(model):
+    """The classes of a text's tokens as bytes, with their counts; the last column has class and count of its rare words."""
+
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = model.value
+        items, group = model.value
         for batch in batches:
-            out = np.zeros((batch.num_rows, 5))  # tokens, known, sum of log10(c + 1) without and with the end, path
-            for k, words in tokens(batch.column(batch.num_columns - 1)):
-                number, item = m.items.of(words)
-                path = np.zeros(len(words) + 2, np.int64)
-                path[1:-1] = m.group[item]
+            out, paths = np.zeros((batch.num_rows, 3)), []
+            rare = batch.column(batch.num_columns - 1)
+            for k, words in tokens(batch.column(batch.num_columns - 2)):
+                number, item = items.of(words)
+                path = group[item]
                 known = number >= 0
-                emitted = m.items.logs[number[known]].sum()
-                out[k] = len(words) + 1, known.sum() + (m.train_tokens > 0), emitted, emitted + m.end_log, m.step[path[:-1], path[1:]].sum() - m.room[path[1:]].sum()
-            names = ["n_tokens", "n_known", "emitted", "based", "path"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(out[:, i].astype(np.int64) if i < 2 else out[:, i]) for i in range(5))], names=[*batch.schema.names[:-1], *names])
+                emitted = items.logs[number[known]].sum()
+                met = {r["word"]: (r["class"], r["n"]) for r in rare[k].as_py() or ()}
+                if met:
+                    for i in np.flatnonzero(~known).tolist():
+                        if words[i] in met:
+                            path[i], n = met[words[i]]
+                            emitted += np.log10(n + 1.0)
+                            known[i] = True
+                out[k] = len(words) + 1, known.sum(), emitted
+                paths.append(path.astype("<u2").tobytes())
+            columns = [pa.array(out[:, 0].astype(np.int64)), pa.array(out[:, 1].astype(np.int64)), pa.array(out[:, 2]), pa.array(paths, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *columns], names=[*batch.schema.names[:-2], "n_tokens", "n_known", "emitted", "path"])
+
+    return run
+
+
+def _whole(path: bytes) -> np.ndarray:
+    """With the text's end, class 0, on both sides."""
+    return np.concatenate([[0], np.frombuffer(path, "<u2"), [0]]).astype(np.int64)
+
+
+def _steps(classes: int):
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                whole = _whole(path)
+                seen += np.bincount(whole[:-1] * classes + whole[1:], minlength=classes * classes)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["pair", "n"])
+
+    return run
+
+
+def _scores(sums):
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, room = sums.value
+        for batch in batches:
+            out = []
+            for path in batch.column(batch.num_columns - 1).to_pylist():
+                whole = _whole(path)
+                out.append(step[whole[:-1], whole[1:]].sum() - room[whole[1:]].sum())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], names=[*batch.schema.names[:-1], "path"])
 
     return run
 
@@ -196,14 +341,14 @@ def _rare(items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = items.value.index
         for batch in batches:
-            rows, words, times = [], [], []
+            rows, words = [], []
             for k, found in tokens(batch.column(2)):
-                for w, n in Counter(w for w in found if w not in index).items():
-                    rows.append(k)
-                    words.append(w)
-                    times.append(n)
+                for w in set(found):
+                    if w not in index:
+                        rows.append(k)
+                        words.append(w)
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(words, pa.binary()), pa.array(times, pa.int64())], names=["doc_id", "h", "word", "times"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(words, pa.binary())], names=["doc_id", "h", "word"])
 
     return run
 
@@ -221,24 +366,20 @@ def least_frequent(counts: DataFrame, frequent: int) -> int:
     return least
 
 
-def learn(training: DataFrame, counts: DataFrame, least: int, *, clustered: int = CLUSTERED, endings: int = ENDINGS, classes: int = CLASSES, rounds: int = ROUNDS) -> Model:
-    """Classes and their statistics; ``counts``: (word, n) of the whole training text; words of ``least`` or more are broadcast."""
+def cluster(training: DataFrame, counts: DataFrame, least: int, *, clustered: int = CLUSTERED, endings: int = ENDINGS, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[Items, np.ndarray, DataFrame]:
+    """Items and their classes, and (word, n, class) of all words that aren't clustered; words of ``least`` or more are broadcast."""
     spark = training.sparkSession
-    texts = training.count()
-    whole = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    n, v = int(whole.n or 0) + texts, int(whole.v) + (texts > 0)
     top = counts.filter(F.col("n") >= least).toArrow()  # at most ``frequent`` rows
     number = top.column("n").to_numpy()
     order = np.lexsort((np.array(top.column("word").to_pylist(), object), -number)) if len(number) else np.empty(0, np.int64)
     words, number = top.column("word").take(pa.array(order)).to_pylist(), number[order]
     clustered = min(clustered, len(words))
     tails = counts.join(F.broadcast(spark.createDataFrame([(w,) for w in words[:clustered]], "word binary")), "word", "left_anti")
-    tails = tails.groupBy(F.substring("word", -ENDING, ENDING).alias("e")).agg(F.sum("n").alias("n"), F.count("*").alias("v"))
+    tails = tails.groupBy(F.substring("word", -ENDING, ENDING).alias("e")).agg(F.sum("n").alias("n"))
     ends = tails.orderBy(F.desc("n"), "e").limit(endings).collect()
     items = Items(words, number, clustered, [bytes(r.e) for r in ends])
     size = items.rest + 1
-    shared_items = shared(spark, items)
-    found = training.select("text").mapInArrow(_bigrams(shared_items), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # (items + 1) ** 2 rows at most
+    found = training.select("text").mapInArrow(_bigrams(shared(spark, items)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # (items + 1) ** 2 rows at most
     pairs = np.zeros(size * size)
     pairs[found.column("pair").to_numpy()] = found.column("n").to_numpy()
     del found
@@ -246,19 +387,51 @@ def learn(training: DataFrame, counts: DataFrame, least: int, *, clustered: int
     group = exchange(pairs, classes, rounds)
     one = np.zeros((size, classes))
     one[np.arange(size), group] = 1
-    joint = one.T @ pairs @ one
+    first = shared(spark, (items, group))
+    contexts = training.select("text").mapInArrow(_contexts(first, classes), "word binary, counts binary").groupBy("word").agg(F.collect_list("counts").alias("counts"))
+    assigned = checkpoint(contexts.mapInArrow(_assign(first, shared(spark, one.T @ pairs @ one)), "word binary, n long, class long"))
+    own = assigned.filter(F.col("n") >= least).select("word", "class").toArrow()  # at most ``frequent`` rows
+    place = dict(zip(own.column("word").to_pylist(), own.column("class").to_pylist(), strict=True))
+    group = np.concatenate([group, np.array([place[w] for w in words[clustered:]], np.int64)])
+    return Items(words, number, clustered, items.endings, True), group, assigned
+
+
+def class_paths(rows: DataFrame, items: Items, group: np.ndarray, assigned: DataFrame, least: int) -> DataFrame:
+    """doc_id, held_out, training, n_tokens, n_known, emitted and path of rows of doc_id, h (hash of the text), held_out, training and text."""
+    spark = rows.sparkSession
+    rare = rows.select("doc_id", "h", "text").mapInArrow(_rare(shared(spark, items)), "doc_id long, h long, word binary")
+    met = rare.join(assigned.filter(F.col("n") < least), "word").groupBy("doc_id", "h").agg(F.collect_set(F.struct("word", "n", "class")).alias("rare")).select(F.col("doc_id").alias("d"), F.col("h").alias("k"), "rare")
+    both = rows.join(met, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["h"] == F.col("k")), "left").select("doc_id", "held_out", "training", "text", "rare")
+    return both.mapInArrow(_paths(shared(spark, (items, group))), "doc_id long, held_out boolean, training boolean, n_tokens long, n_known long, emitted double, path binary")
+
+
+def finish(items: Items, group: np.ndarray, assigned: DataFrame, training: DataFrame, counts: DataFrame, paths: DataFrame, classes: int) -> Model:
+    """Statistics of the classes over all words."""
+    texts = training.count()
+    whole = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    n, v = int(whole.n or 0) + texts, int(whole.v) + (texts > 0)
+    found = paths.filter("training").select("path").mapInArrow(_steps(classes), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # classes ** 2 rows at most
+    joint = np.zeros(classes * classes)
+    joint[[r.pair for r in found]] = [r.n for r in found]
+    joint = joint.reshape(classes, classes)
     share = (joint.sum(0) + 1) / (joint.sum() + classes)
     step = np.log10((joint + SMOOTH * share) / (joint.sum(1, keepdims=True) + SMOOTH))
-    amount = np.zeros((size, 2))  # tokens and distinct words of each item
-    amount[1 : clustered + 1] = np.column_stack([number[:clustered], np.ones(clustered)])
-    amount[clustered + 1 : items.rest] = [(r.n, r.v) for r in ends] or np.zeros((0, 2))
-    amount[items.rest] = n - texts - amount[:, 0].sum(), v - (texts > 0) - amount[:, 1].sum()
-    room = np.log10(one.T @ amount.sum(1) + 1)
+    amount = np.bincount(group[1 : items.clustered + 1], items.counts[: items.clustered] + 1.0, classes)
+    for r in assigned.groupBy("class").agg((F.sum("n") + F.count("*")).alias("n")).collect():  # a row for each class
+        amount[r["class"]] += r.n
+    room = np.log10(amount + 1)
     room[0] = 0
     return Model(items, group, step, room, float(np.log10(n + v + 1)), float(np.log10(texts + 1)), n, texts == 0)
 
 
-def score(docs: DataFrame, *, frequent: int = FREQUENT, **parameters) -> DataFrame:
+def learn(training: DataFrame, counts: DataFrame, least: int, *, classes: int = CLASSES, **parameters) -> Model:
+    """Classes and their statistics; ``counts``: (word, n) of the whole training text; words of ``least`` or more are broadcast."""
+    items, group, assigned = cluster(training, counts, least, classes=classes, **parameters)
+    rows = training.select(F.lit(None).cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.lit(False).alias("held_out"), F.lit(True).alias("training"), "text")
+    return finish(items, group, assigned, training, counts, class_paths(rows, items, group, assigned, least), classes)
+
+
+def score(docs: DataFrame, *, frequent: int = FREQUENT, classes: int = CLASSES, **parameters) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text.
 
     Learned from the rows that aren't held out (rows without id are neither held out nor learned from). Null and empty
@@ -266,17 +439,15 @@ def score(docs: DataFrame, *, frequent: int = FREQUENT, **parameters) -> DataFra
     often as they come and keep their rows; other columns are left out.
     """
     remainder = crc_mod("doc_id", FOLDS)
-    rows = with_empty_text(docs, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder == HELD_OUT, F.lit(False)).alias("held_out"), (remainder != HELD_OUT).alias("training"))
+    rows = with_empty_text(docs, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder == HELD_OUT, F.lit(False)).alias("held_out"), F.coalesce(remainder != HELD_OUT, F.lit(False)).alias("training"))
     training = rows.filter("training")
     counts = checkpoint(training.select("text").mapInArrow(_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     least = least_frequent(counts, frequent)
-    model = learn(training, counts, least, **parameters)
-    keyed = rows.select("doc_id", F.xxhash64("text").alias("h"), "held_out", "text")
-    own = keyed.mapInArrow(_scores(shared(docs.sparkSession, model)), "doc_id long, h long, held_out boolean, n_tokens long, n_known long, emitted double, based double, path double")
-    rare = keyed.select("doc_id", "h", "text").mapInArrow(_rare(shared(docs.sparkSession, model.items)), "doc_id long, h long, word binary, times long")
-    met = rare.join(counts.filter(F.col("n") < least), "word").groupBy("doc_id", "h").agg(F.sum("times").alias("met"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("logs"))
-    copies = keyed.groupBy("doc_id", "h").agg(F.count("*").alias("copies"))
-    met = met.join(copies, met["doc_id"].eqNullSafe(copies["doc_id"]) & (met["h"] == copies["h"])).select(met["doc_id"].alias("d"), met["h"].alias("k"), (F.col("met") / F.col("copies")).cast("long").alias("met"), (F.col("logs") / F.col("copies")).alias("logs"))
-    both = own.join(met, own["doc_id"].eqNullSafe(F.col("d")) & (own["h"] == F.col("k")), "left").withColumns({"met": F.coalesce("met", F.lit(0)), "logs": F.coalesce("logs", F.lit(0.0))})
-    base = F.col("based") + F.col("logs") - F.col("n_tokens") * F.lit(model.base_room)
-    return both.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("met")).alias("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (base if model.base_only else F.col("emitted") + F.col("logs") + F.col("path")).alias("score"))
+    items, group, assigned = cluster(training, counts, least, classes=classes, **parameters)
+    keyed = rows.select("doc_id", F.xxhash64("text").alias("h"), "held_out", "training", "text")
+    paths = checkpoint(class_paths(keyed, items, group, assigned, least))
+    m = finish(items, group, assigned, training, counts, paths, classes)
+    own = paths.drop("training").mapInArrow(_scores(shared(docs.sparkSession, (m.step, m.room))), "doc_id long, held_out boolean, n_tokens long, n_known long, emitted double, path double")
+    base = F.col("emitted") + F.lit(m.end_log) - F.col("n_tokens") * F.lit(m.base_room)
+    known = F.col("n_known") + F.lit(int(m.train_tokens > 0))
+    return own.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(m.train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (base if m.base_only else F.col("emitted") + F.col("path")).alias("score"))

@@ -74,3 +74,20 @@ def test_nothing_to_learn(spark):
     only = next(i for i in range(100) if held(i))
     r = brown.score(spark.createDataFrame([(only, "a b", "x", 1)], SCHEMA)).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3, 0, 0, 0.0, 0.0)
+
+
+def test_further_words_get_the_class_of_their_neighbours(spark):
+    """Words beyond the clustered ones, also those that aren't broadcast, all of one ending, are told apart."""
+    rng = np.random.default_rng(4)
+    left, right = [f"l{x}end" for x in range(8)], [f"r{x}end" for x in range(8)]
+    share = np.array([0.3, 0.3, *[0.4 / 6] * 6])  # the first two are clustered
+    texts = [" ".join(w for _ in range(10) for w in ("aa", rng.choice(left, p=share), "bb", rng.choice(right, p=share))) for _ in range(60)]
+    training = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = Counter(w for t in texts for w in t.encode().split())
+    counts = spark.createDataFrame(list(found.items()), "word binary, n long")
+    least = sorted(found.values())[-8]
+    _, _, assigned = brown.cluster(training, counts, least, clustered=6, endings=1, classes=6)
+    place = {bytes(r.word): (r["class"], r.n) for r in assigned.collect()}
+    assert {w: n for w, (_, n) in place.items()} == {w: n for w, n in found.items() if w[:2] not in (b"aa", b"bb", b"l0", b"l1", b"r0", b"r1")}
+    one, two = ({place[w.encode()][0] for w in side[2:]} for side in (left, right))
+    assert len(one) == len(two) == 1 and one != two
