@@ -87,15 +87,26 @@ def fraction_sample(rows: DataFrame, key: str, fractions: dict | float, by: str
 def greedy_motifs(motifs: DataFrame, most: int = 5, look: int = 500) -> list[str]:
     """Motifs (motif, lift) by falling lift, none of which shares a token with one taken before or repeats one.
 
-    The choice is a chain of decisions; only the ``look`` best motifs are brought to the driver for it.
+    The choice is a chain of decisions, made on the driver over ``look`` motifs at a time; motifs that share a token with
+    one taken are left out before the next ones are brought.
     """
     taken: list[str] = []
     used: set[str] = set()
-    for row in motifs.orderBy(F.desc("lift"), "motif").limit(look).collect():
-        tokens = row.motif.split(" ")
-        if len(set(tokens)) == len(tokens) and not used & set(tokens):
-            taken.append(row.motif)
-            used |= set(tokens)
-        if len(taken) == most:
-            break
-    return taken
+    rest = motifs
+    while True:
+        found = rest.orderBy(F.desc("lift"), "motif").limit(look).collect()
+        for row in found:
+            tokens = row.motif.split(" ")
+            if len(set(tokens)) == len(tokens) and not used & set(tokens):
+                taken.append(row.motif)
+                used |= set(tokens)
+            if len(taken) == most:
+                return taken
+        if len(found) < look:
+            return taken
+        last, tokens = found[-1], F.split("motif", " ")
+        behind = F.col("lift").eqNullSafe(F.lit(last.lift)) & (F.col("motif") > last.motif)
+        if last.lift is not None:
+            behind |= F.col("lift").isNull() | (F.col("lift") < last.lift)
+        free = ~F.arrays_overlap(tokens, F.array(*map(F.lit, sorted(used))).cast("array<string>")) & (F.size(F.array_distinct(tokens)) == F.size(tokens))
+        rest = motifs.filter(behind & free)

@@ -124,6 +124,12 @@ def test_communities_of_many_rounds(spark, monkeypatch):
     assert set(got) == want and len({c for c, _ in got}) == n
 
 
+def test_motifs_beyond_the_first_slice(spark):
+    data = [(f"the w{i}", float(100 - i)) for i in range(20)] + [("a b", 5.0), ("b c", 5.0), ("c d", 4.0), ("x x", 3.0), ("y z", None), ("z q", None), ("k l", None)]
+    df = spark.createDataFrame(data, "motif string, lift double")
+    assert retrieval.greedy_motifs(df, 5, 3) == ["the w0", "a b", "c d", "k l", "y z"]
+
+
 def test_corrupt_and_marked_lines(spark, tmp_path):
     path = str(tmp_path / "lines")
     spark.createDataFrame([('{"id": 1, "place":{"x": 1}}',), ('{"id": 2}',), ('{"place":{broken',)], "value string").write.text(path)
