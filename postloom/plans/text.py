@@ -269,6 +269,15 @@ def kw_sentence_flag(spark, sf_dir):
     return contains_any(docs, sentences.select(F.substring("text", 1, 60).alias("sentence"))).select("doc_id", F.col("found").cast("int").alias("has_sentence"))
 
 
+@query("SELECT d.doc_id, CAST(count(b.item_id) > 0 AS INTEGER) AS has_sentence FROM documents d LEFT JOIN benchmark b ON contains(d.text, b.text) GROUP BY d.doc_id")
+def kw_sentence_flag_whole(spark, sf_dir):
+    """kw_sentence_flag with sentences of any length."""
+    from postloom.operators.match import contains_any
+
+    docs, sentences = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return contains_any(docs, sentences.select(F.col("text").alias("sentence"))).select("doc_id", F.col("found").cast("int").alias("has_sentence"))
+
+
 @query(r"""
 SELECT avg(CAST(regexp_matches(text, 'ing\b') AS INTEGER)) AS share_class, avg(CAST(regexp_matches(text, 'ing\b|tion\b') AS INTEGER)) AS share_all
 FROM (SELECT text FROM documents ORDER BY n_chars DESC, doc_id LIMIT 200)

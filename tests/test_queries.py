@@ -45,3 +45,11 @@ def test_run_compare_whole_has_all_users_and_deviations(spark, tmp_path):
     got = {r.user_id: r for r in registry.queries()["agg_run_compare_whole"](spark, str(tmp_path)).collect()}
     assert {k: (r.view, r.click, r.view_rank) for k, r in got.items()} == {7: (2.0, 5.0, 2), 40: (4.0, None, 1), 900: (2.0, 2.5, 2)}
     assert (got[7].view_std, got[7].click_std, got[900].click_std) == (round(2**0.5, 6), None, round(4.5**0.5, 6))
+
+
+def test_sentence_flag_whole_needs_the_whole_sentence(spark, tmp_path):
+    sentence = " ".join(f"word{i}" for i in range(20))
+    spark.createDataFrame([(1, f"so {sentence} on"), (2, sentence[:60] + " other words")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, sentence)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = registry.queries()["kw_sentence_flag_whole"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.has_sentence for r in got} == {1: 1, 2: 0}
