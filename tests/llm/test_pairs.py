@@ -96,7 +96,74 @@ def test_near_duplicates(spark, monkeypatch):
 
 def test_depth_reaches_the_recall():
     k = jaccard.prefix_depth()
-    assert 1 - (1 - 0.8**k) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (k + 1)) ** jaccard.TREES
+    assert jaccard.chance(0.8, k) >= jaccard.RECALL > jaccard.chance(0.8, k + 1)
+
+
+def paths_and_sketches(rng, n=400):
+    paths = np.zeros((n, jaccard.PATH), np.uint8)
+    paths[:, 0] = rng.integers(0, 3, n)
+    paths[:, 2::2] = rng.integers(0, 2, (n, jaccard.DEPTH))  # few values, so that nodes of many classes come up
+    paths[:120, 1:12] = 1
+    paths = paths[np.lexsort(paths.T[::-1])]
+    return np.arange(n) + 1000, paths, rng.integers(0, 2**63, (n, 4)).astype(np.uint64)
+
+
+def groups_of(pairs, keys):
+    root = {k: k for k in keys}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    return [find(k) for k in keys]
+
+
+@pytest.mark.parametrize("least", [0, 128, 140])
+def test_meetings_of_all_depths_connect_what_shares_a_prefix(least):
+    keys, paths, sketch = paths_and_sketches(np.random.default_rng(1))
+    agree = 256 - np.bitwise_count(sketch[:, None] ^ sketch[None]).sum(2, dtype=np.int64)
+    met = set()
+    for depth in range(jaccard.DEPTH, 3, -1):
+        now = {tuple(sorted(x)) for x in zip(*(y.tolist() for y in jaccard.meetings(keys, paths, sketch, depth, least)), strict=True)}
+        met |= now
+        want = {(keys[i], keys[j]) for i in range(len(keys)) for j in range(i + 1, len(keys)) if agree[i, j] >= least and (paths[i, : 1 + 2 * depth] == paths[j, : 1 + 2 * depth]).all()}
+        assert met <= want
+        a, b = groups_of(met, keys.tolist()), groups_of(want, keys.tolist())
+        assert len(set(zip(a, b, strict=True))) == len(set(a)) == len(set(b))
+
+
+def test_prefixes_are_shortened_only_as_far_as_the_pairs_need(spark, monkeypatch):
+    depths = []
+    meet = jaccard._meet
+    monkeypatch.setattr(jaccard, "_meet", lambda depth, *rest: depths.append(depth) or meet(depth, *rest))
+    rng = random.Random(2)
+    words = [["".join(rng.choices("abcdef", k=4)) for _ in range(400)] for _ in range(20)]
+    alike = [(2 * i + k, " ".join([*w, "x" * k])) for i, w in enumerate(words) for k in range(2)]
+    found = jaccard.near_duplicates(spark.createDataFrame(alike, "doc_id long, text string")).collect()
+    assert depths == [jaccard.DEPTH] and all(r.class_id == r.doc_id // 2 * 2 and r.n_links == 1 for r in found)
+    depths.clear()
+    apart = alike + [(1000, " ".join(words[0][:325]))]
+    found = {r.doc_id: r for r in jaccard.near_duplicates(spark.createDataFrame(apart, "doc_id long, text string")).collect()}
+    assert depths == list(range(jaccard.DEPTH, jaccard.prefix_depth() - 1, -1)) and found[1000].class_id == 0 and found[0].n_links == 2
+
+
+def test_a_shared_passage_links_nothing(spark, monkeypatch):
+    """Hundreds of documents that share more than half of their shingles: none is as similar as the threshold."""
+    monkeypatch.setattr(jaccard, "HOT_NODE", 100)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdef", k=5))
+    passage = [word() for _ in range(150)]
+    rows = [(i, " ".join([*(word() for _ in range(20)), *passage, *(word() for _ in range(20))])) for i in range(400)]
+    rows += [(1000, rows[7][1] + " tail")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = []
+    verify = jaccard.verify
+    monkeypatch.setattr(jaccard, "verify", lambda keys, *rest: asked.append(len(keys)) or verify(keys, *rest))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(df).collect()}
+    assert got == {i: (7, 1) if i in (7, 1000) else (i, 0) for i, _ in rows}
 
 
 @pytest.mark.parametrize("shape", ["path", "star", "random", "none"])
