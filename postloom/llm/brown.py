@@ -165,8 +165,14 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
     return group
 
 
-#: A count of neighbours of one class: before a word, or after it (``classes`` more).
-CONTEXT = np.dtype([("code", "<u2"), ("n", "<u4")])
+def context(classes: int) -> np.dtype:
+    """A count of neighbours of one class: before a word, or after it (``classes`` more); a greater count is several."""
+    return np.dtype([("code", "u1" if 2 * classes <= 256 else "<u2"), ("n", "<u2")])
+
+
+def class_kind(classes: int) -> np.dtype:
+    """The type of a class in a path; its greatest value stands for a word whose class is looked up."""
+    return np.dtype("u1" if classes < 255 else "<u2")
 
 
 def _contexts(model, classes: int):
@@ -181,7 +187,11 @@ def _contexts(model, classes: int):
 
         def drain() -> pa.RecordBatch:
             keys, times = np.unique(np.concatenate(parts), return_counts=True)
-            found = np.empty(len(keys), CONTEXT)
+            pieces = -(-times // 65_535)
+            keys, times, last = np.repeat(keys, pieces), np.repeat(times, pieces), np.cumsum(pieces) - 1
+            times[last] -= 65_535 * (pieces - 1)
+            times = np.minimum(times, 65_535)
+            found = np.empty(len(keys), context(classes))
             found["code"], found["n"] = keys % (2 * classes), times
             number = keys // (2 * classes)
             cuts = np.flatnonzero(np.append(True, number[1:] != number[:-1])).tolist()
@@ -249,8 +259,9 @@ def _assign(model, joint, chunk: int = 1000):
             for lo in range(0, batch.num_rows, chunk):
                 words, lists = (batch.column(k).slice(lo, chunk).to_pylist() for k in (0, 1))
                 parts = [b"".join(x) for x in lists]
-                found = np.frombuffer(b"".join(parts), CONTEXT)
-                owner = np.repeat(np.arange(len(words)), [len(p) // CONTEXT.itemsize for p in parts])
+                kind = context(classes)
+                found = np.frombuffer(b"".join(parts), kind)
+                owner = np.repeat(np.arange(len(words)), [len(p) // kind.itemsize for p in parts])
                 keys, which = np.unique(owner * 2 * classes + found["code"], return_inverse=True)
                 n = np.bincount(which, found["n"])
                 owner, code = keys // (2 * classes), keys % (2 * classes)
@@ -274,38 +285,83 @@ class Model:
     base_only: bool
 
 
-def _paths(model):
-    """The classes of a text's tokens as bytes, with their counts; the last column has class and count of its rare words."""
+KNOWN = "doc_id long, h long, held_out boolean, training boolean, n_tokens long, n_known long, emitted double, path binary, spots binary, endings binary"
+
+
+def _known(model, classes: int):
+    """Of each text: its classes as bytes, as far as its words are frequent.
+
+    For its other words, ``spots`` has the numbers of those words among the text's distinct ones in byte order, in the
+    text's order, and ``endings`` the classes that each of them has if the training text doesn't hold it.
+    """
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, group = model.value
+        kind = class_kind(classes)
         for batch in batches:
-            out, paths = np.zeros((batch.num_rows, 3)), []
-            rare = batch.column(batch.num_columns - 1)
-            for k, words in tokens(batch.column(batch.num_columns - 2)):
+            out, paths, spots, endings = np.zeros((batch.num_rows, 3)), [], [], []
+            for k, words in tokens(batch.column(4)):
                 number, item = items.of(words)
-                path = group[item]
-                known = number >= 0
-                emitted = items.logs[number[known]].sum()
-                met = {r["word"]: (r["class"], r["n"]) for r in rare[k].as_py() or ()}
-                if met:
-                    for i in np.flatnonzero(~known).tolist():
-                        if words[i] in met:
-                            path[i], n = met[words[i]]
-                            emitted += np.log10(n + 1.0)
-                            known[i] = True
-                out[k] = len(words) + 1, known.sum(), emitted
-                paths.append(path.astype("<u2").tobytes())
-            columns = [pa.array(out[:, 0].astype(np.int64)), pa.array(out[:, 1].astype(np.int64)), pa.array(out[:, 2]), pa.array(paths, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *columns], names=[*batch.schema.names[:-2], "n_tokens", "n_known", "emitted", "path"])
+                path, rare = group[item].astype(kind), np.flatnonzero(number < 0)
+                out[k] = len(words) + 1, len(words) - len(rare), items.logs[number[number >= 0]].sum()
+                names = rare_words(words, rare)
+                place = {w: i for i, w in enumerate(names)}
+                at = np.fromiter((place[words[i]] for i in rare.tolist()), np.int64, len(rare))
+                tails = np.empty(len(names), kind)
+                tails[at] = path[rare]
+                path[rare] = np.iinfo(kind).max
+                paths.append(path.tobytes())
+                spots.append(at.astype(spot_kind(len(names))).tobytes())
+                endings.append(tails.tobytes())
+            columns = [pa.array(out[:, 0].astype(np.int64)), pa.array(out[:, 1].astype(np.int64)), pa.array(out[:, 2]), *(pa.array(x, pa.binary()) for x in (paths, spots, endings))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *columns], names=[x.split()[0] for x in KNOWN.split(", ")])
 
     return run
 
 
-def _whole(path: bytes) -> np.ndarray:
+def rare_words(words: list[bytes], at: np.ndarray) -> list[bytes]:
+    """The distinct words at these places, in byte order."""
+    return sorted({words[i] for i in at.tolist()})
+
+
+def spot_kind(n: int) -> np.dtype:
+    return np.dtype("<u2" if n <= 65_536 else "<u4")
+
+
+PATHS = "doc_id long, held_out boolean, training boolean, n_tokens long, n_known long, emitted double, path binary"
+
+
+def _paths(classes: int):
+    """The classes of a text's tokens as bytes, with their counts; the last column has number, class and count of its rare words."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = class_kind(classes)
+        for batch in batches:
+            known, emitted = (batch.column(k).to_numpy(zero_copy_only=False).copy() for k in (4, 5))
+            paths = []
+            for k, (path, spots, endings, met) in enumerate(zip(*(batch.column(c).to_pylist() for c in (6, 7, 8, 9)), strict=True)):
+                path, own = np.frombuffer(path, kind).copy(), np.frombuffer(endings, kind).copy()
+                if len(own):
+                    logs = np.full(len(own), -1.0)
+                    for r in met or ():
+                        own[r["i"]], logs[r["i"]] = r["class"], np.log10(r["n"] + 1.0)
+                    at = np.frombuffer(spots, spot_kind(len(own)))
+                    path[path == np.iinfo(kind).max] = own[at]
+                    seen = logs[at]
+                    known[k] += (seen >= 0).sum()
+                    emitted[k] += seen[seen >= 0].sum()
+                paths.append(path.tobytes())
+            columns = [pa.array(known), pa.array(emitted), pa.array(paths, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *columns], names=[x.split()[0] for x in PATHS.split(", ")])
+
+    return run
+
+
+def _whole(path: bytes, classes: int) -> np.ndarray:
     """With the text's end, class 0, on both sides."""
-    return np.concatenate([[0], np.frombuffer(path, "<u2"), [0]]).astype(np.int64)
+    return np.concatenate([[0], np.frombuffer(path, class_kind(classes)), [0]]).astype(np.int64)
 
 
 def _steps(classes: int):
@@ -314,7 +370,7 @@ def _steps(classes: int):
         seen = np.zeros(classes * classes, np.int64)
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                whole = _whole(path)
+                whole = _whole(path, classes)
                 seen += np.bincount(whole[:-1] * classes + whole[1:], minlength=classes * classes)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["pair", "n"])
@@ -329,7 +385,7 @@ def _scores(sums):
         for batch in batches:
             out = []
             for path in batch.column(batch.num_columns - 1).to_pylist():
-                whole = _whole(path)
+                whole = _whole(path, len(step))
                 out.append(step[whole[:-1], whole[1:]].sum() - room[whole[1:]].sum())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], names=[*batch.schema.names[:-1], "path"])
 
@@ -337,18 +393,20 @@ def _scores(sums):
 
 
 def _rare(items):
+    """doc_id, h, number among the text's words that aren't frequent, and the word."""
+
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = items.value.index
         for batch in batches:
-            rows, words = [], []
+            rows, numbers, words = [], [], []
             for k, found in tokens(batch.column(2)):
-                for w in set(found):
-                    if w not in index:
-                        rows.append(k)
-                        words.append(w)
+                names = sorted({w for w in found if w not in index})
+                rows += [k] * len(names)
+                numbers += range(len(names))
+                words += names
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(words, pa.binary())], names=["doc_id", "h", "word"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(words, pa.binary())], names=["doc_id", "h", "i", "word"])
 
     return run
 
@@ -396,13 +454,17 @@ def cluster(training: DataFrame, counts: DataFrame, least: int, *, clustered: in
     return Items(words, number, clustered, items.endings, True), group, assigned
 
 
-def class_paths(rows: DataFrame, items: Items, group: np.ndarray, assigned: DataFrame, least: int) -> DataFrame:
-    """doc_id, held_out, training, n_tokens, n_known, emitted and path of rows of doc_id, h (hash of the text), held_out, training and text."""
+def class_paths(rows: DataFrame, items: Items, group: np.ndarray, assigned: DataFrame, least: int, classes: int) -> DataFrame:
+    """doc_id, held_out, training, n_tokens, n_known, emitted and path of rows of doc_id, h (hash of the text), held_out, training and text.
+
+    Only words that aren't frequent and paths of classes are shuffled, never texts.
+    """
     spark = rows.sparkSession
-    rare = rows.select("doc_id", "h", "text").mapInArrow(_rare(shared(spark, items)), "doc_id long, h long, word binary")
-    met = rare.join(assigned.filter(F.col("n") < least), "word").groupBy("doc_id", "h").agg(F.collect_set(F.struct("word", "n", "class")).alias("rare")).select(F.col("doc_id").alias("d"), F.col("h").alias("k"), "rare")
-    both = rows.join(met, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["h"] == F.col("k")), "left").select("doc_id", "held_out", "training", "text", "rare")
-    return both.mapInArrow(_paths(shared(spark, (items, group))), "doc_id long, held_out boolean, training boolean, n_tokens long, n_known long, emitted double, path binary")
+    rare = rows.select("doc_id", "h", "text").mapInArrow(_rare(shared(spark, items)), "doc_id long, h long, i int, word binary")
+    met = rare.join(assigned.filter(F.col("n") < least), "word").groupBy("doc_id", "h").agg(F.collect_set(F.struct("i", "n", "class")).alias("rare")).select(F.col("doc_id").alias("d"), F.col("h").alias("k"), "rare")
+    known = rows.select("doc_id", "h", "held_out", "training", "text").mapInArrow(_known(shared(spark, (items, group)), classes), KNOWN)
+    both = known.join(met, known["doc_id"].eqNullSafe(F.col("d")) & (known["h"] == F.col("k")), "left").select("doc_id", "held_out", "training", "n_tokens", "n_known", "emitted", "path", "spots", "endings", "rare")
+    return both.mapInArrow(_paths(classes), PATHS)
 
 
 def finish(items: Items, group: np.ndarray, assigned: DataFrame, training: DataFrame, counts: DataFrame, paths: DataFrame, classes: int) -> Model:
@@ -428,7 +490,7 @@ def learn(training: DataFrame, counts: DataFrame, least: int, *, classes: int =
     """Classes and their statistics; ``counts``: (word, n) of the whole training text; words of ``least`` or more are broadcast."""
     items, group, assigned = cluster(training, counts, least, classes=classes, **parameters)
     rows = training.select(F.lit(None).cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.lit(False).alias("held_out"), F.lit(True).alias("training"), "text")
-    return finish(items, group, assigned, training, counts, class_paths(rows, items, group, assigned, least), classes)
+    return finish(items, group, assigned, training, counts, class_paths(rows, items, group, assigned, least, classes), classes)
 
 
 def score(docs: DataFrame, *, frequent: int = FREQUENT, classes: int = CLASSES, **parameters) -> DataFrame:
@@ -445,7 +507,7 @@ def score(docs: DataFrame, *, frequent: int = FREQUENT, classes: int = CLASSES,
     least = least_frequent(counts, frequent)
     items, group, assigned = cluster(training, counts, least, classes=classes, **parameters)
     keyed = rows.select("doc_id", F.xxhash64("text").alias("h"), "held_out", "training", "text")
-    paths = checkpoint(class_paths(keyed, items, group, assigned, least))
+    paths = checkpoint(class_paths(keyed, items, group, assigned, least, classes))
     m = finish(items, group, assigned, training, counts, paths, classes)
     own = paths.drop("training").mapInArrow(_scores(shared(docs.sparkSession, (m.step, m.room))), "doc_id long, held_out boolean, n_tokens long, n_known long, emitted double, path double")
     base = F.col("emitted") + F.lit(m.end_log) - F.col("n_tokens") * F.lit(m.base_room)

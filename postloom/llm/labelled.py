@@ -11,7 +11,7 @@ from postloom.llm.base import crc_mod
 
 #: Rows whose crc32(doc_id as text) modulo FOLDS is HELD_OUT are never learned from.
 FOLDS, HELD_OUT = 5, 0
-#: Documents of a sample by label, and the longest that a sample takes (whole).
+#: Documents of a sample by label, and the characters that a sample takes of one.
 PER_LABEL, MAX_CHARS = 2500, 20_000
 
 
@@ -27,25 +27,33 @@ def prior(labels: DataFrame, label: str) -> float:
 
 
 def least_by_hash(rows: DataFrame, by: str, most: int, id_col: str = "doc_id") -> DataFrame:
-    """The ``most`` rows of each value of ``by`` whose hashed id is least.
+    """``by`` and id of the ``most`` ids of each value of ``by`` whose hash is least.
 
-    The values' counts, one row a value, tell which hashes can be among them, so only about twice as many rows are ranked.
+    The values' numbers of ids, one row a value, tell which hashes can be among them, so only about twice as many are ranked.
     """
-    counts = rows.groupBy(by).agg(F.count("*").alias("n"))
-    share = F.least(F.lit(1.0), 2.0 * F.lit(most) / F.col("n") + 64.0 / F.col("n"))
-    hashed = rows.join(F.broadcast(counts), by).filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < share * float(1 << 30))  # a row for each label or language
-    order = Window.partitionBy(by).orderBy(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)), id_col)
-    return hashed.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most).drop("k", "n")
+    hashed = rows.select(by, id_col, F.pmod(F.xxhash64(id_col), F.lit(1 << 30)).alias("h"))
+    counts = hashed.groupBy(by).agg(F.approx_count_distinct("h", 0.02).alias("n"))
+    share = F.least(F.lit(1.0), (2.0 * F.lit(most) + 64.0) / F.col("n"))
+    near = hashed.join(F.broadcast(counts), by).filter(F.col("h") < share * float(1 << 30)).select(by, id_col, "h").distinct()  # counts: a row for each label or language
+    order = Window.partitionBy(by).orderBy("h", id_col)
+    return near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most).select(by, id_col)
+
+
+def part(text: str, most: int) -> Column:
+    """The text, or ``most`` characters of a longer one, at a place drawn by its hash."""
+    place = F.pmod(F.xxhash64(text), F.greatest(F.length(text) - most + 1, F.lit(1)).cast("long")).cast("int")
+    return F.when(F.length(text) <= most, F.col(text)).otherwise(F.substring(F.col(text), place + 1, F.lit(most)))
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, *, per_label: int = PER_LABEL, max_chars: int = MAX_CHARS) -> pd.DataFrame:
     """text and y of at most ``per_label`` documents for each of labels 0 and 1, the smallest by a hash of the id.
 
-    Documents over ``max_chars`` aren't taken. An id labelled both ways is left out, a repeated one counts once.
+    Of a document over ``max_chars`` a part of that length is taken. An id labelled both ways is left out, a repeated one
+    counts once, with the least of its texts.
     """
     known = labels.filter(F.col(label).isin(0, 1) & (crc_mod("doc_id", FOLDS) != HELD_OUT)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).filter("y = other").select("doc_id", "y")
     chosen = least_by_hash(known, "y", per_label)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.length("text") <= max_chars)
-    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # chosen: 2 * per_label rows at most
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", part("text", max_chars).alias("text")).groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # chosen: 2 * per_label rows at most
     return found.toPandas().sort_values("doc_id", ignore_index=True)[["text", "y"]]

@@ -124,10 +124,56 @@ def test_phrases_are_longest_matches():
     model = langid.fit(texts)
     for text in (text_in("aa", rng, 20), "zzz the ofx", texts["bb"][5:90], "a"):
         text = text[: langid.BLOCK]
-        codes = np.full((1, langid.BLOCK), langid.PAD, np.uint8)
+        codes = np.full((1, langid.BLOCK), langid.PAD, np.int32)
         codes[0, : len(text)] = model.code[[ord(c) for c in text]]
         as_codes = lambda t: "".join(chr(65 + model.code[ord(c)]) for c in t)
-        assert langid.phrases(model, codes)[:, 0].tolist() == [naive_phrases(as_codes(text), as_codes(texts[k])) for k in ("aa", "bb")]
+        assert langid.phrases(model, codes, np.array([len(text)]))[:, 0].tolist() == [naive_phrases(as_codes(text), as_codes(texts[k])) for k in ("aa", "bb")]
+
+
+def test_double_array_holds_all_transitions():
+    rng = random.Random(1)
+    moves = langid.suffix_automaton(np.array([3 + rng.randrange(k) for k in (2, 30, 500) for _ in range(700)], np.int32))
+    numbers, owner, target = langid.double_array(moves, 503)
+    assert len(set(numbers.tolist())) == len(moves)
+    for s, move in enumerate(moves):
+        for c in range(503):
+            cell = numbers[s] + c
+            assert (owner[cell] == numbers[s]) == (c in move)
+            if c in move:
+                assert target[cell] == numbers[move[c]]
+
+
+SCRIPTS = {"en": "abcdefghijklmnopqrstuvwxyz", "ru": "".join(map(chr, range(0x430, 0x450))), "zh": "".join(map(chr, range(0x4E00, 0x4E00 + 1500))), "ko": "".join(map(chr, range(0xAC00, 0xAC00 + 900))), "ja": "".join(map(chr, range(0x3041, 0x3097))) + "".join(map(chr, range(0x4E00, 0x4E00 + 300)))}
+
+
+def test_many_scripts_together(spark):
+    rng = random.Random(6)
+    lexicon = {k: ["".join(rng.choices(v, k=rng.randint(1, 4))) for _ in range(300)] for k, v in SCRIPTS.items()}
+    rows = [(i, " ".join(rng.choices(lexicon[k], k=rng.randint(20, 120))), k) for i, k in enumerate(k for k in SCRIPTS for _ in range(60))]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    wrong = [(k, got[i].lang_pred) for i, _, k in rows if got[i].held_out and got[i].lang_pred != k]
+    assert not wrong and all(r.score > 0.02 for r in got.values())
+
+
+def test_languages_of_long_texts_only(spark):
+    rng = random.Random(9)
+    rows = [(i, text_in("aa" if i % 2 else "bb", rng, 9000 if i % 2 else 30), "aa" if i % 2 else "bb", 5) for i in range(60)]
+    rows += [(7, rows[7][1], "aa", 5)] * 300  # a repeated row takes one place
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, h int")
+    assert all(len(t) > 20_000 for i, t, *_ in rows if i % 2)
+    got = langid.identify(docs).collect()
+    assert len(got) == 360 and all(r.lang_pred == ("aa" if r.doc_id % 2 else "bb") for r in got)
+    few = labelled.least_by_hash(docs.selectExpr("doc_id", "lang"), "lang", 4).collect()
+    assert len(few) == 8 and len({tuple(r) for r in few}) == 8
+
+
+def test_labelled_sample_takes_parts_of_long_texts(spark):
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, text_in("aa", rng, 9000), "x") for i in range(1, 20)], "doc_id long, text string, y string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 20)], "doc_id long, toxic int")
+    found = labelled.sample(docs, labels, "toxic", max_chars=500)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(found) > 10 and set(found.y) == {0, 1} and all(len(t) == 500 and any(t in x for x in texts.values()) for t in found.text)
 
 
 def test_languages(tables):
