@@ -1,11 +1,13 @@
 """Conversations as training windows, with DataFrame functions only.
 
-A conversation's turns are put in order in runs of bounded length, prefix sums of the turns' tokens choose spans of whole
-turns within a budget, and each span becomes a window: the system turn, a limited history, then the span's own turns.
-The loss mask covers the assistant's texts among a window's own turns, so repeated ones are masked.
-
-Template: ``<|role|>\\n`` text ``<|end|>\\n`` for each turn. In roles and texts a backslash is doubled, and one is put after
-``<``, ``[`` or ``|`` where a control string of this or another usual template might begin or end.
+A conversation's turns are ranked, prefix sums of their tokens choose spans of whole turns within a budget, and each span
+becomes a window: the system turn, a limited history, then the span's own turns. The loss mask covers the assistant's
+texts among a window's own turns, so repeated ones are masked.
+
+Template: ``<|role|>\\n`` text ``<|end|>\\n`` for each turn; a turn that no window can hold whole is cut into pieces, and each
+but its last ends with ``<|more|>\\n``. In roles and texts a backslash is doubled, and one is put behind every ``<`` that
+something but a backslash follows, behind ``[`` before a capital letter or a slash, and behind ``|`` before ``>`` or ``|``, so that no control
+string of this template or of the usual ones, which begin with ``<`` or are like ``[INST]``, is left in them.
 """
 
 from __future__ import annotations
@@ -14,15 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-END = "<|end|>\n"
+END, MORE = "<|end|>\n", "<|more|>\n"
 #: Tokens of a window, of its repeated history, and turns of that history.
 BUDGET, HISTORY_TOKENS, HISTORY_TURNS = 1024, 192, 2
-#: Turn numbers that are put in order together; a longer conversation is several such runs.
-RUN = 512
 
 
 def escape(text: Column) -> Column:
-    return F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), r"([<\[|])(?=[|/sI<\[>])", r"$1\\")
+    return F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), r"(<(?=[^\\])|\[(?=[A-Z/])|\|(?=[|>]))", r"$1\\")
 
 
 def unescape(text: Column) -> Column:
@@ -34,89 +34,110 @@ def token_estimate(role: Column, text: Column) -> Column:
     return F.ceil((F.octet_length(role) + F.octet_length(text)) / 4).cast("long") + F.lit(4)
 
 
-def format_windows(turns: DataFrame, *, budget: int = BUDGET, history_tokens: int = HISTORY_TOKENS, history_turns: int = HISTORY_TURNS, run: int = RUN, tokens=token_estimate) -> DataFrame:
-    """conv_id, run, window, n_context, n_turns, n_tokens, formatted, loss_spans (start and length in code points).
+def _head(role: Column) -> Column:
+    return F.concat(F.lit("<|"), escape(role), F.lit("|>\n"))
+
 
-    Rows are ordered by turn (null first), then role and text; null roles and texts are empty; a null conv_id is a
-    conversation of its own; repeated rows are turns like others. The system turn is the first one, if its role is
-    ``system``. A turn over the budget is whole in a window of its own. Other columns are left out; no rows give none.
+def format_windows(turns: DataFrame, *, budget: int = BUDGET, history_tokens: int = HISTORY_TOKENS, history_turns: int = HISTORY_TURNS, tokens=token_estimate) -> DataFrame:
+    """conv_id, span, piece, n_context, n_turns, n_tokens, formatted, loss_spans (start and length in code points).
+
+    Rows are ordered by turn (null first), then role and text, whatever the turns' numbers are; null roles and texts are
+    empty; a null conv_id is a conversation of its own; repeated rows are turns like others. The system turn is the first
+    one, if its role is ``system``; windows repeat it if it takes half the budget at most. No window is over the budget:
+    a turn that doesn't fit beside the system turn is cut, and each of its pieces (numbered by ``piece``) has a window of its
+    own, without history; ``n_turns`` counts turns that end in the window. That holds as long as ``tokens`` gives no
+    character more than a token, a turn four more and its role's, and the budget leaves room for them. Other columns are left
+    out, whatever their names; no rows give none. A conversation's turns are sorted by one task, which spills; its numbers of
+    tokens, but never its texts, are in one row.
     """
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
-    rows = rows.select("conv_id", F.coalesce(F.floor(F.col("turn") / run), F.lit(-(2**62))).alias("run"), F.struct("turn", "role", escape(F.col("text")).alias("body"), tokens(F.col("role"), F.col("text")).alias("tokens"), F.concat(F.lit("<|"), escape(F.col("role")), F.lit("|>\n")).alias("head")).alias("t"))
-    runs = rows.groupBy("conv_id", "run").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    ordered = Window.partitionBy("conv_id").orderBy("run")
-    tail = F.slice("turns", F.greatest(F.size("turns") - history_turns + 1, F.lit(1)), max(history_turns, 1))
-    first = F.col("turns")[0]
-    runs = runs.select(
-        "conv_id",
-        "run",
-        "turns",
-        (F.row_number().over(ordered) == 1).alias("opens"),
-        F.coalesce(F.lag(tail).over(ordered), F.slice("turns", 1, 0)).alias("before"),
-        F.first(F.when(first["role"] == "system", first)).over(ordered).alias("system"),
-    )
-    total = F.size("turns")
-    sums = F.aggregate("turns", F.array(F.lit(0).cast("long")), lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + t["tokens"])))
-    room = F.greatest(F.lit(budget) - F.coalesce(F.col("system")["tokens"], F.lit(0)) - history_tokens, F.lit(1))
+    conv = F.col("conv_id").cast("long")
+    key = ["none", "conv"]  # a null conv_id can't be joined
+    rows = turns.select(conv.isNull().alias("none"), F.coalesce(conv, F.lit(0)).alias("conv"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
+    ordered = Window.partitionBy(*key).orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    rows = rows.repartition(*key).withColumn("tokens", tokens(F.col("role"), F.col("text"))).withColumn("rank", F.row_number().over(ordered))
+    sums = rows.withColumn("upto", F.sum("tokens").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    system = F.max(F.when((F.col("rank") == 1) & (F.col("role") == "system") & (F.col("tokens") <= budget // 2), F.col("tokens")))
+    convs = sums.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("rank", "upto", "tokens"))).alias("sums"), F.greatest(F.lit(budget) - F.coalesce(system, F.lit(0)) - history_tokens, F.lit(1)).alias("room"))
     start = F.struct(F.array(F.lit(1)).alias("starts"), F.lit(0).cast("long").alias("base"))
     starts = F.aggregate(
-        F.sequence(F.lit(1), F.col("n")),
+        "sums",
         start,
-        lambda acc, i: F.when((F.element_at("sums", i + 1) - acc["base"] > F.col("room")) & (i > F.element_at(acc["starts"], -1)), F.struct(F.concat(acc["starts"], F.array(i)).alias("starts"), F.element_at("sums", i).alias("base"))).otherwise(acc),
+        lambda acc, t: F.when((t["upto"] - acc["base"] > F.col("room")) & (t["rank"] > 1), F.struct(F.concat(acc["starts"], F.array(t["rank"])).alias("starts"), (t["upto"] - t["tokens"]).alias("base"))).otherwise(acc),
         lambda acc: acc["starts"],
     )
-    runs = runs.withColumns({"n": total, "sums": sums, "room": room}).withColumn("starts", starts)
-    spans = runs.select("*", F.posexplode("starts").alias("window", "first")).withColumn("last", F.coalesce(F.get("starts", F.col("window") + 1) - 1, F.col("n")))
-    earlier = F.concat("before", F.slice("turns", 1, F.col("first") - 1))
-    recent = F.slice(earlier, F.greatest(F.size(earlier) - history_turns + 1, F.lit(1)), history_turns)
-    same = lambda t: t["turn"].eqNullSafe(F.col("system")["turn"]) & t["role"].eqNullSafe(F.col("system")["role"]) & t["body"].eqNullSafe(F.col("system")["body"])
-    begins = F.col("opens") & (F.col("first") == 1)
+    convs = convs.select(*key, "room", F.size("sums").alias("n"), starts.alias("starts"))
+    lengths = F.zip_with(F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.col("n") + 1)), "starts", lambda b, a: b - a)
+    convs = convs.select(*key, "room", F.flatten(F.transform(lengths, lambda n, i: F.array_repeat(i, n))).alias("spans"))
+    placed = rows.join(convs, key).select(*key, "room", F.element_at("spans", F.col("rank")).alias("span"), F.struct("rank", "role", "text", "tokens").alias("t"))
+    spans = placed.groupBy(*key, "span").agg(F.first("room").alias("room"), F.array_sort(F.collect_list("t")).alias("own"))
+    by_span = Window.partitionBy(*key).orderBy("span")
+    tail = F.slice("own", F.greatest(F.size("own") - history_turns + 1, F.lit(1)), max(history_turns, 1))
+    nothing = F.slice("own", 1, 0)
+    before = F.flatten(F.array(*(F.coalesce(F.lag(tail, k).over(by_span), nothing) for k in range(max(history_turns, 1), 0, -1))))
+    first = F.col("own")[0]
+    kept = (first["rank"] == 1) & (first["role"] == "system") & (first["tokens"] <= budget // 2)
+    spans = spans.select(*key, "span", "room", "own", before.alias("before"), F.first(F.when(kept, first)).over(by_span).alias("system"))
+    recent = F.filter(F.slice("before", F.greatest(F.size("before") - history_turns + 1, F.lit(1)), history_turns), lambda t: (t["rank"] > 1) | F.col("system").isNull())
     fits = lambda t, i: F.aggregate(F.slice(F.col("recent"), i + 1, F.size("recent")), F.lit(0).cast("long"), lambda a, x: a + x["tokens"]) <= history_tokens
-    spans = spans.withColumn("recent", F.filter(recent, lambda t: ~same(t) | F.col("system").isNull()))
-    spans = spans.withColumn("context", F.when(begins, F.slice("turns", 1, 0)).otherwise(F.concat(F.when(F.col("system").isNotNull(), F.array("system")).otherwise(F.slice("turns", 1, 0)), F.filter("recent", fits))))
-    spans = spans.withColumn("own", F.slice("turns", F.col("first"), F.col("last") - F.col("first") + 1))
-    piece = lambda t: F.concat(t["head"], t["body"], F.lit(END))
-    size = lambda t: F.length(t["head"]) + F.length(t["body"]) + len(END)
-    opening = F.array_join(F.transform("context", piece), "")
-    spans = spans.withColumn("opening", opening)
+    long = (F.size("own") == 1) & (first["tokens"] > F.col("room"))
+    # a character takes a token at most, so such a piece fits
+    chars = F.greatest(F.col("room") - 4 - F.ceil(F.octet_length(first["role"]) / 4), F.lit(1)).cast("int")
+    spans = spans.withColumn("recent", recent).withColumns({"chars": F.when(long, chars).otherwise(F.lit(2**31 - 1)), "length": F.length(first["text"])})
+    pieces = F.when(long, F.greatest(F.ceil(F.col("length") / F.col("chars")), F.lit(1))).otherwise(F.lit(1)).cast("int")
+    spans = spans.withColumn("pieces", pieces).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    cut = F.substring(first["text"], (F.col("piece") * F.col("chars") + 1).cast("int"), F.col("chars"))
+    whole = lambda t, end: F.struct(t["role"].alias("role"), t["text"].alias("text"), t["tokens"].alias("tokens"), end.alias("end"))
+    part = F.struct(first["role"].alias("role"), cut.alias("text"), tokens(first["role"], cut).alias("tokens"), F.when(F.col("piece") + 1 < F.col("pieces"), F.lit(MORE)).otherwise(F.lit(END)).alias("end"))
+    own = F.when(F.col("pieces") > 1, F.array(part)).otherwise(F.transform("own", lambda t: whole(t, F.lit(END))))
+    repeated = F.when(F.col("system").isNotNull() & (F.col("span") + F.col("piece") > 0), F.array("system")).otherwise(nothing)
+    context = F.concat(repeated, F.when(F.col("pieces") == 1, F.filter("recent", fits)).otherwise(nothing))
+    spans = spans.select(*key, "span", "piece", own.alias("own"), F.transform(context, lambda t: whole(t, F.lit(END))).alias("context"))
+    shown = lambda t: F.concat(_head(t["role"]), escape(t["text"]), t["end"])
+    spans = spans.withColumns({"opening": F.array_join(F.transform("context", shown), ""), "marked": F.transform("own", lambda t: F.struct(t["role"].alias("role"), F.length(_head(t["role"])).alias("head"), F.length(escape(t["text"])).alias("body"), F.length(t["end"]).alias("end")))})
     none = F.slice(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("length"))), 1, 0)
     masks = F.aggregate(
-        "own",
+        "marked",
         F.struct(F.length("opening").alias("at"), none.alias("spans")),
-        lambda acc, t: F.struct((acc["at"] + size(t)).alias("at"), F.when(t["role"] == "assistant", F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(t["head"])).alias("start"), F.length(t["body"]).alias("length"))))).otherwise(acc["spans"]).alias("spans")),
+        lambda acc, t: F.struct((acc["at"] + t["head"] + t["body"] + t["end"]).alias("at"), F.when(t["role"] == "assistant", F.concat(acc["spans"], F.array(F.struct((acc["at"] + t["head"]).alias("start"), t["body"].alias("length"))))).otherwise(acc["spans"]).alias("spans")),
         lambda acc: acc["spans"],
     )
     used = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, t: a + t["tokens"])
     return spans.select(
-        "conv_id",
-        "run",
-        "window",
+        F.when(~F.col("none"), F.col("conv")).alias("conv_id"),
+        "span",
+        "piece",
         F.size("context").alias("n_context"),
-        F.size("own").alias("n_turns"),
+        F.size(F.filter("own", lambda t: t["end"] == END)).alias("n_turns"),
         (used("context") + used("own")).alias("n_tokens"),
-        F.concat("opening", F.array_join(F.transform("own", piece), "")).alias("formatted"),
+        F.concat("opening", F.array_join(F.transform("own", shown), "")).alias("formatted"),
         masks.alias("loss_spans"),
     )
 
 
 def read_back(windows: DataFrame) -> DataFrame:
-    """Each window's own turns (role, text) and the texts under its loss mask, parsed from what was formatted."""
-    pieces = F.split("formatted", r"<\|end\|>\n")
-    own = F.slice(pieces, F.col("n_context") + 1, F.size(pieces) - 1 - F.col("n_context"))
+    """Each window's own turns (role, text, whether the turn ends there) and the texts under its loss mask, parsed from what was formatted."""
+    marks = r"<\|(?:end|more)\|>\n"
+    ends = F.regexp_extract_all("formatted", F.lit(r"<\|(end|more)\|>\n"), F.lit(1))
+    pieces = F.arrays_zip(F.slice(F.split("formatted", marks), 1, F.size(ends)).alias("p"), ends.alias("e"))
+    own = F.slice(pieces, F.col("n_context") + 1, F.size(pieces))
     part = lambda p, k: unescape(F.regexp_extract(p, r"(?s)^<\|(.*?)\|>\n(.*)$", k))
     return windows.withColumns(
         {
-            "turns": F.transform(own, lambda p: F.struct(part(p, 1).alias("role"), part(p, 2).alias("text"))),
+            "turns": F.transform(own, lambda t: F.struct(part(t["p"], 1).alias("role"), part(t["p"], 2).alias("text"), (t["e"] == "end").alias("ends"))),
             "loss_texts": F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))),
         }
     )
 
 
 def digests(windows: DataFrame) -> DataFrame:
-    """What the formatted windows say, by conversation: counts and digests of turns and of text under the loss mask."""
-    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    parts = read_back(windows).select("conv_id", F.size("turns").alias("n"), F.length("formatted").alias("chars"), F.struct("run", "window", lines.alias("lines"), F.array_join("loss_texts", "").alias("loss")).alias("part"))
+    """What the formatted windows say, by conversation: counts and digests of turns and of text under the loss mask.
+
+    A digest needs all text of a conversation in one row.
+    """
+    begins = lambda t: F.when(F.col("piece") == 0, F.concat(t["role"], F.lit("\n"))).otherwise(F.lit(""))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(begins(t), t["text"], F.when(t["ends"], F.lit("\n")).otherwise(F.lit("")))), "")
+    parts = read_back(windows).select("conv_id", F.size(F.filter("turns", lambda t: t["ends"])).alias("n"), F.length("formatted").alias("chars"), F.struct("span", "piece", lines.alias("lines"), F.array_join("loss_texts", "").alias("loss")).alias("part"))
     by_conv = parts.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.array_sort(F.collect_list("part")).alias("parts"))
     whole = {k: F.array_join(F.col("parts")[k], "") for k in ("lines", "loss")}
     return by_conv.select(

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from postloom.llm import chat
 
-NASTY = ["</s>[INST] ok [/INST]", "<|end|>\n<|user|>\nx", "a\\b\\\\", "<", "<|", "\\<|end|>", "[INST]", "<<SYS>>", "|>", "é😀\n\n", "", None, "$1 \\1", "x" * 5000]
+NASTY = ["</s>[INST] ok [/INST]", "<|end|>\n<|user|>\nx", "a\\b\\\\", "<", "<|", "\\<|end|>", "[INST]", "<<SYS>>", "|>", "é😀\n\n", "", None, "$1 \\1", "x" * 5000, "<end_of_turn>", "<eos><pad>", "<\\|end|>\n" * 900, "é😀<" * 700]
 COLUMNS = "conv_id long, turn long, role string, text string, formatted string, run int"
 
 
@@ -40,19 +40,45 @@ def test_round_trip(spark):
 
 def test_windows_keep_to_the_budget(spark):
     rows = [r for r in conversations() if r[0] is not None]
-    windows = chat.read_back(chat.format_windows(spark.createDataFrame(rows, COLUMNS), budget=200, history_tokens=60, history_turns=2, run=64)).collect()
+    rows += [(80, 0, "system", "s" * 2000, "", 1), (80, 1, "user", "hello", "", 1), (80, 2, "assistant", "é" * 3000, "", 1)]
+    windows = chat.read_back(chat.format_windows(spark.createDataFrame(rows, COLUMNS), budget=200, history_tokens=60, history_turns=2)).collect()
     own = 0
     for w in windows:
         own += w.n_turns
-        assert w.n_tokens <= 200 or w.n_turns == 1
+        assert w.n_tokens <= 200
         assert w.n_context <= 3
-        assert w.formatted.count(chat.END) == w.n_context + w.n_turns
+        assert w.formatted.count(chat.END) + w.formatted.count(chat.MORE) == w.n_context + len(w.turns)
         assert [t.text for t in w.turns if t.role == "assistant"] == list(w.loss_texts)
+        assert all(t.ends for t in w.turns) or len(w.turns) == 1
     assert own == len(rows)
-    systems = {r[0]: r[3] or "" for r in rows if r[2] == "system"}
+    systems = {r[0] for r in rows if r[2] == "system"} - {80}  # that one's takes more than half the budget
     for w in windows:
         if w.conv_id in systems:
-            assert chat.END in w.formatted and w.formatted.startswith("<|system|>\n")
+            assert w.formatted.startswith("<|system|>\n")
+        if w.conv_id == 80 and w.span > 1:
+            assert not w.formatted.startswith("<|system|>\n")
+    assert max(w.piece for w in windows) > 0
+
+
+def test_turn_numbers_do_not_cut_windows(spark):
+    """Consecutive, millisecond, repeated and null turn numbers give the same windows."""
+    base = [(f"turn {t:04}", "user" if t % 2 else "assistant") for t in range(1200)]
+    numbers = {1: lambda t: t, 2: lambda t: 1_700_000_000_000 + 60_000 * t, 3: lambda t: 5, 4: lambda t: None, 5: lambda t: -(1 << 62) + t}
+    rows = [(c, f(t), "user" if c in (3, 4) else role, text) for c, f in numbers.items() for t, (text, role) in enumerate(base)]
+    got = chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=100_000).collect()
+    assert len(got) == 5 and all(w.n_turns == 1200 for w in got)
+    found = {}
+    for w in chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect():
+        found.setdefault(w.conv_id, []).append((w.span, w.n_turns))
+    assert sorted(found[1]) == sorted(found[2]) == sorted(found[5]) and sorted(found[3]) == sorted(found[4])
+    assert sum(n for _, n in found[3]) == 1200
+
+
+def test_a_conversation_of_many_turns(spark):
+    turns = spark.range(100_000).selectExpr("9L AS conv_id", "id * 1000 AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "CAST(id AS STRING) AS text", "'x' AS span", "1 AS none")
+    r = chat.digests(chat.format_windows(turns)).first()
+    assert (r.n_turns, r.loss_chars) == (100_000, sum(len(str(i)) for i in range(1, 100_000, 2)))
+    assert r.turns_sha256 == hashlib.sha256("".join(f"{'assistant' if i % 2 else 'user'}\n{i}\n" for i in range(100_000)).encode()).hexdigest()
 
 
 def test_escape_is_reversible(spark):
@@ -60,7 +86,7 @@ def test_escape_is_reversible(spark):
     texts = ["".join(rng.choice("\\<>[]|/sIe\n$1a") for _ in range(30)) for _ in range(300)]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chat.escape(F.col("t")).alias("e")).withColumn("u", chat.unescape(F.col("e")))
     for r in df.collect():
-        assert r.t == r.u and not any(x in r.e for x in ("<|", "|>", "[INST]", "[/INST]", "</s>", "<s>"))
+        assert r.t == r.u and not any(x in r.e for x in ("<|", "|>", "[INST]", "[/INST]", "</s>", "<s>", "<e", "</", "<I"))
 
 
 def test_no_rows(spark):

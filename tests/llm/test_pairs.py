@@ -34,11 +34,28 @@ def test_top_k(spark):
     rows = vectors()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int, rank string")
     for blocks in (64, 1 << 16):
-        got = topk.top_k(df, k=7, index_rows=blocks, query_rows=4)
+        got = topk.top_k(df, k=7, index_rows=blocks, query_rows=4, few_queries=2)
         assert {tuple(r) for r in got.collect()} == brute_top(rows, 7)
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """Components of any finite size take part; scores beyond a long stay in order and are given as the nearest long."""
+    rng = random.Random(0)
+    size = lambda: rng.choice([1.0, 1e3, 1e8, 2.0**25, 1e17, 1e200, 1.7e308]) * rng.uniform(-1, 1)
+    rows = [(i, [size() for _ in range(3)]) for i in range(90)]
+    rows += [(200, [1e8]), (201, [1e8]), (202, [2e8]), (203, [-1e8]), (220, [0.0]), (221, [float("inf")])]
+    got = {tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=9, index_rows=32, few_queries=2).collect()}
+    whole = lambda x: int(x) * 64 if abs(x) >= 2.0**53 else math.floor(64 * x)
+    usable = [(i, [whole(x) for x in v]) for i, v in rows if all(math.isfinite(x) for x in v)]
+    want = set()
+    for q, v in usable:
+        if q % 20 == 0:
+            found = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in usable if i != q and len(w) == len(v))[:9]
+            want |= {(q, r, i, min(max(-s, -(2**63)), 2**63 - 1)) for r, (s, i) in enumerate(found, 1)}
+    assert got == want and {r[2] for r in got if r[0] == 200} == {201, 202, 203, 220}
+
+
 def naive_sets(texts):
     out = []
     for t in texts:
