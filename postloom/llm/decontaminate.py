@@ -248,22 +248,26 @@ def search(part: Part, keys: list, hashes: np.ndarray, first: np.ndarray, share:
             near.append(np.column_stack([text[hit], place[:, 0], starts[hit] - place[:, 1]]))
     near = np.unique(np.concatenate(near), axis=0) if near else np.empty((0, 3), np.int64)
     best: dict[tuple[int, int], tuple[int, int]] = {}
+    known: dict[int, tuple[bytes, list[int]]] = {}
     last = (-1, -1, 0)  # text, item and place that were compared last
     for text, i, at in near.tolist():
         own = part.items[i]
         n, begin, end = len(own), int(first[text]), int(first[text + 1])
         allowed = edits_allowed(share, n)
-        if best.get((text, i), (allowed + 1, 0))[0] == 0:
-            continue
-        if begin <= at and at + n <= end and np.array_equal(hashes[at : at + n], own):
+        if last[:2] == (text, i) and at - last[2] <= allowed or best.get((text, i), (1, 0))[0] == 0:
+            continue  # the region of the last one held every run that this hit may be part of, or no run can be nearer
+        if i not in known:
+            known[i] = own.tobytes(), own.tolist()
+        if begin <= at and at + n <= end and hashes[at : at + n].tobytes() == known[i][0]:
             best[text, i] = (0, at - begin)
             continue
-        if not allowed or last[:2] == (text, i) and at - last[2] <= allowed:  # the region then held every run that this hit may be part of
+        if not allowed:
             continue
         last = (text, i, at)
         lo = max(begin, at - 2 * allowed)
         region = hashes[lo : min(end, at + n + 3 * allowed)]
-        if n - np.isin(own, region).sum() > allowed:  # each such word is an edit
+        there = set(region.tolist())
+        if sum(w not in there for w in known[i][1]) > allowed:  # each such word is an edit
             continue
         distance, stop = edit_distance(own, region)
         if distance < best.get((text, i), (allowed + 1, 0))[0]:
