@@ -1,7 +1,8 @@
 """Main text of HTML pages by the distribution of text over blocks of lines.
 
 Markup becomes lines at the borders of block elements. Lines inside elements that never hold an article (menus, forms,
-footers and the like, by tag, role or class name) and lines that are mostly link text count as empty. The text lengths of a
+footers and the like, by tag, role or class name; by a name only as long as they don't hold most of the page's text) and lines
+that are mostly link text count as empty. The text lengths of a
 few consecutive lines are summed; where the sum surges the article begins, where it dives to nothing the article ends.
 """
 
@@ -23,134 +24,279 @@ WINDOW, SURGE = 3, 80
 # Element names of HTML by how they are treated.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "noembed", "noframes", "xmp")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "meta", "nobr", "q", "ruby", "rb", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+INLINE = {"a", "abbr", "acronym", "audio", "b", "bdi", "bdo", "big", "br", "button", "canvas", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "map", "mark", "math", "meta", "nobr", "object", "q", "ruby", "rb", "rp", "rt", "s", "samp", "select", "small", "span", "strike", "strong", "sub", "sup", "svg", "time", "tt", "u", "var", "video", "wbr"}
+FOREIGN = {"svg", "math"}
 NEVER = {"nav", "footer", "aside", "form", "head", "button", "select", "option", "menu", "dialog", "svg", "canvas", "object", "audio", "video", "map", "datalist", "fieldset"}
 ARTICLE = {"article", "main"}
+HOLDERS = {"article", "main", "body", "div", "section", "td", "blockquote", "center"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"}
-NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "adbox", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "paywall", "nav", "navbar", "navigation", "navi", "menu", "menus", "breadcrumb", "breadcrumbs", "pagination", "pager", "toc", "sidebar", "sidebars", "side", "aside", "rail", "widget", "widgets", "footer", "foot", "masthead", "topbar", "toolbar", "header", "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "discussion", "share", "sharing", "social", "related", "recommended", "recommendations", "skip", "copyright", "legal", "disclaimer", "announcement", "announcements", "toast", "promoted", "affiliate", "responses", "feedback", "guestbook"}
-#: Names beside "header" that make it the article's own.
+NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "adbox", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "paywall", "nav", "navbar", "navigation", "navi", "menu", "menus", "breadcrumb", "breadcrumbs", "pagination", "pager", "toc", "sidebar", "sidebars", "aside", "rail", "widget", "widgets", "footer", "foot", "masthead", "topbar", "toolbar", "header", "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "discussion", "share", "sharing", "social", "related", "recommended", "recommendations", "skip", "copyright", "legal", "disclaimer", "announcement", "announcements", "toast", "promoted", "affiliate", "responses", "feedback", "guestbook"}
+#: Names beside "header" that make it the article's own, and names that say what an element is not or goes with.
 OWN_HEADER = {"article", "post", "entry", "story", "content"}
+BESIDE = {"no", "not", "non", "without", "with", "has", "have", "is", "hide", "hides", "hidden", "enable", "enabled", "disable", "disabled", "open", "closed", "supports", "show", "left", "right", "beside", "wrap", "wrapper", "content", "article", "story", "entry", "body", "page", "main", "layout"}
+#: Names of reader comments, which may stand in article elements.
+COMMENTS = {"comment", "comments", "commentlist", "reply", "replies", "respond", "discussion", "responses", "guestbook"}
+#: Shares of a page's text beyond which an element isn't left out for a name that is one of several parts, or for any name.
+MOST_BY_PART, MOST_BY_NAME = 0.5, 0.9
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    rf"|<({'|'.join(RAW)})(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*(?:>|\Z)|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
-    re.S | re.I,
-)
-_NAME = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_OPEN = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"""[>"']""")
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*+"|'[^']*+'|[^\s"'>]++))?+|["']""")
+_WANTED = re.compile(r"class|id|role|hidden", re.I)
 _CAMEL = re.compile(r"([a-z])([A-Z])")
-_PART = re.compile(r"[a-z]+|\d+")
+_PART = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 
 
-def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
+def tokens(page: str) -> Iterator[tuple[str, bool, str, int, int]]:
+    """(element name, whether it closes, attributes, begin, end) of each piece of markup; no name for comments, declarations and raw text.
+
+    Each place is looked at a bounded number of times: what isn't closed anywhere behind a place isn't searched for again.
+    """
+    size, at = len(page), 0
+    missing: dict[str, bool] = {}
+
+    def find(what: str, start: int) -> int:
+        if missing.get(what):
+            return -1
+        k = page.find(what, start)
+        missing[what] = k < 0
+        return k
+
+    def tag_end(start: int) -> int:
+        while True:
+            m = _STOP.search(page, start)
+            if not m:
+                return -1
+            if m[0] == ">":
+                return m.end()
+            start = m.end()
+            before = m.start() - 1
+            while before >= 0 and page[before] in " \t\n\r\f" and m.start() - before < 9:
+                before -= 1
+            if page[before] == "=":  # a quoted value; quotes elsewhere are like letters
+                close = find(m[0], start)
+                start = close + 1 if close >= 0 else start
+
+    while True:
+        begin = page.find("<", at)
+        if begin < 0 or begin + 1 >= size:
+            return
+        mark = page[begin + 1]
+        if mark == "!" or mark == "?":
+            stop, skip = ("-->", 2) if page.startswith("<!--", begin) else ("]]>", 3) if page.startswith("<![CDATA[", begin) else (">", 1)
+            k = find(stop, begin + skip)
+            at = size if k < 0 else k + len(stop)
+            yield "", False, "", begin, at
+            continue
+        closing = mark == "/"
+        m = _OPEN.match(page, begin + 1 + closing)
+        if not m:
+            if closing and begin + 2 < size:
+                k = find(">", begin)
+                at = size if k < 0 else k + 1
+                yield "", False, "", begin, at
+            else:
+                at = begin + 1  # a "<" of the text
+            continue
+        at = tag_end(m.end())
+        if at < 0:  # the page ends inside this tag
+            yield "", False, "", begin, size
+            return
+        name = m[0].lower()
+        if name in _ENDS and not closing:
+            k = _ENDS[name].search(page, at)
+            stop = tag_end(k.end()) if k else -1
+            at = size if stop < 0 else stop
+            yield "", False, "", begin, at
+            continue
+        yield name, closing, page[m.end() : at - 1], begin, at
+
+
+def _parts(token: str) -> list[str]:
+    return _PART.findall(_CAMEL.sub(r"\1-\2", token).lower())
+
+
+def unwanted(tag: str, attributes: str, inside_article: bool) -> float:
+    """The share of a page's text beyond which the element is kept all the same; 0 for one that is never left out, 2 for one that always is."""
     if tag in NEVER or tag == "header" and not inside_article:
-        return True
-    if not attributes or tag in ("html", "body", *ARTICLE):
-        return False
-    for kind, *values in _NAME.findall(attributes):
-        value = _CAMEL.sub(r"\1-\2", next((v for v in values if v), "")).lower()
-        if kind.lower() == "hidden" or kind.lower() == "aria-hidden" and value == "true":
-            return True
-        if kind.lower() == "role" and value in ROLES:
-            return True
-        if kind.lower() in ("class", "id"):
-            parts = _PART.findall(value)
-            own = inside_article or not OWN_HEADER.isdisjoint(parts)
-            if any(x in NAMES and not (x == "header" and own) for x in parts):
-                return True
-    return False
-
-
-def page_lines(page: str) -> list[tuple[str, int, int]]:
-    """(text, characters of link text, element) of the page's lines in order; element is 1 in an article element, 0 elsewhere, -1 where no article can be.
-
-    A line that is -1 has no text: it marks the place of what was left out, once for neighbours.
+        return 2
+    most = MOST_BY_PART if tag == "article" and inside_article else 0  # articles in an article are its readers' comments
+    if not attributes or tag in ("html", "body") or not _WANTED.search(attributes):
+        return most
+    for m in _ATTRIBUTE.finditer(attributes):
+        kind, value = (m[1] or "").lower(), (m[2] or "").strip("\"'")
+        if kind == "hidden" and value.lower() != "until-found" or kind == "aria-hidden" and value.lower() == "true":
+            return 2
+        if tag in ARTICLE and kind in ("class", "id"):
+            for token in value.split():
+                parts = _parts(token)
+                if parts and parts[0] in COMMENTS and BESIDE.isdisjoint(parts[:-1]):
+                    most = max(most, MOST_BY_NAME)
+        elif kind == "role" and value.lower() in ROLES and tag not in ARTICLE:
+            return 2
+        elif kind in ("class", "id") and tag not in ARTICLE:
+            tokens_of = [_parts(token) for token in value.split()]
+            own = inside_article or any(not OWN_HEADER.isdisjoint(parts) for parts in tokens_of)
+            for parts in tokens_of:
+                if not any(x in NAMES and not (x == "header" and own) for x in parts):
+                    continue
+                if len(parts) == 1:
+                    most = max(most, MOST_BY_NAME)
+                elif BESIDE.isdisjoint(parts[:-1]) and (parts[-1] in NAMES or BESIDE.isdisjoint(parts)) or parts[-1] in NAMES and parts[0] in ("left", "right", "main", "page", "article", "content", "entry", "story"):
+                    most = max(most, MOST_BY_PART)
+    return most
+
+
+def page_lines(page: str) -> list[tuple[str, int, int, int]]:
+    """(text, characters of link text, kind, holder) of the page's lines in order; kind is 1 in an article element, 0 elsewhere, -1 where no article can be.
+
+    A line that is -1 has no text: it marks the place of what was left out, once for neighbours. Lines of one holder stand
+    directly, but for lists and headings, in the same element.
     """
-    lines: list[tuple[str, int, int]] = []
+    lines: list[tuple[str, int, int, int, int, int]] = []  # text, links, in an article, holder, always left out, innermost element that may be
     words: list[str] = []
-    state = {"links": 0}
-    stack: list[tuple[str, bool]] = []  # open elements that count: unwanted ones, articles and links
-    unwanted = articles = anchors = 0
+    stack: list[tuple[str, float, int]] = []  # name, share beyond which it is kept, its number if it may be left out
+    places: dict[str, list[int]] = {}
+    blocks: list[int] = []
+    holders: list[int] = [0]
+    soft: list[int] = [-1]
+    shares: list[tuple[float, int]] = []  # and the element around it that may be left out
+    state = {"links": 0, "anchor": -1, "articles": 0, "never": 0, "holder": 0}
 
     def flush() -> None:
         if words:
             text = _SPACE.sub(" ", "".join(words)).strip()
             if text:
-                lines.append((text, state["links"], int(articles > 0)))
+                lines.append((text, state["links"], int(state["articles"] > 0), holders[-1], state["never"], soft[-1]))
             words.clear()
         state["links"] = 0
 
+    def mark() -> None:
+        lines.append(("", 0, 0, holders[-1], state["never"], soft[-1]))
+
     def take(raw: str) -> None:
-        if raw and not unwanted:
+        if raw and not state["never"]:
             text = html.unescape(raw) if "&" in raw else raw
             words.append(text)
-            if anchors:
+            if state["anchor"] >= 0:
                 state["links"] += len(text.strip())
 
+    def push(name: str, most: float) -> None:
+        places.setdefault(name, []).append(len(stack))
+        if name not in INLINE:
+            blocks.append(len(stack))
+        number = -1
+        if most >= 2:
+            if not state["never"] and name not in INLINE:
+                flush()
+            state["never"] += 1
+            if state["never"] == 1 and name not in INLINE:
+                mark()
+        elif most:
+            flush()
+            number = len(shares)
+            shares.append((most, soft[-1]))
+            soft.append(number)
+            mark()
+        if name in ARTICLE and not most:
+            state["articles"] += 1
+        if name in HOLDERS:
+            state["holder"] += 1
+            holders.append(state["holder"])
+        stack.append((name, most, number))
+
+    def pop(k: int) -> None:
+        """Close the elements from place k on."""
+        while len(stack) > k:
+            name, most, number = stack.pop()
+            places[name].pop()
+            if name not in INLINE:
+                blocks.pop()
+            if most >= 2 and name not in INLINE or number >= 0:
+                flush()
+            if most >= 2:
+                state["never"] -= 1
+            elif number >= 0:
+                soft.pop()
+            if name in ARTICLE and not most:
+                state["articles"] -= 1
+            if name in HOLDERS:
+                holders.pop()
+            if len(stack) <= state["anchor"]:
+                state["anchor"] = -1
+
     at = 0
-    for m in _TOKEN.finditer(page):
-        take(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or m[6] or "").lower()
+    for tag, closing, attributes, begin, end in tokens(page):
+        take(page[at:begin])
+        at = end
         if not tag:  # a comment, a declaration or an element of raw text, which leave the block as it is
             continue
-        if m[6] and not m[0].endswith(">"):
-            continue  # the page ends inside this tag
-        closing, attributes = bool(m[2] or m[5]), (m[4] or m[7] or "")
-        if tag not in INLINE:
+        inline = tag in INLINE
+        if tag == "br":
+            take(" ")
+        elif not inline:
             flush()
         if closing:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if k is not None and not (tag == "p" and k < len(stack) - 1):
-                for name, bad in stack[k:]:
-                    if bad:
-                        unwanted -= 1
-                    elif name in ARTICLE:
-                        articles -= 1
-                    elif name == "a":
-                        anchors -= 1
-                del stack[k:]
-        elif tag not in VOID and not attributes.rstrip().endswith("/"):
-            bad = _unwanted(tag, attributes, articles > 0)
-            if bad:
-                if not unwanted:
-                    flush()
-                    if not lines or lines[-1][2] != -1:
-                        lines.append(("", 0, -1))
-                unwanted += 1
-                stack.append((tag, True))
-            elif tag in ARTICLE:
-                articles += 1
-                stack.append((tag, False))
-            elif tag == "a":
-                if anchors and stack and stack[-1][0] == "a":  # links don't nest
-                    stack.pop()
-                    anchors -= 1
-                anchors += 1
-                stack.append((tag, False))
-            elif stack:
-                stack.append((tag, False)) if tag == "div" or any(tag == s[0] for s in stack) else None
+            k = places[tag][-1] if places.get(tag) else -1
+            if tag == "a":
+                state["anchor"] = -1
+            elif k >= 0 and (not inline or not blocks or blocks[-1] < k):
+                pop(k)
+        elif tag not in VOID and not (tag in FOREIGN and attributes.endswith("/")):
+            if not inline and blocks and stack[blocks[-1]][0] == "p":
+                pop(blocks[-1])  # a paragraph ends where another block begins
+            if tag in ("li", "dt", "dd", "tr", "td", "th") and blocks and stack[blocks[-1]][0] == tag:
+                pop(blocks[-1])
+            if tag == "a":
+                state["anchor"] = len(stack)
+            most = unwanted(tag, attributes, state["articles"] > 0)
+            if tag != "a" or most:
+                push(tag, most)
     take(page[at:])
     flush()
-    return lines
+    return _kept(lines, shares)
+
+
+def _kept(lines: list[tuple], shares: list[tuple[float, int]]) -> list[tuple[str, int, int, int]]:
+    """Without the lines of elements that are left out; an element that holds most of the text is kept, its elements decided anew."""
+    held = [0] * len(shares)
+    for text, *_, within in lines:
+        if within >= 0:
+            held[within] += len(text)
+    for number in range(len(shares) - 1, -1, -1):  # elements come after those around them
+        if shares[number][1] >= 0:
+            held[shares[number][1]] += held[number]
+    total = sum(len(line[0]) for line in lines)
+    out: list[bool] = []
+    for n, (most, around) in zip(held, shares, strict=True):
+        out.append(around >= 0 and out[around] or n <= most * total)
+    kept: list[tuple[str, int, int, int]] = []
+    for text, links, article, holder, never, within in lines:
+        gone = never or within >= 0 and out[within]
+        if gone and (not kept or kept[-1][2] != -1):
+            kept.append(("", 0, -1, -1))
+        elif text and not gone:
+            kept.append((text, links, article, holder))
+    return kept
 
 
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     """The article of a page: lines between the surge and the dive of the windows' text lengths, joined by line feeds.
 
-    Where the page has article elements, only they count. A page whose windows never surge gives its longest run.
+    Where the page has article elements, only they count. A page whose windows never surge gives its longest run. Lines of
+    links between two lines of an article, and the text behind them in the same element, belong to it.
     """
     lines = page_lines(page)
-    if any(kind == 1 for *_, kind in lines):
+    if any(kind == 1 for _, _, kind, _ in lines):
         lines = [line for line in lines if line[2] != 0]
-    sizes = [0 if kind == -1 or 2 * links > len(text) and kind == 0 else len(text) for text, links, kind in lines]
+    sizes = [0 if kind == -1 or 2 * links > len(text) and kind == 0 else len(text) for text, links, kind, _ in lines]
     if not any(sizes):
         return ""
     sums = [sum(sizes[i : i + window]) for i in range(len(sizes))]
     level = min(surge, max(sums))
-    spans: list[tuple[int, int]] = []
+    taken: list[int] = []
     i = 0
     while i < len(sums):
         if sums[i] >= level:
@@ -160,12 +306,21 @@ def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
             end = i
             while end < len(sums) and sums[end]:  # the dive
                 end += 1
-            while any(sizes[max(0, first - window) : first]):  # short lines before the surge, such as a heading
+            least = taken[-1] + 1 if taken else 0
+            while first > least and any(sizes[max(least, first - window) : first]):  # short lines before the surge, such as a heading
                 first -= 1
-            spans.append((first, end))
-            i = end
-        i += 1
-    return "\n".join(text for a, b in spans for (text, *_), size in zip(lines[a:b], sizes[a:b], strict=True) if size)
+            last = max((k for k in range(first, min(end, len(sizes))) if sizes[k]), default=first)
+            around = {lines[k][3] for k in range(first, last + 1) if sizes[k]}
+            k = last + 1
+            while k < len(lines) and lines[k][2] != -1 and (lines[k][3] in around):  # text behind links, in the same element
+                if sizes[k]:
+                    last = k
+                k += 1
+            taken += [k for k in range(first, last + 1) if sizes[k] or lines[k][0] and lines[k][3] in around]
+            i = max(end, last + 1)
+        else:
+            i += 1
+    return "\n".join(lines[k][0] for k in taken)
 
 
 def _extract(window: int, surge: int):

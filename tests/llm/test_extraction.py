@@ -1,3 +1,5 @@
+from html.parser import HTMLParser
+
 import pytest
 
 from postloom.llm.extraction import extract, main_text
@@ -26,7 +28,7 @@ def test_pages_without_article():
 def test_cut_pages_and_odd_markup():
     assert main_text("<article><p>One two.</p><p>Three &am").split("\n") == ["One two.", "Three &am"]
     assert main_text("<article><p>One two.</p><p cla") == "One two."
-    assert main_text("<article><p>a < b and c > d</p><P>Next<BR>line</P></article>").split("\n") == ["a < b and c > d", "Next", "line"]
+    assert main_text("<article><p>a < b and c > d</p><P>Next<BR>line</P></article>").split("\n") == ["a < b and c > d", "Next line"]
     assert main_text('<article><p title="a > b">x</p></article>') == "x"
     assert main_text("<article><p>&#233;&#x41;&zzz;</p></article>") == "éA&zzz;"
     assert main_text("<article><p>before<script>x</script> after</p></article>") == "before after"
@@ -49,3 +51,105 @@ def test_short_lines_around_what_is_left_out_stay():
     page = "<article><h1>T</h1><div class=ad>x</div><p>S.</p><p>" + WORDS + "</p>" + "<aside>a</aside><form>f</form><div class=adSlot>x</div>" * 3 + "<p>End.</p></article>"
     assert main_text(page).split("\n") == ["T", "S.", WORDS.strip(), "End."]
     assert main_text(page.replace("article>", "div>")).split("\n") == ["T", "S.", WORDS.strip(), "End."]
+
+
+ARTICLE = f"<h1>Title</h1><p>{WORDS}</p><p>{WORDS}</p>"
+
+
+@pytest.mark.parametrize(
+    "attributes",
+    ['style="overflow:hidden"', 'data-hidden="false"', 'data-id="comment"', 'class="no-sidebar"', 'class="content with-sidebar"', 'class="left-side"', "class=has-comments", 'title="a class=ad here"', 'class="content-sidebar-wrap"', "id=nav", 'class="comments"', 'class="post comments-open"', 'class="article-with-ads"'],
+)
+@pytest.mark.parametrize("tag", ["div", "article", "section", "main"])
+def test_attributes_that_do_not_delete_the_article(tag, attributes):
+    """Some say nothing about the element, others name something else, and no name deletes nearly all of a page."""
+    page = f"<body><nav><a href=/>Home</a></nav><{tag} {attributes}>{ARTICLE}</{tag}><footer>{WORDS}</footer></body>"
+    assert main_text(page).split("\n") == ["Title", WORDS.strip(), WORDS.strip()]
+
+
+@pytest.mark.parametrize("attributes", ["class=comments", "id=sidebar", 'class="site-footer"', 'class="cookie-banner"', "class=adSlot", 'class="widget related-posts"', "hidden", "aria-hidden=true", "role=navigation", 'class = "ad"', "CLASS='Newsletter'", 'class="comment-list"', 'class="main-nav"'])
+def test_attributes_that_delete(attributes):
+    for page in (f"<div>{ARTICLE}</div><div {attributes}><p>{WORDS}</p></div>", f"<div><div {attributes}><p>{WORDS}</p></div>{ARTICLE}</div>"):
+        assert main_text(page).split("\n") == ["Title", WORDS.strip(), WORDS.strip()]
+
+
+def test_reader_comments_in_article_elements():
+    comment = f"<p>{WORDS}</p>"
+    for page in (
+        f"<article>{ARTICLE}<section id=discussion><article>{comment}</article></section></article>",
+        f"<article>{ARTICLE}</article><article class='comment depth-1'>{comment}</article><article class=comment>{comment}</article>",
+        f"<article>{ARTICLE}<article>{comment}</article></article>",
+        f"<main><article>{ARTICLE}</article><div class=comments><article>{comment}</article></div></main>",
+    ):
+        assert main_text(page).split("\n") == ["Title", WORDS.strip(), WORDS.strip()], page
+
+
+def test_closing_paragraph_behind_links():
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Source {i}</a></li>" for i in range(3)) + "</ul>"
+    lines = ["Title", WORDS.strip(), WORDS.strip(), "Source 0", "Source 1", "Source 2", "The end."]
+    assert main_text(f"<article>{ARTICLE}{links}<p>The end.</p></article>").split("\n") == lines
+    assert main_text(f"<div>{ARTICLE}{links}<p>The end.</p></div><div>About us</div><footer>x</footer>").split("\n")[: len(lines)] == lines
+
+
+def test_slashes_in_tags():
+    assert main_text(f"<nav class=x/><a href=/foo/>Home</a> sweet</nav><div>{ARTICLE}</div>").split("\n")[0] == "Title"
+    assert main_text(f"<ul><li><a href=/foo/>Go home</a></li></ul><hr><hr><div>{ARTICLE}</div>").split("\n")[-3:] == ["Title", WORDS.strip(), WORDS.strip()]
+    assert main_text("<article><p>a<svg/>b<svg><g/><text>no</text></svg>c</p></article>") == "abc"
+
+
+HOSTILE = ["<script", "<div><p></b>", "<a href='", '<a href="', "<!--", "<![CDATA[", "</", "<", "<div", "<i><div></i>", "<nav>", "</div>", "<a \" ", "<p class='", "&#", "&amp", "<li>", "<script>", "<td><ul>", "<article>", "<div class=ad>", "= '"]
+
+
+@pytest.mark.parametrize("piece", HOSTILE)
+def test_hostile_pages_take_linear_time(piece):
+    import time
+
+    page = f"<article><p>{WORDS}</p></article>" + piece * (300_000 // len(piece))
+    began = time.process_time()
+    main_text(page)
+    main_text(page.replace("</article>", ""))
+    assert time.process_time() - began < 10
+
+
+class Reader(HTMLParser):
+    """A plain second reading of pages: text by block of the article elements, without what is left out by tag."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.words, self.inside, self.skip = [], [], 0, 0
+
+    def flush(self):
+        text = " ".join("".join(self.words).split())
+        if text:
+            self.blocks.append(text)
+        self.words = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.words.append(" ")
+        elif tag not in ("b", "i", "a", "span", "em"):
+            self.flush()
+        self.inside += tag == "article"
+        self.skip += tag in ("script", "style", "aside", "form")
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "i", "a", "span", "em"):
+            self.flush()
+        self.inside -= tag == "article"
+        self.skip -= tag in ("script", "style", "aside", "form")
+
+    def handle_data(self, data):
+        if self.inside and not self.skip:
+            self.words.append(data)
+
+
+def test_pages_of_the_tables_against_a_second_reading(spark, data):
+    rows = extract(spark.read.parquet(f"{data}/pages.parquet")).collect()
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
+    assert len(rows) == len(pages)
+    for r in rows:
+        reader = Reader()
+        reader.feed(pages[r.page_id] or "")
+        reader.close()
+        reader.flush()
+        assert r.text.split("\n") == (reader.blocks or [""]) and r.n_chars == len(r.text)
