@@ -236,7 +236,7 @@ def page_lines(page: str) -> list[tuple[str, int, int, int]]:
         inline = tag in INLINE
         if tag == "br":
             take(" ")
-        elif not inline:
+        elif not inline and not state["never"]:
             flush()
         if closing:
             k = places[tag][-1] if places.get(tag) else -1
