@@ -242,10 +242,11 @@ def page_lines(page: str) -> list[tuple[str, int, int, int]]:
             k = places[tag][-1] if places.get(tag) else -1
             if tag == "a":
                 state["anchor"] = -1
-            elif k >= 0 and (not inline or not blocks or blocks[-1] < k):
+            elif k >= 0 and (not inline or not blocks or blocks[-1] < k or stack[k][1] >= 2):
                 pop(k)
         elif tag not in VOID and not (tag in FOREIGN and attributes.endswith("/")):
-            if not inline and blocks and stack[blocks[-1]][0] == "p":
+            drawing = any(places.get(x) for x in FOREIGN)
+            if not inline and not drawing and blocks and stack[blocks[-1]][0] == "p":
                 pop(blocks[-1])  # a paragraph ends where another block begins
             if tag in ("li", "dt", "dd", "tr", "td", "th") and blocks and stack[blocks[-1]][0] == tag:
                 pop(blocks[-1])

@@ -126,12 +126,12 @@ def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, rounds:
     if n := left.pop(capacity, 0):
         plan[(capacity,)] = n
     for _ in range(3):
-        if sum(left.values()) < 50:
+        if not left:
             break
         placed = 0
         for pattern, amount in configuration_lp(left, capacity, rounds):
             parts = Counter(pattern)
-            whole = min(int(amount + 1e-9), *(left.get(x, 0) // k for x, k in parts.items()))
+            whole = min(int(amount + 0.5), *(left.get(x, 0) // k for x, k in parts.items()))
             if whole > 0 and sum(pattern) >= capacity - 1:
                 plan[pattern] += whole
                 placed += whole
