@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -87,33 +88,67 @@ def drop_links(text: Column) -> Column:
     return F.regexp_replace(text, r"http\S+", "")
 
 
-def _accents() -> tuple[str, str]:
-    """Every letter of the basic plane that Unicode names "X WITH ...", and X."""
-    with_mark, plain = [], []
-    for point in range(0x80, 0x2000):
-        name = unicodedata.name(chr(point), "")
-        head, mark, _ = name.partition(" WITH ")
-        if mark:
-            try:
-                base = unicodedata.lookup(head)
-            except KeyError:
-                continue
-            with_mark.append(chr(point))
-            plain.append(base)
-    return "".join(with_mark), "".join(plain)
+#: Small letters whose stroke, hook, tail or the like isn't a mark of its own in Unicode, by their plain letter.
+STROKES = {
+    "a": "ᶏẚⱥ",
+    "b": "ƀƃɓᵬᶀꞗ",
+    "c": "ƈȼɕꞓꞔ",
+    "d": "đƌȡɖɗᵭᶁᶑꟈ",
+    "e": "ɇᶒⱸꬴ",
+    "f": "ƒᵮᶂꞙ",
+    "g": "ǥɠᶃꞡ",
+    "h": "ħɦⱨꞕ",
+    "i": "ɨᶖ",
+    "j": "ɉʝ",
+    "k": "ƙᶄⱪꝁꝃꝅꞣ",
+    "l": "ŀłƚȴɫɬɭᶅⱡꝉꞎꬷꬸꬹ",
+    "m": "ɱᵯᶆꬺ",
+    "n": "ƞȵɲɳᵰᶇꞑꞥꬻ",
+    "o": "øⱺꝋꝍ",
+    "p": "ƥᵱᵽᶈꝑꝓꝕ",
+    "q": "ɋʠꝗꝙ",
+    "r": "ɍɼɽɾᵲᵳᶉꞧꭉ",
+    "s": "ȿʂᵴᶊꞩꟊ",
+    "t": "ŧƫƭȶʈᵵⱦ",
+    "u": "ᶙꞹꭎꭒ",
+    "v": "ʋᶌⱱⱴꝟ",
+    "w": "ⱳ",
+    "x": "ᶍꭖꭗꭘꭙ",
+    "y": "ƴɏỿꭚ",
+    "z": "ƶȥɀʐʑᵶᶎⱬ",
+}
+#: Letters of an alphabet of their own, though Unicode writes them as a letter and a mark or as capitals of others.
+OWN_LETTERS = "ЁёЃѓЇїЌќЎўЙйϓϔ\u212bƉɊ"
+
+
+@cache
+def _plain_letters() -> tuple[str, str]:
+    """All letters that are a plain letter with marks, or in STROKES (also as capitals), and their plain letters, in two strings."""
+    plain = {marked: letter for letter, row in STROKES.items() for marked in row}
+    plain |= {marked.upper(): letter.upper() for marked, letter in plain.items() if len(marked.upper()) == 1 and marked.upper() not in (marked, *OWN_LETTERS)}
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        apart = unicodedata.normalize("NFD", c)
+        if len(apart) > 1 and c not in OWN_LETTERS and unicodedata.category(c)[0] == "L" and min(map(unicodedata.combining, apart[1:])) >= 200:
+            plain[c] = plain.get(apart[0], apart[0])
+    return "".join(plain), "".join(plain.values())
 
 
 def unaccent(text: Column) -> Column:
-    """Combining marks dropped, letters with marks replaced by their base letters."""
-    return F.translate(F.regexp_replace(text, r"\p{M}", ""), *_accents())
+    """Combining marks dropped, letters with marks or strokes replaced by their plain letters, on all planes.
+
+    Marks are those above, below or beside a letter; signs that are part of a letter in its script (nuktas, voicing, vowels)
+    stay where they are one character with it.
+    """
+    return F.translate(F.regexp_replace(text, r"\p{M}", ""), *_plain_letters())
 
 
-#: Letters of Romance and German texts and their plain forms.
-LATIN, PLAIN = "áàãâäéèêëíìîïóòõôöúùûüñç", "aaaaaeeeeiiiiooooouuuunc"
+#: Accented small letters of Spanish and Portuguese that are replaced, and their plain forms.
+LATIN, PLAIN = "áàãéêèíòóõúüñç", "aaaeeeiooouunc"
 
 
-def unaccent_latin(text: Column) -> Column:
-    return F.translate(text, LATIN, PLAIN)
+def unaccent_latin(text: Column, marked: str = LATIN, plain: str = PLAIN) -> Column:
+    """The letters of ``marked`` replaced by those of ``plain``, all others as they are."""
+    return F.translate(text, marked, plain)
 
 
 def keep_alnum(text: Column) -> Column:
@@ -132,11 +167,43 @@ def tokens_space(text: Column) -> Column:
     return F.split(text, " ")
 
 
-def tokens_social(text: Column) -> Column:
-    """Tokens after addresses, users, tags and numbers are replaced by marks."""
-    steps = ((r"https?://\S+", "<url>"), (r"[\w.+-]+@[\w-]+\.[\w.]+", "<email>"), (r"@\w+", "<user>"), (r"#(\w+)", "<hashtag> $1"), (r"\b\d+([.,]\d+)*\b", "<number>"))
+#: Contractions of English, as patterns, and what they are short for; whole words first.
+CONTRACTIONS = (
+    (r"\bcan't\b", "can not"),
+    (r"\bwon't\b", "will not"),
+    (r"\bshan't\b", "shall not"),
+    (r"\blet's\b", "let us"),
+    (r"n't\b", " not"),
+    (r"'re\b", " are"),
+    (r"'ve\b", " have"),
+    (r"'ll\b", " will"),
+    (r"'d\b", " would"),
+    (r"'m\b", " am"),
+    (r"\b(it|he|she|that|what|there|here|who|where)'s\b", "$1 is"),
+)
+#: Emoticons, as patterns in lower case, and their marks.
+HEART, EMOTICONS = (r"<3", " <heart> "), ((r"[:;=]-?[)\]d](?=\s|$)", " <happy> "), (r"[:=]-?[(\[](?=\s|$)", " <sad> "), (r"[:;=]-?p(?=\s|$)", " <tong> "), (r":-?/(?=\s|$)", " <annoyed> "), (r"[:=]-?o(?=\s|$)", " <surprise> "))
+
+
+def tokens_social(text: Column, words: set[str] | None = None) -> Column:
+    """Tokens after addresses, users, tags, numbers and emoticons are replaced by marks and contractions are written out.
+
+    With a bounded list of ``words``, a tag that is made of two of them becomes those two.
+    """
+    steps = [HEART, (r"https?://\S+", "<url>"), (r"[\w.+-]+@[\w-]+\.[\w.]+", "<email>"), (r"@\w+", "<user>"), (r"#(\w+)", "<hashtag> $1 </hashtag>"), (r"\b\d+([.,]\d+)*\b", "<number>"), ("\u2019", "'"), *CONTRACTIONS, *EMOTICONS]
     out = reduce(lambda c, s: F.regexp_replace(c, *s), steps, F.lower(text))
-    return F.filter(F.split(out, r"\s+"), lambda t: t != "")
+    tokens = F.filter(F.split(out, r"\s+"), lambda t: t != "")
+    if not words:
+        return tokens
+    known = F.array(*map(F.lit, sorted(words)))
+
+    def cut(t: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.array_contains(known, F.substring(t, F.lit(1), i)) & F.array_contains(known, F.substring(t, i + 1, F.length(t))))
+        k = F.get(places, F.lit(0))
+        return F.when(F.array_contains(known, t) | k.isNull(), F.array(t)).otherwise(F.array(F.substring(t, F.lit(1), k), F.substring(t, k + 1, F.length(t))))
+
+    tagged = lambda t, i: F.when(F.get(tokens, i - 1) == "<hashtag>", cut(t)).otherwise(F.array(t))
+    return F.flatten(F.transform(tokens, tagged))
 
 
 def skipgrams(tokens: Column, n: int, gap: int | None = None) -> Column:

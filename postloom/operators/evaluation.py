@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from postloom.session import checkpoint
+
 
 def majority(votes: DataFrame, item: str, kind: str, worker: str, score: str) -> DataFrame:
     """item, kind, winner: the strictly most frequent score of at least two workers; a worker votes once, with the least score."""
@@ -22,12 +26,18 @@ def complete(winners: DataFrame, item: str, kind: str, kinds: list[str]) -> Data
     return wide.na.drop(subset=kinds)
 
 
-def attention(checks: DataFrame, worker: str, order: str, answer: str, expected: list[str]) -> DataFrame:
-    """worker, answers in order and how many are as expected."""
-    rows = checks.groupBy(worker).agg(F.array_sort(F.collect_list(F.struct(order, answer))).alias("a"))
-    answers = F.transform("a", lambda x: x[answer])
-    right = F.size(F.filter(F.zip_with(answers, F.array(*map(F.lit, expected)), lambda x, y: x.eqNullSafe(y)), lambda ok: ok))
-    return rows.select(worker, F.array_join(answers, "").alias("answers"), right.alias("n_right"))
+def attention(checks: DataFrame, worker: str, order: str, answer: str, expected: list[str], blocks: tuple[tuple[int, ...], ...], least: int = 0) -> DataFrame:
+    """worker, answers in order of the checks (``_`` between them) and class; workers of a class below ``least`` are dropped.
+
+    Checks are numbered from 0; a missing or null answer is empty, and of several the least counts. ``blocks`` holds the two
+    groups of checks that catch careless workers. Class 3: all answers as expected; 2: both groups are; 1: one group is; 0: none.
+    """
+    slots = [F.coalesce(F.min(F.when(F.col(order) == k, F.col(answer))), F.lit("")) for k in range(len(expected))]
+    rows = checks.groupBy(worker).agg(F.array(*slots).alias("_a"))
+    right = F.zip_with("_a", F.array(*map(F.lit, expected)), lambda x, y: x == y)
+    passed = [reduce(lambda a, b: a & b, (F.element_at(right, k + 1) for k in block)) for block in blocks]
+    kind = F.when(F.forall(right, lambda ok: ok), 3).when(reduce(lambda a, b: a & b, passed), 2).when(reduce(lambda a, b: a | b, passed), 1).otherwise(0)
+    return rows.select(worker, F.array_join("_a", "_").alias("answers"), kind.cast("int").alias("class")).filter(F.col("class") >= least)
 
 
 def precision(label: Column, inside: Column, least: int = 2) -> Column:
@@ -87,14 +97,30 @@ def kendall(rows: DataFrame, a: str, b: str, block: int = 2048) -> DataFrame:
     return total.unionByName(apart).agg((2 * F.sum("s") / (n * (n - 1))).alias("tau"), F.avg("d").alias("mse"))
 
 
-def bootstrap_means(rows: DataFrame, key: str, value: str, rounds: int) -> DataFrame:
-    """round and mean under Poisson(1) weights, drawn from a hash of row and round."""
-    # Cumulated Poisson(1) probabilities.
-    cumulated = (0.36788, 0.73576, 0.91970, 0.98101, 0.99634, 0.99941)
-    u = F.pmod(F.xxhash64(F.col(key), F.col("round")), F.lit(1 << 30)) / float(1 << 30)
-    weight = sum((F.when(u > c, 1).otherwise(0) for c in cumulated), F.lit(0))
-    drawn = rows.select(key, value, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("w", weight)
-    return drawn.groupBy("round").agg(F.try_divide(F.sum(F.col(value) * F.col("w")), F.sum("w")).alias("mean"))
+def bootstrap_draws(rows: DataFrame, key: str, label: str, rounds: int) -> DataFrame:
+    """``round`` and the rows drawn in it: as many positives as there are, with replacement, and as many negatives.
+
+    A round's negatives are drawn with replacement from a run of as many in an order by digest, which begins at a place of its
+    own in each round. All places are digests of round and draw, so a rerun draws the same; nulls take no part.
+    """
+    from postloom.operators.retrieval import RANGE_ROWS, hash_order, hash_place, ranked
+
+    spark = rows.sparkSession
+    sides, sizes = [], []
+    for k in (1, 0):
+        side = rows.filter(F.col(label) == k).withColumn("_order", hash_order(F.col(key))).withColumn("_none", F.lit(0.0))
+        # ranked by rising digest: no score tells rows apart
+        sides.append(ranked(side, "_none", "_order").withColumn("_i", F.col("rank") - 1).drop("rank", "_order", "_none"))
+        sizes.append(side.count())
+    n, out = min(sizes), []
+    for k, name in ((0, "p"), (1, "n")):
+        size, times = sizes[k], sizes[0] if k == 0 else n
+        draws = spark.range(rounds * times, numPartitions=max(1, rounds * times // RANGE_ROWS)).select((F.floor(F.col("id") / max(times, 1)) + 1).cast("long").alias("round"), (F.col("id") % max(times, 1)).alias("j"))
+        at = hash_place(F.concat_ws(":", F.lit(name), "round", "j"), max(times, 1))
+        if k:
+            at = (hash_place(F.concat_ws(":", F.lit("start"), "round"), max(size, 1)) + at) % max(size, 1)
+        out.append(draws.select("round", at.alias("_i")).join(sides[k], "_i").drop("_i"))
+    return out[0].unionByName(out[1])
 
 
 def platt(rows: DataFrame, x: str, y: str, by: str, steps: int = 25) -> DataFrame:
@@ -103,14 +129,12 @@ def platt(rows: DataFrame, x: str, y: str, by: str, steps: int = 25) -> DataFram
     Null where a group has one label only. All groups take their steps together; a step is one aggregation.
     """
     fits = rows.groupBy(by).agg(F.min(y).alias("_lo"), F.max(y).alias("_hi")).filter("_lo < _hi").select(by, F.lit(0.0).alias("slope"), F.lit(0.0).alias("intercept"))
-    spark = rows.sparkSession
-    schema = fits.schema
     for _ in range(steps):
         z = F.col("slope") * F.col(x) + F.col("intercept")
         p = 1 / (1 + F.exp(-z))
-        parts = rows.join(F.broadcast(fits), by).withColumns({"_p": p, "_w": p * (1 - p)})  # a row a group
+        parts = rows.join(fits, by).withColumns({"_p": p, "_w": p * (1 - p)})
         s = parts.groupBy(by, "slope", "intercept").agg(*(F.sum(e).alias(n) for n, e in (("ga", (F.col(y) - F.col("_p")) * F.col(x)), ("gb", F.col(y) - F.col("_p")), ("haa", F.col("_w") * F.col(x) * F.col(x)), ("hab", F.col("_w") * F.col(x)), ("hbb", F.col("_w")))))
         d = F.col("haa") * F.col("hbb") - F.col("hab") * F.col("hab")
         step = s.select(by, (F.col("slope") + F.try_divide(F.col("hbb") * F.col("ga") - F.col("hab") * F.col("gb"), d)).alias("slope"), (F.col("intercept") + F.try_divide(F.col("haa") * F.col("gb") - F.col("hab") * F.col("ga"), d)).alias("intercept"))
-        fits = spark.createDataFrame(step.collect(), schema)  # a row for each group
+        fits = checkpoint(step)
     return fits

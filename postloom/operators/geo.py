@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postloom.session import checkpoint
+
 
 def inside(x: Column, y: Column, ring: Column) -> Column:
     """Whether the point is in the ring (array of struct x, y, closed or not) or on its edge."""
@@ -36,16 +38,33 @@ def haversine(lat: Column, lon: Column, other_lat: Column, other_lon: Column) ->
     return 2 * 6371.0088 * F.asin(F.sqrt(F.pow(F.sin(dlat), 2) + F.cos(F.radians(lat)) * F.cos(F.radians(other_lat)) * F.pow(F.sin(dlon), 2)))
 
 
-def nearest(points: DataFrame, places: DataFrame, cell: float, rings: int = 1) -> DataFrame:
-    """Each point (point_id, x, y) with the nearest place (place_id, px, py) in its grid cell and ``rings`` cells around it.
+def nearest(points: DataFrame, places: DataFrame, cell: float, grow: int = 4) -> DataFrame:
+    """Each point (point_id, x, y) with the nearest place (place_id, px, py) and the distance; ties go to the least place_id.
 
-    Cells at least as wide as the distance that matters make this exact for places within ``rings`` cells; ties go to
-    the least place_id. Points without a place near are left out.
+    A point meets the places of its grid cell and of the eight around it. Where the nearest of them is no farther than a
+    cell is wide, no other place is nearer; the points left over meet wider cells, until one cell covers all. Points without
+    coordinates have no row, and there are none without places; of rows that share a point_id the least distance counts.
     """
-    spread = F.sequence(F.lit(-rings), F.lit(rings))
-    around = places.withColumns({"bx": F.floor(F.col("px") / cell), "by": F.floor(F.col("py") / cell)})
-    around = around.withColumn("cx", F.explode(F.transform(spread, lambda d: F.col("bx") + d))).withColumn("cy", F.explode(F.transform(spread, lambda d: F.col("by") + d))).drop("bx", "by")
-    placed = points.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
+    places = places.dropna(subset=["px", "py"])
+    left = points.dropna(subset=["x", "y"]).select("point_id", "x", "y")
+    box = [*left.agg(*(f(c) for c in ("x", "y") for f in (F.min, F.max))).first(), *places.agg(*(f(c) for c in ("px", "py") for f in (F.min, F.max))).first()]
     distance = F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2)
-    best = F.min(F.struct(distance.alias("d2"), F.col("place_id")))
-    return placed.join(around, ["cx", "cy"]).groupBy("point_id").agg(best.alias("b")).select("point_id", F.col("b.place_id").alias("place_id"), F.sqrt("b.d2").alias("distance"))
+    best = F.min(F.struct(distance.alias("d2"), F.col("place_id"))).alias("b")
+    if any(v is None for v in box):
+        return left.limit(0).join(places.limit(0).withColumn("point_id", F.lit(None)), "point_id").groupBy("point_id").agg(best).select("point_id", F.col("b.place_id").alias("place_id"), F.sqrt("b.d2").alias("distance"))
+    widest = max(float(max(box[1], box[5]) - min(box[0], box[4])), float(max(box[3], box[7]) - min(box[2], box[6])))
+    found = None
+    while True:
+        last = cell > widest  # then all is in neighbouring cells
+        spread = F.sequence(F.lit(-1), F.lit(1))
+        around = places.withColumns({"bx": F.floor(F.col("px") / cell), "by": F.floor(F.col("py") / cell)})
+        around = around.withColumn("cx", F.explode(F.transform(spread, lambda d: F.col("bx") + d))).withColumn("cy", F.explode(F.transform(spread, lambda d: F.col("by") + d))).drop("bx", "by")
+        placed = left.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
+        met = placed.join(around, ["cx", "cy"], "left").groupBy("point_id", "x", "y").agg(best)
+        met = checkpoint(met.withColumn("sure", F.lit(last) | F.coalesce(F.col("b.d2") <= cell * cell, F.lit(False))))
+        sure = met.filter("sure").select("point_id", "b")
+        found = sure if found is None else found.unionByName(sure)
+        left = met.filter("NOT sure").select("point_id", "x", "y")
+        if last or left.isEmpty():
+            return found.groupBy("point_id").agg(F.min("b").alias("b")).select("point_id", F.col("b.place_id").alias("place_id"), F.sqrt("b.d2").alias("distance"))
+        cell *= grow

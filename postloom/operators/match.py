@@ -16,27 +16,40 @@ def _runs(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def contains_any(docs: DataFrame, sentences: DataFrame, inner: int = INNER) -> DataFrame:
-    """doc_id and whether any sentence is a substring of its text.
+#: Bytes of sentences without inner words that one pattern holds; beyond, they are compared with all texts.
+PATTERN_BYTES = 1 << 20
+
+
+def contains_any(docs: DataFrame, sentences: DataFrame, inner: int = INNER, pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
+    """doc_id and whether any sentence is a substring of its text, for each row of ``docs``.
 
     The words after a sentence's first one, but for its last, stand whole in any text that holds the sentence, so texts and
-    sentences meet by up to ``inner`` of them and only then are compared. Sentences of one or two words have none and are
-    compared with all texts.
+    sentences meet by up to ``inner`` of them and only then are compared. Sentences of one or two words have none; they are
+    one pattern that each text is searched for once, as long as they take no more than ``pattern_bytes``.
     """
     words = F.split("sentence", " ")
     known = sentences.filter(F.length("sentence") > 0).distinct().withColumn("k", F.least(F.greatest(F.size(words) - 2, F.lit(0)), F.lit(inner)))
     known = known.withColumn("run", F.array_join(F.slice(words, 2, F.col("k")), " "))
-    texts = docs.select("doc_id", "text")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("_h"), "text")  # ids may repeat
     found = []
-    sizes = [r.k for r in known.select("k").distinct().collect()]  # at most ``inner`` + 1 numbers
-    for k in sizes:
-        if k == 0:
-            found.append(texts.join(known.filter("k = 0"), F.col("text").contains(F.col("sentence"))).select("doc_id"))
+    sizes = {r.k: r.bytes for r in known.groupBy("k").agg(F.sum(F.octet_length("sentence")).alias("bytes")).collect()}  # at most ``inner`` + 1 rows
+    for k in sorted(sizes):
+        if k == 0 and sizes[k] <= pattern_bytes:
+            short = [r.sentence for r in known.filter("k = 0").select("sentence").collect()]  # pattern_bytes at most
+            found.append(keyed.filter(F.col("text").rlike("|".join(map(literal, sorted(short))))).select("doc_id", "_h"))
+        elif k == 0:
+            found.append(keyed.join(known.filter("k = 0"), F.col("text").contains(F.col("sentence"))).select("doc_id", "_h"))
         else:
-            runs = texts.select("doc_id", F.explode(F.array_distinct(_runs(F.split("text", " "), k))).alias("run"))
-            met = runs.join(known.filter(F.col("k") == k), "run").select("doc_id", "sentence")
-            found.append(met.join(texts, "doc_id").filter(F.col("text").contains(F.col("sentence"))).select("doc_id"))
+            runs = keyed.select("doc_id", "_h", F.explode(F.array_distinct(_runs(F.split("text", " "), k))).alias("run"))
+            met = runs.join(known.filter(F.col("k") == k), "run").select(F.col("doc_id").alias("_d"), F.col("_h").alias("_k"), "sentence")
+            found.append(keyed.join(met, keyed["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_k"))).filter(F.col("text").contains(F.col("sentence"))).select("doc_id", "_h"))
     if not found:
-        return texts.select("doc_id", F.lit(False).alias("found"))
-    hits = reduce(DataFrame.unionByName, found).distinct().withColumn("found", F.lit(True))
-    return texts.select("doc_id").join(hits, "doc_id", "left").select("doc_id", F.coalesce("found", F.lit(False)).alias("found"))
+        return docs.select("doc_id", F.lit(False).alias("found"))
+    hits = reduce(DataFrame.unionByName, found).distinct().select(F.col("doc_id").alias("_d"), F.col("_h").alias("_k"), F.lit(True).alias("found"))
+    short = keyed.drop("text")
+    return short.join(hits, short["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_k")), "left").select("doc_id", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+def literal(sentence: str) -> str:
+    """A pattern for the text itself."""
+    return "".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in sentence)

@@ -2,35 +2,56 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Ranges of scores that a global rank is worked out in.
-RANGES = 64
+#: Ranges of scores that a global rank is worked out in, at least, and rows of a range, about.
+RANGES, RANGE_ROWS = 64, 1_000_000
+
+
+def _place(rows: DataFrame, column: str) -> Column:
+    """A number that never falls where the column rises; null if its type has none here."""
+    kind = dict(rows.dtypes)[column]
+    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
+        return F.col(column).cast("double")
+    if kind == "date" or kind.startswith("timestamp"):
+        return F.col(column).cast("timestamp").cast("double")
+    if kind == "string":
+        return F.conv(F.hex(F.rpad(F.substring(F.encode(column, "UTF-8"), 1, 6), 6, F.lit(b"\x00"))), 16, 10).cast("double")
+    return F.lit(None).cast("double")
 
 
-def ranked(rows: DataFrame, score: str, tie: str, ranges: int = RANGES) -> DataFrame:
-    """A row number over all rows by falling score, ties by rising ``tie``, without one task for all rows.
+def ranked(rows: DataFrame, score: str, tie: str, ranges: int | None = None) -> DataFrame:
+    """A row number over all rows by falling score (null last), ties by rising ``tie``, without one task for all rows.
 
-    Approximate quantiles cut the scores into ranges; rows are numbered within a range and the counts of the ranges
-    above are added. A score that many rows share is a range of its own, cut again by quantiles of a numeric ``tie``.
-    The result is exact whatever the cuts.
+    Approximate quantiles cut the scores into ranges, more of them the more rows there are; rows are numbered within a
+    range and the counts of the ranges above are added. A score that many rows share, or null, is a range of its own,
+    cut again by quantiles of ``tie``. The result is exact whatever the cuts.
     """
     s = F.col(score).cast("double")
-    found = rows.select(s.alias("s")).approxQuantile("s", [i / ranges for i in range(1, ranges)], 0.002)
+    size = rows.agg(F.count("*").alias("n"), F.count(s).alias("known")).first()
+    ranges = ranges or max(RANGES, size.n // RANGE_ROWS)
+    steps, error = [i / ranges for i in range(1, ranges)], min(0.002, 0.2 / ranges)
+    found = rows.select(s.alias("s")).approxQuantile("s", steps, error)
     cuts, hot = sorted(set(found)), sorted({x for x in found if found.count(x) > 1})
     if cuts:
         at = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_s", outputCol="_at", handleInvalid="keep")
         rows = at.transform(rows.withColumn("_s", F.coalesce(s, F.lit(0.0)))).drop("_s")
     above = len(cuts) - F.col("_at").cast("int") if cuts else F.lit(0)
     band = F.when(s.isNull(), F.lit(2 * len(cuts) + 2)).otherwise(2 * above + (s.isin(*hot).cast("int") if hot else F.lit(0)))
+    shared = F.coalesce(s.isin(*hot), F.lit(True)) if hot else s.isNull()
     part = F.lit(0)
-    if hot and dict(rows.dtypes)[tie] in ("int", "bigint", "smallint", "tinyint", "double", "float"):
-        ties = sorted(set(rows.filter(s.isin(*hot)).select(F.col(tie).cast("double").alias("t")).approxQuantile("t", [i / ranges for i in range(1, ranges)], 0.002)))
-        part = F.when(s.isin(*hot), F.size(F.filter(F.array(*map(F.lit, ties)), lambda c: c < F.col(tie).cast("double")))).otherwise(0) if ties else part
-    dealt = rows.withColumns({"_band": band, "_part": part})
+    if hot or size.known < size.n:
+        place = _place(rows, tie)
+        ties = sorted(set(rows.filter(shared).select(place.alias("t")).approxQuantile("t", steps, error)))
+        if ties:
+            part = F.when(shared, F.size(F.filter(F.array(*map(F.lit, ties)), lambda c: c < place))).otherwise(0)
+    dealt = rows.withColumns({"_band": band, "_part": F.coalesce(part, F.lit(-1))})
     counts = dealt.groupBy("_band", "_part").agg(F.count("*").alias("_n"))  # a row for each range
     before = Window.orderBy("_band", "_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_band", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_above"))
@@ -38,7 +59,7 @@ def ranked(rows: DataFrame, score: str, tie: str, ranges: int = RANGES) -> DataF
     return dealt.withColumn("rank", F.row_number().over(within).cast("long")).join(F.broadcast(offsets), ["_band", "_part"]).withColumn("rank", F.col("rank") + F.col("_above")).drop("_band", "_part", "_above", "_at")
 
 
-def dense_ranked(rows: DataFrame, score: str, ranges: int = RANGES) -> DataFrame:
+def dense_ranked(rows: DataFrame, score: str, ranges: int | None = None) -> DataFrame:
     """Dense rank by falling score: distinct scores are numbered, then joined back."""
     numbers = ranked(rows.select(score).distinct(), score, score, ranges).withColumnRenamed("rank", "dense_rank")
     return rows.join(numbers, score)
@@ -52,19 +73,37 @@ def around(rows: DataFrame, score: str, tie: str, threshold: float, n: int) -> D
 
 
 def log_ranks(n: int = 10, magnitudes: int = 6) -> list[int]:
-    """Rank 1 and the n ranks after each of log-spaced points, more of them at each magnitude."""
-    points = [round(10 ** (i + k / max(i, 1))) if i else 1 for i in range(magnitudes) for k in range(i + 1)]
-    return sorted({1} | {p + k for p in points for k in range(1, n + 1)})
+    """Ranks 1 to n, then the n ranks behind each of log-spaced points: i + 1 points, ends included, from 10**i to 10**(i + 1).
+
+    Points are cut down to whole numbers.
+    """
+    exponents = {0.0} | {i + k / i for i in range(1, magnitudes) for k in range(i + 1)}
+    points = {math.floor(10**e + 1e-6) for e in exponents}
+    return sorted(set(range(1, n + 1)) | {p + k for p in points - {1} for k in range(1, n + 1)})
+
+
+def spaced_ranks(first: int = 1, last: int = 6, points: int = 11, around: int = 10) -> list[int]:
+    """The ``around`` ranks up to each point and the ``around`` ranks behind it, less one place; points are log-spaced from 10**first to 10**last."""
+    step = (last - first) / (points - 1)
+    at = {math.floor(10 ** (first + k * step) + 1e-6) for k in range(points)}
+    return sorted({p + k for p in at for k in range(1 - around, around + 1)})
+
+
+def on_steps(rank: Column, magnitude: int = 2, top: int = 100_000_000, n: int = 10) -> Column:
+    """Whether a rank is one of the first ``n``, of the ``n`` up to a lower power of ten, or of the ``n`` up to a multiple of 10**magnitude no greater than ``top``."""
+    size = 10**magnitude
+    lower = reduce(lambda a, b: a | b, (rank.between(10**m - n + 1, 10**m) for m in range(2, magnitude)), rank <= n)
+    return lower | (((rank - 1) % size >= size - n) & (rank <= top - top % size))
 
 
-def step_ranks(first: int = 1, magnitudes: int = 4, n: int = 10) -> list[int]:
-    """Ranks 1 to n, then the n ranks up to each power of ten."""
-    return sorted(set(range(first, first + n)) | {10**m - n + 1 + k for m in range(2, magnitudes + 1) for k in range(n)})
+def hash_order(key: Column) -> Column:
+    """An order that looks random, for keys of any size, and that any engine can repeat: the digest of the key as text."""
+    return F.md5(key.cast("string").cast("binary"))
 
 
-def hash_order(key: Column, prime: int = 7919, modulus: int = 1_000_003) -> Column:
-    """An order that looks random and that SQL can repeat."""
-    return (key * prime) % modulus
+def hash_place(key: Column, places: int) -> Column:
+    """A place from 0 that looks random, by 60 bits of the key's digest."""
+    return F.conv(F.substring(hash_order(key), 1, 15), 16, 10).cast("long") % F.lit(places)
 
 
 def per_group(rows: DataFrame, by: str, n: int, order: list[Column | str]) -> DataFrame:
@@ -75,7 +114,7 @@ def per_group(rows: DataFrame, by: str, n: int, order: list[Column | str]) -> Da
 
 def fraction_sample(rows: DataFrame, key: str, fractions: dict | float, by: str | None = None, steps: int = 1000) -> DataFrame:
     """Rows whose hashed key is below the fraction (of their group): the same rows in every run and partitioning."""
-    place = hash_order(F.col(key)) % steps
+    place = hash_place(F.col(key), steps)
     if by is None:
         return rows.filter(place < int(fractions * steps))
     limit = F.lit(0)

@@ -119,10 +119,10 @@ WITH p AS (SELECT vec_id AS point_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(em
 SELECT point_id, CAST(arg_min(place_id, (d2, place_id)) AS BIGINT) AS place_id, round(sqrt(min(d2)), 9) AS distance FROM d GROUP BY point_id
 """)
 def join_nearest_geocode(spark, sf_dir):
-    """Places are every tenth point; cells are wide enough for the whole plane of these data."""
+    """Places are every tenth point."""
     points = _points(spark, sf_dir)
     places = points.filter("point_id % 10 = 0").select(F.col("point_id").alias("place_id"), F.col("x").alias("px"), F.col("y").alias("py"))
-    return geo.nearest(points, places, 1.0).select("point_id", "place_id", F.round("distance", 9).alias("distance"))
+    return geo.nearest(points, places, 0.05).select("point_id", "place_id", F.round("distance", 9).alias("distance"))
 
 
 @query("SELECT event_id, CASE event_type WHEN 'view' THEN 'v.tar' WHEN 'click' THEN 'c.tar' END AS tar FROM events")
@@ -159,8 +159,9 @@ def set_concat_shards(spark, sf_dir):
 
 @query("SELECT event_type, coalesce(CAST(len(list_distinct(list_intersect(list(user_id) FILTER (value > 400), list(user_id) FILTER (value < 5)))) AS INTEGER), 0) AS n_both FROM events GROUP BY event_type")
 def set_array_intersect(spark, sf_dir):
-    high, low = (F.collect_set(F.when(c, F.col("user_id"))) for c in (F.col("value") > 400, F.col("value") < 5))
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.size(F.array_intersect(high, low)).alias("n_both"))
+    flags = (F.max((F.col("value") > 400).cast("int")).alias("high"), F.max((F.col("value") < 5).cast("int")).alias("low"))
+    users = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(*flags)  # a hot type is many users, not one array
+    return users.groupBy("event_type").agg(F.count_if(F.col("user_id").isNotNull() & (F.col("high") + F.col("low") == 2)).cast("int").alias("n_both"))
 
 
 @query("SELECT DISTINCT user_id FROM events EXCEPT (SELECT user_id FROM events WHERE event_type = 'error' AND value > 450 UNION SELECT c_custkey FROM customer WHERE c_custkey < 10)")

@@ -27,13 +27,20 @@ def agg_vote_majority(spark, sf_dir):
     return evaluation.complete(winners, "item", "kind", ["view", "click", "error"])
 
 
+#: Expected answers of ten checks (1 yes, 2 no), and the two pairs that catch careless workers.
+CHECKS, CHECK_PAIRS = ["1", "1", "2", "2", "2", "2", "2", "2", "1", "2"], ((1, 4), (8, 9))
+
+
 @query("""
-WITH a AS (SELECT conv_id, turn, CASE WHEN length(text) % 2 = 0 THEN 'y' ELSE 'n' END AS answer FROM conversations WHERE turn < 4)
-SELECT conv_id, string_agg(answer, '' ORDER BY turn, answer) AS answers, CAST(sum(CAST(answer = CASE WHEN turn IN (0, 2) THEN 'y' ELSE 'n' END AS INTEGER)) AS INTEGER) AS n_right FROM a GROUP BY conv_id HAVING count(*) = 4
+WITH a AS (SELECT user_id, event_id % 10 AS q, min(CASE WHEN value % 2 < 1 THEN '1' ELSE '2' END) AS x FROM events GROUP BY ALL),
+     w AS (SELECT user_id, list_transform(range(0, 10), lambda q: coalesce(map_from_entries(list((a.q, a.x)))[q], '')) AS l FROM a GROUP BY user_id),
+     k AS (SELECT user_id, array_to_string(l, '_') AS answers, CAST(l[2] = '1' AND l[5] = '2' AS INTEGER) + CAST(l[9] = '1' AND l[10] = '2' AS INTEGER) AS n, l = ['1', '1', '2', '2', '2', '2', '2', '2', '1', '2'] AS good FROM w)
+SELECT user_id, answers, CAST(CASE WHEN good THEN 3 ELSE n END AS INTEGER) AS class FROM k WHERE n >= 1
 """)
 def agg_bot_score(spark, sf_dir):
-    answers = table(spark, sf_dir, "conversations").filter("turn < 4").select("conv_id", "turn", F.when(F.length("text") % 2 == 0, "y").otherwise("n").alias("answer"))
-    return evaluation.attention(answers, "conv_id", "turn", "answer", ["y", "n", "y", "n"]).filter(F.length("answers") == 4)
+    """Ten checks of each worker, classed 0 to 3; workers that fail both pairs are dropped."""
+    answers = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 10).alias("check"), F.when(F.col("value") % 2 < 1, "1").otherwise("2").alias("answer"))
+    return evaluation.attention(answers, "user_id", "check", "answer", CHECKS, CHECK_PAIRS, least=1)
 
 
 @query("SELECT event_type, vote, count(*) AS n FROM (SELECT event_type, CASE WHEN value < 50 THEN 'no' WHEN value < 150 THEN 'unsure' ELSE 'yes' END AS vote FROM events) GROUP BY ALL")
@@ -100,27 +107,13 @@ def agg_corr(spark, sf_dir):
     return r.select(F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"))
 
 
-@query("""
-WITH r AS (SELECT user_id, event_type, avg(value) AS m, stddev_samp(value) AS s FROM events WHERE user_id < 40 AND event_type IN ('view', 'click') GROUP BY ALL),
-     w AS (SELECT user_id, max(m) FILTER (event_type = 'view') AS view, max(m) FILTER (event_type = 'click') AS click FROM r GROUP BY user_id)
-SELECT user_id, round(view, 6) AS view, round(click, 6) AS click, CAST(dense_rank() OVER (ORDER BY view DESC) AS BIGINT) AS view_rank FROM w WHERE view IS NOT NULL
-""")
-def agg_run_compare(spark, sf_dir):
-    from postloom.operators.entities import wide_scores
-    from postloom.operators.retrieval import dense_ranked
-
-    runs = table(spark, sf_dir, "events").filter("user_id < 40 AND event_type IN ('view', 'click')").groupBy("user_id", "event_type").agg(F.avg("value").alias("m"))
-    wide = dense_ranked(wide_scores(runs, "user_id", "event_type", "m", ["view", "click"]).filter("view IS NOT NULL"), "view")
-    return wide.select("user_id", F.round("view", 6).alias("view"), F.round("click", 6).alias("click"), F.col("dense_rank").alias("view_rank"))
-
-
 @query("""
 WITH r AS (SELECT user_id, event_type, avg(value) AS m, stddev_samp(value) AS s FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL),
      w AS (SELECT user_id, max(m) FILTER (event_type = 'view') AS view, max(m) FILTER (event_type = 'click') AS click, max(s) FILTER (event_type = 'view') AS view_std, max(s) FILTER (event_type = 'click') AS click_std FROM r GROUP BY user_id)
 SELECT user_id, round(view, 6) AS view, round(click, 6) AS click, round(view_std, 6) AS view_std, round(click_std, 6) AS click_std, CAST(dense_rank() OVER (ORDER BY view DESC) AS BIGINT) AS view_rank FROM w WHERE view IS NOT NULL
 """)
-def agg_run_compare_whole(spark, sf_dir):
-    """agg_run_compare over all users, with the standard deviation of each run (null for one event)."""
+def agg_run_compare(spark, sf_dir):
+    """Mean and standard deviation (null for one event) of each run, and the dense rank of the first."""
     from postloom.operators.retrieval import dense_ranked
 
     mean, std = F.avg("value"), F.stddev_samp("value")
@@ -131,25 +124,19 @@ def agg_run_compare_whole(spark, sf_dir):
     return wide.select("user_id", *(F.round(c, 6).alias(k) for k, c in values.items()), F.col("dense_rank").alias("view_rank"))
 
 
-@query("""
-WITH r AS (SELECT o_custkey, min(o_totalprice) AS a, max(o_totalprice) AS b, count(*) AS n FROM orders WHERE o_custkey < 200 GROUP BY o_custkey),
-     p AS (SELECT sum(sign((x.a - y.a) * (x.b - y.b))) AS s FROM r x JOIN r y ON x.o_custkey < y.o_custkey)
-SELECT round(2 * s / (count(*) * (count(*) - 1.0)), 9) AS tau, round(avg(pow(a - b, 2)), 1) AS mse FROM r, p GROUP BY s
-""")
-def agg_kendall_mse(spark, sf_dir):
-    runs = table(spark, sf_dir, "orders").filter("o_custkey < 200").groupBy("o_custkey").agg(F.min("o_totalprice").alias("a"), F.max("o_totalprice").alias("b"))
-    return evaluation.kendall(runs, "a", "b").select(F.round("tau", 9).alias("tau"), F.round("mse", 1).alias("mse"))
-
-
 @query("""
 WITH r AS (SELECT o_custkey, min(o_totalprice) AS a, max(o_totalprice) AS b FROM orders GROUP BY o_custkey),
-     p AS (SELECT sum(sign((x.a - y.a) * (x.b - y.b))) AS s FROM r x JOIN r y ON x.o_custkey < y.o_custkey)
-SELECT round(2 * s / (count(*) * (count(*) - 1.0)), 9) AS tau, round(avg(pow(a - b, 2)), 1) AS mse FROM r, p GROUP BY s
+     p AS (SELECT sum(sign((x.a - y.a) * (x.b - y.b))) AS s FROM r x JOIN r y ON x.o_custkey < y.o_custkey),
+     k AS (SELECT a, b, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM r)
+SELECT round(2 * s / (count(*) * (count(*) - 1.0)), 9) AS tau, round(corr(ra, rb), 6) AS spearman, round(avg(pow(a - b, 2)), 1) AS mse, round(avg(a / b), 9) AS ratio FROM k, p GROUP BY s
 """)
-def agg_kendall_mse_whole(spark, sf_dir):
-    """agg_kendall_mse over all customers."""
-    runs = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_totalprice").alias("a"), F.max("o_totalprice").alias("b"))
-    return evaluation.kendall(runs, "a", "b").select(F.round("tau", 9).alias("tau"), F.round("mse", 1).alias("mse"))
+def agg_kendall_mse(spark, sf_dir):
+    """Two runs of all customers: Kendall's tau, Spearman, mean squared difference and mean ratio."""
+    runs = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_totalprice").cast("double").alias("a"), F.max("o_totalprice").cast("double").alias("b"))
+    one, two = evaluation.kendall(runs, "a", "b"), evaluation.spearman(runs, "a", "b")
+    ratio = runs.agg(F.avg(F.try_divide("a", "b")).alias("ratio"))
+    both = one.withColumn("k", F.lit(1)).join(two.withColumn("k", F.lit(1)), "k").join(ratio.withColumn("k", F.lit(1)), "k")  # one row each
+    return both.select(F.round("tau", 9).alias("tau"), F.round("spearman", 6).alias("spearman"), F.round("mse", 1).alias("mse"), F.round("ratio", 9).alias("ratio"))
 
 
 @query()
@@ -183,7 +170,7 @@ def ml_ols(spark, sf_dir):
     return f.select(F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"), F.round("r2", 6).alias("r2"), F.round("rmse", 2).alias("rmse"))
 
 
-@query()
+@query(r"SELECT doc_id, CAST(len(list_filter(string_split_regex(lower(text), '[^a-zA-Z0-9_]'), lambda x: x <> '')) AS INTEGER) AS n_tokens FROM documents")
 def ml_pipeline_tokenizer(spark, sf_dir):
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import RegexTokenizer

@@ -10,7 +10,8 @@ from postloom.plans.registry import query
 from postloom.session import table
 
 _RANKED = "(SELECT event_id, user_id, event_type, value, row_number() OVER (ORDER BY value DESC, event_id) AS rank FROM events)"
-_HASH = "(event_id * 7919) % 1000003"
+_HASH = "md5(CAST(event_id AS VARCHAR))"
+_PLACE = "CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 15) AS BIGINT)"
 
 
 def _ranked(spark, sf_dir):
@@ -70,7 +71,7 @@ def topk_threshold_calibrated(spark, sf_dir):
     return table(spark, sf_dir, "events").filter(F.col("value") >= sigmoid_root(0.02, -3.0)).select("event_id")
 
 
-@query(f"SELECT event_id FROM events WHERE {_HASH} % 1000 < 100")
+@query(f"SELECT event_id FROM events WHERE {_PLACE} % 1000 < 100")
 def smp_bernoulli(spark, sf_dir):
     return retrieval.fraction_sample(table(spark, sf_dir, "events"), "event_id", 0.1).select("event_id")
 
@@ -80,7 +81,7 @@ def smp_random_limit(spark, sf_dir):
     return table(spark, sf_dir, "events").orderBy(retrieval.hash_order(F.col("event_id")), "event_id").limit(100).select("event_id")
 
 
-@query(f"SELECT event_id FROM events WHERE {_HASH} % 1000 < CASE event_type WHEN 'view' THEN 50 WHEN 'error' THEN 500 ELSE 0 END")
+@query(f"SELECT event_id FROM events WHERE {_PLACE} % 1000 < CASE event_type WHEN 'view' THEN 50 WHEN 'error' THEN 500 ELSE 0 END")
 def smp_stratified(spark, sf_dir):
     return retrieval.fraction_sample(table(spark, sf_dir, "events"), "event_id", {"view": 0.05, "error": 0.5}, by="event_type").select("event_id")
 
@@ -90,30 +91,38 @@ def smp_group_n(spark, sf_dir):
     return retrieval.per_group(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", 20, [retrieval.hash_order(F.col("event_id")), "event_id"])
 
 
-def _ranks_sql(ranks) -> str:
-    return f"SELECT event_id, rank FROM {_RANKED} WHERE rank IN ({', '.join(map(str, ranks))})"
-
-
-@query(_ranks_sql(retrieval.log_ranks()))
+@query(f"""
+WITH points AS (SELECT DISTINCT CAST(floor(pow(10, i + CASE WHEN i = 0 THEN 0 ELSE k / CAST(i AS DOUBLE) END) + 1e-6) AS BIGINT) AS p FROM range(0, 6) a(i), range(0, 6) b(k) WHERE k <= i)
+SELECT event_id, rank FROM {_RANKED} WHERE rank BETWEEN 1 AND 10 OR rank IN (SELECT p + n FROM points, range(1, 11) c(n) WHERE p > 1)
+""")
 def smp_rank_log(spark, sf_dir):
     return _ranked(spark, sf_dir).join(_list(spark, retrieval.log_ranks()), "rank").select("event_id", "rank")
 
 
-@query(_ranks_sql(retrieval.log_ranks(20, 5)))
+@query(f"""
+SELECT event_id, rank FROM {_RANKED} WHERE rank IN (SELECT x + n FROM (VALUES (10), (31), (100), (316), (1000), (3162), (10000), (31622), (100000), (316227), (1000000)) v(x), range(-9, 11) c(n))
+""")
 def smp_rank_log20(spark, sf_dir):
-    return _ranked(spark, sf_dir).join(_list(spark, retrieval.log_ranks(20, 5)), "rank").select("event_id", "rank")
+    return _ranked(spark, sf_dir).join(_list(spark, retrieval.spaced_ranks()), "rank").select("event_id", "rank")
 
 
-@query(_ranks_sql(retrieval.step_ranks()))
+@query(f"SELECT event_id, rank FROM {_RANKED} WHERE rank IN (SELECT unnest(range(1, 11))) OR rank IN (SELECT s + n FROM range(91, 99999992, 100) a(s), range(0, 10) b(n))")
 def smp_rank_step(spark, sf_dir):
-    return _ranked(spark, sf_dir).join(_list(spark, retrieval.step_ranks()), "rank").select("event_id", "rank")
+    """Ten ranks in each hundred."""
+    return _ranked(spark, sf_dir).filter(retrieval.on_steps(F.col("rank"))).select("event_id", "rank")
+
 
+@query(f"SELECT event_id, rank FROM {_RANKED} WHERE rank IN (SELECT unnest(range(1, 11)) UNION SELECT unnest(range(91, 101))) OR rank IN (SELECT s + n FROM range(991, 999999992, 1000) a(s), range(0, 10) b(n))")
+def smp_rank_step_1000(spark, sf_dir):
+    """Ten ranks in each thousand, and those up to ten and a hundred."""
+    return _ranked(spark, sf_dir).filter(retrieval.on_steps(F.col("rank"), 3, 1_000_000_000)).select("event_id", "rank")
 
-@query(f"SELECT event_id, CAST({_HASH} % 5 AS INTEGER) AS class FROM events WHERE {_HASH} % 1000 < 50")
+
+@query(f"SELECT event_id, CAST({_PLACE} % 5 AS INTEGER) AS class FROM events WHERE {_PLACE} % 1000 < 50")
 def smp_without_repeat(spark, sf_dir):
     """Disjoint samples for five classes: each class owns a residue of the hash."""
-    place = retrieval.hash_order(F.col("event_id"))
-    return table(spark, sf_dir, "events").filter(place % 1000 < 50).select("event_id", (place % 5).cast("int").alias("class"))
+    key = F.col("event_id")
+    return table(spark, sf_dir, "events").filter(retrieval.hash_place(key, 1000) < 50).select("event_id", retrieval.hash_place(key, 5).cast("int").alias("class"))
 
 
 @query()
@@ -135,12 +144,25 @@ def smp_per_cell_exclusive(spark, sf_dir):
     return retrieval.per_group(docs, "keyword", 5, [F.desc("n_chars"), "doc_id"]).select("keyword", "doc_id")
 
 
-@query()
+_DRAW = "CAST('0x' || substr(md5(concat_ws(':', {0}, r, j)), 1, 15) AS BIGINT)"
+
+
+@query(f"""
+WITH l AS (SELECT l.doc_id, l.toxic, CAST(d.n_chars AS DOUBLE) AS score FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE l.toxic IN (0, 1)),
+     pos AS (SELECT score, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS i FROM l WHERE toxic = 1), neg AS (SELECT score, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS i FROM l WHERE toxic = 0),
+     np AS (SELECT count(*) AS n FROM pos), nn AS (SELECT count(*) AS n FROM neg), m AS (SELECT least(np.n, nn.n) AS m, np.n AS np, nn.n AS nn FROM np, nn),
+     dp AS (SELECT r, {_DRAW.format("'p'")} % np AS i FROM m, range(1, 51) a(r), range(0, 1000000) b(j) WHERE j < np),
+     dn AS (SELECT r, (CAST('0x' || substr(md5(concat_ws(':', 'start', r)), 1, 15) AS BIGINT) % nn + {_DRAW.format("'n'")} % m) % nn AS i FROM m, range(1, 51) a(r), range(0, 1000000) b(j) WHERE j < m),
+     a AS (SELECT r, count(*) AS n_pos, avg(score) AS pos FROM dp JOIN pos USING (i) GROUP BY r), b AS (SELECT r, count(*) AS n_neg, avg(score) AS neg FROM dn JOIN neg USING (i) GROUP BY r)
+SELECT CAST(a.r AS BIGINT) AS round, n_pos, n_neg, round(pos, 6) AS pos, round(neg, 6) AS neg FROM a JOIN b ON a.r = b.r
+""")
 def smp_bootstrap(spark, sf_dir):
-    """Replicates with Poisson(1) weights drawn from a hash of row and replicate: mean of each replicate."""
-    from postloom.operators.evaluation import bootstrap_means
+    """Rounds of all positives and as many negatives, both drawn with replacement: mean length of each."""
+    from postloom.operators.evaluation import bootstrap_draws
 
-    return bootstrap_means(table(spark, sf_dir, "labels"), "doc_id", "quality", 50)
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("score")), "doc_id")
+    means = bootstrap_draws(rows, "doc_id", "toxic", 50).groupBy("round").agg(*(F.count_if(F.col("toxic") == k).alias(f"n_{name}") for k, name in ((1, "pos"), (0, "neg"))), *(F.round(F.avg(F.when(F.col("toxic") == k, F.col("score"))), 6).alias(name) for k, name in ((1, "pos"), (0, "neg"))))
+    return means
 
 
 @query(f"SELECT event_id FROM (SELECT event_id FROM events ORDER BY value DESC, event_id LIMIT 1000) ORDER BY {_HASH}, event_id LIMIT 50")
@@ -190,12 +212,13 @@ def agg_lift_change(spark, sf_dir):
 @query("""
 WITH g AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM (SELECT doc_id, string_split(lower(text), ' ') AS w FROM documents)),
      a AS (SELECT gram, count(*) AS n FROM g WHERE doc_id % 2 = 0 GROUP BY gram HAVING count(*) >= 15), b AS (SELECT gram, count(*) AS n FROM g WHERE doc_id % 2 = 1 GROUP BY gram)
-SELECT a.gram, a.n AS n_part, b.n AS n_whole, (a.n / 500.0) / (b.n / 500.0) AS lift FROM a LEFT JOIN b ON a.gram = b.gram
+SELECT a.gram, a.n AS n_part, b.n AS n_whole, (a.n / s.a) / (b.n / s.b) AS lift FROM a LEFT JOIN b ON a.gram = b.gram, (SELECT CAST(count(*) FILTER (doc_id % 2 = 0) AS DOUBLE) AS a, CAST(count(*) FILTER (doc_id % 2 = 1) AS DOUBLE) AS b FROM documents) s
 """)
 def agg_ngram_lift(spark, sf_dir):
     grams = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.ngrams(F.split(F.lower("text"), " "), 2)).alias("gram"))
     a, b = (grams.filter(F.col("doc_id") % 2 == k).groupBy("gram").agg(F.count("*").alias("n")) for k in (0, 1))
-    return lift.lift(a.filter("n >= 15"), b, "gram", 500, 500)
+    sizes = table(spark, sf_dir, "documents").agg(*(F.count_if(F.col("doc_id") % 2 == k).cast("double") for k in (0, 1))).first()
+    return lift.lift(a.filter("n >= 15"), b, "gram", *sizes)
 
 
 @query(f"SELECT CAST(floor(log10(rank) * 2) AS BIGINT) AS bucket, round(avg(value), 6) AS value, avg(rank) AS rank FROM {_RANKED} GROUP BY 1")

@@ -260,20 +260,11 @@ def kw_seedlist_flag(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.any_of(F.col("text"), [r"\bthe\b.*\bof\b"], ["von der"]).cast("int").alias("seed"))
 
 
-@query("SELECT d.doc_id, CAST(count(b.item_id) > 0 AS INTEGER) AS has_sentence FROM documents d LEFT JOIN benchmark b ON contains(d.text, substr(b.text, 1, 60)) GROUP BY d.doc_id")
+@query("SELECT d.doc_id, CAST(count(b.item_id) > 0 AS INTEGER) AS has_sentence FROM documents d LEFT JOIN benchmark b ON contains(d.text, b.text) GROUP BY d.doc_id")
 def kw_sentence_flag(spark, sf_dir):
     """Any known sentence is a substring: texts and sentences meet by inner words, then are compared whole."""
     from postloom.operators.match import contains_any
 
-    docs, sentences = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return contains_any(docs, sentences.select(F.substring("text", 1, 60).alias("sentence"))).select("doc_id", F.col("found").cast("int").alias("has_sentence"))
-
-
-@query("SELECT d.doc_id, CAST(count(b.item_id) > 0 AS INTEGER) AS has_sentence FROM documents d LEFT JOIN benchmark b ON contains(d.text, b.text) GROUP BY d.doc_id")
-def kw_sentence_flag_whole(spark, sf_dir):
-    """kw_sentence_flag with sentences of any length."""
-    from postloom.operators.match import contains_any
-
     docs, sentences = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return contains_any(docs, sentences.select(F.col("text").alias("sentence"))).select("doc_id", F.col("found").cast("int").alias("has_sentence"))
 
@@ -374,14 +365,24 @@ def fn_tokenise_space(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.tokens_space(F.col("text")).alias("tokens"))
 
 
-@query(r"""
-SELECT doc_id, list_filter(string_split_regex(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text),
-  'https?://\S+', '<url>', 'g'), '[\w.+-]+@[\w-]+\.[\w.]+', '<email>', 'g'), '@\w+', '<user>', 'g'), '#(\w+)', '<hashtag> \1', 'g'), '\b\d+([.,]\d+)*\b', '<number>', 'g'), '\s+'), lambda x: x <> '') AS tokens
-FROM documents WHERE lang = 'en'
-""")
-def fn_tokenise_social(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", text.tokens_social(F.col("text")).alias("tokens"))
+def _social_sql() -> str:
+    """The marks and expansions of the tokenizer, written out for DuckDB: its patterns have no look-ahead."""
+    out = "lower(text)"
+    for pattern, mark in (
+        ("<3", " <heart> "), (r"https?://\S+", "<url>"), (r"[\w.+-]+@[\w-]+\.[\w.]+", "<email>"), (r"@\w+", "<user>"), (r"#(\w+)", r"<hashtag> \1 </hashtag>"), (r"\b\d+([.,]\d+)*\b", "<number>"), ("\u2019", "''"),
+        (r"\bcan''t\b", "can not"), (r"\bwon''t\b", "will not"), (r"\bshan''t\b", "shall not"), (r"\blet''s\b", "let us"), (r"n''t\b", " not"), (r"''re\b", " are"), (r"''ve\b", " have"), (r"''ll\b", " will"), (r"''d\b", " would"), (r"''m\b", " am"),
+        (r"\b(it|he|she|that|what|there|here|who|where)''s\b", r"\1 is"),
+        (r"[:;=]-?[)\]d](\s|$)", r" <happy> \1"), (r"[:=]-?[(\[](\s|$)", r" <sad> \1"), (r"[:;=]-?p(\s|$)", r" <tong> \1"), (r":-?/(\s|$)", r" <annoyed> \1"), (r"[:=]-?o(\s|$)", r" <surprise> \1"),
+    ):
+        out = f"regexp_replace({out}, '{pattern}', '{mark}', 'g')"
+    return rf"SELECT doc_id, list_filter(string_split_regex({out}, '\s+'), lambda x: x <> '') AS tokens FROM (SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN ' I can''t :-) it''s' WHEN 1 THEN ' #one :( <3 they''re' ELSE '' END AS text FROM documents WHERE lang = 'en')"
+
 
+@query(_social_sql())
+def fn_tokenise_social(spark, sf_dir):
+    """Some texts end with what these tables lack: contractions, tags and emoticons."""
+    tail = F.when(F.col("doc_id") % 4 == 0, " I can't :-) it's").when(F.col("doc_id") % 4 == 1, " #one :( <3 they're").otherwise("")
+    return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", text.tokens_social(F.concat("text", tail)).alias("tokens"))
 
 
 @query("""

@@ -48,3 +48,32 @@ def test_rate_and_cosine_of_nothing_are_null(spark):
 def test_roots():
     assert abs(scalar.bisect_root(lambda x: x - 0.3, 0, 1) - 0.3) < 1e-9
     assert scalar.sigmoid_root(2, -1) == 0.5
+
+
+def test_unaccent_over_all_of_unicode(spark):
+    """A letter that Unicode names after a plain one "with" a mark becomes the plain one, if it decomposes or is Latin."""
+    import sys
+    import unicodedata
+
+    named = {}
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        whole = unicodedata.name(c, "")
+        if " WITH " in whole and unicodedata.category(c)[0] == "L":
+            try:
+                named[c] = unicodedata.lookup(whole[: whole.index(" WITH ")])
+            except KeyError:
+                pass
+    want = {c: b for c, b in named.items() if len(unicodedata.normalize("NFD", c)) > 1 and unicodedata.combining(unicodedata.normalize("NFD", c)[-1]) >= 200}
+    want |= {c: b for c, b in named.items() if "a" <= b <= "z" and ord(c) < 0x10000 and unicodedata.category(c) == "Ll"}
+    found = {r.c: r.u for r in spark.createDataFrame([(c,) for c in want], "c string").select("c", text.unaccent(F.col("c")).alias("u")).collect()}
+    wrong = {c: (found[c], b) for c, b in want.items() if found[c] != b}
+    assert len(want) > 900 and set(wrong) <= {"ۀ"}
+    others = [c for c in map(chr, range(sys.maxunicode + 1)) if c not in named and unicodedata.category(c)[0] in "LNPSZ" and unicodedata.category(c) != "Cs"]
+    kept = spark.createDataFrame([("".join(others[i : i + 5000]),) for i in range(0, len(others), 5000)], "c string").filter(text.unaccent(F.col("c")) != F.col("c")).collect()
+    assert not kept
+
+
+def test_social_tokens(spark):
+    got = one(spark, text.tokens_social(F.col("t")), t="I can't, they're :-) It's #NewJob 1,5 a@b.cd @me http://x.y <3 don\u2019t :(")
+    assert got == "i can not, they are <happy> it is <hashtag> newjob </hashtag> <number> <email> <user> <url> <heart> do not <sad>".split()
+    assert one(spark, text.tokens_social(F.col("t"), {"new", "job"}), t="#NewJob #other newjob") == "<hashtag> new job </hashtag> <hashtag> other </hashtag> newjob".split()

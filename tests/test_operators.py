@@ -151,3 +151,73 @@ def test_platt_separates_groups(spark):
     df = spark.createDataFrame([("a", float(i), float(j)) for i, j in zip(x, y, strict=True)] + [("b", 1.0, 1.0)], "g string, x double, y double")
     got = {r.g: r for r in evaluation.platt(df, "x", "y", "g").collect()}
     assert set(got) == {"a"} and abs(got["a"].slope - 2) < 0.6 and abs(got["a"].intercept + 1) < 0.5
+
+
+def test_nearest_finds_a_place_for_every_point(spark):
+    rng = np.random.default_rng(3)
+    xy = np.concatenate([rng.normal(size=(80, 2)), [[500.0, -3.0], [40.0, 9000.0], [0.31, 0.0]]])
+    at = np.concatenate([rng.normal(size=(25, 2)), [[0.62, 0.0], [0.0, 0.0]]])
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)] + [(999, None, 1.0)], "point_id int, x double, y double")
+    places = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)], "place_id int, px double, py double")
+    want = [((xy[i] - at) ** 2).sum(1) for i in range(len(xy))]
+    for cell in (0.1, 3.0):
+        got = geo.nearest(points, places, cell).collect()
+        assert sorted((r.point_id, r.place_id) for r in got) == [(i, int(d.argmin())) for i, d in enumerate(want)]
+        assert all(abs(r.distance - want[r.point_id].min() ** 0.5) < 1e-9 for r in got)
+    assert geo.nearest(points, places.limit(0), 1.0).count() == 0 and geo.nearest(points.limit(0), places, 1.0).count() == 0
+
+
+def test_samples_of_large_ids(spark):
+    df = spark.range(2000).select((F.col("id") * 4194304 + 1_260_000_000_000_000_000).alias("id"))
+    some = retrieval.fraction_sample(df, "id", 0.2)
+    assert 300 < some.count() < 500 and set(rows(some)) == set(rows(retrieval.fraction_sample(df.repartition(3), "id", 0.2)))
+    assert retrieval.per_group(df.withColumn("g", F.col("id") % 3), "g", 5, [retrieval.hash_order(F.col("id"))]).count() == 15
+
+
+def test_rank_lists(spark):
+    points = sorted({int(10 ** (i + k / max(i, 1))) if i else 1 for i in range(3) for k in range(i + 1)})
+    assert points == [1, 10, 100, 316, 1000]
+    assert retrieval.log_ranks(3, 3) == sorted({1, 2, 3} | {p + k for p in points[1:] for k in (1, 2, 3)})
+    assert {4642, 4651, 17783, 31623, 251189} <= set(retrieval.log_ranks()) and 4652 not in retrieval.log_ranks()
+    assert retrieval.spaced_ranks()[:20] == list(range(1, 21)) and {22, 41, 307, 326, 999_991, 1_000_010} <= set(retrieval.spaced_ranks())
+    ranks = spark.range(1, 5000).withColumnRenamed("id", "rank")
+    assert [r[0] for r in rows(ranks.filter(retrieval.on_steps(F.col("rank"), 2, 300)))] == [*range(1, 11), *range(91, 101), *range(191, 201), *range(291, 301)]
+    assert [r[0] for r in rows(ranks.filter(retrieval.on_steps(F.col("rank"), 3, 2000)))] == [*range(1, 11), *range(91, 101), *range(991, 1001), *range(1991, 2001)]
+
+
+def test_ranked_cuts_shared_and_missing_scores_by_text(spark):
+    values = [(f"{i * 7919 % 1000:04}", None if i % 2 else 1.0) for i in range(1000)] + [(None, 1.0)]
+    df = spark.createDataFrame(values, "id string, s double")
+    got = [r.id for r in retrieval.ranked(df, "s", "id", 8).orderBy("rank").collect()]
+    assert got == [None] + sorted(i for i, s in values if s and i) + sorted(i for i, s in values if s is None)
+
+
+def test_short_sentences_of_any_letters_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "say (a+b) now"), (1, "nothing"), (2, "über.alles"), (2, None), (None, "x|y"), (3, "ab")], "doc_id int, text string")
+    sentences = spark.createDataFrame([("(a+b)",), ("über.",), ("x|y",), ("a+b) n",)], "sentence string")
+    want = [(None, "True"), (1, "False"), (1, "True"), (2, "False"), (2, "True"), (3, "False")]
+    for most in (1 << 20, 0):
+        got = match.contains_any(docs, sentences, pattern_bytes=most).collect()
+        assert sorted(((r.doc_id, str(r.found)) for r in got), key=str) == sorted(want, key=str)
+    assert match.contains_any(docs, sentences.limit(0)).filter("found").count() == 0
+
+
+def test_bootstrap_draws_as_many_of_both(spark):
+    df = spark.createDataFrame([(i, int(i < 7), float(i)) for i in range(60)], "id int, y int, v double")
+    got = evaluation.bootstrap_draws(df, "id", "y", 40).collect()
+    for r in range(1, 41):
+        drawn = [x.id for x in got if x.round == r]
+        assert sum(i < 7 for i in drawn) == 7 and sum(i >= 7 for i in drawn) == 7
+    assert len({tuple(sorted(x.id for x in got if x.round == r)) for r in range(1, 41)}) > 35
+    assert len({x.id for x in got}) > 50
+    fewer = evaluation.bootstrap_draws(df.withColumn("y", 1 - F.col("y")), "id", "y", 3).collect()
+    assert all(sum(x.round == r and x.y == 0 for x in fewer) == 7 and sum(x.round == r and x.y == 1 for x in fewer) == 53 for r in (1, 2, 3))
+
+
+def test_attention_classes(spark):
+    good = ["1", "1", "2", "2", "2", "2", "2", "2", "1", "2"]
+    workers = {"all": good, "both": ["2", *good[1:]], "first": [*good[:8], "2", "2"], "none": ["1"] * 10, "short": good[:5], "late": [None, *good[1:]]}
+    df = spark.createDataFrame([(w, k, a) for w, answers in workers.items() for k, a in enumerate(answers)], "w string, k int, a string")
+    got = {r.w: r["class"] for r in evaluation.attention(df, "w", "k", "a", good, ((1, 4), (8, 9))).collect()}
+    assert got == {"all": 3, "both": 2, "first": 1, "none": 0, "short": 1, "late": 2}
+    assert {r.w for r in evaluation.attention(df, "w", "k", "a", good, ((1, 4), (8, 9)), least=2).collect()} == {"all", "both", "late"}

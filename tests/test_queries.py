@@ -35,14 +35,14 @@ def test_kendall_whole_takes_all_customers(spark, tmp_path):
     spark.createDataFrame(prices, "o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
     runs = [(1, 9), (2, 8), (3, 20), (1, 4), (5, 30)]
     signs = [((a > c) - (a < c)) * ((b > d) - (b < d)) for i, (a, b) in enumerate(runs) for c, d in runs[:i]]
-    got = registry.queries()["agg_kendall_mse_whole"](spark, str(tmp_path)).first()
+    got = registry.queries()["agg_kendall_mse"](spark, str(tmp_path)).first()
     assert got.tau == round(2 * sum(signs) / 20, 9) and got.mse == round(sum((a - b) ** 2 for a, b in runs) / 5, 1)
 
 
 def test_run_compare_whole_has_all_users_and_deviations(spark, tmp_path):
     events = [(7, "view", 1.0), (7, "view", 3.0), (7, "click", 5.0), (40, "view", 4.0), (900, "view", 2.0), (900, "click", 1.0), (900, "click", 4.0), (901, "click", 9.0)]
     spark.createDataFrame(events, "user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
-    got = {r.user_id: r for r in registry.queries()["agg_run_compare_whole"](spark, str(tmp_path)).collect()}
+    got = {r.user_id: r for r in registry.queries()["agg_run_compare"](spark, str(tmp_path)).collect()}
     assert {k: (r.view, r.click, r.view_rank) for k, r in got.items()} == {7: (2.0, 5.0, 2), 40: (4.0, None, 1), 900: (2.0, 2.5, 2)}
     assert (got[7].view_std, got[7].click_std, got[900].click_std) == (round(2**0.5, 6), None, round(4.5**0.5, 6))
 
@@ -51,5 +51,5 @@ def test_sentence_flag_whole_needs_the_whole_sentence(spark, tmp_path):
     sentence = " ".join(f"word{i}" for i in range(20))
     spark.createDataFrame([(1, f"so {sentence} on"), (2, sentence[:60] + " other words")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, sentence)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = registry.queries()["kw_sentence_flag_whole"](spark, str(tmp_path)).collect()
+    got = registry.queries()["kw_sentence_flag"](spark, str(tmp_path)).collect()
     assert {r.doc_id: r.has_sentence for r in got} == {1: 1, 2: 0}
