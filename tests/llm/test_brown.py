@@ -91,3 +91,30 @@ def test_further_words_get_the_class_of_their_neighbours(spark):
     assert {w: n for w, (_, n) in place.items()} == {w: n for w, n in found.items() if w[:2] not in (b"aa", b"bb", b"l0", b"l1", b"r0", b"r1")}
     one, two = ({place[w.encode()][0] for w in side[2:]} for side in (left, right))
     assert len(one) == len(two) == 1 and one != two
+
+
+def test_score_by_brute_force(spark, monkeypatch):
+    """Every token's transition and emission, word by word, from the classes and counts that were learned."""
+    kept = {}
+    finish = brown.finish
+
+    def watch(items, group, assigned, training, counts, paths, classes):
+        kept["model"] = finish(items, group, assigned, training, counts, paths, classes)
+        kept["assigned"] = {bytes(r.word): (r["class"], r.n) for r in assigned.collect()}
+        return kept["model"]
+
+    monkeypatch.setattr(brown, "finish", watch)
+    data = rows()
+    got = brown.score(spark.createDataFrame(data, SCHEMA), clustered=5, frequent=6, endings=4, classes=6).collect()
+    m, assigned = kept["model"], kept["assigned"]
+    first = {w: (int(m.group[1 + i]), int(n)) for i, (w, n) in enumerate(zip(m.items.words[: m.items.clustered], m.items.counts, strict=False))}
+    tail = {e: int(m.group[1 + m.items.clustered + k]) for k, e in enumerate(m.items.endings)}
+    want = Counter()
+    for i, t, *_ in data:
+        total, last = 0.0, 0
+        for w in (t or "").encode().lower().split():
+            kind, n = first.get(w) or assigned.get(w) or (tail.get(w[-brown.ENDING :], int(m.group[m.items.rest])), 0)
+            total += m.step[last, kind] + math.log10(n + 1) - m.room[kind]
+            last = kind
+        want[i, round(total + m.step[last, 0], 3)] += 1
+    assert Counter((r.doc_id, round(r.score, 3)) for r in got) == want

@@ -212,3 +212,39 @@ def test_score_of_a_batch_is_that_of_its_rows():
     trees = quality.fit(texts, np.array([x[1] for x in labels]), 0.7)
     for score in (lambda t: toxicity.score_array(model, pa.array(t, pa.string())), lambda t: quality.score_array(trees, pa.array(t, pa.string()))):
         assert np.allclose(score(texts), np.concatenate([score([t]) for t in texts]))
+
+
+def test_toxicity_scores_by_brute_force():
+    """Each n-gram of a text that the model has counts once."""
+    docs, labels = corpus(60, 3)
+    texts = [d[1] for d in docs] + ["", "ab", "Éé x y z" * 3]
+    model = toxicity.fit(texts[:60], np.array([x[2] for x in labels]), 0.3, rounds=10)
+
+    def bucket(gram):
+        code = 0
+        for c in gram:
+            code = (code * 0x100000001B3 + ord(c) + 1) % 2**64
+        return ((code * 0x9E3779B97F4A7C15 + ((len(gram) - 1) << 50)) * 0xD6E8FEB86659FD93) % 2**64 >> 64 - toxicity.BITS
+
+    def slow(text):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        grams = {low[i : i + k] for k in toxicity.ORDERS for i in range(len(low) - k + 1)}
+        features = {int(model.index[bucket(g)]) for g in grams} - {-1}
+        return 1 / (1 + np.exp(-(sum(float(model.weights[f]) for f in features) + model.bias)))
+
+    assert np.allclose(toxicity.score_array(model, pa.array(texts, pa.string())), [slow(t) for t in texts], atol=1e-5)
+
+
+def test_statistics_by_brute_force():
+    rng = random.Random(5)
+    texts = ["", "a", "One two. Two one!!\n1 2 3 | ##", *("".join(rng.choices("abcAB 12.!|#%\n", k=rng.randint(1, 400))) for _ in range(30))]
+    data = "".join(texts).encode()
+    off = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    found = quality.statistics(np.frombuffer(data, np.uint8), off)
+    at = {name: k for k, name in enumerate(quality.NAMES)}
+    for row, text in zip(found, texts, strict=True):
+        size, words = len(text), text.split()
+        assert np.isclose(row[at["log_chars"]], np.log1p(size)) and np.isclose(row[at["log_words"]], np.log1p(len(words)))
+        for name, test in (("upper", str.isupper), ("digit", str.isdigit), ("lower", str.islower)):
+            assert np.isclose(row[at[name]], sum(map(test, text)) / max(size, 1))
+        assert np.isclose(row[at["distinct_words"]], len({w.lower() for w in words}) / max(len(words), 1))
