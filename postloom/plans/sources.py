@@ -189,13 +189,13 @@ def src_json_dict_lines(spark, sf_dir):
     return rows.select("r.*").filter("event_id IS NOT NULL")
 
 
-@query("SELECT CAST(event_id AS VARCHAR) AS user_id, 'a.tar' AS tar, 'pictures/' || event_id || '.txt' AS member FROM events WHERE event_id < 50")
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS user_id, 'a.tar' AS tar, 'pictures/' || n_nationkey || '.txt' AS member FROM nation")
 def src_tar_index(spark, sf_dir):
     """Archives are made from bytes in a table, written through Spark, so that any store will do."""
     import io
     import tarfile
 
-    names = [r.event_id for r in table(spark, sf_dir, "events").filter("event_id < 50").select("event_id").collect()]  # fifty rows, a fixture
+    names = [r.n_nationkey for r in table(spark, sf_dir, "nation").select("n_nationkey").collect()]  # a row a nation
     buffer = io.BytesIO()
     with tarfile.open(fileobj=buffer, mode="w") as archive:
         for n in names:
