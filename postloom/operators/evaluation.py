@@ -74,27 +74,112 @@ def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     return r.agg(F.corr(a, b).alias("pearson"), F.corr(f"{a}_rank", f"{b}_rank").alias("spearman"))
 
 
-def kendall(rows: DataFrame, a: str, b: str, block: int = 2048) -> DataFrame:
-    """Kendall's tau-a and mean squared difference. Every pair counts, so rows are compared block by block."""
+#: Rows of a range of values that one task compares, about, and ranges at most.
+KENDALL_ROWS, KENDALL_RANGES = 200_000, 1024
+
+
+def inversions(values) -> int:
+    """Pairs of which the first is greater, counted while sorted halves are merged."""
     import numpy as np
-    import pandas as pd
 
-    from postloom.operators.vectors import block_pairs, blocks_of
+    _, rank = np.unique(values, return_inverse=True)
+    n, width, total = len(rank), 1, 0
+    span = int(rank.max()) + 1 if n else 1
+    place = np.arange(n)
+    rank = rank.astype(np.int64)
+    while width < n:
+        block = place // (2 * width)
+        left = place % (2 * width) < width
+        key = block * span + rank
+        lefts = key[left]  # sorted: each left half is
+        upto = np.searchsorted(lefts, key[~left], "right")
+        ends = np.minimum((block[~left] + 1) * width, len(lefts))  # left halves before a right one are whole
+        total += int((ends - upto).sum())
+        rank = np.sort(key) - block * span
+        width *= 2
+    return total
+
+
+def agreement(a, b) -> int:
+    """Sum over pairs of the product of the signs of their differences."""
+    import numpy as np
+
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    n = len(a)
+
+    def tied(*columns) -> int:
+        new = np.zeros(n, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        sizes = np.diff(np.append(np.flatnonzero(np.append(True, new[1:])), n)) if n else np.empty(0, np.int64)
+        return int((sizes * (sizes - 1) // 2).sum())
 
-    both = rows.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
-    pairs = block_pairs(*blocks_of(both, lambda f: (f["a"].to_numpy().tobytes(), f["b"].to_numpy().tobytes()), block))
+    ordered = np.sort(b)
+    tied_b = int(sum((np.unique(ordered, return_counts=True)[1] * (np.unique(ordered, return_counts=True)[1] - 1) // 2).tolist()))
+    fall = inversions(b)
+    rise = n * (n - 1) // 2 - fall - tied_b
+    return rise - fall - (tied(a) - tied(a, b))  # pairs of one a rise in this order, but don't count
 
-    def agree(frames):
-        for frame in frames:
-            for r in frame.itertuples():
-                a1, b1, a2, b2 = (np.frombuffer(x) for x in (r.keys, r.matrix, r.keys2, r.matrix2))
-                total = float((np.sign(a1[:, None] - a2) * np.sign(b1[:, None] - b2)).sum())
-                yield pd.DataFrame({"s": [total / 2 if r.i == r.j else total]})
 
-    total = pairs.mapInPandas(agree, "s double").select("s", F.lit(None).cast("double").alias("d"))
-    apart = both.select(F.lit(None).cast("double").alias("s"), F.pow(F.col("a") - F.col("b"), 2).alias("d"))
-    n = F.count("d")
-    return total.unionByName(apart).agg((2 * F.sum("s") / (n * (n - 1))).alias("tau"), F.avg("d").alias("mse"))
+def kendall(rows: DataFrame, a: str, b: str, ranges: int | None = None) -> DataFrame:
+    """Kendall's tau-a and mean squared difference, of rows where both are known.
+
+    Quantiles cut both columns into ranges. Pairs in different ranges of both are counted from the numbers of rows in each
+    pair of ranges; pairs in one range of the first column, and those in one of the second but not of the first, are counted
+    in that range by merging, so that no two rows are compared. A value that fills a range of its own needs no comparison.
+    """
+    import numpy as np
+
+    both = rows.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).dropna()
+    n = both.count()
+    ranges = ranges or min(KENDALL_RANGES, max(1, n // KENDALL_ROWS))
+    steps = [i / ranges for i in range(1, ranges)]
+    cuts = both.approxQuantile(["a", "b"], steps, min(0.002, 0.2 / ranges)) if steps and n else [[], []]
+
+    def place(column: str, at: list[float]) -> tuple[Column, list[int]]:
+        """The range (cuts below, and for a repeated cut whether it is reached), and the ranges of one value."""
+        kept, hot = sorted(set(at)), sorted({x for x in at if at.count(x) > 1})
+        if not kept:
+            return F.lit(0), []
+        below = F.size(F.filter(F.array(*map(F.lit, kept)), lambda c: c < F.col(column)))
+        own = F.col(column).isin(*hot) if hot else F.lit(False)
+        return F.when(own, 2 * below + 1).otherwise(2 * below), [2 * kept.index(x) + 1 for x in hot]
+
+    (i, hot_a), (j, hot_b) = place("a", cuts[0]), place("b", cuts[1])
+    dealt = both.withColumns({"i": i, "j": j})
+    cells = dealt.groupBy("i", "j").agg(F.count("*").alias("n")).collect()  # ranges ** 2 rows at most
+    size_i, size_j = max((r.i for r in cells), default=0) + 1, max((r.j for r in cells), default=0) + 1
+    grid = np.zeros((size_i, size_j), object)
+    for r in cells:
+        grid[r.i, r.j] = r.n
+    upper = np.cumsum(np.cumsum(grid, 0), 1)
+    before = np.zeros((size_i + 1, size_j + 1), object)
+    before[1:, 1:] = upper
+    lower_left = before[:-1, :-1]
+    lower_right = before[:-1, -1:] - before[:-1, 1:]
+    apart = int((grid * (lower_left - lower_right)).sum())
+
+    def within(key, table):
+        import pyarrow as pa
+
+        x, y = table.column("a").to_numpy(), table.column("b").to_numpy()
+        side, other = key[0].as_py(), table.column("other").to_numpy()
+        total = agreement(x, y)
+        if side == "b":  # pairs in one range of both are counted on the other side
+            order = np.argsort(other, kind="stable")
+            for some in np.split(order, np.flatnonzero(np.diff(other[order])) + 1):
+                total -= agreement(x[some], y[some])
+        return pa.table({"s": pa.array([total], pa.int64())})
+
+    # values of a range of their own: pairs of one value count nothing on that side
+    by_a = dealt.filter(~F.col("i").isin(*hot_a)) if hot_a else dealt
+    by_b = dealt.filter(~F.col("j").isin(*hot_b)) if hot_b else dealt
+    sides = by_a.select(F.lit("a").alias("side"), F.col("i").alias("k"), F.col("j").alias("other"), "a", "b").unionByName(by_b.select(F.lit("b").alias("side"), F.col("j").alias("k"), F.col("i").alias("other"), "a", "b"))
+    local = sides.groupBy("side", "k").applyInArrow(within, "s long").agg(F.coalesce(F.sum(F.col("s").cast("double")), F.lit(0.0)).alias("s"))
+    mse = both.agg(F.avg(F.pow(F.col("a") - F.col("b"), 2)).alias("mse"))
+    pairs = n * (n - 1.0)
+    return local.withColumn("k", F.lit(1)).join(mse.withColumn("k", F.lit(1)), "k").select((F.try_divide(2 * (F.col("s") + float(apart)), F.lit(pairs))).alias("tau"), "mse")
 
 
 def bootstrap_draws(rows: DataFrame, key: str, label: str, rounds: int) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from postloom.operators import entities, evaluation, geo, match, panels, retrieval, vectors
@@ -35,12 +36,18 @@ def test_ranked_cuts_a_shared_score(spark):
     assert [r.id for r in retrieval.ranked(df, "s", "id", 16).orderBy("rank").collect()] == want
 
 
-def test_kendall_over_blocks(spark):
-    rng = np.random.default_rng(2)
-    a, b = rng.integers(0, 9, 70), rng.integers(0, 9, 70)
-    want = sum(np.sign(a[i] - a[j]) * np.sign(b[i] - b[j]) for i in range(70) for j in range(i)) * 2 / (70 * 69)
-    got = evaluation.kendall(spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b, strict=True)], "a int, b int"), "a", "b", block=20).first()
-    assert abs(got.tau - want) < 1e-9 and abs(got.mse - ((a - b) ** 2).mean()) < 1e-9
+@pytest.mark.parametrize("values", [9, 4, 1000])
+def test_kendall_over_ranges(spark, values):
+    rng = np.random.default_rng(values)
+    a, b = rng.integers(0, values, 300), rng.integers(0, values, 300)
+    a[:120], b[60:170] = 3, 2  # values of many rows
+    want = int((np.sign(a[:, None] - a) * np.sign(b[:, None] - b)).sum()) / (300 * 299)
+    df = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b, strict=True)] + [(None, 1)], "a int, b int")
+    for ranges in (1, 7, 40):
+        got = evaluation.kendall(df, "a", "b", ranges).first()
+        assert abs(got.tau - want) < 1e-9 and abs(got.mse - ((a - b) ** 2).mean()) < 1e-9
+    x = rng.integers(0, 50, 77)
+    assert evaluation.inversions(x) == sum(x[i] > x[j] for j in range(77) for i in range(j))
 
 
 def test_votes(spark):
