@@ -59,7 +59,7 @@ def average_ranks(rows: DataFrame, value: str) -> DataFrame:
     """Each distinct value and the mean rank of its rows: values are counted first, and only distinct ones are ranked."""
     from postloom.operators.retrieval import ranked
 
-    counts = rows.groupBy(value).agg(F.count("*").alias("_c"))
+    counts = checkpoint(rows.groupBy(value).agg(F.count("*").alias("_c")))  # read by the quantiles and the ranks
     order = ranked(counts.withColumn("_neg", -F.col(value)), "_neg", value)
     bands = order.withColumn("_b", F.floor((F.col("rank") - 1) / 4096))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

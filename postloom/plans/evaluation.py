@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from postloom.operators import evaluation
 from postloom.plans.registry import query
-from postloom.session import table
+from postloom.session import checkpoint, table
 
 _VOTES = "(SELECT event_id % 200 AS item, event_type AS kind, user_id % 5 AS worker, CAST(floor(value) AS INTEGER) % 2 AS score FROM events)"
 
@@ -132,7 +132,7 @@ SELECT round(2 * s / (count(*) * (count(*) - 1.0)), 9) AS tau, round(corr(ra, rb
 """)
 def agg_kendall_mse(spark, sf_dir):
     """Two runs of all customers: Kendall's tau, Spearman, mean squared difference and mean ratio."""
-    runs = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_totalprice").cast("double").alias("a"), F.max("o_totalprice").cast("double").alias("b"))
+    runs = checkpoint(table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_totalprice").cast("double").alias("a"), F.max("o_totalprice").cast("double").alias("b")))
     one, two = evaluation.kendall(runs, "a", "b"), evaluation.spearman(runs, "a", "b")
     ratio = runs.agg(F.avg(F.try_divide("a", "b")).alias("ratio"))
     both = one.withColumn("k", F.lit(1)).join(two.withColumn("k", F.lit(1)), "k").join(ratio.withColumn("k", F.lit(1)), "k")  # one row each
