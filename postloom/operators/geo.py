@@ -8,28 +8,44 @@ from pyspark.sql import functions as F
 from postloom.session import checkpoint
 
 
+def _edges(ring: Column) -> Column:
+    following = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+    return F.arrays_zip(ring.alias("a"), following.alias("b"))
+
+
 def inside(x: Column, y: Column, ring: Column) -> Column:
     """Whether the point is in the ring (array of struct x, y, closed or not) or on its edge."""
-    n = F.size(ring)
-    following = F.concat(F.slice(ring, 2, F.greatest(n - 1, F.lit(0))), F.slice(ring, 1, 1))
-    edges = F.arrays_zip(ring.alias("a"), following.alias("b"))
+    return inside_rings(x, y, F.array(ring))
+
+
+def inside_rings(x: Column, y: Column, rings: Column) -> Column:
+    """Whether the point is in an odd number of the rings, so that holes and several parts count, or on an edge."""
     a, b = (lambda e: e["a"]), (lambda e: e["b"])
     crosses = lambda e: ((a(e)["y"] > y) != (b(e)["y"] > y)) & (x < (b(e)["x"] - a(e)["x"]) * (y - a(e)["y"]) / F.when(b(e)["y"] == a(e)["y"], F.lit(1.0)).otherwise(b(e)["y"] - a(e)["y"]) + a(e)["x"])
     cross = lambda e: (b(e)["x"] - a(e)["x"]) * (y - a(e)["y"]) - (b(e)["y"] - a(e)["y"]) * (x - a(e)["x"])
     on = lambda e: (cross(e) == 0) & x.between(F.least(a(e)["x"], b(e)["x"]), F.greatest(a(e)["x"], b(e)["x"])) & y.between(F.least(a(e)["y"], b(e)["y"]), F.greatest(a(e)["y"], b(e)["y"]))
+    edges = F.flatten(F.transform(rings, _edges))
     return F.exists(edges, on) | (F.size(F.filter(edges, crosses)) % 2 == 1)
 
 
+def rings_of(wkt: Column) -> Column:
+    """The rings of a POLYGON or MULTIPOLYGON text, as arrays of struct x, y; further coordinates are left out, no text has none."""
+    point = lambda p: F.struct(F.get(F.split(p, r"\s+"), F.lit(0)).try_cast("double").alias("x"), F.get(F.split(p, r"\s+"), F.lit(1)).try_cast("double").alias("y"))
+    return F.transform(F.regexp_extract_all(wkt, F.lit(r"\(([^()]+)\)"), F.lit(1)), lambda r: F.transform(F.split(F.trim(r), r"\s*,\s*"), point))
+
+
 def spatial_join(points: DataFrame, areas: DataFrame, cell: float) -> DataFrame:
-    """Points (x, y) with the areas (area_id, ring) that they are in or on.
+    """Points (x, y) with the areas (area_id and ring, or rings where there are holes or several parts) that they are in or on.
 
     An area meets the points of the grid cells that its box covers, by an equi-join on the cell, and is tested only there.
     """
-    xs, ys = F.col("ring")["x"], F.col("ring")["y"]
+    rings = F.col("rings") if "rings" in areas.columns else F.array("ring")
+    corners = F.flatten(rings)
     cells = lambda v: F.sequence(F.floor(F.array_min(v) / cell), F.floor(F.array_max(v) / cell))
-    covered = areas.withColumn("cx", F.explode(cells(xs))).withColumn("cy", F.explode(cells(ys)))
+    known = areas.filter(F.size(corners) > 0)
+    covered = known.withColumn("cx", F.explode(cells(corners["x"]))).withColumn("cy", F.explode(cells(corners["y"])))
     placed = points.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
-    return placed.join(covered, ["cx", "cy"]).filter(inside(F.col("x"), F.col("y"), F.col("ring"))).drop("cx", "cy")
+    return placed.join(covered, ["cx", "cy"]).filter(inside_rings(F.col("x"), F.col("y"), rings)).drop("cx", "cy")
 
 
 def haversine(lat: Column, lon: Column, other_lat: Column, other_lon: Column) -> Column:

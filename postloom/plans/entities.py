@@ -107,6 +107,20 @@ def join_spatial(spark, sf_dir):
     return geo.spatial_join(_points(spark, sf_dir), _areas(spark), 0.1).select("point_id", "area_id")
 
 
+@query("""
+SELECT point_id, area_id FROM (SELECT vec_id AS point_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), (VALUES (1), (2)) a(area_id)
+WHERE CASE area_id WHEN 1 THEN x BETWEEN -0.25 AND 0.25 AND y BETWEEN -0.25 AND 0.25 AND NOT (x > -0.125 AND x < 0.125 AND y > -0.125 AND y < 0.125) ELSE x BETWEEN 0.25 AND 0.5 AND y BETWEEN 0 AND 0.5 OR x BETWEEN -0.5 AND -0.375 AND y BETWEEN -1 AND 1 END
+""")
+def join_spatial_wkt(spark, sf_dir):
+    """Areas from their texts: one with a hole, one of two parts."""
+    shapes = [
+        (1, "POLYGON ((-0.25 -0.25, 0.25 -0.25, 0.25 0.25, -0.25 0.25, -0.25 -0.25), (-0.125 -0.125, 0.125 -0.125, 0.125 0.125, -0.125 0.125, -0.125 -0.125))"),
+        (2, "MULTIPOLYGON (((0.25 0, 0.5 0, 0.5 0.5, 0.25 0.5, 0.25 0)), ((-0.5 -1, -0.375 -1, -0.375 1, -0.5 1, -0.5 -1)))"),
+    ]
+    areas = spark.createDataFrame(shapes, "area_id int, wkt string").select("area_id", geo.rings_of(F.col("wkt")).alias("rings"))
+    return geo.spatial_join(_points(spark, sf_dir), areas, 0.1).select("point_id", "area_id")
+
+
 @query(_IN_SQL + "SELECT a.area_id, count(hit.point_id) AS n FROM (SELECT DISTINCT area_id FROM e) a LEFT JOIN hit ON a.area_id = hit.area_id GROUP BY a.area_id")
 def join_spatial_left_dissolve(spark, sf_dir):
     counts = geo.spatial_join(_points(spark, sf_dir), _areas(spark), 0.1).groupBy("area_id").agg(F.count("*").alias("n"))

@@ -69,6 +69,13 @@ def test_points_on_edges_and_outside(spark):
     assert sorted(r.p for r in geo.spatial_join(points, areas, 0.7).collect()) == [1, 2, 3]
 
 
+def test_holes_and_parts(spark):
+    texts = [(1, "POLYGON((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 3 1, 3 3, 1 3, 1 1))"), (2, "MULTIPOLYGON Z (((9 9 1, 10 9 1, 10 10 1, 9 9 1)), ((0 0 1, 1 0 1, 1 1 1, 0 0 1)))"), (3, None), (4, "POLYGON EMPTY")]
+    areas = spark.createDataFrame(texts, "area_id int, wkt string").select("area_id", geo.rings_of(F.col("wkt")).alias("rings"))
+    points = spark.createDataFrame([(1, 0.5, 0.4), (2, 2.0, 2.0), (3, 1.0, 2.0), (4, 9.6, 9.5), (5, 5.0, 5.0)], "p int, x double, y double")
+    assert sorted((r.p, r.area_id) for r in geo.spatial_join(points, areas, 0.7).collect()) == [(1, 1), (1, 2), (3, 1), (4, 2)]
+
+
 def test_contains_any(spark):
     docs = spark.createDataFrame([(1, "xa b c dy"), (2, "none"), (3, "the end"), (4, None)], "doc_id int, text string")
     sentences = spark.createDataFrame([("a b c d",), ("the en",), ("",), (None,)], "sentence string")
