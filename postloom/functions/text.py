@@ -224,5 +224,8 @@ def skipgrams(tokens: Column, n: int, gap: int | None = None) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """Contiguous n-grams, joined by blanks."""
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """Contiguous n-grams, joined by blanks; none for no tokens. The tokens are worked out ``n`` times, not once for each n-gram."""
+    count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    shifted = [F.slice(tokens, k + 1, count) for k in range(n)]
+    joined = reduce(lambda grams, more: F.zip_with(grams, more, lambda a, b: F.concat(a, F.lit(" "), b)), shifted)
+    return F.coalesce(joined, F.array().cast("array<string>"))

@@ -7,15 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postloom.functions.text import ngrams
+
 #: Inner words of a sentence by which texts and sentences meet, at most.
 INNER = 3
 
 
-def _runs(words: Column, n: int) -> Column:
-    """All runs of ``n`` words."""
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
-
-
 #: Bytes of sentences without inner words that one pattern holds; beyond, they are compared with all texts.
 PATTERN_BYTES = 1 << 20
 
@@ -40,7 +37,7 @@ def contains_any(docs: DataFrame, sentences: DataFrame, inner: int = INNER, patt
         elif k == 0:
             found.append(keyed.join(known.filter("k = 0"), F.col("text").contains(F.col("sentence"))).select("doc_id", "_h"))
         else:
-            runs = keyed.select("doc_id", "_h", F.explode(F.array_distinct(_runs(F.split("text", " "), k))).alias("run"))
+            runs = keyed.select("doc_id", "_h", F.explode(F.array_distinct(ngrams(F.split("text", " "), k))).alias("run"))
             met = runs.join(known.filter(F.col("k") == k), "run").select(F.col("doc_id").alias("_d"), F.col("_h").alias("_k"), "sentence")
             found.append(keyed.join(met, keyed["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_k"))).filter(F.col("text").contains(F.col("sentence"))).select("doc_id", "_h"))
     if not found:

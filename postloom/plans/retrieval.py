@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from postloom.functions import text
 from postloom.operators import lift, retrieval
 from postloom.plans.registry import query
-from postloom.session import table
+from postloom.session import checkpoint, table
 
 _RANKED = "(SELECT event_id, user_id, event_type, value, row_number() OVER (ORDER BY value DESC, event_id) AS rank FROM events)"
 _HASH = "md5(CAST(event_id AS VARCHAR))"
@@ -215,8 +215,10 @@ WITH g AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i]
 SELECT a.gram, a.n AS n_part, b.n AS n_whole, (a.n / s.a) / (b.n / s.b) AS lift FROM a LEFT JOIN b ON a.gram = b.gram, (SELECT CAST(count(*) FILTER (doc_id % 2 = 0) AS DOUBLE) AS a, CAST(count(*) FILTER (doc_id % 2 = 1) AS DOUBLE) AS b FROM documents) s
 """)
 def agg_ngram_lift(spark, sf_dir):
-    grams = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.ngrams(F.split(F.lower("text"), " "), 2)).alias("gram"))
-    a, b = (grams.filter(F.col("doc_id") % 2 == k).groupBy("gram").agg(F.count("*").alias("n")) for k in (0, 1))
+    half = (F.col("doc_id") % 2).alias("half")
+    grams = table(spark, sf_dir, "documents").select(half, F.explode(text.ngrams(F.split(F.lower("text"), " "), 2)).alias("gram"))
+    counts = checkpoint(grams.groupBy("gram").agg(*(F.count_if(F.col("half") == k).alias(f"n_{k}") for k in (0, 1))))  # texts are cut once for both
+    a, b = (counts.filter(F.col(f"n_{k}") > 0).select("gram", F.col(f"n_{k}").alias("n")) for k in (0, 1))
     sizes = table(spark, sf_dir, "documents").agg(*(F.count_if(F.col("doc_id") % 2 == k).cast("double") for k in (0, 1))).first()
     return lift.lift(a.filter("n >= 15"), b, "gram", *sizes)
 
