@@ -285,14 +285,14 @@ class Model:
     base_only: bool
 
 
-KNOWN = "doc_id long, h long, held_out boolean, training boolean, n_tokens long, n_known long, emitted double, path binary, spots binary, endings binary"
+KNOWN = "doc_id long, h long, held_out boolean, training boolean, n_tokens long, n_known long, emitted double, path binary, spots binary, endings binary, names array<binary>"
 
 
 def _known(model, classes: int):
     """Of each text: its classes as bytes, as far as its words are frequent.
 
     For its other words, ``spots`` has the numbers of those words among the text's distinct ones in byte order, in the
-    text's order, and ``endings`` the classes that each of them has if the training text doesn't hold it.
+    text's order, ``endings`` the classes that each of them has if the training text doesn't hold it, and ``names`` the words.
     """
 
     @lean
@@ -300,7 +300,7 @@ def _known(model, classes: int):
         items, group = model.value
         kind = class_kind(classes)
         for batch in batches:
-            out, paths, spots, endings = np.zeros((batch.num_rows, 3)), [], [], []
+            out, paths, spots, endings, lists = np.zeros((batch.num_rows, 3)), [], [], [], []
             for k, words in tokens(batch.column(4)):
                 number, item = items.of(words)
                 path, rare = group[item].astype(kind), np.flatnonzero(number < 0)
@@ -314,7 +314,8 @@ def _known(model, classes: int):
                 paths.append(path.tobytes())
                 spots.append(at.astype(spot_kind(len(names))).tobytes())
                 endings.append(tails.tobytes())
-            columns = [pa.array(out[:, 0].astype(np.int64)), pa.array(out[:, 1].astype(np.int64)), pa.array(out[:, 2]), *(pa.array(x, pa.binary()) for x in (paths, spots, endings))]
+                lists.append(names)
+            columns = [pa.array(out[:, 0].astype(np.int64)), pa.array(out[:, 1].astype(np.int64)), pa.array(out[:, 2]), *(pa.array(x, pa.binary()) for x in (paths, spots, endings)), pa.array(lists, pa.list_(pa.binary()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], *columns], names=[x.split()[0] for x in KNOWN.split(", ")])
 
     return run
@@ -392,25 +393,6 @@ def _scores(sums):
     return run
 
 
-def _rare(items):
-    """doc_id, h, number among the text's words that aren't frequent, and the word."""
-
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = items.value.index
-        for batch in batches:
-            rows, numbers, words = [], [], []
-            for k, found in tokens(batch.column(2)):
-                names = sorted({w for w in found if w not in index})
-                rows += [k] * len(names)
-                numbers += range(len(names))
-                words += names
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(words, pa.binary())], names=["doc_id", "h", "i", "word"])
-
-    return run
-
-
 def least_frequent(counts: DataFrame, frequent: int) -> int:
     """The least count (one of a geometric scale) that at most ``frequent`` words reach."""
     scale = F.floor(F.log2("n") * 32)
@@ -459,10 +441,9 @@ def class_paths(rows: DataFrame, items: Items, group: np.ndarray, assigned: Data
 
     Only words that aren't frequent and paths of classes are shuffled, never texts.
     """
-    spark = rows.sparkSession
-    rare = rows.select("doc_id", "h", "text").mapInArrow(_rare(shared(spark, items)), "doc_id long, h long, i int, word binary")
+    known = checkpoint(rows.select("doc_id", "h", "held_out", "training", "text").mapInArrow(_known(shared(rows.sparkSession, (items, group)), classes), KNOWN))
+    rare = known.select("doc_id", "h", F.posexplode("names").alias("i", "word"))
     met = rare.join(assigned.filter(F.col("n") < least), "word").groupBy("doc_id", "h").agg(F.collect_set(F.struct("i", "n", "class")).alias("rare")).select(F.col("doc_id").alias("d"), F.col("h").alias("k"), "rare")
-    known = rows.select("doc_id", "h", "held_out", "training", "text").mapInArrow(_known(shared(spark, (items, group)), classes), KNOWN)
     both = known.join(met, known["doc_id"].eqNullSafe(F.col("d")) & (known["h"] == F.col("k")), "left").select("doc_id", "held_out", "training", "n_tokens", "n_known", "emitted", "path", "spots", "endings", "rare")
     return both.mapInArrow(_paths(classes), PATHS)
 
