@@ -122,6 +122,12 @@ def agreement(a, b) -> int:
     return rise - fall - (tied(a) - tied(a, b))  # pairs of one a rise in this order, but don't count
 
 
+def beside(*rows: DataFrame) -> DataFrame:
+    """One row of all columns of frames that have one row each."""
+    columns = [c for r in rows for c in r.columns]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows).agg(*(F.max(c).alias(c) for c in columns))
+
+
 def kendall(rows: DataFrame, a: str, b: str, ranges: int | None = None) -> DataFrame:
     """Kendall's tau-a and mean squared difference, of rows where both are known.
 
@@ -179,7 +185,7 @@ def kendall(rows: DataFrame, a: str, b: str, ranges: int | None = None) -> DataF
     local = sides.groupBy("side", "k").applyInArrow(within, "s long").agg(F.coalesce(F.sum(F.col("s").cast("double")), F.lit(0.0)).alias("s"))
     mse = both.agg(F.avg(F.pow(F.col("a") - F.col("b"), 2)).alias("mse"))
     pairs = n * (n - 1.0)
-    return local.withColumn("k", F.lit(1)).join(mse.withColumn("k", F.lit(1)), "k").select((F.try_divide(2 * (F.col("s") + float(apart)), F.lit(pairs))).alias("tau"), "mse")
+    return beside(local.select(F.try_divide(2 * (F.col("s") + float(apart)), F.lit(pairs)).alias("tau")), mse)
 
 
 def bootstrap_draws(rows: DataFrame, key: str, label: str, rounds: int) -> DataFrame:

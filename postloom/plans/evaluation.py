@@ -134,8 +134,7 @@ def agg_kendall_mse(spark, sf_dir):
     """Two runs of all customers: Kendall's tau, Spearman, mean squared difference and mean ratio."""
     runs = checkpoint(table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_totalprice").cast("double").alias("a"), F.max("o_totalprice").cast("double").alias("b")))
     one, two = evaluation.kendall(runs, "a", "b"), evaluation.spearman(runs, "a", "b")
-    ratio = runs.agg(F.avg(F.try_divide("a", "b")).alias("ratio"))
-    both = one.withColumn("k", F.lit(1)).join(two.withColumn("k", F.lit(1)), "k").join(ratio.withColumn("k", F.lit(1)), "k")  # one row each
+    both = evaluation.beside(one, two, runs.agg(F.avg(F.try_divide("a", "b")).alias("ratio")))
     return both.select(F.round("tau", 9).alias("tau"), F.round("spearman", 6).alias("spearman"), F.round("mse", 1).alias("mse"), F.round("ratio", 9).alias("ratio"))
 
 
