@@ -97,17 +97,20 @@ def _bigrams(items):
         these: Items = items.value
         size = these.rest + 1
         seen = np.zeros(size * size, np.int64)
+        parts: list[np.ndarray] = []
+        held = 0
         for batch in batches:
-            parts: list[np.ndarray] = []
             for _, words in tokens(batch.column(0)):
                 path = np.zeros(len(words) + 2, np.int64)
                 path[1:-1] = these.of(words)[1]
                 parts.append(path[:-1] * size + path[1:])
-                if len(parts) > 500:
+                held += len(words)
+                if held > 2_000_000:
                     seen += np.bincount(np.concatenate(parts), minlength=size * size)
                     parts.clear()
-            if parts:
-                seen += np.bincount(np.concatenate(parts), minlength=size * size)
+                    held = 0
+        if parts:
+            seen += np.bincount(np.concatenate(parts), minlength=size * size)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["pair", "n"])
 
@@ -341,13 +344,15 @@ def _paths(classes: int):
         kind = class_kind(classes)
         for batch in batches:
             known, emitted = (batch.column(k).to_numpy(zero_copy_only=False).copy() for k in (4, 5))
-            paths = []
-            for k, (path, spots, endings, met) in enumerate(zip(*(batch.column(c).to_pylist() for c in (6, 7, 8, 9)), strict=True)):
+            paths, met = [], batch.column(9)
+            cuts, values = met.offsets.to_numpy().tolist(), met.values  # a null list is one of no values
+            places, groups = (values.field(k).to_numpy(zero_copy_only=False) for k in ("i", "class"))
+            lasting = np.log10(values.field("n").to_numpy(zero_copy_only=False) + 1.0)
+            for k, (path, spots, endings) in enumerate(zip(*(batch.column(c).to_pylist() for c in (6, 7, 8)), strict=True)):
                 path, own = np.frombuffer(path, kind).copy(), np.frombuffer(endings, kind).copy()
                 if len(own):
-                    logs = np.full(len(own), -1.0)
-                    for r in met or ():
-                        own[r["i"]], logs[r["i"]] = r["class"], np.log10(r["n"] + 1.0)
+                    logs, some = np.full(len(own), -1.0), slice(cuts[k], cuts[k + 1])
+                    own[places[some]], logs[places[some]] = groups[some], lasting[some]
                     at = np.frombuffer(spots, spot_kind(len(own)))
                     path[path == np.iinfo(kind).max] = own[at]
                     seen = logs[at]
