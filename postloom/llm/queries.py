@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postloom.llm import brown, chat, decontaminate, extraction, jaccard, langid, packing, quality, structure, topk, toxicity, whitening
+from postloom.llm import brown, chat, decontaminate, extraction, jaccard, langid, packing, private, quality, structure, topk, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,12 +75,17 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return private.digests(private.find(docs, private.learn(docs)))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.repair(structure.damage(_table(spark, sf_dir, "conversations")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_html_extraction, op3_lm_scoring, op4_toxicity, op5_quality_classifier, op6_language_id, op7_exact_top_k, op8_chat_formatting, op9_ngram_jaccard_join, op10_benchmark_decontamination, op11_embedding_whitening, op13_conversation_repair)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_html_extraction, op3_lm_scoring, op4_toxicity, op5_quality_classifier, op6_language_id, op7_exact_top_k, op8_chat_formatting, op9_ngram_jaccard_join, op10_benchmark_decontamination, op11_embedding_whitening, op12_personal_data, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
