@@ -169,6 +169,95 @@ def ml_ols(spark, sf_dir):
     return f.select(F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"), F.round("r2", 6).alias("r2"), F.round("rmse", 2).alias("rmse"))
 
 
+#: A monthly series for each quarter of account balances and those above it: the mean price, that of the month before, and two shares.
+_SERIES = """
+u AS (SELECT c_custkey, CAST(floor((c_acctbal + 1000) / 2750) AS BIGINT) AS q FROM customer),
+s AS (SELECT g, date_trunc('month', o_orderdate) AS month, avg(o_totalprice) AS price, avg(CAST(o_orderpriority = '1-URGENT' AS DOUBLE)) AS urgent, avg(CAST(o_orderstatus = 'F' AS DOUBLE)) AS filled
+      FROM orders JOIN u ON o_custkey = c_custkey JOIN range(0, 4) l(g) ON q >= g GROUP BY ALL),
+p AS (SELECT *, lag(price) OVER (PARTITION BY g ORDER BY month) AS price_lag FROM s)
+"""
+#: Models of the series: without and with the panel's columns.
+SERIES_MODELS = {"AR(1)": ["price_lag"], "urgent": ["urgent"], "AR(1)+panel": ["price_lag", "urgent", "filled"]}
+
+
+def _series(spark, sf_dir):
+    from postloom.operators import regression
+
+    quarter = F.floor((F.col("c_acctbal") + 1000) / 2750)
+    users = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.when(quarter >= 0, F.sequence(F.lit(0).cast("long"), F.least(quarter, F.lit(3).cast("long"))))).alias("g"))
+    orders = table(spark, sf_dir, "orders").join(users, F.col("o_custkey") == F.col("c_custkey"))
+    means = [F.avg(e).alias(n) for n, e in (("price", "o_totalprice"), ("urgent", (F.col("o_orderpriority") == "1-URGENT").cast("double")), ("filled", (F.col("o_orderstatus") == "F").cast("double")))]
+    series = orders.groupBy("g", F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("month")).agg(*means)
+    return regression.lagged(series, ["g"], "month", "price")
+
+
+def _fit_sql(name: str, xs: list[str], rows: str) -> str:
+    """Common tables of a fit by its normal equations, solved by determinants: sums m, coefficients b0, b1, and on."""
+    s = lambda i, j: f"s{min(i, j)}{max(i, j)}"
+    n = len(xs)
+
+    def det(m: list[list[str]]) -> str:
+        if len(m) == 1:
+            return m[0][0]
+        return "(" + " ".join(f"{'-' if k % 2 else '+'} {m[0][k]} * {det([r[:k] + r[k + 1 :] for r in m[1:]])}" for k in range(len(m))) + ")"
+
+    within = [[s(i, j) for j in range(1, n + 1)] for i in range(1, n + 1)]
+    swapped = lambda k: [[s(0, i) if j == k else s(i, j) for j in range(1, n + 1)] for i in range(1, n + 1)]
+    columns = ["price", *xs]
+    sums = ", ".join([f"avg({c}) AS m{i}" for i, c in enumerate(columns)] + [f"covar_pop({a}, {b}) AS s{i}{j}" for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j])
+    slopes = ", ".join(f"{det(swapped(k))} / {det(within)} AS b{k}" for k in range(1, n + 1))
+    const = "m0 " + " ".join(f"- b{k} * m{k}" for k in range(1, n + 1))
+    explained = " + ".join(f"b{k} * s0{k}" for k in range(1, n + 1))
+    return f"m_{name} AS (SELECT g, count(*) AS n, {sums} FROM {rows} GROUP BY g), c_{name} AS (SELECT *, {slopes} FROM m_{name}), f_{name} AS (SELECT *, {const} AS b0, ({explained}) / s00 AS r2, sqrt(greatest(s00 - ({explained}), 0)) AS rmse FROM c_{name})"
+
+
+def _panel_sql() -> str:
+    known = "k AS (SELECT * FROM p WHERE price_lag IS NOT NULL)"
+    fits = ", ".join(_fit_sql(f"a{i}", xs, "k") for i, xs in enumerate(SERIES_MODELS.values()))
+    parts = [f"SELECT g, '{name}' AS model, '{term}' AS term, round(b{k}, 4) AS coefficient, n, round(r2, 8) AS r2, round(rmse, 4) AS rmse FROM f_a{i}" for i, (name, xs) in enumerate(SERIES_MODELS.items()) for k, term in enumerate(["const", *xs])]
+    return f"WITH {_SERIES}, {known}, {fits} {' UNION ALL '.join(parts)}"
+
+
+def _forecast_sql() -> str:
+    split = "TIMESTAMP '1996-12-01'"
+    known = f"k AS (SELECT * FROM p WHERE price_lag IS NOT NULL), train AS (SELECT * FROM k WHERE month <= {split}), test AS (SELECT * FROM k WHERE month >= {split})"
+    fits = ", ".join(_fit_sql(f"a{i}", xs, "train") for i, xs in enumerate(SERIES_MODELS.values()))
+    parts = []
+    for i, (name, xs) in enumerate(SERIES_MODELS.items()):
+        guess = "b0 " + " ".join(f"+ b{k} * {x}" for k, x in enumerate(xs, 1))
+        parts.append(f"SELECT g, '{name}' AS model, n AS n_train, count(*) AS n_test, round(rmse, 4) AS rmse_train, round(sqrt(avg(pow(price - ({guess}), 2))), 4) AS rmse_test FROM f_a{i} JOIN test USING (g) GROUP BY g, n, rmse")
+    return f"WITH {_SERIES}, {known}, {fits} {' UNION ALL '.join(parts)}"
+
+
+@query(_panel_sql())
+def ml_ols_panel(spark, sf_dir):
+    """Fits with and without the lagged target and the panel's shares, in each nested group of balances."""
+    from postloom.operators import regression
+
+    fits = regression.least_squares(_series(spark, sf_dir), "price", SERIES_MODELS, ["g"])
+    return fits.select("g", "model", "term", F.round("coefficient", 4).alias("coefficient"), "n", F.round("r2", 8).alias("r2"), F.round("rmse", 4).alias("rmse"))
+
+
+@query(_forecast_sql())
+def ml_ols_forecast(spark, sf_dir):
+    """Errors of the models inside the months up to a split, and outside, from the split on."""
+    from postloom.operators import regression
+
+    split = F.lit("1996-12-01").cast("timestamp_ntz")
+    out = regression.forecast(_series(spark, sf_dir), "price", SERIES_MODELS, ["g"], F.col("month") <= split, F.col("month") >= split)
+    return out.select("g", "model", "n_train", "n_test", F.round("rmse_train", 4).alias("rmse_train"), F.round("rmse_test", 4).alias("rmse_test"))
+
+
+@query()
+def ml_logit_features(spark, sf_dir):
+    """Whether a customer ever had an urgent order, by balance and activity, in each market segment."""
+    from postloom.operators import regression
+
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max((F.col("o_orderpriority") == "1-URGENT").cast("int")).alias("urgent"), F.count("*").alias("n_orders"), F.avg("o_totalprice").alias("mean_price"))
+    users = table(spark, sf_dir, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"))
+    return regression.logit(users, "urgent", ["c_acctbal", "n_orders", "mean_price"], ["c_mktsegment"])
+
+
 @query(r"SELECT doc_id, CAST(len(list_filter(string_split_regex(lower(text), '[^a-zA-Z0-9_]'), lambda x: x <> '')) AS INTEGER) AS n_tokens FROM documents")
 def ml_pipeline_tokenizer(spark, sf_dir):
     from pyspark.ml import Pipeline
