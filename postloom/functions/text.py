@@ -167,45 +167,6 @@ def tokens_space(text: Column) -> Column:
     return F.split(text, " ")
 
 
-#: Contractions of English, as patterns, and what they are short for; whole words first.
-CONTRACTIONS = (
-    (r"\bcan't\b", "can not"),
-    (r"\bwon't\b", "will not"),
-    (r"\bshan't\b", "shall not"),
-    (r"\blet's\b", "let us"),
-    (r"n't\b", " not"),
-    (r"'re\b", " are"),
-    (r"'ve\b", " have"),
-    (r"'ll\b", " will"),
-    (r"'d\b", " would"),
-    (r"'m\b", " am"),
-    (r"\b(it|he|she|that|what|there|here|who|where)'s\b", "$1 is"),
-)
-#: Emoticons, as patterns in lower case, and their marks.
-HEART, EMOTICONS = (r"<3", " <heart> "), ((r"[:;=]-?[)\]d](?=\s|$)", " <happy> "), (r"[:=]-?[(\[](?=\s|$)", " <sad> "), (r"[:;=]-?p(?=\s|$)", " <tong> "), (r":-?/(?=\s|$)", " <annoyed> "), (r"[:=]-?o(?=\s|$)", " <surprise> "))
-
-
-def tokens_social(text: Column, words: set[str] | None = None) -> Column:
-    """Tokens after addresses, users, tags, numbers and emoticons are replaced by marks and contractions are written out.
-
-    With a bounded list of ``words``, a tag that is made of two of them becomes those two.
-    """
-    steps = [HEART, (r"https?://\S+", "<url>"), (r"[\w.+-]+@[\w-]+\.[\w.]+", "<email>"), (r"@\w+", "<user>"), (r"#(\w+)", "<hashtag> $1 </hashtag>"), (r"\b\d+([.,]\d+)*\b", "<number>"), ("\u2019", "'"), *CONTRACTIONS, *EMOTICONS]
-    out = reduce(lambda c, s: F.regexp_replace(c, *s), steps, F.lower(text))
-    tokens = F.filter(F.split(out, r"\s+"), lambda t: t != "")
-    if not words:
-        return tokens
-    known = F.array(*map(F.lit, sorted(words)))
-
-    def cut(t: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.array_contains(known, F.substring(t, F.lit(1), i)) & F.array_contains(known, F.substring(t, i + 1, F.length(t))))
-        k = F.get(places, F.lit(0))
-        return F.when(F.array_contains(known, t) | k.isNull(), F.array(t)).otherwise(F.array(F.substring(t, F.lit(1), k), F.substring(t, k + 1, F.length(t))))
-
-    tagged = lambda t, i: F.when(F.get(tokens, i - 1) == "<hashtag>", cut(t)).otherwise(F.array(t))
-    return F.flatten(F.transform(tokens, tagged))
-
-
 def skipgrams(tokens: Column, n: int, gap: int | None = None) -> Column:
     """All ``n``-token combinations in order, at most ``gap`` tokens left out between neighbours (any number if None)."""
     size = F.size(tokens)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
-from postloom.functions import scalar, text
+from postloom.functions import scalar, social, text
 from postloom.plans.registry import query
 from postloom.session import table
 
@@ -365,24 +367,76 @@ def fn_tokenise_space(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.tokens_space(F.col("text")).alias("tokens"))
 
 
-def _social_sql() -> str:
-    """The marks and expansions of the tokenizer, written out for DuckDB: its patterns have no look-ahead."""
-    out = "lower(text)"
-    for pattern, mark in (
-        ("<3", " <heart> "), (r"https?://\S+", "<url>"), (r"[\w.+-]+@[\w-]+\.[\w.]+", "<email>"), (r"@\w+", "<user>"), (r"#(\w+)", r"<hashtag> \1 </hashtag>"), (r"\b\d+([.,]\d+)*\b", "<number>"), ("\u2019", "''"),
-        (r"\bcan''t\b", "can not"), (r"\bwon''t\b", "will not"), (r"\bshan''t\b", "shall not"), (r"\blet''s\b", "let us"), (r"n''t\b", " not"), (r"''re\b", " are"), (r"''ve\b", " have"), (r"''ll\b", " will"), (r"''d\b", " would"), (r"''m\b", " am"),
-        (r"\b(it|he|she|that|what|there|here|who|where)''s\b", r"\1 is"),
-        (r"[:;=]-?[)\]d](\s|$)", r" <happy> \1"), (r"[:=]-?[(\[](\s|$)", r" <sad> \1"), (r"[:;=]-?p(\s|$)", r" <tong> \1"), (r":-?/(\s|$)", r" <annoyed> \1"), (r"[:=]-?o(\s|$)", r" <surprise> \1"),
-    ):
-        out = f"regexp_replace({out}, '{pattern}', '{mark}', 'g')"
-    return rf"SELECT doc_id, list_filter(string_split_regex({out}, '\s+'), lambda x: x <> '') AS tokens FROM (SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN ' I can''t :-) it''s' WHEN 1 THEN ' #one :( <3 they''re' ELSE '' END AS text FROM documents WHERE lang = 'en')"
-
-
-@query(_social_sql())
+def _social_sql(extra: str, result: str, tag: str = "[lower(substr(t, 2))]") -> str:
+    """The tokenizer for DuckDB: the same patterns, with letters written out where it has no reference to a group."""
+    q = lambda p: "'" + p.replace("'", "''") + "'"
+    whole = lambda k: f"regexp_matches(t, {q(social._whole(k))})"
+    letters = [chr(c) for c in range(ord("a"), ord("z") + 1)]
+    straight = f"replace(t, '’', {q(chr(39))})"
+    shorter = functools.reduce(lambda c, x: f"regexp_replace({c}, '{x}{{3,}}', '{x}{x}', 'g')", letters, "lower(t)")
+    apart = functools.reduce(lambda c, s: f"regexp_replace({c}, {q(s[0])}, {q(s[1].replace('$1', chr(92) + '1'))}, 'g')", social.CONTRACTIONS, f"lower({straight})")
+    clean = functools.reduce(lambda c, e: f"replace({c}, {q(e[0])}, {q(e[1])})", social.ENTITIES, "text")
+    marks = []
+    for kind, pattern in social.PATTERNS.items():
+        if kind in social.MARKS:
+            marks.append(f"WHEN {whole(kind)} THEN ['<{kind}>']")
+        elif kind == "emphasis":
+            marks.append(f"WHEN {whole(kind)} THEN [replace(lower(t), '*', ''), '<emphasis>']")
+        elif kind == "censored":
+            marks.append(f"WHEN {whole(kind)} THEN [lower(t), '<censored>']")
+        elif kind == "repeated":
+            marks.append(f"WHEN regexp_matches(t, {q(f'^(?:{pattern})$')}) THEN [t[1], '<repeated>']")
+    case = rf"""CASE WHEN regexp_matches(lower(t), '{"|".join(f"{x}{{3}}" for x in letters)}') THEN [{shorter}, '<elongated>'] WHEN regexp_matches(t, '^[a-z]+$') THEN [t]
+      WHEN regexp_matches(t, '^\p{{Lu}}{{2,}}$') THEN ['<allcaps>', lower(t), '</allcaps>'] WHEN t[1] = '#' THEN CASE WHEN {whole("hashtag")} THEN list_concat(['<hashtag>'], {tag}, ['</hashtag>']) ELSE [lower(t)] END
+      WHEN regexp_matches(t, '^\p{{L}}+$') THEN [lower(t)] WHEN contains({straight}, {q(chr(39))}) AND {whole("word")} THEN string_split({apart}, ' ') {" ".join(marks)} ELSE [lower(t)] END"""
+    return f"""
+d AS (SELECT doc_id, {extra} AS text FROM documents),
+r AS (SELECT doc_id, list_transform(regexp_extract_all({clean}, {q(social.ALTERNATION)}), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))) AS l FROM d),
+e AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM r),
+c AS (SELECT e.doc_id, i, {case} AS m FROM e {"LEFT JOIN tagged ON tag = t" if "words" in tag else ""})
+{result}"""
+
+
+#: What these tables lack, behind every text: contractions, emoticons, marks and annotations.
+TAILS = (" I can't :-) it's", " :( <3 they're &amp; &lt;3 co-op", " 50% of $1,200.50 at 10:30am on 2021-03-04, call +1 (743) 555-3824 or a.b@c.de @me www.x.yz", " SO goooood *very* f**k !!! ?! Jan 5, 2020 24be 3.5")
+_TAIL_SQL = "text || CASE doc_id % 4 " + " ".join(f"WHEN {k} THEN '{t.replace(chr(39), chr(39) * 2)}'" for k, t in enumerate(TAILS)) + " END"
+_FIRST_TWO = r"array_to_string(list_slice(regexp_extract_all(lower(text), '\p{L}+'), 1, 2), '')"
+
+
+def _tailed(spark, sf_dir):
+    tail = functools.reduce(lambda c, k: c.when(F.col("doc_id") % 4 == k, TAILS[k]), range(1, 4), F.when(F.col("doc_id") % 4 == 0, TAILS[0]))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat("text", tail).alias("text"))
+
+
+@query("WITH" + _social_sql(_TAIL_SQL, "SELECT doc_id, flatten(list(m ORDER BY i)) AS tokens FROM c GROUP BY doc_id"))
 def fn_tokenise_social(spark, sf_dir):
-    """Some texts end with what these tables lack: contractions, tags and emoticons."""
-    tail = F.when(F.col("doc_id") % 4 == 0, " I can't :-) it's").when(F.col("doc_id") % 4 == 1, " #one :( <3 they're").otherwise("")
-    return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", text.tokens_social(F.concat("text", tail)).alias("tokens"))
+    """All marks and annotations."""
+    return _tailed(spark, sf_dir).select("doc_id", social.tokens_social(F.col("text")).alias("tokens"))
+
+
+_TAGGED_SQL = rf"""
+WITH RECURSIVE w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS word FROM documents) GROUP BY word),
+total AS (SELECT sum(n) AS n FROM w),
+known AS (SELECT word, CAST(round({social.UNIT} * (log10(total.n) - log10(w.n))) AS BIGINT) + 1 AS cost FROM w, total WHERE length(word) <= {social.LONGEST} ORDER BY w.n DESC, word LIMIT 20000),
+tags AS (SELECT DISTINCT {_FIRST_TWO} AS tag FROM documents WHERE doc_id % 3 = 0),
+path(tag, pos, best) USING KEY (tag, pos) AS (
+  SELECT tag, CAST(0 AS BIGINT), {{'cost': CAST(0 AS BIGINT), 'start': CAST(0 AS BIGINT), 'words': CAST([] AS VARCHAR[])}} FROM tags
+  UNION
+  SELECT p.tag, p.pos + 1, min({{'cost': b.best.cost + coalesce(k.cost, CAST(round({social.UNIT} * log10(total.n)) AS BIGINT) + 1 + {social.UNIT} * (p.pos + 1 - b.pos)), 'start': b.pos, 'words': list_append(b.best.words, substr(p.tag, b.pos + 1, p.pos + 1 - b.pos))}})
+  FROM path p JOIN recurring.path b ON b.tag = p.tag AND b.pos <= p.pos CROSS JOIN total LEFT JOIN known k ON k.word = substr(p.tag, b.pos + 1, p.pos + 1 - b.pos)
+  WHERE p.pos < length(p.tag) GROUP BY p.tag, p.pos
+),
+tagged AS (SELECT '#' || tag AS tag, best.words AS words FROM path WHERE pos = length(tag) AND pos > 0),"""
+
+
+@query(_TAGGED_SQL + _social_sql(f"CASE WHEN doc_id % 3 = 0 THEN '#' || {_FIRST_TWO} || ' ' || text ELSE text END", "SELECT doc_id, flatten(list(m ORDER BY i)) AS tokens FROM c GROUP BY doc_id", "coalesce(words, [lower(substr(t, 2))])"))
+def fn_segment_tags(spark, sf_dir):
+    """Every third text begins with a tag of its first two words, which is cut by the counts of all texts' words."""
+    docs = table(spark, sf_dir, "documents")
+    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)), 1, 2)
+    tagged = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("#"), F.array_join(words, ""), F.lit(" "), F.col("text"))).otherwise(F.col("text"))
+    cutter = social.TagCutter(*social.word_counts(docs, "text", 20_000))
+    return social.social_rows(docs.select("doc_id", tagged.alias("text")), "text", cutter).select("doc_id", "tokens")
 
 
 @query("""
@@ -509,6 +563,6 @@ def udf_match_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.has_tokens(tokens, ["the", "of"]).alias("first"), text.has_tokens(tokens, ["que", "de"]).alias("second"))
 
 
-@query("SELECT doc_id, CAST(len(string_split_regex(trim(text), '\\s+')) AS INTEGER) AS n_tokens FROM documents")
+@query("WITH" + _social_sql("text", "SELECT doc_id, CAST(sum(len(m)) AS INTEGER) AS n_tokens FROM c GROUP BY doc_id"))
 def udf_tokenise(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.split(F.trim("text"), r"\s+")).alias("n_tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(social.tokens_social(F.col("text"))).alias("n_tokens"))

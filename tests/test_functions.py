@@ -71,9 +71,3 @@ def test_unaccent_over_all_of_unicode(spark):
     others = [c for c in map(chr, range(sys.maxunicode + 1)) if c not in named and unicodedata.category(c)[0] in "LNPSZ" and unicodedata.category(c) != "Cs"]
     kept = spark.createDataFrame([("".join(others[i : i + 5000]),) for i in range(0, len(others), 5000)], "c string").filter(text.unaccent(F.col("c")) != F.col("c")).collect()
     assert not kept
-
-
-def test_social_tokens(spark):
-    got = one(spark, text.tokens_social(F.col("t")), t="I can't, they're :-) It's #NewJob 1,5 a@b.cd @me http://x.y <3 don\u2019t :(")
-    assert got == "i can not, they are <happy> it is <hashtag> newjob </hashtag> <number> <email> <user> <url> <heart> do not <sad>".split()
-    assert one(spark, text.tokens_social(F.col("t"), {"new", "job"}), t="#NewJob #other newjob") == "<hashtag> new job </hashtag> <hashtag> other </hashtag> newjob".split()
