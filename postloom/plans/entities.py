@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.functions import text
-from postloom.operators import entities, geo
+from postloom.operators import entities, fuzzy, geo
 from postloom.plans.registry import query
 from postloom.session import table
 from postloom.sources.readers import lookup
@@ -145,12 +145,41 @@ def join_dict_lookup(spark, sf_dir):
     return lookup(table(spark, sf_dir, "events").select("event_id", "event_type"), names, "event_type", "left").select("event_id", "tar")
 
 
-@query("SELECT c_custkey, round(2.0 * len(list_intersect(a, b)) / (len(a) + len(b)), 9) AS ratio FROM (SELECT c_custkey, list_distinct(string_split_regex(lower(c_name), '[^a-z0-9]+')) AS a, list_distinct(string_split_regex(lower(c_mktsegment || '#' || substr(c_name, 10)), '[^a-z0-9]+')) AS b FROM customer)")
+#: Names with letters left out or words added, and names with their types.
+_NAMES = """
+n AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN replace(p_name, 'l', '') WHEN 2 THEN p_name || ', ' || lower(p_brand) ELSE upper(replace(p_name, 'o', 'oo')) END AS a, p_type || ' ' || p_name AS b FROM part),
+w AS (SELECT *, list_sort(list_distinct(list_filter(string_split_regex(lower(a), '[^\\p{L}\\p{M}\\p{N}_]+'), lambda x: x <> ''))) AS x, list_sort(list_distinct(list_filter(string_split_regex(lower(b), '[^\\p{L}\\p{M}\\p{N}_]+'), lambda x: x <> ''))) AS y FROM n)
+"""
+
+
+def _ratio_sql(pairs: str) -> str:
+    """Ratios of all rows of ``pairs`` (x and y, lists of words): the subsequence by rows of its table."""
+    row = "list_transform(range(0, len(old)), lambda j: CASE WHEN j = 0 THEN 0 ELSE greatest(old[j + 1], coalesce(list_max(list_transform(list_filter(range(1, j + 1), lambda k: q[k] = c), lambda k: old[k] + 1)), 0)) END)"
+    return f"""
+r AS (SELECT DISTINCT x, y, list_sort(list_intersect(x, y)) AS s, array_to_string(list_sort(list_filter(x, lambda v: NOT list_contains(y, v))), ' ') AS p, array_to_string(list_sort(list_filter(y, lambda v: NOT list_contains(x, v))), ' ') AS q FROM {pairs}),
+l AS (SELECT *, length(array_to_string(s, ' ')) AS n0, list_last(list_reduce(list_concat([list_transform(range(0, length(q) + 1), lambda j: 0)], list_transform(string_split(p, ''), lambda c: [ord(c)])), lambda old, ch: {row.replace("q[k] = c", "ord(q[k]) = ch[1]")})) AS shared FROM r),
+f AS (SELECT *, n0 + length(p) + CAST(n0 > 0 AND p <> '' AS INTEGER) AS n1, n0 + length(q) + CAST(n0 > 0 AND q <> '' AS INTEGER) AS n2 FROM l),
+g AS (SELECT x, y, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE 100 * greatest(CASE WHEN n0 > 0 THEN 2.0 * n0 / (n0 + n1) ELSE 0 END, CASE WHEN n0 > 0 THEN 2.0 * n0 / (n0 + n2) ELSE 0 END, 2.0 * (n0 + CAST(n0 > 0 AND p <> '' AND q <> '' AS INTEGER) + CASE WHEN p = '' OR q = '' THEN 0 ELSE shared END) / (n1 + n2)) END AS ratio FROM f)
+"""
+
+
+def _names(spark, sf_dir):
+    k, name = F.col("p_partkey") % 4, F.col("p_name")
+    spoilt = F.when(k == 0, name).when(k == 1, F.replace(name, F.lit("l"), F.lit(""))).when(k == 2, F.concat(name, F.lit(", "), F.lower("p_brand"))).otherwise(F.upper(F.replace(name, F.lit("o"), F.lit("oo"))))
+    return table(spark, sf_dir, "part").select("p_partkey", spoilt.alias("a"), F.concat_ws(" ", "p_type", "p_name").alias("b"))
+
+
+@query(f"WITH {_NAMES}, {_ratio_sql('w')} SELECT p_partkey, round(ratio, 9) AS ratio FROM w JOIN g USING (x, y)")
 def join_fuzzy(spark, sf_dir):
-    """Similarity of two strings by the tokens that they share."""
-    words = lambda c: F.array_distinct(F.split(F.lower(c), "[^a-z0-9]+"))
-    both = table(spark, sf_dir, "customer").select("c_custkey", words(F.col("c_name")).alias("a"), words(F.concat("c_mktsegment", F.lit("#"), F.substring("c_name", 10, 100))).alias("b"))
-    return both.select("c_custkey", F.round(2.0 * F.size(F.array_intersect("a", "b")) / (F.size("a") + F.size("b")), 9).alias("ratio"))
+    """Similarity of two texts of each row by their sets of words."""
+    return _names(spark, sf_dir).select("p_partkey", F.round(fuzzy.token_set_ratio(F.col("a"), F.col("b")), 9).alias("ratio"))
+
+
+@query(f"WITH {_NAMES}, c AS (SELECT DISTINCT one.x, two.y FROM (SELECT DISTINCT x FROM w) one, (SELECT DISTINCT y FROM w) two), {_ratio_sql('c')} SELECT array_to_string(x, ' ') AS left_key, array_to_string(y, ' ') AS right_key, round(ratio, 9) AS ratio FROM g WHERE ratio >= 85 - 1e-9")
+def join_fuzzy_tables(spark, sf_dir):
+    """All pairs of names at 85 percent or over, found by rare words and letters."""
+    names = _names(spark, sf_dir)
+    return fuzzy.similar_keys(names, names, "a", "b", 85.0).select("left_key", "right_key", F.round("ratio", 9).alias("ratio"))
 
 
 @query("SELECT doc_id, min(kind) AS kind FROM (SELECT doc_id, 'a' AS kind FROM documents UNION ALL SELECT doc_id, 'b' FROM labels) GROUP BY doc_id")
