@@ -20,12 +20,23 @@ def fn_cosine(spark, sf_dir):
 
 
 @query(f"""
-WITH p AS (SELECT a.vec_id, list_cosine_similarity(a.v, b.v) AS s FROM {_V} a JOIN {_V} b ON a.vec_id <> b.vec_id), m AS (SELECT vec_id, max(1 - s) AS d FROM p GROUP BY vec_id)
-SELECT round(-(SELECT avg(s) FROM p), 9) AS mean_diversity, round(avg(d), 9) AS mean_max_diversity FROM m
+WITH p AS (SELECT a.vec_id, b.vec_id AS other, list_cosine_similarity(a.v, b.v) AS s FROM {_V} a JOIN {_V} b ON a.vec_id <> b.vec_id), m AS (SELECT vec_id, max(1 - s) AS d FROM p GROUP BY vec_id),
+     o AS (SELECT stddev_samp(s) / sqrt(count(*)) AS e, avg(s) AS m FROM p WHERE vec_id < other)
+SELECT round(-m, 9) AS mean_diversity, round(e, 9) AS mean_diversity_std_error, round(avg(d), 9) AS mean_max_diversity, round(stddev_samp(d) / sqrt(count(*)), 9) AS mean_max_diversity_std_error FROM m, o GROUP BY m, e
 """)
 def fn_diversity(spark, sf_dir):
     d = vectors.diversity(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    return d.select(F.round("mean_diversity", 9).alias("mean_diversity"), F.round("mean_max_diversity", 9).alias("mean_max_diversity"))
+    return d.select(*(F.round(c, 9).alias(c) for c in d.columns))
+
+
+@query(f"""
+WITH c AS (SELECT vec_id, min(vec_id) OVER (PARTITION BY v) AS class FROM {_V}),
+     l AS (SELECT a.vec_id, count(*) AS n FROM {_V} a JOIN {_V} b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.5 GROUP BY a.vec_id)
+SELECT vec_id, class, coalesce(n, 0) AS n_links FROM c LEFT JOIN l USING (vec_id)
+""")
+def fn_similar_classes(spark, sf_dir):
+    """Vectors with their class of equal ones and the number of similar ones."""
+    return vectors.similar_classes(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.5)
 
 
 @query(f"SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 9) AS cosine FROM {_V} a JOIN {_V} b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.5")

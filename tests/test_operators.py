@@ -90,19 +90,63 @@ def test_quantile_groups_and_buckets(spark):
 
 def test_diversity_over_blocks(spark):
     rng = np.random.default_rng(0)
-    v = rng.normal(size=(60, 5))
-    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(99, [0.0] * 5), (100, None)], "id long, v array<double>")
+    v = np.concatenate([rng.normal(size=(60, 5)), np.repeat(rng.normal(size=(1, 5)), 30, 0), rng.normal(size=5) + rng.normal(scale=0.05, size=(50, 5))])
+    n = len(v)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(990, [0.0] * 5), (991, None), (992, [1.0, 2.0, 3.0, None, 4.0])], "id long, v array<double>")
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     s = u @ u.T
-    off = s[~np.eye(60, dtype=bool)]
+    off, far = s[np.triu_indices(n, 1)], 1 - np.where(np.eye(n, dtype=bool), 2, s).min(1)
     got = vectors.diversity(df, "id", "v", block=16).first()
-    assert abs(got.mean_diversity + off.mean()) < 1e-9
-    assert abs(got.mean_max_diversity - (1 - np.where(np.eye(60, dtype=bool), 2, s).min(1)).mean()) < 1e-9
+    want = {"mean_diversity": -off.mean(), "mean_diversity_std_error": off.std(ddof=1) / len(off) ** 0.5, "mean_max_diversity": far.mean(), "mean_max_diversity_std_error": far.std(ddof=1) / n**0.5}
+    for k, x in want.items():
+        assert abs(got[k] - x) < 1e-9, k
+    assert list(vectors.diversity(df.filter("id = 1"), "id", "v").first()) == [None] * 4
+    assert abs(vectors.diversity(df.filter("id BETWEEN 60 AND 70"), "id", "v").first().mean_max_diversity) < 1e-9
+
+
+def _clouds(n=4, size=80, dim=16, seed=0):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(n, dim))
+    return np.concatenate([c + rng.normal(scale=0.15, size=(size, dim)) for c in centres])
+
+
+def test_bounds_exclude_most_pairs_of_blocks_and_lose_none(spark, monkeypatch):
+    v = _clouds(8)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    met, whole = [], vectors.block_pairs
+
+    def counted(blocks, bounds, keep):
+        pairs = whole(blocks, bounds, keep)
+        met.append((pairs.select("i", "j").count(), len(bounds.ids)))
+        return pairs
+
+    monkeypatch.setattr(vectors, "block_pairs", counted)
+    got = {(r.a, r.b) for r in vectors.similar_pairs(df, "id", "v", 0.8, block=16).collect()}
+    s = u @ u.T
+    assert got == {(i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if s[i, j] >= 0.8}
+    (pairs, blocks), = met
+    assert blocks > 20 and pairs < 0.35 * blocks * (blocks + 1) / 2
+    met.clear()
+    far = vectors.diversity(df, "id", "v", block=16).first().mean_max_diversity
+    assert abs(far - (1 - s.min(1)).mean()) < 1e-9
+    assert sum(p for p, _ in met) < 0.9 * blocks * (blocks + 1) / 2
+
+
+def test_similar_classes_count_copies(spark):
+    v = np.concatenate([_clouds(3, 20), np.repeat(_clouds(1, 1, seed=5), 500, 0)])
+    v[10] = v[-1] + 0.01
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    got = {r.id: (r["class"], r.n_links) for r in vectors.similar_classes(df, "id", "v", 0.8).collect()}
+    links = (u @ u.T >= 0.8).sum(1) - 1
+    assert got == {i: (min(i, 60), links[i]) for i in range(len(v))}
 
 
 def test_communities_are_greedy(spark):
     rng = np.random.default_rng(1)
     v = np.repeat(rng.normal(size=(6, 4)), [9, 7, 5, 3, 2, 1], axis=0) + rng.normal(scale=0.25, size=(27, 4))
+    v[20:23] = v[3]  # copies
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     sets = {i: {j for j in range(27) if u[i] @ u[j] >= 0.9} | {i} for i in range(27)}
@@ -117,14 +161,13 @@ def test_communities_are_greedy(spark):
     assert set(rows(vectors.communities(df, "id", "v", 0.9, 3))) == want
 
 
-def test_communities_of_many_rounds(spark, monkeypatch):
+def test_communities_of_many_rounds(spark):
     """A chain in which each community waits for the one before: as many rounds as communities."""
     n = 53  # hub k has n + 2 - k leaves of its own, and one leaf shared with hub k + 1
     edges = [(1000 * k, 1000 * k + j) for k in range(n) for j in range(1, n + 3 - k)] + [(1000 * (k + 1), 1000 * k + 1) for k in range(n - 1)]
     ids = sorted({x for e in edges for x in e})
     pairs = spark.createDataFrame([(min(e), max(e)) for e in edges], "a long, b long").coalesce(1).cache()
-    monkeypatch.setattr(vectors, "similar_pairs", lambda *_: pairs)
-    got = rows(vectors.communities(spark.createDataFrame([(i,) for i in ids], "id long"), "id", "v", 0.9, 3))
+    got = rows(vectors.greedy(pairs, spark.createDataFrame([(i, 1) for i in ids], "class long, n long"), 3))
     near = {i: {i} for i in ids}
     for a, b in edges:
         near[a].add(b)
