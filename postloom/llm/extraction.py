@@ -1,9 +1,8 @@
 """Main text of HTML pages by the distribution of text over blocks of lines.
 
 Markup becomes lines at the borders of block elements. Lines inside elements that never hold an article (menus, forms,
-footers and the like, by tag, role or class name; by a name only as long as they don't hold most of the page's text) and lines
-that are mostly link text count as empty. The text lengths of a
-few consecutive lines are summed; where the sum surges the article begins, where it dives to nothing the article ends.
+footers and the like, by tag, role or class name, whatever their length) and lines that are mostly link text count as empty. The
+text lengths of a few consecutive lines are summed; where the sum surges the article begins, where it dives to nothing the article ends.
 """
 
 from __future__ import annotations
@@ -28,21 +27,26 @@ INLINE = {"a", "abbr", "acronym", "audio", "b", "bdi", "bdo", "big", "br", "butt
 FOREIGN = {"svg", "math"}
 NEVER = {"nav", "footer", "aside", "form", "head", "button", "select", "option", "menu", "dialog", "svg", "canvas", "object", "audio", "video", "map", "datalist", "fieldset"}
 ARTICLE = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 HOLDERS = {"article", "main", "body", "div", "section", "td", "blockquote", "center"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"}
 NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "adbox", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "paywall", "nav", "navbar", "navigation", "navi", "menu", "menus", "breadcrumb", "breadcrumbs", "pagination", "pager", "toc", "sidebar", "sidebars", "aside", "rail", "widget", "widgets", "footer", "foot", "masthead", "topbar", "toolbar", "header", "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "discussion", "share", "sharing", "social", "related", "recommended", "recommendations", "skip", "copyright", "legal", "disclaimer", "announcement", "announcements", "toast", "promoted", "affiliate", "responses", "feedback", "guestbook"}
-#: Names beside "header" that make it the article's own, and names that say what an element is not or goes with.
+#: Names beside "header" that make it the article's own.
 OWN_HEADER = {"article", "post", "entry", "story", "content"}
-BESIDE = {"no", "not", "non", "without", "with", "has", "have", "is", "hide", "hides", "hidden", "enable", "enabled", "disable", "disabled", "open", "closed", "supports", "show", "left", "right", "beside", "wrap", "wrapper", "content", "article", "story", "entry", "body", "page", "main", "layout"}
+#: Words beside a name that say whether something is there, that it is the page's layout, and that it is a part of what is named.
+STATES = {"no", "not", "non", "without", "with", "has", "have", "is", "hide", "hides", "hidden", "enable", "enabled", "disable", "disabled", "open", "closed", "supports", "show", "beside", "allowed"}
+LAYOUT = {"wrap", "wrapper", "content", "article", "story", "entry", "body", "page", "main", "layout"}
+PARTS = {"wrap", "wrapper", "content", "body", "box", "inner", "container", "area", "section", "block", "list", "item", "items", "entry"}
+SIDES = {"left", "right", "top", "bottom"}
 #: Names of reader comments, which may stand in article elements.
 COMMENTS = {"comment", "comments", "commentlist", "reply", "replies", "respond", "discussion", "responses", "guestbook"}
-#: Shares of a page's text beyond which an element isn't left out for a name that is one of several parts, or for any name.
-MOST_BY_PART, MOST_BY_NAME = 0.5, 0.9
+#: Why an element is left out: not at all, by its name, as its readers' comment, or always.
+KEPT, NAMED, COMMENT, ALWAYS = range(4)
 
 _OPEN = re.compile(r"[a-zA-Z][^\s/>]*")
 _STOP = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*+"|'[^']*+'|[^\s"'>]++))?+|["']""")
-_WANTED = re.compile(r"class|id|role|hidden", re.I)
+_WANTED = re.compile(r"class|id|role|hidden|item", re.I)
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 _PART = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -118,35 +122,47 @@ def _parts(token: str) -> list[str]:
     return _PART.findall(_CAMEL.sub(r"\1-\2", token).lower())
 
 
-def unwanted(tag: str, attributes: str, inside_article: bool) -> float:
-    """The share of a page's text beyond which the element is kept all the same; 0 for one that is never left out, 2 for one that always is."""
+def _named(token: str, alone: bool, own: bool) -> bool:
+    """Whether a class name or id is that of something beside articles. ``alone``: it is the element's only one; ``own``: a header would be an article's."""
+    parts = _parts(token)
+    if not any(x in NAMES and not (x == "header" and own) for x in parts) or not STATES.isdisjoint(parts):
+        return False
+    if len(parts) == 1:
+        return True
+    if parts[-1] in NAMES:
+        return parts[0] not in ("wrap", "wrapper", "layout", "body")
+    if parts[0] in NAMES and parts[-1] in SIDES:  # beside other names, a side is the page's layout
+        return alone
+    if parts[0] in NAMES and parts[-1] in PARTS:
+        return True
+    return LAYOUT.isdisjoint(parts) and SIDES.isdisjoint(parts)
+
+
+def unwanted(tag: str, attributes: str, inside_article: bool, behind_text: bool) -> int:
+    """Why an element is left out; ``behind_text``: it stands in an article element, behind text of the article's own."""
     if tag in NEVER or tag == "header" and not inside_article:
-        return 2
-    most = MOST_BY_PART if tag == "article" and inside_article else 0  # articles in an article are its readers' comments
+        return ALWAYS
+    why = COMMENT if tag == "article" and behind_text else KEPT  # an article's articles are its readers' comments
     if not attributes or tag in ("html", "body") or not _WANTED.search(attributes):
-        return most
+        return why
     for m in _ATTRIBUTE.finditer(attributes):
         kind, value = (m[1] or "").lower(), (m[2] or "").strip("\"'")
         if kind == "hidden" and value.lower() != "until-found" or kind == "aria-hidden" and value.lower() == "true":
-            return 2
-        if tag in ARTICLE and kind in ("class", "id"):
-            for token in value.split():
-                parts = _parts(token)
-                if parts and parts[0] in COMMENTS and BESIDE.isdisjoint(parts[:-1]):
-                    most = max(most, MOST_BY_NAME)
+            return ALWAYS
+        if kind == "itemprop" and value.lower() == "comment" or kind == "itemtype" and value.lower().endswith("/comment") or kind == "role" and value.lower() == "comment":
+            why = COMMENT
         elif kind == "role" and value.lower() in ROLES and tag not in ARTICLE:
-            return 2
-        elif kind in ("class", "id") and tag not in ARTICLE:
-            tokens_of = [_parts(token) for token in value.split()]
-            own = inside_article or any(not OWN_HEADER.isdisjoint(parts) for parts in tokens_of)
-            for parts in tokens_of:
-                if not any(x in NAMES and not (x == "header" and own) for x in parts):
-                    continue
-                if len(parts) == 1:
-                    most = max(most, MOST_BY_NAME)
-                elif BESIDE.isdisjoint(parts[:-1]) and (parts[-1] in NAMES or BESIDE.isdisjoint(parts)) or parts[-1] in NAMES and parts[0] in ("left", "right", "main", "page", "article", "content", "entry", "story"):
-                    most = max(most, MOST_BY_PART)
-    return most
+            return ALWAYS
+        elif kind in ("class", "id"):
+            names = value.split()
+            own = inside_article or any(not OWN_HEADER.isdisjoint(_parts(token)) for token in names)
+            for token in names:
+                parts = _parts(token)
+                if parts and parts[0] in COMMENTS and STATES.isdisjoint(parts):
+                    why = COMMENT
+                elif tag not in ARTICLE and _named(token, kind == "id" or len(names) == 1, own):
+                    why = max(why, COMMENT if parts[-1] in COMMENTS else NAMED)
+    return why
 
 
 def page_lines(page: str) -> list[tuple[str, int, int, int]]:
@@ -157,19 +173,22 @@ def page_lines(page: str) -> list[tuple[str, int, int, int]]:
     """
     lines: list[tuple[str, int, int, int, int, int]] = []  # text, links, in an article, holder, always left out, innermost element that may be
     words: list[str] = []
-    stack: list[tuple[str, float, int]] = []  # name, share beyond which it is kept, its number if it may be left out
+    stack: list[tuple[str, int, int]] = []  # name, why it is left out, its number if it is by name
     places: dict[str, list[int]] = {}
     blocks: list[int] = []
     holders: list[int] = [0]
     soft: list[int] = [-1]
-    shares: list[tuple[float, int]] = []  # and the element around it that may be left out
-    state = {"links": 0, "anchor": -1, "articles": 0, "never": 0, "holder": 0}
+    soft_ones: list[list[int]] = []  # why, the element around it that is left out, and how many main, article and h1 elements it holds
+    state = {"links": 0, "anchor": -1, "articles": 0, "never": 0, "holder": 0, "nested": 0, "heading": 0, "own": 0}
+    met = {"main": 0, "article": 0, "h1": 0}
 
     def flush() -> None:
         if words:
             text = _SPACE.sub(" ", "".join(words)).strip()
             if text:
                 lines.append((text, state["links"], int(state["articles"] > 0), holders[-1], state["never"], soft[-1]))
+                if state["nested"] == 1 and not state["heading"] and not state["never"]:
+                    state["own"] = 1
             words.clear()
         state["links"] = 0
 
@@ -183,45 +202,57 @@ def page_lines(page: str) -> list[tuple[str, int, int, int]]:
             if state["anchor"] >= 0:
                 state["links"] += len(text.strip())
 
-    def push(name: str, most: float) -> None:
+    def push(name: str, why: int) -> None:
         places.setdefault(name, []).append(len(stack))
         if name not in INLINE:
             blocks.append(len(stack))
         number = -1
-        if most >= 2:
+        if why == ALWAYS:
             if not state["never"] and name not in INLINE:
                 flush()
             state["never"] += 1
             if state["never"] == 1 and name not in INLINE:
                 mark()
-        elif most:
+        elif why:
             flush()
-            number = len(shares)
-            shares.append((most, soft[-1]))
+            number = len(soft_ones)
+            soft_ones.append([why, soft[-1], -met["main"], -met["article"], -met["h1"]])
             soft.append(number)
             mark()
-        if name in ARTICLE and not most:
+        elif not state["never"] and name in met:
+            met[name] += 1
+        if name in ARTICLE and not why:
             state["articles"] += 1
+        if name == "article":
+            if not state["nested"]:
+                state["own"] = 0
+            state["nested"] += 1
+        if name in HEADINGS:
+            state["heading"] += 1
         if name in HOLDERS:
             state["holder"] += 1
             holders.append(state["holder"])
-        stack.append((name, most, number))
+        stack.append((name, why, number))
 
     def pop(k: int) -> None:
         """Close the elements from place k on."""
         while len(stack) > k:
-            name, most, number = stack.pop()
+            name, why, number = stack.pop()
             places[name].pop()
             if name not in INLINE:
                 blocks.pop()
-            if most >= 2 and name not in INLINE or number >= 0:
+            if why == ALWAYS and name not in INLINE or number >= 0:
                 flush()
-            if most >= 2:
+            if why == ALWAYS:
                 state["never"] -= 1
             elif number >= 0:
                 soft.pop()
-            if name in ARTICLE and not most:
+                for i, what in enumerate(met, 2):
+                    soft_ones[number][i] += met[what]
+            if name in ARTICLE and not why:
                 state["articles"] -= 1
+            state["nested"] -= name == "article"
+            state["heading"] -= name in HEADINGS
             if name in HOLDERS:
                 holders.pop()
             if len(stack) <= state["anchor"]:
@@ -242,7 +273,7 @@ def page_lines(page: str) -> list[tuple[str, int, int, int]]:
             k = places[tag][-1] if places.get(tag) else -1
             if tag == "a":
                 state["anchor"] = -1
-            elif k >= 0 and (not inline or not blocks or blocks[-1] < k or stack[k][1] >= 2):
+            elif k >= 0 and (not inline or not blocks or blocks[-1] < k or stack[k][1] == ALWAYS):
                 pop(k)
         elif tag not in VOID and not (tag in FOREIGN and attributes.endswith("/")):
             drawing = any(places.get(x) for x in FOREIGN)
@@ -252,35 +283,44 @@ def page_lines(page: str) -> list[tuple[str, int, int, int]]:
                 pop(blocks[-1])
             if tag == "a":
                 state["anchor"] = len(stack)
-            most = unwanted(tag, attributes, state["articles"] > 0)
-            if tag != "a" or most:
-                push(tag, most)
+            why = unwanted(tag, attributes, state["articles"] > 0, state["nested"] > 0 and state["own"] > 0)
+            if tag != "a" or why:
+                push(tag, why)
     take(page[at:])
     flush()
-    return _kept(lines, shares)
+    pop(0)
+    return _kept(lines, soft_ones, list(met.values()))
+
 
+def _kept(lines: list[tuple], soft: list[list[int]], met: list[int]) -> list[tuple[str, int, int, int]]:
+    """Without the lines of elements that are left out.
 
-def _kept(lines: list[tuple], shares: list[tuple[float, int]]) -> list[tuple[str, int, int, int]]:
-    """Without the lines of elements that are left out; an element that holds most of the text is kept, its elements decided anew."""
-    held = [0] * len(shares)
-    for text, *_, within in lines:
-        if within >= 0:
+    A name doesn't count for an element that holds a main element, or all of the page's articles and first headings. If nothing
+    were left, the element with most text is kept, of comments last, and what it holds is decided anew.
+    """
+    held = [0] * len(soft)
+    for text, *_, never, within in lines:
+        if within >= 0 and not never:
             held[within] += len(text)
-    for number in range(len(shares) - 1, -1, -1):  # elements come after those around them
-        if shares[number][1] >= 0:
-            held[shares[number][1]] += held[number]
-    total = sum(len(line[0]) for line in lines)
-    out: list[bool] = []
-    for n, (most, around) in zip(held, shares, strict=True):
-        out.append(around >= 0 and out[around] or n <= most * total)
-    kept: list[tuple[str, int, int, int]] = []
-    for text, links, article, holder, never, within in lines:
-        gone = never or within >= 0 and out[within]
-        if gone and (not kept or kept[-1][2] != -1):
-            kept.append(("", 0, -1, -1))
-        elif text and not gone:
-            kept.append((text, links, article, holder))
-    return kept
+    for number in range(len(soft) - 1, -1, -1):  # elements come after those around them
+        if soft[number][1] >= 0:
+            held[soft[number][1]] += held[number]
+    spared = [why == NAMED and (main > 0 or bool(met[1] and met[2]) and (articles, h1) == (met[1], met[2])) for why, _, main, articles, h1 in soft]
+    while True:
+        out: list[bool] = []
+        for (_, around, *_), spare in zip(soft, spared, strict=True):
+            out.append(around >= 0 and out[around] or not spare)
+        kept: list[tuple[str, int, int, int]] = []
+        for text, links, article, holder, never, within in lines:
+            gone = never or within >= 0 and out[within]
+            if gone and (not kept or kept[-1][2] != -1):
+                kept.append(("", 0, -1, -1))
+            elif text and not gone:
+                kept.append((text, links, article, holder))
+        outer = [n for n, (_, around, *_) in enumerate(soft) if out[n] and held[n] and not (around >= 0 and out[around])]
+        if not outer or any(text and 2 * links <= len(text) for text, links, *_ in kept):
+            return kept
+        spared[min(outer, key=lambda n: (soft[n][0], -held[n], n))] = True
 
 
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:

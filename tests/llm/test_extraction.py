@@ -153,3 +153,60 @@ def test_pages_of_the_tables_against_a_second_reading(spark, data):
         reader.close()
         reader.flush()
         assert r.text.split("\n") == (reader.blocks or [""]) and r.n_chars == len(r.text)
+
+
+def _joined(*parts):
+    return "\n".join(parts)
+
+
+def test_articles_in_main_stay():
+    three = "".join(f"<article><h2>Part {i}</h2><p>{WORDS}{i}</p></article>" for i in range(3))
+    assert main_text(f"<main>{three}</main>") == _joined(*(x for i in range(3) for x in (f"Part {i}", f"{WORDS}{i}")))
+    assert main_text(f"<main><article><p>{WORDS}</p></article><section><p>{WORDS * 2}</p></section></main>") == _joined(WORDS.strip(), (WORDS * 2).strip())
+    comments = "".join(f"<div class=comment-body><p>{WORDS}{i}</p></div>" for i in range(30))
+    assert main_text(f"<main id=content><article class=post>{ARTICLE}</article><div id=comments>{comments}</div></main>") == _joined("Title", WORDS.strip(), WORDS.strip())
+    # nested articles that no text of the outer one comes before are its content
+    assert main_text(f"<article><h1>News</h1>{three}</article>").startswith("News\nPart 0\n")
+
+
+@pytest.mark.parametrize("times", [1, 3, 60])
+@pytest.mark.parametrize(
+    "attributes",
+    ["class=reader-comments", "class=cookie-notice", "class=cookie-banner", "class=advert-box", "class=main-footer", "id=sidebar-left", "id=comments", "class='comment-list'", "class=sidebar", "class='comments-wrapper'", "class='footer-content'", "itemprop=comment", "class='widget'", "class=adSlot"],
+)
+def test_what_is_beside_an_article_goes_whatever_its_length(attributes, times):
+    beside = f"<div {attributes}>" + f"<p>{WORDS}</p>" * times + "</div>"
+    short = "<p>A short article.</p>"
+    for page in (f"<article>{short}</article>{beside}", f"{beside}<article>{short}</article>", f"<article>{short}{beside}</article>", f"<main>{short}{beside}</main>", f"<main><article>{short}</article>{beside}</main>", f"<main>{beside}<section>{short}</section></main>"):
+        assert main_text(page) == "A short article.", page[:200]
+    for page in (f"<div>{ARTICLE}</div>{beside}", f"<div>{beside}{ARTICLE}</div>", f"<div id=page><div>{ARTICLE}</div>{beside}</div>"):
+        assert main_text(page) == _joined("Title", WORDS.strip(), WORDS.strip()), page[:200]
+
+
+def test_long_comments_in_article_elements():
+    long = f"<p>{WORDS}</p>" * 40
+    for page in (f"<article>{ARTICLE}<article>{long}</article></article>", f"<article>{ARTICLE}</article><article class='comment-body'>{long}</article>", f"<main><article>{ARTICLE}</article><ol class=commentlist><li><article>{long}</article></li></ol></main>", f"<article>{ARTICLE}<article itemtype='https://schema.org/Comment'>{long}</article></article>"):
+        assert main_text(page) == _joined("Title", WORDS.strip(), WORDS.strip())
+
+
+def test_names_of_what_holds_the_article():
+    around = "<div>About us and more of it here</div>"
+    for attributes in ("class='container sidebar-right'", "class=article-with-ads", "class='comments-open'", "class=sidebar", "class=layout-sidebar"):
+        assert main_text(f"<div {attributes}><main>{ARTICLE}</main><div class=sidebar>{WORDS}</div></div>{around}") == _joined("Title", WORDS.strip(), WORDS.strip()), attributes
+        assert main_text(f"<div {attributes}><article>{ARTICLE}</article></div>{around}") == _joined("Title", WORDS.strip(), WORDS.strip()), attributes
+    # teasers in a list of related ones aren't the article
+    teasers = "<div class=related>" + f"<article><h3>More</h3><p>{WORDS}</p></article>" * 3 + "</div>"
+    assert main_text(f"<div><h1>Title</h1><p>{WORDS * 2}</p></div>{teasers}") == _joined("Title", (WORDS * 2).strip())
+
+
+def test_generated_layouts():
+    """Every arrangement of an article and what may stand before and behind it, short and long."""
+    import itertools
+
+    bodies = [("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), ("<div class=content>", "</div>"), ("<main><section>", "</section></main>"), ("<section class=post>", "</section>")]
+    others = ["", "<nav><a href=/>Home</a></nav>", "<div class=comments>%s</div>", "<section id=discussion>%s</section>", "<aside>%s</aside>", "<div class='cookie-notice'>%s</div>", "<footer>%s</footer>", "<div id=sidebar-left>%s</div>"]
+    for (start, end), before, behind, long, size in itertools.product(bodies, others, others, (1, 30), (1, 5)):
+        text = f"<p>{WORDS}</p>"
+        fill = lambda x: x.replace("%s", text * long)  # noqa: E731, B023
+        page = f"<html><body>{fill(before)}{start}<h1>Title</h1>{text * size}{end}{fill(behind)}</body></html>"
+        assert main_text(page) == _joined("Title", *[WORDS.strip()] * size), page[:300]
