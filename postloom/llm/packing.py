@@ -2,9 +2,9 @@
 
 The lengths' histogram (at most ``capacity`` numbers) goes to the driver, where a configuration linear program chooses
 which combinations of lengths fill sequences: multiplicative weights price the lengths, a knapsack dynamic program finds
-the best combination at those prices, and the fractional solution is rounded down. What rounding leaves is placed by
-best fit, decreasing, on the same histogram. Documents never leave the executors: each piece learns its place from its
-length and its rank among pieces of that length.
+the best combinations at those prices, and the fractional solution is rounded down. What that leaves is rounded by filling
+sequences around the longest piece, or by best fit, whichever takes fewer, on the same histogram. Documents never leave the executors:
+each piece learns its place from its length and its rank among pieces of that length.
 """
 
 from __future__ import annotations
@@ -29,7 +29,10 @@ from postloom.llm.base import checkpoint, lean, shared, with_empty_text
 CAPACITY = 1024
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
-LP_ROUNDS = 500
+#: Rounds of the program; how fast prices fall with coverage, how much all rounds together would add to a length, and what a round still takes.
+LP_ROUNDS, FALL, GAIN, WORTH = 300, 3.0, 8.0, 0.9
+#: Tokens that a combination may have free beside the fullest one; pieces that are placed by search.
+SLACK, SEARCHED = 4, 14
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -41,56 +44,118 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 # --- the configuration linear program -------------------------------------------------------------------------------
 
 
-def price_pattern(values: np.ndarray, lengths: np.ndarray, capacity: int) -> Counter:
-    """The multiset of lengths of the greatest total value that fits ``capacity``: an unbounded knapsack."""
+def price_table(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The greatest total value of lengths (rising) that fit each room, any number of each, and a length that it takes (0: none)."""
     best = np.zeros(capacity + 1)
     taken = np.zeros(capacity + 1, np.int64)
-    order = np.argsort(lengths)
-    lens, vals = lengths[order], values[order]
-    fits = np.searchsorted(lens, np.arange(capacity + 1), "right")
+    fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
         k = fits[c]
         best[c] = best[c - 1]
         if k:
-            total = best[c - lens[:k]] + vals[:k]
+            total = best[c - lengths[:k]] + values[:k]
             i = int(total.argmax())
             if total[i] > best[c]:
-                best[c], taken[c] = total[i], lens[i]
-    pattern: Counter = Counter()
-    c = capacity
-    while c > 0:
-        if taken[c]:
-            pattern[int(taken[c])] += 1
-            c -= int(taken[c])
+                best[c], taken[c] = total[i], lengths[i]
+    return best, taken
+
+
+def traced(taken: list[int], room: int) -> list[int]:
+    """The lengths that ``price_table`` takes for a room."""
+    out = []
+    while room > 0:
+        if taken[room]:
+            out.append(taken[room])
+            room -= taken[room]
         else:
-            c -= 1
-    return pattern
+            room -= 1
+    return out
+
+
+def price_pattern(values: np.ndarray, lengths: np.ndarray, capacity: int) -> Counter:
+    """The multiset of lengths of the greatest total value that fits ``capacity``: an unbounded knapsack."""
+    order = np.argsort(lengths)
+    return Counter(traced(price_table(values[order], lengths[order], capacity)[1].tolist(), capacity))
 
 
 def configuration_lp(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = LP_ROUNDS) -> list[tuple[tuple[int, ...], float]]:
-    """Fractional numbers of sequences by combination of lengths, covering no length more often than it occurs.
+    """Fractional numbers of sequences by combination of lengths, covering no length more often than it occurs; fullest first.
 
-    Each round raises the share of the combination that is worth most, where a length's price falls exponentially with
-    the part of its pieces that is covered already.
+    A length's price is its size, and falls exponentially with the part of its pieces that is covered already; what is covered
+    whole has none. Each round prices the lengths once. For every length, the combination around it of the greatest value is worth
+    what the length and the best filling of the room behind it are worth; from the worthiest on, all combinations that share no
+    length, and are worth WORTH of the best at least, are raised by a step.
     """
     lengths = np.array(sorted(histogram), np.int64)
     need = np.array([histogram[int(x)] for x in lengths], float)
     at = {int(x): i for i, x in enumerate(lengths)}
-    covered = np.zeros(len(lengths))
+    share = np.zeros(len(lengths))
     used: dict[tuple[int, ...], float] = {}
-    pieces, step = lengths / capacity, 4.0 / rounds
     for _ in range(rounds):
-        share = covered / need
-        values = pieces * np.exp(-8.0 * (share - share.min()))
-        pattern = price_pattern(values, lengths, capacity)
-        index = np.array([at[x] for x in pattern])
-        times = np.array([pattern[x] for x in pattern], float)
-        amount = float((need[index] / times).min()) * step * 8
-        covered[index] += amount * times
-        key = tuple(sorted(pattern.elements(), reverse=True))
-        used[key] = used.get(key, 0.0) + amount
-    over = float((covered / need).max())
-    return sorted(((k, x / max(over, 1e-12)) for k, x in used.items()), key=lambda p: (-sum(p[0]), -p[1], p[0]))
+        live = share < 1 - 1e-9
+        if not live.any():
+            break
+        values = np.where(live, lengths / capacity * np.exp(-FALL * (share - share[live].min())), 0.0)
+        best, taken = price_table(values, lengths, capacity)
+        worth, rest = values + best[capacity - lengths], taken.tolist()
+        met = ~live
+        for i in np.argsort(-worth, kind="stable").tolist():
+            if worth[i] < WORTH * worth.max():
+                break
+            if met[i]:
+                continue
+            parts = Counter([i, *(at[x] for x in traced(rest, capacity - int(lengths[i])))])
+            index = np.array(list(parts))
+            if met[index].any():
+                continue
+            met[index] = True
+            times = np.array(list(parts.values()), float)
+            amount = float((np.minimum(GAIN / rounds, 1 - share[index]) * need[index] / times).min())
+            share[index] += amount * times / need[index]
+            key = tuple(sorted((int(lengths[j]) for j in parts.elements()), reverse=True))
+            used[key] = used.get(key, 0.0) + amount
+    return sorted(used.items(), key=lambda p: (-sum(p[0]), -p[1], p[0]))
+
+
+def fullest(room: int, lengths: list[int], left: dict[int, int]) -> list[int]:
+    """Pieces that fill a room best, of several such fillings the one with the longest pieces: a knapsack over bits, one for each sum."""
+    sums, tried = [1], []
+    for length in lengths:  # rising
+        if length > room:
+            break
+        reach, n, k = sums[-1], min(left[length], room // length), 1
+        while n:
+            times = min(k, n)
+            reach |= reach << times * length
+            n, k = n - times, 2 * k
+        sums.append(reach & (1 << room + 1) - 1)
+        tried.append(length)
+    at, out = sums[-1].bit_length() - 1, []
+    for length, before in zip(reversed(tried), reversed(sums[:-1]), strict=True):
+        n = min(left[length], at // length)
+        while not before >> (at - n * length) & 1:
+            n -= 1
+        out += [length] * n
+        at -= n * length
+    return out
+
+
+def around_longest(histogram: dict[int, int], capacity: int = CAPACITY) -> Counter:
+    """Sequences around the longest piece left, each filled as well as pieces allow; as many of one combination as there can be."""
+    left, plan = {length: n for length, n in histogram.items() if n > 0}, Counter()
+    while left:
+        longest = max(left)
+        left[longest] -= 1
+        parts = Counter(fullest(capacity - longest, sorted(x for x in left if left[x]), left))
+        left[longest] += 1
+        parts[longest] += 1
+        n = min(left[x] // k for x, k in parts.items())
+        for x, k in parts.items():
+            left[x] -= k * n
+            if not left[x]:
+                del left[x]
+        plan[tuple(sorted(parts.elements(), reverse=True))] += n
+    return plan
 
 
 def best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> Counter:
@@ -119,29 +184,70 @@ def best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> Counter:
     return done
 
 
-def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = LP_ROUNDS) -> Counter:
-    """How many sequences have each combination of lengths; every piece of the histogram is in one."""
-    left = {length: n for length, n in histogram.items() if n > 0}
-    plan: Counter = Counter()
-    if n := left.pop(capacity, 0):
-        plan[(capacity,)] = n
-    for _ in range(3):
-        if not left:
-            break
-        placed = 0
-        for pattern, amount in configuration_lp(left, capacity, rounds):
-            parts = Counter(pattern)
-            whole = min(int(amount + 0.5), *(left.get(x, 0) // k for x, k in parts.items()))
-            if whole > 0 and sum(pattern) >= capacity - 1:
-                plan[pattern] += whole
-                placed += whole
-                for x, k in parts.items():
-                    left[x] -= k * whole
-                    if not left[x]:
-                        del left[x]
-        if not placed:
-            break
-    plan.update(best_fit(left, capacity))
+def searched(histogram: dict[int, int], capacity: int = CAPACITY) -> Counter:
+    """The fewest sequences for a few pieces, by branch and bound: the longest piece left goes to each sequence of another load, or to a new one."""
+    pieces = sorted((x for x, n in histogram.items() for _ in range(n)), reverse=True)
+    least = -(-sum(pieces) // capacity)
+    best = [[p] for p in pieces]
+
+    def place(k: int, bins: list[list[int]]) -> bool:
+        nonlocal best
+        if len(bins) >= len(best):
+            return False
+        if k == len(pieces):
+            best = [list(b) for b in bins]
+            return len(best) == least
+        tried = set()
+        for b in bins:
+            load = sum(b)
+            if load + pieces[k] <= capacity and load not in tried:
+                tried.add(load)
+                b.append(pieces[k])
+                if place(k + 1, bins):
+                    return True
+                b.pop()
+        bins.append([pieces[k]])
+        if place(k + 1, bins):
+            return True
+        bins.pop()
+        return False
+
+    place(0, [])
+    return Counter(tuple(b) for b in best)
+
+
+def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = LP_ROUNDS, counts: dict[str, int] | None = None) -> Counter:
+    """How many sequences have each combination of lengths; every piece of the histogram is in one.
+
+    The program's combinations are taken as often as their amounts say, rounded down: all that are nearly as full as the fullest, or
+    all; wholly, or half or a quarter of them. What that leaves is rounded one sequence at a time around its longest piece, or
+    placed by best fit. Of these plans the one of the fewest sequences is kept, of several the one with most from the program,
+    then from rounding. A few pieces are placed by search. ``counts`` gets the numbers of sequences by origin.
+    """
+    whole = {length: n for length, n in histogram.items() if n > 0}
+    single = whole.pop(capacity, 0)
+    found: list[tuple[int, int, str, Counter, Counter]] = []
+    if 0 < sum(whole.values()) <= SEARCHED:
+        found.append((0, 0, "search", Counter(), searched(whole, capacity)))
+    elif whole:
+        program = configuration_lp(whole, capacity, rounds)
+        for near in (SLACK, capacity):
+            for part in (1.0, 0.5, 0.25, 0.0)[: 4 if near == SLACK else 3]:
+                left, taken = dict(whole), Counter()
+                for pattern, amount in program:
+                    if sum(pattern) >= sum(program[0][0]) - near and (n := int(amount * part)) > 0:
+                        taken[pattern] = n
+                        for x, k in Counter(pattern).items():
+                            left[x] -= k * n
+                for origin, place in (("rounding", around_longest), ("best fit", best_fit)):
+                    rest = place({x: n for x, n in left.items() if n}, capacity)
+                    found.append((sum(taken.values()) + sum(rest.values()), -sum(taken.values()), origin, taken, rest))
+    _, _, origin, taken, rest = min(found, key=lambda p: (p[0], p[1], p[2] != "rounding"), default=(0, 0, "rounding", Counter(), Counter()))
+    plan = taken + rest
+    if single:
+        plan[(capacity,)] += single
+    if counts is not None:
+        counts.update({"whole": single, "program": sum(taken.values()), "rounding": 0, "best fit": 0, "search": 0} | {origin: sum(rest.values())})
     return plan
 
 
@@ -269,8 +375,9 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
     """Pack all texts into sequences of at most ``capacity`` tokens; a row for each piece, with its place.
 
     A text is its tokens and ``end_id``; null and empty texts are that one id. Longer ones are cut into pieces of
-    ``capacity``, the first shorter if need be. Rows that repeat are packed as often as they come, a null id stays null,
-    no rows give no rows, and other columns are left out.
+    ``capacity``, the first shorter if need be; a very long text's ids are in one task's memory, 4 bytes each. Rows that repeat are
+    packed as often as they come, a null id stays null, no rows give no rows, and other columns are left out. Pieces of one length
+    are alike: they take the places of that length in the order of partitions, and of rows within them.
     """
     spark = docs.sparkSession
     rows = with_empty_text(docs, F.col(id_col).cast("long").alias("doc_id"), text=text_col)

@@ -23,6 +23,63 @@ def test_plan_holds_every_piece_once(n):
     assert sum(plan.values()) <= max(sum(packing.best_fit(dict(histogram)).values()), least + 1)
 
 
+def exact(pieces, capacity):
+    """The fewest sequences by all partitions of the pieces into sets that fit."""
+    pieces = sorted(pieces, reverse=True)
+    masks = [m for m in range(1, 1 << len(pieces)) if sum(x for i, x in enumerate(pieces) if m >> i & 1) <= capacity]
+    fewest = {0: 0}
+    for m in range(1, 1 << len(pieces)):
+        low = m & -m
+        fewest[m] = 1 + min(fewest[m ^ s] for s in masks if s & low and s & ~m == 0)
+    return fewest[(1 << len(pieces)) - 1]
+
+
+def test_few_pieces_take_the_fewest_sequences(monkeypatch):
+    rng = random.Random(5)
+    missed = 0
+    for _ in range(60):
+        pieces = [rng.choice([rng.randrange(1, 60), rng.randrange(20, 45), 33]) for _ in range(rng.randrange(1, 10))]
+        want = exact(pieces, 100)
+        assert sum(packing.plan_sequences(dict(Counter(pieces)), 100, rounds=60).values()) == want
+        with monkeypatch.context() as m:
+            m.setattr(packing, "SEARCHED", 0)
+            missed += sum(packing.plan_sequences(dict(Counter(pieces)), 100, rounds=60).values()) - want
+    assert missed <= 2
+
+
+def test_fullest_is_best():
+    rng = random.Random(6)
+    for _ in range(100):
+        left = {rng.randrange(1, 40): rng.randrange(1, 4) for _ in range(5)}
+        room = rng.randrange(1, 100)
+        got = packing.fullest(room, sorted(left), left)
+        assert not Counter(got) - Counter(left)
+        sums = {0}
+        for x, n in left.items():
+            sums = {s + k * x for s in sums for k in range(n + 1)}
+        assert sum(got) == max(s for s in sums if s <= room)
+
+
+def test_sequences_come_from_the_program():
+    """Where pieces repeat, most sequences are the program's; it covers nearly all pieces and none too often."""
+    histogram = {300: 5000, 310: 5000, 320: 5000, 61: 5000, 511: 4000, 513: 4000}
+    program = packing.configuration_lp(histogram)
+    covered = Counter()
+    for pattern, amount in program:
+        assert sum(pattern) <= 1024
+        for x in pattern:
+            covered[x] += amount
+    assert all(covered[x] <= n * (1 + 1e-9) for x, n in histogram.items())
+    assert sum(covered.values()) > 0.9 * sum(histogram.values())
+    counts = {}
+    plan = packing.plan_sequences(histogram, counts=counts)
+    assert counts["program"] > 0.8 * sum(plan.values())
+    assert sum(plan.values()) <= sum(packing.best_fit(histogram).values())
+    counts = {}
+    packing.plan_sequences({300: 50, 310: 50, 320: 50}, counts=counts)
+    assert counts["program"] >= 45 and counts["program"] + counts["rounding"] == 50
+
+
 def test_knapsack_is_best():
     lengths, values = np.array([3, 5, 7]), np.array([3.0, 5.1, 7.0])
     pattern = packing.price_pattern(values, lengths, 17)
