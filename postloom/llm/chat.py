@@ -1,7 +1,7 @@
 """Conversations as training windows, with DataFrame functions only.
 
 A conversation's turns are ranked, prefix sums of their tokens choose spans of whole turns within a budget, and each span
-becomes a window: the system turn, a limited history, then the span's own turns. The loss mask covers the assistant's
+becomes a window: the system turn, a limited history of what is left beside it, then the span's own turns. The loss mask covers the assistant's
 texts among a window's own turns, so repeated ones are masked.
 
 Template: ``<|role|>\\n`` text ``<|end|>\\n`` for each turn; a turn that no window can hold whole is cut into pieces, and each
@@ -38,17 +38,45 @@ def _head(role: Column) -> Column:
     return F.concat(F.lit("<|"), escape(role), F.lit("|>\n"))
 
 
-def format_windows(turns: DataFrame, *, budget: int = BUDGET, history_tokens: int = HISTORY_TOKENS, history_turns: int = HISTORY_TURNS, tokens=token_estimate) -> DataFrame:
+#: Characters of the parts in which a long turn is measured to be cut.
+MEASURED = 64
+
+
+def _cut(role: Column, text: Column, limit: Column, tokens, measured: int) -> Column:
+    """The text in pieces (array) of at most ``limit`` tokens each, as long as ``measured`` characters have no more.
+
+    Parts of ``measured`` characters are counted by what they add to an empty turn, and joined while their sum fits.
+    """
+    empty = tokens(role, F.lit(""))
+    parts = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{measured}}}"), F.lit(0))
+    first = F.struct(F.array(F.lit(0)).alias("starts"), F.lit(0).cast("long").alias("sum"), F.lit(0).alias("at"))
+
+    def add(acc: Column, part: Column) -> Column:
+        more = tokens(role, part) - empty
+        over = (acc["sum"] + more > limit - empty) & (acc["sum"] > 0)
+        return F.struct(
+            F.when(over, F.concat(acc["starts"], F.array(acc["at"]))).otherwise(acc["starts"]).alias("starts"),
+            F.when(over, more).otherwise(acc["sum"] + more).cast("long").alias("sum"),
+            (acc["at"] + 1).alias("at"),
+        )
+
+    starts = F.aggregate(parts, first, add, lambda acc: acc["starts"])
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(parts)))
+    return F.zip_with(starts, ends, lambda a, b: F.array_join(F.slice(parts, a + 1, b - a), ""))
+
+
+def format_windows(turns: DataFrame, *, budget: int = BUDGET, history_tokens: int = HISTORY_TOKENS, history_turns: int = HISTORY_TURNS, tokens=token_estimate, measured: int = MEASURED) -> DataFrame:
     """conv_id, span, piece, n_context, n_turns, n_tokens, formatted, loss_spans (start and length in code points).
 
     Rows are ordered by turn (null first), then role and text, whatever the turns' numbers are; null roles and texts are
     empty; a null conv_id is a conversation of its own; repeated rows are turns like others. The system turn is the first
-    one, if its role is ``system``; windows repeat it if it takes half the budget at most. No window is over the budget:
-    a turn that doesn't fit beside the system turn is cut, and each of its pieces (numbered by ``piece``) has a window of its
-    own, without history; ``n_turns`` counts turns that end in the window. That holds as long as ``tokens`` gives no
-    character more than a token, a turn four more and its role's, and the budget leaves room for them. Other columns are left
+    one, if its role is ``system``; every later window repeats it, cut to half the budget if it is longer. A span begins with as
+    many of the last ``history_turns`` turns as fit ``history_tokens`` and leave room for its first turn, and goes on with whole turns
+    while they fit. Only a turn that doesn't fit a window beside the system turn is cut; each of its pieces (numbered by ``piece``) has a
+    window of its own, without history; ``n_turns`` counts turns that end in the window. No window is over the budget, as
+    long as ``measured`` characters of text and a role fit half of it and ``tokens`` of two texts are at least those of both joined. Other columns are left
     out, whatever their names; no rows give none. A conversation's turns are sorted by one task, which spills; its numbers of
-    tokens, but never its texts, are in one row.
+    tokens, but never its texts, are in one row. A long turn's text is in one row, and its pieces are.
     """
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
     conv = F.col("conv_id").cast("long")
@@ -57,42 +85,49 @@ def format_windows(turns: DataFrame, *, budget: int = BUDGET, history_tokens: in
     ordered = Window.partitionBy(*key).orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     rows = rows.repartition(*key).withColumn("tokens", tokens(F.col("role"), F.col("text"))).withColumn("rank", F.row_number().over(ordered))
     sums = rows.withColumn("upto", F.sum("tokens").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    system = F.max(F.when((F.col("rank") == 1) & (F.col("role") == "system") & (F.col("tokens") <= budget // 2), F.col("tokens")))
-    convs = sums.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("rank", "upto", "tokens"))).alias("sums"), F.greatest(F.lit(budget) - F.coalesce(system, F.lit(0)) - history_tokens, F.lit(1)).alias("room"))
-    start = F.struct(F.array(F.lit(1)).alias("starts"), F.lit(0).cast("long").alias("base"))
-    starts = F.aggregate(
-        "sums",
-        start,
-        lambda acc, t: F.when((t["upto"] - acc["base"] > F.col("room")) & (t["rank"] > 1), F.struct(F.concat(acc["starts"], F.array(t["rank"])).alias("starts"), (t["upto"] - t["tokens"]).alias("base"))).otherwise(acc),
-        lambda acc: acc["starts"],
-    )
-    convs = convs.select(*key, "room", F.size("sums").alias("n"), starts.alias("starts"))
-    lengths = F.zip_with(F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.col("n") + 1)), "starts", lambda b, a: b - a)
-    convs = convs.select(*key, "room", F.flatten(F.transform(lengths, lambda n, i: F.array_repeat(i, n))).alias("spans"))
-    placed = rows.join(convs, key).select(*key, "room", F.element_at("spans", F.col("rank")).alias("span"), F.struct("rank", "role", "text", "tokens").alias("t"))
-    spans = placed.groupBy(*key, "span").agg(F.first("room").alias("room"), F.array_sort(F.collect_list("t")).alias("own"))
+    system = F.max(F.when((F.col("rank") == 1) & (F.col("role") == "system"), F.least("tokens", F.lit(budget // 2))))
+    convs = sums.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("rank", "upto", "tokens"))).alias("sums"), system.alias("shown"))
+    convs = convs.select(*key, "sums", F.col("shown").isNotNull().cast("int").alias("led"), (F.lit(budget) - F.coalesce("shown", F.lit(0))).cast("long").alias("room"))
+    start = F.struct(F.array(F.struct(F.lit(1).alias("rank"), F.lit(0).alias("history"))).alias("starts"), F.lit(0).cast("long").alias("base"), F.lit(budget).cast("long").alias("room"))
+
+    def step(acc: Column, t: Column) -> Column:
+        before = t["upto"] - t["tokens"]
+        limit = F.least(F.lit(history_tokens).cast("long"), F.col("room") - t["tokens"])
+        upto = lambda k: F.coalesce(F.get("sums", t["rank"] - 2 - k)["upto"], F.lit(0).cast("long"))  # noqa: E731  of the turn k before the last
+        history = F.lit(0)
+        for k in range(1, history_turns + 1):  # a longer one takes the place of a shorter one
+            history = F.when((t["rank"] - k > F.col("led")) & (before - upto(k) <= limit), k).otherwise(history)
+        taken = F.when(history > 0, before - F.coalesce(F.get("sums", t["rank"] - 2 - history)["upto"], F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
+        opened = F.struct(F.concat(acc["starts"], F.array(F.struct(t["rank"].alias("rank"), history.alias("history")))).alias("starts"), before.alias("base"), (F.col("room") - taken).alias("room"))
+        return F.when((t["upto"] - acc["base"] > acc["room"]) & (t["rank"] > 1), opened).otherwise(acc)
+
+    convs = convs.select(*key, "room", F.size("sums").alias("n"), F.aggregate("sums", start, step, lambda acc: acc["starts"]).alias("starts"))
+    ranks = F.transform("starts", lambda s: s["rank"])
+    lengths = F.zip_with(F.concat(F.slice(ranks, 2, F.size(ranks)), F.array(F.col("n") + 1)), ranks, lambda b, a: b - a)
+    convs = convs.select(*key, "room", F.transform("starts", lambda s: s["history"]).alias("histories"), F.flatten(F.transform(lengths, lambda n, i: F.array_repeat(i, n))).alias("spans"))
+    placed = rows.join(convs, key).withColumn("span", F.element_at("spans", F.col("rank"))).select(*key, "room", "span", F.get("histories", F.col("span")).alias("history"), F.struct("rank", "role", "text", "tokens").alias("t"))
+    spans = placed.groupBy(*key, "span").agg(F.first("room").alias("room"), F.first("history").alias("history"), F.array_sort(F.collect_list("t")).alias("own"))
     by_span = Window.partitionBy(*key).orderBy("span")
     tail = F.slice("own", F.greatest(F.size("own") - history_turns + 1, F.lit(1)), max(history_turns, 1))
     nothing = F.slice("own", 1, 0)
     before = F.flatten(F.array(*(F.coalesce(F.lag(tail, k).over(by_span), nothing) for k in range(max(history_turns, 1), 0, -1))))
     first = F.col("own")[0]
-    kept = (first["rank"] == 1) & (first["role"] == "system") & (first["tokens"] <= budget // 2)
-    spans = spans.select(*key, "span", "room", "own", before.alias("before"), F.first(F.when(kept, first)).over(by_span).alias("system"))
-    recent = F.filter(F.slice("before", F.greatest(F.size("before") - history_turns + 1, F.lit(1)), history_turns), lambda t: (t["rank"] > 1) | F.col("system").isNull())
-    fits = lambda t, i: F.aggregate(F.slice(F.col("recent"), i + 1, F.size("recent")), F.lit(0).cast("long"), lambda a, x: a + x["tokens"]) <= history_tokens
-    long = (F.size("own") == 1) & (first["tokens"] > F.col("room"))
-    # a character takes a token at most, so such a piece fits
-    chars = F.greatest(F.col("room") - 4 - F.ceil(F.octet_length(first["role"]) / 4), F.lit(1)).cast("int")
-    spans = spans.withColumn("recent", recent).withColumns({"chars": F.when(long, chars).otherwise(F.lit(2**31 - 1)), "length": F.length(first["text"])})
-    pieces = F.when(long, F.greatest(F.ceil(F.col("length") / F.col("chars")), F.lit(1))).otherwise(F.lit(1)).cast("int")
-    spans = spans.withColumn("pieces", pieces).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    cut = F.substring(first["text"], (F.col("piece") * F.col("chars") + 1).cast("int"), F.col("chars"))
+    led = (first["rank"] == 1) & (first["role"] == "system")
+    spans = spans.select(*key, "span", "room", "history", "own", before.alias("before"), F.first(F.when(led, first)).over(by_span).alias("system"))
+    recent = F.slice("before", F.greatest(F.size("before") - F.col("history") + 1, F.lit(1)), F.col("history"))
+    limit = F.when(first["rank"] == 1, F.lit(budget)).otherwise(F.col("room"))
+    long = (F.size("own") == 1) & (first["tokens"] > limit)
     whole = lambda t, end: F.struct(t["role"].alias("role"), t["text"].alias("text"), t["tokens"].alias("tokens"), end.alias("end"))
-    part = F.struct(first["role"].alias("role"), cut.alias("text"), tokens(first["role"], cut).alias("tokens"), F.when(F.col("piece") + 1 < F.col("pieces"), F.lit(MORE)).otherwise(F.lit(END)).alias("end"))
-    own = F.when(F.col("pieces") > 1, F.array(part)).otherwise(F.transform("own", lambda t: whole(t, F.lit(END))))
-    repeated = F.when(F.col("system").isNotNull() & (F.col("span") + F.col("piece") > 0), F.array("system")).otherwise(nothing)
-    context = F.concat(repeated, F.when(F.col("pieces") == 1, F.filter("recent", fits)).otherwise(nothing))
-    spans = spans.select(*key, "span", "piece", own.alias("own"), F.transform(context, lambda t: whole(t, F.lit(END))).alias("context"))
+    some = lambda t, text, end: F.struct(t["role"].alias("role"), text.alias("text"), tokens(t["role"], text).alias("tokens"), end.alias("end"))
+    led_by = F.col("system")
+    short = F.when(led_by["tokens"] <= budget // 2, whole(led_by, F.lit(END))).otherwise(some(led_by, _cut(led_by["role"], led_by["text"], F.lit(budget // 2), tokens, measured)[0], F.lit(END)))
+    spans = spans.withColumns({"recent": recent, "pieces": F.when(long, _cut(first["role"], first["text"], limit, tokens, measured)), "short": F.when(led_by.isNotNull() & (first["rank"] > 1), F.array(short))})
+    spans = spans.select("*", F.posexplode(F.coalesce("pieces", F.array(F.lit("")))).alias("piece", "cut"))
+    part = some(first, F.col("cut"), F.when(F.col("piece") + 1 < F.size("pieces"), F.lit(MORE)).otherwise(F.lit(END)))
+    own = F.when(F.col("pieces").isNotNull(), F.array(part)).otherwise(F.transform("own", lambda t: whole(t, F.lit(END))))
+    none_shown = F.slice(F.transform("own", lambda t: whole(t, F.lit(END))), 1, 0)
+    context = F.concat(F.coalesce("short", none_shown), F.transform("recent", lambda t: whole(t, F.lit(END))))
+    spans = spans.select(*key, "span", "piece", own.alias("own"), context.alias("context"))
     shown = lambda t: F.concat(_head(t["role"]), escape(t["text"]), t["end"])
     spans = spans.withColumns({"opening": F.array_join(F.transform("context", shown), ""), "marked": F.transform("own", lambda t: F.struct(t["role"].alias("role"), F.length(_head(t["role"])).alias("head"), F.length(escape(t["text"])).alias("body"), F.length(t["end"]).alias("end")))})
     none = F.slice(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("length"))), 1, 0)

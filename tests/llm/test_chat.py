@@ -51,12 +51,10 @@ def test_windows_keep_to_the_budget(spark):
         assert [t.text for t in w.turns if t.role == "assistant"] == list(w.loss_texts)
         assert all(t.ends for t in w.turns) or len(w.turns) == 1
     assert own == len(rows)
-    systems = {r[0] for r in rows if r[2] == "system"} - {80}  # that one's takes more than half the budget
+    systems = {r[0] for r in rows if r[2] == "system"}
     for w in windows:
-        if w.conv_id in systems:
+        if w.conv_id in systems:  # cut to half the budget where it is longer, but always there
             assert w.formatted.startswith("<|system|>\n")
-        if w.conv_id == 80 and w.span > 1:
-            assert not w.formatted.startswith("<|system|>\n")
     assert max(w.piece for w in windows) > 0
 
 
@@ -91,3 +89,74 @@ def test_escape_is_reversible(spark):
 
 def test_no_rows(spark):
     assert chat.format_windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def estimate(role, text):
+    return -(-(len(role.encode()) + len(text.encode())) // 4) + 4
+
+
+def pieces_of(role, text, limit, measured=64):
+    """Parts of a few characters, joined while they fit."""
+    empty, out, load = estimate(role, ""), [""], 0
+    for i in range(0, len(text), measured):
+        more = estimate(role, text[i : i + measured]) - empty
+        if load + more > limit - empty and load:
+            out, load = [*out, ""], 0
+        out[-1] += text[i : i + measured]
+        load += more
+    return out
+
+
+def windows_of(turns, budget, history_tokens, history_turns):
+    """(context texts, own texts, tokens) of each window of one conversation's turns (role, text), by plain loops."""
+    size = [estimate(*t) for t in turns]
+    led = turns[0][0] == "system"
+    shown = pieces_of(*turns[0], budget // 2)[0] if led and size[0] > budget // 2 else turns[0][1] if led else None
+    room = budget - (min(size[0], budget // 2) if led else 0)
+    out, at = [], 0
+    while at < len(turns):
+        limit = budget if at == 0 else room
+        context = [shown] if led and at else []
+        if size[at] > limit:
+            for cut in pieces_of(*turns[at], limit):
+                out.append((context, [cut]))
+            at += 1
+            continue
+        history = 0
+        for k in range(1, history_turns + 1):
+            if at and at - k >= int(led) and sum(size[at - k : at]) <= min(history_tokens, limit - size[at]):
+                history = k
+        end, load = at, sum(size[at - history : at])
+        while end < len(turns) and load + size[end] <= limit:
+            load += size[end]
+            end += 1
+        out.append((context + [t for _, t in turns[at - history : at]], [t for _, t in turns[at:end]]))
+        at = end
+    return out
+
+
+def test_windows_equal_plain_loops(spark):
+    rng = random.Random(8)
+    data, want = [], {}
+    for conv in range(60):
+        turns = [("system", "s" * rng.choice([5, 300, 700, 1500]))] if conv % 2 else []
+        turns += [(rng.choice(["user", "assistant"]), f"{t} " + rng.choice(["x", "é", "😀"]) * rng.choice([1, 20, 100, 300, 500, 1500])) for t in range(rng.randrange(1, 25))]
+        data += [(conv, t, *x) for t, x in enumerate(turns)]
+        want[conv] = windows_of(turns, 200, 60, 2)
+    got = {}
+    windows = chat.read_back(chat.format_windows(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"), budget=200, history_tokens=60, history_turns=2))
+    for w in windows.orderBy("conv_id", "span", "piece").collect():
+        parts = [chat_text for chat_text in w.formatted.split("<|end|>\n")]
+        context = [p.split("|>\n", 1)[1] for p in parts[: w.n_context]]
+        got.setdefault(w.conv_id, []).append((context, [t.text for t in w.turns]))
+        assert w.n_tokens <= 200
+    assert got == want
+
+
+def test_a_turn_that_fits_is_one_window(spark):
+    text = "x" * (4 * (894 - 4) - 4)
+    rows = [(1, 0, "user", text), (2, 0, "system", "s" * 2400), (2, 1, "user", "hi"), *((2, t, "user" if t % 2 else "assistant", "y" * 1500) for t in range(2, 9))]
+    got = chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("conv_id", "span").collect()
+    assert [(w.n_turns, w.n_tokens) for w in got if w.conv_id == 1] == [(1, 894)]
+    later = [w for w in got if w.conv_id == 2][1:]
+    assert later and all(w.formatted.startswith("<|system|>\nsssss") and w.n_tokens <= 1024 for w in later)
