@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from postloom.session import checkpoint
+from postloom.sources.readers import lookup
 
 
 def majority(votes: DataFrame, item: str, kind: str, worker: str, score: str) -> DataFrame:
@@ -55,27 +56,42 @@ def confusion(truth: Column, guess: Column) -> list[Column]:
     return [F.count_if((truth == t) & (guess == g)).alias(name) for name, t, g in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0), ("tn", 0, 0))]
 
 
-def average_ranks(rows: DataFrame, value: str) -> DataFrame:
-    """Each distinct value and the mean rank of its rows: values are counted first, and only distinct ones are ranked."""
-    from postloom.operators.retrieval import ranked
+def ordered_counts(rows: DataFrame, value: str) -> DataFrame:
+    """value, c and before of each distinct known value: how many rows have it, and a smaller one.
+
+    Only distinct values are sorted, by range partitions; sums run within a partition, and the totals of those before are added.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
+
+    def run(frames):
+        from pyspark import TaskContext
+
+        part, below = TaskContext.get().partitionId(), 0
+        for frame in frames:
+            upto = frame["c"].cumsum() + below
+            yield frame.assign(within=upto - frame["c"], part=part)
+            below = int(upto.iloc[-1]) if len(frame) else below
 
-    counts = checkpoint(rows.groupBy(value).agg(F.count("*").alias("_c")))  # read by the quantiles and the ranks
-    order = ranked(counts.withColumn("_neg", -F.col(value)), "_neg", value)
-    bands = order.withColumn("_b", F.floor((F.col("rank") - 1) / 4096))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = bands.groupBy("_b").agg(F.sum("_c").alias("_s")).select("_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o"))  # a row for 4096 values
-    within = F.sum("_c").over(Window.partitionBy("_b").orderBy("rank"))
-    return bands.withColumn("_w", within).join(offsets, "_b").select(value, (F.col("_o") + F.col("_w") - (F.col("_c") - 1) / 2).alias(f"{value}_rank"))
+    kind = dict(counts.dtypes)[value]
+    placed = checkpoint(counts.repartitionByRange(value).sortWithinPartitions(value).mapInPandas(run, f"`{value}` {kind}, c long, within long, part int"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("part").agg(F.sum("c").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("below"))  # a row for each partition
+    return placed.join(F.broadcast(offsets), "part").select(value, "c", (F.col("within") + F.col("below")).alias("before"))
+
+
+def average_ranks(rows: DataFrame, value: str) -> DataFrame:
+    """Each distinct value and the mean rank of its rows."""
+    return ordered_counts(rows, value).select(value, (F.col("before") + (F.col("c") + 1) / 2).alias(f"{value}_rank"))
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Pearson and Spearman correlation of two columns."""
-    r = rows.join(average_ranks(rows, a), a).join(average_ranks(rows, b), b)
+    """Pearson and Spearman correlation of two columns; few distinct values' ranks are broadcast, under a check of their number."""
+    r = lookup(lookup(rows, average_ranks(rows, a), a), average_ranks(rows, b), b)
     return r.agg(F.corr(a, b).alias("pearson"), F.corr(f"{a}_rank", f"{b}_rank").alias("spearman"))
 
 
-#: Rows of a range of values that one task compares, about, and ranges at most.
-KENDALL_ROWS, KENDALL_RANGES = 200_000, 1024
+#: Values of a digit of a rank, by which inversions are counted.
+DIGIT = 256
 
 
 def inversions(values) -> int:
@@ -100,92 +116,88 @@ def inversions(values) -> int:
     return total
 
 
-def agreement(a, b) -> int:
-    """Sum over pairs of the product of the signs of their differences."""
-    import numpy as np
-
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    n = len(a)
-
-    def tied(*columns) -> int:
-        new = np.zeros(n, bool)
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-        sizes = np.diff(np.append(np.flatnonzero(np.append(True, new[1:])), n)) if n else np.empty(0, np.int64)
-        return int((sizes * (sizes - 1) // 2).sum())
-
-    ordered = np.sort(b)
-    tied_b = int(sum((np.unique(ordered, return_counts=True)[1] * (np.unique(ordered, return_counts=True)[1] - 1) // 2).tolist()))
-    fall = inversions(b)
-    rise = n * (n - 1) // 2 - fall - tied_b
-    return rise - fall - (tied(a) - tied(a, b))  # pairs of one a rise in this order, but don't count
-
-
 def beside(*rows: DataFrame) -> DataFrame:
     """One row of all columns of frames that have one row each."""
     columns = [c for r in rows for c in r.columns]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows).agg(*(F.max(c).alias(c) for c in columns))
 
 
-def kendall(rows: DataFrame, a: str, b: str, ranges: int | None = None) -> DataFrame:
-    """Kendall's tau-a and mean squared difference, of rows where both are known.
+def falls(rows: DataFrame, a: str, rank: str, size: int) -> DataFrame:
+    """``n``: pairs of rows that rise strictly in ``a`` or tie there, and in (a, rank) order fall in ``rank`` (from 0, below ``size``).
 
-    Quantiles cut both columns into ranges. Pairs in different ranges of both are counted from the numbers of rows in each
-    pair of ranges; pairs in one range of the first column, and those in one of the second but not of the first, are counted
-    in that range by merging, so that no two rows are compared. A value that fills a range of its own needs no comparison.
+    A pair falls where the first digit that differs falls, so digits are counted one after the other, among the rows that share
+    all digits before. Rows are dealt by these and (a, rank) to range partitions; a task counts its own pairs with numpy, a batch at
+    a time, and hands on how often each digit came in the runs that its partition's borders cut. Only those counts meet.
     """
     import numpy as np
+    import pandas as pd
+
+    def within(base: int):
+        def run(frames):
+            from pyspark import TaskContext
+
+            part, total, edge = TaskContext.get().partitionId(), 0, []
+            run_prefix, seen = None, np.zeros(DIGIT, np.int64)
+
+            def close(first: bool):
+                if run_prefix is not None and first:
+                    edge.append((run_prefix, seen.copy()))
+
+            runs = 0
+            for frame in frames:
+                prefix, digit = (frame[rank] // (base * DIGIT)).to_numpy(), (frame[rank] // base % DIGIT).to_numpy()
+                heads = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1])) if len(frame) else np.zeros(0, int)
+                for k, stop in zip(heads, np.append(heads[1:], len(prefix)), strict=True):
+                    if prefix[k] != run_prefix:
+                        close(runs == 1)
+                        run_prefix, runs = prefix[k], runs + 1
+                        seen[:] = 0
+                    own = digit[k:stop]
+                    above = seen.sum() - np.cumsum(seen)  # earlier rows with a greater digit
+                    total += int(above[own].sum()) + inversions(own)
+                    seen += np.bincount(own, minlength=DIGIT)
+            close(runs >= 1)  # the last run, and the first one when it ended
+            yield pd.DataFrame({"part": [part] * (len(edge) + 1), "prefix": [-1, *(int(p) for p, _ in edge)], "n": [total] + [0] * len(edge), "digits": [None, *(h.tolist() for _, h in edge)]})
+
+        return run
+
+    def between(frames):
+        prefix, seen, total = None, np.zeros(DIGIT, np.int64), 0
+        for frame in frames:
+            for p, digits in zip(frame["prefix"], frame["digits"], strict=True):
+                own = np.asarray(digits, np.int64)
+                if p != prefix:
+                    prefix, seen = p, np.zeros(DIGIT, np.int64)
+                total += sum(int(x) * int(y) for x, y in zip(own, seen.sum() - np.cumsum(seen), strict=True))
+                seen = seen + own
+        yield pd.DataFrame({"n": [total]})
+
+    found = None
+    base = 1
+    while base < max(size, 1):
+        order = [F.floor(F.col(rank) / (base * DIGIT)), a, rank]
+        parts = checkpoint(rows.select(a, rank).repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(within(base), "part int, prefix long, n long, digits array<long>"))
+        cut = parts.filter("digits IS NOT NULL").repartition("prefix").sortWithinPartitions("prefix", "part").mapInPandas(between, "n long")  # two rows a partition at most
+        both = parts.filter("digits IS NULL").select("n").unionByName(cut)
+        found = both if found is None else found.unionByName(both)
+        base *= DIGIT
+    return found.agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n")) if found is not None else rows.agg(F.lit(0).cast("decimal(38,0)").alias("n"))
+
+
+def kendall(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Kendall's tau-a and mean squared difference, of rows where both are known.
 
+    Pairs that fall are counted by the digits of the second value's rank (``falls``), ties from the numbers of equal values, and the
+    pairs that rise are the rest; no two rows are compared, and no task's memory grows with the rows.
+    """
     both = rows.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).dropna()
-    n = both.count()
-    ranges = ranges or min(KENDALL_RANGES, max(1, n // KENDALL_ROWS))
-    steps = [i / ranges for i in range(1, ranges)]
-    cuts = both.approxQuantile(["a", "b"], steps, min(0.002, 0.2 / ranges)) if steps and n else [[], []]
-
-    def place(column: str, at: list[float]) -> tuple[Column, list[int]]:
-        """The range (cuts below, and for a repeated cut whether it is reached), and the ranges of one value."""
-        kept, hot = sorted(set(at)), sorted({x for x in at if at.count(x) > 1})
-        if not kept:
-            return F.lit(0), []
-        below = F.size(F.filter(F.array(*map(F.lit, kept)), lambda c: c < F.col(column)))
-        own = F.col(column).isin(*hot) if hot else F.lit(False)
-        return F.when(own, 2 * below + 1).otherwise(2 * below), [2 * kept.index(x) + 1 for x in hot]
-
-    (i, hot_a), (j, hot_b) = place("a", cuts[0]), place("b", cuts[1])
-    dealt = both.withColumns({"i": i, "j": j})
-    cells = dealt.groupBy("i", "j").agg(F.count("*").alias("n")).collect()  # ranges ** 2 rows at most
-    size_i, size_j = max((r.i for r in cells), default=0) + 1, max((r.j for r in cells), default=0) + 1
-    grid = np.zeros((size_i, size_j), object)
-    for r in cells:
-        grid[r.i, r.j] = r.n
-    upper = np.cumsum(np.cumsum(grid, 0), 1)
-    before = np.zeros((size_i + 1, size_j + 1), object)
-    before[1:, 1:] = upper
-    lower_left = before[:-1, :-1]
-    lower_right = before[:-1, -1:] - before[:-1, 1:]
-    apart = int((grid * (lower_left - lower_right)).sum())
-
-    def within(key, table):
-        import pyarrow as pa
-
-        x, y = table.column("a").to_numpy(), table.column("b").to_numpy()
-        side, other = key[0].as_py(), table.column("other").to_numpy()
-        total = agreement(x, y)
-        if side == "b":  # pairs in one range of both are counted on the other side
-            order = np.argsort(other, kind="stable")
-            for some in np.split(order, np.flatnonzero(np.diff(other[order])) + 1):
-                total -= agreement(x[some], y[some])
-        return pa.table({"s": pa.array([total], pa.int64())})
-
-    # values of a range of their own: pairs of one value count nothing on that side
-    by_a = dealt.filter(~F.col("i").isin(*hot_a)) if hot_a else dealt
-    by_b = dealt.filter(~F.col("j").isin(*hot_b)) if hot_b else dealt
-    sides = by_a.select(F.lit("a").alias("side"), F.col("i").alias("k"), F.col("j").alias("other"), "a", "b").unionByName(by_b.select(F.lit("b").alias("side"), F.col("j").alias("k"), F.col("i").alias("other"), "a", "b"))
-    local = sides.groupBy("side", "k").applyInArrow(within, "s long").agg(F.coalesce(F.sum(F.col("s").cast("double")), F.lit(0.0)).alias("s"))
-    mse = both.agg(F.avg(F.pow(F.col("a") - F.col("b"), 2)).alias("mse"))
-    pairs = n * (n - 1.0)
-    return beside(local.select(F.try_divide(2 * (F.col("s") + float(apart)), F.lit(pairs)).alias("tau")), mse)
+    placed = checkpoint(lookup(both, ordered_counts(both, "b").select("b", "before"), "b"))
+    n = placed.count()
+    pairs = lambda keys: placed.groupBy(*keys).agg(F.count("*").cast("decimal(38,0)").alias("c")).agg(F.coalesce(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.lit(0)).cast("double").alias("n"))
+    tied = beside(pairs(["a"]).withColumnRenamed("n", "ta"), pairs(["b"]).withColumnRenamed("n", "tb"), pairs(["a", "b"]).withColumnRenamed("n", "tab"), falls(placed, "a", "before", n).select(F.coalesce(F.col("n").cast("double"), F.lit(0.0)).alias("fall")), placed.agg(F.avg(F.pow(F.col("a") - F.col("b"), 2)).alias("mse")))
+    total = n * (n - 1.0) / 2
+    rise = F.lit(total) - F.col("fall") - F.col("tb")  # pairs of one a rise in this order too, but don't count
+    return tied.select(F.try_divide(rise - F.col("fall") - (F.col("ta") - F.col("tab")), F.lit(total)).alias("tau"), "mse")
 
 
 def bootstrap_draws(rows: DataFrame, key: str, label: str, rounds: int) -> DataFrame:
@@ -194,14 +206,13 @@ def bootstrap_draws(rows: DataFrame, key: str, label: str, rounds: int) -> DataF
     A round's negatives are drawn with replacement from a run of as many in an order by digest, which begins at a place of its
     own in each round. All places are digests of round and draw, so a rerun draws the same; nulls take no part.
     """
-    from postloom.operators.retrieval import RANGE_ROWS, hash_order, hash_place, ranked
+    from postloom.operators.retrieval import RANGE_ROWS, hash_order, hash_place, numbered
 
     spark = rows.sparkSession
     sides, sizes = [], []
     for k in (1, 0):
-        side = rows.filter(F.col(label) == k).withColumn("_order", hash_order(F.col(key))).withColumn("_none", F.lit(0.0))
-        # ranked by rising digest: no score tells rows apart
-        sides.append(ranked(side, "_none", "_order").withColumn("_i", F.col("rank") - 1).drop("rank", "_order", "_none"))
+        side = rows.filter(F.col(label) == k).withColumn("_order", hash_order(F.col(key)))
+        sides.append(numbered(side, [F.col("_order")]).withColumn("_i", F.col("rank") - 1).drop("rank", "_order"))
         sizes.append(side.count())
     n, out = min(sizes), []
     for k, name in ((0, "p"), (1, "n")):

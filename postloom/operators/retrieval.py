@@ -5,58 +5,38 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Ranges of scores that a global rank is worked out in, at least, and rows of a range, about.
-RANGES, RANGE_ROWS = 64, 1_000_000
+from postloom.session import checkpoint
 
+#: Rows that a task draws at once, about, where rows are made up.
+RANGE_ROWS = 1_000_000
+#: Bits of a row's place within its partition in ``monotonically_increasing_id``.
+PLACE_BITS = 33
 
-def _place(rows: DataFrame, column: str) -> Column:
-    """A number that never falls where the column rises; null if its type has none here."""
-    kind = dict(rows.dtypes)[column]
-    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
-        return F.col(column).cast("double")
-    if kind == "date" or kind.startswith("timestamp"):
-        return F.col(column).cast("timestamp").cast("double")
-    if kind == "string":
-        return F.conv(F.hex(F.rpad(F.substring(F.encode(column, "UTF-8"), 1, 6), 6, F.lit(b"\x00"))), 16, 10).cast("double")
-    return F.lit(None).cast("double")
 
+def numbered(rows: DataFrame, order: list[Column], ranges: int | None = None) -> DataFrame:
+    """``rank``: a row number over all rows in an order, without one task for all rows and without a window.
 
-def ranked(rows: DataFrame, score: str, tie: str, ranges: int | None = None) -> DataFrame:
-    """A row number over all rows by falling score (null last), ties by rising ``tie``, without one task for all rows.
-
-    Approximate quantiles cut the scores into ranges, more of them the more rows there are; rows are numbered within a
-    range and the counts of the ranges above are added. A score that many rows share, or null, is a range of its own,
-    cut again by quantiles of ``tie``. The result is exact whatever the cuts.
+    Rows are dealt to range partitions by the whole order and sorted there, so one value of its first column may fill many
+    partitions; rows equal in all of it are dealt at random. Each is numbered by its place, and the sizes of the partitions before are
+    added. The dealt rows are written once, as bounds drawn anew would give other numbers; the plan doesn't grow with the rows.
     """
-    s = F.col(score).cast("double")
-    size = rows.agg(F.count("*").alias("n"), F.count(s).alias("known")).first()
-    ranges = ranges or max(RANGES, size.n // RANGE_ROWS)
-    steps, error = [i / ranges for i in range(1, ranges)], min(0.002, 0.2 / ranges)
-    found = rows.select(s.alias("s")).approxQuantile("s", steps, error)
-    cuts, hot = sorted(set(found)), sorted({x for x in found if found.count(x) > 1})
-    if cuts:
-        at = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_s", outputCol="_at", handleInvalid="keep")
-        rows = at.transform(rows.withColumn("_s", F.coalesce(s, F.lit(0.0)))).drop("_s")
-    above = len(cuts) - F.col("_at").cast("int") if cuts else F.lit(0)
-    band = F.when(s.isNull(), F.lit(2 * len(cuts) + 2)).otherwise(2 * above + (s.isin(*hot).cast("int") if hot else F.lit(0)))
-    shared = F.coalesce(s.isin(*hot), F.lit(True)) if hot else s.isNull()
-    part = F.lit(0)
-    if hot or size.known < size.n:
-        place = _place(rows, tie)
-        ties = sorted(set(rows.filter(shared).select(place.alias("t")).approxQuantile("t", steps, error)))
-        if ties:
-            part = F.when(shared, F.size(F.filter(F.array(*map(F.lit, ties)), lambda c: c < place))).otherwise(0)
-    dealt = rows.withColumns({"_band": band, "_part": F.coalesce(part, F.lit(-1))})
-    counts = dealt.groupBy("_band", "_part").agg(F.count("*").alias("_n"))  # a row for each range
-    before = Window.orderBy("_band", "_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_band", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_above"))
-    within = Window.partitionBy("_band", "_part").orderBy(F.desc_nulls_last(score), tie)
-    return dealt.withColumn("rank", F.row_number().over(within).cast("long")).join(F.broadcast(offsets), ["_band", "_part"]).withColumn("rank", F.col("rank") + F.col("_above")).drop("_band", "_part", "_above", "_at")
+    order = [*order, F.rand(7)]
+    dealt = rows.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order)
+    placed = checkpoint(dealt.withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", PLACE_BITS)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row for each partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_above"))
+    return placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn("rank", F.col("_id").bitwiseAND((1 << PLACE_BITS) - 1) + 1 + F.col("_above")).drop("_part", "_id", "_above")
+
+
+def ranked(rows: DataFrame, score: str, tie: str, ranges: int | None = None) -> DataFrame:
+    """A row number over all rows by falling score (null last), ties by rising ``tie``."""
+    return numbered(rows, [F.desc_nulls_last(score), F.col(tie).asc()], ranges)
 
 
 def dense_ranked(rows: DataFrame, score: str, ranges: int | None = None) -> DataFrame:

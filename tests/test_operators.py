@@ -29,6 +29,23 @@ def test_ranked_is_exact_with_ties_and_nulls(spark):
     assert retrieval.ranked(df.limit(0), "s", "id").count() == 0
 
 
+def test_ordered_counts_and_average_ranks(spark):
+    values = [i * 7 % 40 if i % 3 else 5 for i in range(300)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v int")
+    got = {r.v: (r.c, r.before) for r in evaluation.ordered_counts(df.repartition(5), "v").collect()}
+    assert got == {v: (values.count(v), sum(x < v for x in values)) for v in set(values)}
+    ranks = {r.v: r.v_rank for r in evaluation.average_ranks(df, "v").collect()}
+    assert ranks[5] == sum(x < 5 for x in values) + (values.count(5) + 1) / 2
+
+
+def test_ranked_numbers_equal_rows_and_texts_that_begin_alike(spark):
+    text = "https://example.com/a/long/beginning/"
+    values = [(f"{text}{i % 50:03}", 1.0 if i % 4 else None) for i in range(400)]
+    got = retrieval.ranked(spark.createDataFrame(values, "id string, s double"), "s", "id", 16).orderBy("rank").collect()
+    assert [r.rank for r in got] == list(range(1, 401))
+    assert [(r.id, r.s) for r in got] == sorted(values, key=lambda v: (v[1] is None, v[0]))
+
+
 def test_ranked_cuts_a_shared_score(spark):
     values = [(i * 37 % 1001, 1.0 if i % 3 else float(i % 5)) for i in range(1001)]
     df = spark.createDataFrame(values, "id int, s double")
@@ -37,15 +54,24 @@ def test_ranked_cuts_a_shared_score(spark):
 
 
 @pytest.mark.parametrize("values", [9, 4, 1000])
-def test_kendall_over_ranges(spark, values):
+def test_kendall_over_digits(spark, values, monkeypatch):
     rng = np.random.default_rng(values)
     a, b = rng.integers(0, values, 300), rng.integers(0, values, 300)
     a[:120], b[60:170] = 3, 2  # values of many rows
     want = int((np.sign(a[:, None] - a) * np.sign(b[:, None] - b)).sum()) / (300 * 299)
     df = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b, strict=True)] + [(None, 1)], "a int, b int")
-    for ranges in (1, 7, 40):
-        got = evaluation.kendall(df, "a", "b", ranges).first()
-        assert abs(got.tau - want) < 1e-9 and abs(got.mse - ((a - b) ** 2).mean()) < 1e-9
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for digit, n, merged in ((256, "4", "true"), (4, "7", "false"), (2, "40", "false"), (16, "3", "false")):
+            monkeypatch.setattr(evaluation, "DIGIT", digit)
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merged)
+            got = evaluation.kendall(df, "a", "b").first()
+            assert abs(got.tau - want) < 1e-9 and abs(got.mse - ((a - b) ** 2).mean()) < 1e-9
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert evaluation.kendall(df.limit(0), "a", "b").first().tau is None
     x = rng.integers(0, 50, 77)
     assert evaluation.inversions(x) == sum(x[i] > x[j] for j in range(77) for i in range(j))
 
