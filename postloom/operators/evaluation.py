@@ -56,6 +56,64 @@ def confusion(truth: Column, guess: Column) -> list[Column]:
     return [F.count_if((truth == t) & (guess == g)).alias(name) for name, t, g in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0), ("tn", 0, 0))]
 
 
+def auc(rows: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
+    """``by``, n_pos, n_neg and auc: the share of pairs of a positive and a negative row that the score orders rightly, ties as half.
+
+    Exact: scores are counted by label and sorted by range partitions of (``by``, score); a task sums its own part, and the
+    negatives of the partitions before count for all its positives. Null scores and labels take no part; auc is null where a group has one label.
+    """
+    import numpy as np
+    import pandas as pd
+
+    known = rows.filter(F.col(score).isNotNull() & F.col(label).isin(0, 1))
+    counts = known.groupBy(*by, F.col(score).cast("double").alias("_s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
+    order = [*by, "_s"]
+
+    def run(frames):
+        from pyspark import TaskContext
+
+        part, last = TaskContext.get().partitionId(), None
+        for frame in frames:
+            if by:
+                columns = [frame[c] for c in by]
+                same = np.logical_and.reduce([(c.eq(c.shift()) | (c.isna() & c.shift().isna())).to_numpy() for c in columns])
+                heads = np.flatnonzero(~same | (np.arange(len(frame)) == 0))
+            else:
+                heads = np.zeros(min(len(frame), 1), int)
+            for k, stop in zip(heads, np.append(heads[1:], len(frame)), strict=True):
+                some = frame.iloc[k:stop]
+                pos, neg = some["pos"].to_numpy(float), some["neg"].to_numpy(float)
+                key = tuple(None if pd.isna(v) else v for v in some[by].iloc[0]) if by else ()
+                if last is None or key != last[0]:
+                    if last is not None:
+                        yield row(part, last)
+                    last = [key, 0.0, 0.0, 0.0]
+                last[1] += float((pos * (last[3] + np.cumsum(neg) - neg / 2)).sum())
+                last[2] += pos.sum()
+                last[3] += neg.sum()
+        if last is not None:
+            yield row(part, last)
+
+    def row(part, found):
+        key, wins, pos, neg = found
+        return pd.DataFrame({**{c: [v] for c, v in zip(by, key, strict=True)}, "part": [part], "wins": [wins], "pos": [pos], "neg": [neg]})
+
+    kinds = dict(counts.dtypes)
+    parts = checkpoint(counts.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(run, "".join(f"`{c}` {kinds[c]}, " for c in by) + "part int, wins double, pos double, neg double"))
+    earlier = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each group and partition
+    summed = parts.withColumn("before", F.coalesce(F.sum("neg").over(earlier), F.lit(0.0))).groupBy(*by).agg(F.sum("pos").cast("long").alias("n_pos"), F.sum("neg").cast("long").alias("n_neg"), F.sum(F.col("wins") + F.col("pos") * F.col("before")).alias("w"))
+    return summed.select(*by, "n_pos", "n_neg", F.try_divide("w", F.col("n_pos").cast("double") * F.col("n_neg")).alias("auc"))
+
+
+def report(rows: DataFrame, truth: str, guess: str, by: list[str]) -> DataFrame:
+    """``by``, class, precision, recall, f1 and support of classes 0 and 1; null where nothing is to be divided by."""
+    c = rows.groupBy(*by).agg(*confusion(F.col(truth), F.col(guess)))
+    of = lambda k, hit, wrong, missed: F.struct(F.lit(k).alias("class"), F.col(hit).alias("hit"), F.col(wrong).alias("wrong"), F.col(missed).alias("missed"))
+    each = c.select(*by, F.explode(F.array(of(0, "tn", "fn", "fp"), of(1, "tp", "fp", "fn"))).alias("c")).select(*by, "c.*")
+    hit, wrong, missed = F.col("hit"), F.col("wrong"), F.col("missed")
+    return each.select(*by, "class", F.try_divide(hit, hit + wrong).alias("precision"), F.try_divide(hit, hit + missed).alias("recall"), F.try_divide(2.0 * hit, 2 * hit + wrong + missed).alias("f1"), (hit + missed).alias("support"))
+
+
 def ordered_counts(rows: DataFrame, value: str) -> DataFrame:
     """value, c and before of each distinct known value: how many rows have it, and a smaller one.
 
@@ -240,3 +298,24 @@ def platt(rows: DataFrame, x: str, y: str, by: str, steps: int = 25) -> DataFram
         step = s.select(by, (F.col("slope") + F.try_divide(F.col("hbb") * F.col("ga") - F.col("hab") * F.col("gb"), d)).alias("slope"), (F.col("intercept") + F.try_divide(F.col("haa") * F.col("gb") - F.col("hab") * F.col("ga"), d)).alias("intercept"))
         fits = checkpoint(step)
     return fits
+
+
+def bootstrap_platt(rows: DataFrame, key: str, score: str, label: str, rounds: int) -> DataFrame:
+    """round, slope and intercept of an unpenalised logistic fit of the label on the score in every round of ``bootstrap_draws``.
+
+    Draws are counted by (round, score, label), and all rounds take their Newton steps together on these counts. Rounds that
+    can't be fitted have null values.
+    """
+    from postloom.operators.regression import logit
+
+    drawn = bootstrap_draws(rows.select(key, F.col(score).cast("double").alias("score"), F.col(label).cast("int").alias("label")), key, "label", rounds)
+    counts = checkpoint(drawn.groupBy("round", "score", "label").agg(F.count("*").alias("n")))
+    fits = logit(counts, "label", ["score"], ["round"], weight="n")
+    wide = lambda term: F.max(F.when(F.col("term") == term, F.col("coefficient")))
+    return fits.groupBy("round").agg(wide("score").alias("slope"), wide("const").alias("intercept"))
+
+
+def intervals(fits: DataFrame, by: list[str], values: list[str], share: float = 0.95) -> DataFrame:
+    """``by``, fitted and, for each value, its mean and the exact quantiles that hold ``share`` of the rounds between them."""
+    ends = [(1 - share) / 2, (1 + share) / 2]
+    return fits.groupBy(*by).agg(F.count(values[0]).alias("fitted"), *(e for v in values for e in (F.avg(v).alias(v), F.percentile(v, ends[0]).alias(f"{v}_low"), F.percentile(v, ends[1]).alias(f"{v}_high"))))

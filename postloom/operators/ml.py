@@ -10,32 +10,31 @@ from pyspark.sql import functions as F
 
 
 def pattern_model(rows: DataFrame, patterns: list[str], text: str, label: str, regularisation: float = 0.01):
-    """Class-balanced logistic regression on pattern hits; returns the fitted pipeline."""
+    """Class-balanced logistic regression on pattern hits; the fitted pipeline, or the share of label 1 where labels are of one kind (None: no labels)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    featured = pattern_features(rows, patterns, text)
-    share = featured.agg(F.avg(F.col(label).cast("double")).alias("p")).first().p
+    featured = pattern_features(rows.filter(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double")), patterns, text)
+    share = featured.agg(F.avg(label).alias("p")).first().p
+    if share is None or share in (0.0, 1.0):
+        return share
     weighted = featured.withColumn("_w", F.when(F.col(label) == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
-    stages = [VectorAssembler(inputCols=[f"_p{i}" for i in range(len(patterns))], outputCol="features"), LogisticRegression(labelCol=label, weightCol="_w", regParam=regularisation, maxIter=30)]
+    stages = [VectorAssembler(inputCols=[f"_p{i}" for i in range(len(patterns))], outputCol="features"), LogisticRegression(labelCol=label, weightCol="_w", regParam=regularisation, maxIter=100, tol=1e-9)]
     return Pipeline(stages=stages).fit(weighted)
 
 
-def pattern_features(rows: DataFrame, patterns: list[str], text: str) -> DataFrame:
-    return rows.withColumns({f"_p{i}": F.col(text).rlike(p).cast("double") for i, p in enumerate(patterns)})
+def pattern_scores(rows: DataFrame, model, patterns: list[str], text: str) -> DataFrame:
+    """The rows with the model's probability of label 1 as ``score``; a null text hits no pattern."""
+    from pyspark.ml.functions import vector_to_array
 
+    if model is None or isinstance(model, float):
+        return rows.withColumn("score", F.lit(model).cast("double"))
+    return model.transform(pattern_features(rows, patterns, text)).withColumn("score", vector_to_array("probability")[1]).select(*rows.columns, "score")
 
-def clusters(rows: DataFrame, key: str, vector: str, k: int, seed: int = 0):
-    """key, cluster by k-means, and the silhouette."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.functions import array_to_vector
 
-    featured = rows.select(key, array_to_vector(vector).alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=10).fit(featured)
-    placed = model.transform(featured)
-    return placed.select(key, F.col("prediction").alias("cluster")), ClusteringEvaluator().evaluate(placed)
+def pattern_features(rows: DataFrame, patterns: list[str], text: str) -> DataFrame:
+    return rows.withColumns({f"_p{i}": F.coalesce(F.col(text).rlike(p), F.lit(False)).cast("double") for i, p in enumerate(patterns)})
 
 
 def least_squares(rows: DataFrame, x: str, y: str) -> DataFrame:

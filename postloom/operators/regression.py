@@ -169,19 +169,22 @@ def lagged(rows: DataFrame, by: list[str], order: str, column: str, n: int = 1,
 STEPS, SETTLED, LONGEST = 40, 1e-9, 4.0
 
 
-def logit(rows: DataFrame, y: str, xs: list[str], by: list[str], *, steps: int = STEPS) -> DataFrame:
+def logit(rows: DataFrame, y: str, xs: list[str], by: list[str], *, weight: str | None = None, steps: int = STEPS) -> DataFrame:
     """``by``, term (``const`` first), coefficient, std_error, z, n, log_likelihood, pseudo_r2 and converged of unpenalised logistic fits.
 
     y is 0 or 1. Columns are standardised by their own group. Every Newton step is one aggregation over all groups: sums of the
     gradient and the upper triangle of the second derivatives, solved by Cholesky in Arrow batches. Groups in which y is always the
     same, or no row is whole, have no rows; a column that is constant or a combination of others has a null coefficient. Where
     labels can be told apart without error no fit exists: ``converged`` is false and coefficients are null. A null in ``by`` is a group.
+    A row counts ``weight`` times, a whole number above 0.
     """
     if not by:
-        return logit(rows.withColumn("_all", F.lit(1)), y, xs, ["_all"], steps=steps).drop("_all")
-    whole = rows.select(*by, *(F.col(c).cast("double").alias(c) for c in [y, *xs])).dropna(subset=[y, *xs])
+        return logit(rows.withColumn("_all", F.lit(1)), y, xs, ["_all"], weight=weight, steps=steps).drop("_all")
+    times = F.col(weight).cast("double") if weight else F.lit(1.0)
+    whole = rows.select(*by, *(F.col(c).cast("double").alias(c) for c in [y, *xs]), times.alias("_times")).dropna(subset=[y, *xs, "_times"])
     size = len(xs) + 1
-    sums = checkpoint(gram(whole, y, xs, by))
+    counted = whole.groupBy(*(F.col(c).alias(f"_n{i}") for i, c in enumerate(by))).agg(F.sum("_times").cast("long").alias("n"), (F.sum(F.col("_times") * F.col(y)) / F.sum("_times")).alias("share"))
+    sums = gram(whole, y, xs, by)
     start = sums.filter(F.col("mean")[0].between(1e-300, 1 - 1e-16)).withColumns({"b": F.concat(F.array(F.log(F.col("mean")[0] / (1 - F.col("mean")[0]))), F.array_repeat(F.lit(0.0), size - 1)), "change": F.lit(float("inf"))})
     diagonal = [sum(size - k for k in range(i)) for i in range(size)]  # places in the upper triangle
     sd = F.array(*(F.sqrt(F.col("cov")[d]) for d in diagonal[1:]))
@@ -191,19 +194,19 @@ def logit(rows: DataFrame, y: str, xs: list[str], by: list[str], *, steps: int =
     for _ in range(steps):
         joined = lookup(whole, fits.select(*keys, "b", "mean", "sd"), _same(by, keys))
         z = [F.lit(1.0), *(F.coalesce(F.try_divide(F.col(x) - F.col("mean")[i + 1], F.col("sd")[i]), F.lit(0.0)) for i, x in enumerate(xs))]
-        parts = joined.select(*by, F.col(y).alias("_y"), "b", "mean", "sd", *(e.alias(n) for e, n in zip(z, names, strict=True)))
+        parts = joined.select(*by, F.col(y).alias("_y"), "_times", "b", "mean", "sd", *(e.alias(n) for e, n in zip(z, names, strict=True)))
         eta = sum((F.col("b")[i] * F.col(n) for i, n in enumerate(names)), F.lit(0.0))
-        parts = parts.withColumn("_e", eta).withColumn("_p", 1 / (1 + F.exp(-F.col("_e")))).withColumn("_w", F.col("_p") * (1 - F.col("_p")))
-        gradient = F.array(*(F.sum((F.col("_y") - F.col("_p")) * F.col(n)) for n in names))
+        parts = parts.withColumn("_e", eta).withColumn("_p", 1 / (1 + F.exp(-F.col("_e")))).withColumn("_w", F.col("_times") * F.col("_p") * (1 - F.col("_p")))
+        gradient = F.array(*(F.sum(F.col("_times") * (F.col("_y") - F.col("_p")) * F.col(n)) for n in names))
         second = F.array(*(F.sum(F.col("_w") * F.col(a) * F.col(b)) for i, a in enumerate(names) for b in names[i:]))
         # log(1 + exp(e)) without overflow
-        likelihood = F.sum(F.col("_y") * F.col("_e") - F.greatest(F.col("_e"), F.lit(0.0)) - F.log1p(F.exp(-F.abs("_e"))))
+        likelihood = F.sum(F.col("_times") * (F.col("_y") * F.col("_e") - F.greatest(F.col("_e"), F.lit(0.0)) - F.log1p(F.exp(-F.abs("_e")))))
         own = [F.first(c).alias(c) for c in ("b", "mean", "sd")]
         step = parts.groupBy(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True))).agg(*own, gradient.alias("g"), second.alias("h"), likelihood.alias("ll"))
         fits = checkpoint(_newton(step, size, len(by)))
         if fits.filter(F.col("change") > SETTLED).isEmpty():
             break
-    return _logit_table(fits, sums, xs, by)
+    return _logit_table(fits, counted, xs, by)
 
 
 def _same(one: list[str], other: list[str]) -> Column:
@@ -227,9 +230,8 @@ def _newton(sums: DataFrame, size: int, keys: int) -> DataFrame:
     return sums.mapInPandas(run, kinds + "b array<double>, mean array<double>, sd array<double>, h array<double>, ll double, change double")
 
 
-def _logit_table(fits: DataFrame, sums: DataFrame, xs: list[str], by: list[str]) -> DataFrame:
+def _logit_table(fits: DataFrame, counts: DataFrame, xs: list[str], by: list[str]) -> DataFrame:
     size = len(xs) + 1
-    counts = sums.select(*(F.col(c).alias(f"_n{i}") for i, c in enumerate(by)), "n", F.col("mean")[0].alias("share"))
     both = lookup(fits, counts, _same([f"_n{i}" for i in range(len(by))], [f"_k{i}" for i in range(len(by))])).select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(by)), "b", "mean", "sd", "h", "ll", "change", "n", "share")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -146,15 +146,47 @@ def ml_logreg_platt(spark, sf_dir):
 
 
 @query()
-def ml_pattern_lr(spark, sf_dir):
-    from pyspark.ml.functions import vector_to_array
+def ml_platt_bootstrap(spark, sf_dir):
+    """Intervals of slope and intercept for both labels, over rounds of all positives and as many negatives."""
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", F.log1p("n_chars").alias("score")), "doc_id")
+    fits = [evaluation.bootstrap_platt(rows, "doc_id", "score", label, 200).withColumn("label", F.lit(label)) for label in ("quality", "toxic")]
+    return evaluation.intervals(fits[0].unionByName(fits[1]), ["label"], ["slope", "intercept"])
+
+
+PATTERNS = ["!!", "###|%%%", r" \| ", r"(\S+ )\1\1"]
+
 
+def _pattern_scores(spark, sf_dir):
     from postloom.operators import ml
 
-    patterns = ["!!", "###|%%%", r" \| ", r"(\S+ )\1\1"]
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "text", "quality")
-    model = ml.pattern_model(rows, patterns, "text", "quality")
-    return model.transform(ml.pattern_features(rows, patterns, "text")).select("doc_id", "quality", vector_to_array("probability")[1].alias("score"))
+    return ml.pattern_scores(rows, ml.pattern_model(rows, PATTERNS, "text", "quality"), PATTERNS, "text")
+
+
+@query()
+def ml_pattern_lr(spark, sf_dir):
+    return _pattern_scores(spark, sf_dir).select("doc_id", "quality", "score")
+
+
+@query()
+def ml_pattern_report(spark, sf_dir):
+    """Precision, recall and F1 of both classes, and the model's exact area under the curve."""
+    scored = checkpoint(_pattern_scores(spark, sf_dir).withColumn("guess", (F.col("score") >= 0.5).cast("int")).drop("text"))
+    return evaluation.report(scored, "quality", "guess", []).crossJoin(F.broadcast(evaluation.auc(scored, "score", "quality", []).select("auc")))  # one row
+
+
+@query("""
+WITH s AS (SELECT d.lang, m.model, m.score, l.quality FROM labels l JOIN documents d ON l.doc_id = d.doc_id, LATERAL (SELECT unnest(['length', 'words', 'marks']) AS model, unnest([CAST(n_chars AS DOUBLE), CAST(len(string_split(text, ' ')) AS DOUBLE), CAST(-len(regexp_extract_all(text, '[!#%$*&]')) AS DOUBLE)]) AS score) m),
+     r AS (SELECT *, rank() OVER (PARTITION BY lang, model ORDER BY score) + (count(*) OVER (PARTITION BY lang, model, score) - 1) / 2.0 AS k FROM s),
+     g AS (SELECT lang, model, count(*) FILTER (quality = 1) AS n_pos, count(*) FILTER (quality = 0) AS n_neg, sum(k) FILTER (quality = 1) AS w FROM r GROUP BY ALL)
+SELECT lang, model, n_pos, n_neg, CASE WHEN n_pos > 0 AND n_neg > 0 THEN round((w - n_pos * (n_pos + 1) / 2.0) / (CAST(n_pos AS DOUBLE) * n_neg), 9) END AS auc FROM g
+""")
+def agg_auc_models(spark, sf_dir):
+    """Exact areas under the curve of several scores, by language."""
+    docs = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    scores = {"length": F.col("n_chars").cast("double"), "words": F.size(F.split("text", " ")).cast("double"), "marks": -F.size(F.regexp_extract_all("text", F.lit("[!#%$*&]"), F.lit(0))).cast("double")}
+    rows = docs.select("lang", "quality", F.explode(F.array(*(F.struct(F.lit(k).alias("model"), c.alias("score")) for k, c in scores.items()))).alias("m")).select("lang", "quality", "m.*")
+    return evaluation.auc(rows, "score", "quality", ["lang", "model"]).withColumn("auc", F.round("auc", 9))
 
 
 @query("""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postloom.functions import scalar
-from postloom.operators import ml, vectors
+from postloom.operators import clusters, vectors
 from postloom.plans.registry import query
 from postloom.session import table
 
@@ -51,5 +51,14 @@ def agg_community(spark, sf_dir):
 
 @query()
 def agg_kmeans(spark, sf_dir):
-    placed, silhouette = ml.clusters(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8)
-    return placed.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("silhouette", F.lit(silhouette))
+    """Eight clusters with their numbers of vectors and mean label, and the silhouette."""
+    rows = table(spark, sf_dir, "embeddings")
+    points, centres, elbow = clusters.kmeans(rows, "vec_id", "embedding", [8])
+    means = clusters.mean_scores(clusters.assigned(points, "vec_id", centres[8]), rows, "vec_id", "label")
+    return means.crossJoin(F.broadcast(elbow.select("silhouette")))  # one row
+
+
+@query()
+def agg_kmeans_elbow(spark, sf_dir):
+    """Inertia and silhouette of two to ten clusters."""
+    return clusters.kmeans(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", list(range(2, 11)))[2]
