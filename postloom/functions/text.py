@@ -190,3 +190,18 @@ def ngrams(tokens: Column, n: int) -> Column:
     shifted = [F.slice(tokens, k + 1, count) for k in range(n)]
     joined = reduce(lambda grams, more: F.zip_with(grams, more, lambda a, b: F.concat(a, F.lit(" "), b)), shifted)
     return F.coalesce(joined, F.array().cast("array<string>"))
+
+
+def in_blocks(batch, column: int, most: int = 1 << 22):
+    """Slices of an Arrow batch whose texts take about ``most`` bytes, one row at least."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    at = load = 0
+    for i, n in enumerate(sizes):
+        if load and load + n > most:
+            yield batch.slice(at, i - at)
+            at, load = i, 0
+        load += n
+    if at < len(sizes):
+        yield batch.slice(at)

@@ -1,10 +1,15 @@
-"""Points and areas: boxes and even-odd rings in the JVM, met through a grid."""
+"""Points and areas: boxes and even-odd rings in the JVM, met through a grid; nearest places on the plane and on the sphere."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postloom.operators.retrieval import numbered
 from postloom.session import checkpoint
 
 
@@ -51,7 +56,7 @@ def spatial_join(points: DataFrame, areas: DataFrame, cell: float) -> DataFrame:
 def haversine(lat: Column, lon: Column, other_lat: Column, other_lon: Column) -> Column:
     """Kilometres on a sphere."""
     dlat, dlon = F.radians(other_lat - lat) / 2, F.radians(other_lon - lon) / 2
-    return 2 * 6371.0088 * F.asin(F.sqrt(F.pow(F.sin(dlat), 2) + F.cos(F.radians(lat)) * F.cos(F.radians(other_lat)) * F.pow(F.sin(dlon), 2)))
+    return 2 * 6371.0088 * F.asin(F.least(F.lit(1.0), F.sqrt(F.pow(F.sin(dlat), 2) + F.cos(F.radians(lat)) * F.cos(F.radians(other_lat)) * F.pow(F.sin(dlon), 2))))
 
 
 def nearest(points: DataFrame, places: DataFrame, cell: float, grow: int = 4) -> DataFrame:
@@ -84,3 +89,112 @@ def nearest(points: DataFrame, places: DataFrame, cell: float, grow: int = 4) ->
         if last or left.isEmpty():
             return found.groupBy("point_id").agg(F.min("b").alias("b")).select("point_id", F.col("b.place_id").alias("place_id"), F.sqrt("b.d2").alias("distance"))
         cell *= grow
+
+
+#: Places of a block; blocks whose bounds one group holds; bounds that the driver holds, at most; points that one task compares with a block.
+PLACES, GROUP, BOUNDS, POINTS = 1024, 256, 1 << 20, 50_000
+#: What rounding may do to a distance of unit vectors.
+CHORD_SLACK = 1e-12
+
+
+def _unit(lat, lon) -> np.ndarray:
+    a, b = np.radians(np.asarray(lat, float)), np.radians(np.asarray(lon, float))
+    return np.column_stack([np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)])
+
+
+def _morton(unit: np.ndarray) -> np.ndarray:
+    """A number for each unit vector that is close for close ones: 20 bits of each coordinate, by turns."""
+    code = np.zeros(len(unit), np.int64)
+    cells = np.clip((unit + 1) / 2 * (1 << 20), 0, (1 << 20) - 1).astype(np.int64)
+    for bit in range(20):
+        for axis in range(3):
+            code |= (cells[:, axis] >> bit & 1) << (3 * bit + axis)
+    return code
+
+
+def _candidates(unit: np.ndarray, centre: np.ndarray, radius: np.ndarray, size: int = GROUP) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a point and a block that may hold its nearest place.
+
+    The nearest place is no farther than the farthest of any block could be; blocks whose nearest could be no nearer are left
+    out. Blocks are neighbours in order, so they are first judged in groups.
+    """
+    n = -(-len(centre) // size)
+    heads = np.arange(n) * size
+    middle = np.add.reduceat(centre, heads) / np.diff(np.append(heads, len(centre)))[:, None]
+    reach = np.maximum.reduceat(np.linalg.norm(centre - np.repeat(middle, np.diff(np.append(heads, len(centre))), axis=0), axis=1) + radius, heads)
+    far = np.linalg.norm(unit[:, None] - middle, axis=2)
+    most = (far + reach).min(1)
+    rows, groups = np.nonzero(far - reach <= most[:, None] + CHORD_SLACK)
+    points, blocks = [], []
+    for g in np.unique(groups):
+        own, at = rows[groups == g], slice(g * size, (g + 1) * size)
+        gap = np.linalg.norm(unit[own][:, None] - centre[at], axis=2)
+        np.minimum.at(most, own, (gap + radius[at]).min(1))
+        i, b = np.nonzero(gap - radius[at] <= most[own][:, None] + CHORD_SLACK)
+        points.append(own[i])
+        blocks.append(b + g * size)
+    if not points:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i, b = np.concatenate(points), np.concatenate(blocks)
+    keep = np.linalg.norm(unit[i] - centre[b], axis=1) - radius[b] <= most[i] + CHORD_SLACK  # by what all groups showed
+    return i[keep], b[keep]
+
+
+def nearest_on_sphere(points: DataFrame, places: DataFrame, block: int = PLACES) -> DataFrame:
+    """Each point (point_id, lat, lon in degrees) with the nearest place (place_id, lat, lon), great-circle kilometres, ties to the least place_id.
+
+    Places are unit vectors, so the date line and the poles are like any other part of the sphere. In an order that keeps neighbours
+    together they are cut into blocks of ``block`` places, however dense: a city is many small blocks. The blocks' balls (larger
+    blocks where there are many, so that there are BOUNDS at most) say which blocks a point has to meet, mostly one or two; a block that
+    many points meet is dealt to several tasks. Rows without coordinates, or off the map in latitude, take no part; of rows that share
+    a point_id the least distance counts; without places there are no rows.
+    """
+    spark = points.sparkSession
+    good = lambda rows, key: rows.select(key, F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).filter(F.col("lat").between(-90, 90) & (F.abs("lon") < float("inf")))
+    known = good(places, "place_id").groupBy("lat", "lon").agg(F.min("place_id").alias("place_id"))  # places of one spot are one
+    kinds = dict(known.dtypes) | dict(points.select("point_id").dtypes)
+
+    def coded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(code=_morton(_unit(frame["lat"], frame["lon"])))
+
+    order = known.select("place_id", "lat", "lon").mapInPandas(coded, f"place_id {kinds['place_id']}, lat double, lon double, code long")
+    ranked = checkpoint(numbered(order, [F.col("code"), F.col("place_id")]))
+    block = max(block, -(-ranked.count() // BOUNDS))
+
+    def ball(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        unit = _unit(frame["lat"], frame["lon"])
+        centre = (unit.max(0) + unit.min(0)) / 2
+        return pd.DataFrame({"block": [key[0]], "x": [centre[0]], "y": [centre[1]], "z": [centre[2]], "radius": [np.linalg.norm(unit - centre, axis=1).max()]})
+
+    blocks = ranked.withColumn("block", F.floor((F.col("rank") - 1) / block)).select("block", "place_id", "lat", "lon")
+    bounds = blocks.groupBy("block").applyInPandas(ball, "block long, x double, y double, z double, radius double").orderBy("block").toPandas()  # BOUNDS rows at most
+    left = good(points, "point_id")
+    empty = f"point_id {kinds['point_id']}, place_id {kinds['place_id']}, distance double"
+    if not len(bounds):
+        return spark.createDataFrame([], empty)
+    sent = spark.sparkContext.broadcast((bounds[["x", "y", "z"]].to_numpy(), bounds["radius"].to_numpy()))
+
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centre, radius = sent.value
+        for frame in frames:
+            for lo in range(0, len(frame), 2048):
+                some = frame.iloc[lo : lo + 2048].reset_index(drop=True)
+                i, b = _candidates(_unit(some["lat"], some["lon"]), centre, radius)
+                yield some.iloc[i].assign(block=b)
+
+    met = checkpoint(left.mapInPandas(meet, f"point_id {kinds['point_id']}, lat double, lon double, block long"))
+    pieces = met.groupBy("block").agg(F.ceil(F.count("*") / POINTS).cast("int").alias("pieces"))
+    dealt = met.join(pieces, "block").withColumn("piece", F.floor(F.rand(5) * F.col("pieces")).cast("int")).drop("pieces")
+    copies = blocks.join(pieces, "block").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
+
+    def compare(key: tuple, own: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        near = near.sort_values("place_id", ignore_index=True)
+        unit, other = _unit(own["lat"], own["lon"]), _unit(near["lat"], near["lon"])
+        at = np.concatenate([((unit[k : k + 1024, None] - other) ** 2).sum(2).argmin(1) for k in range(0, len(unit), 1024)]) if len(own) and len(near) else np.zeros(0, int)
+        own = own.iloc[: len(at)]
+        return pd.DataFrame({"point_id": own["point_id"].to_numpy(), "lat": own["lat"].to_numpy(), "lon": own["lon"].to_numpy(), "place_id": near["place_id"].to_numpy()[at], "plat": near["lat"].to_numpy()[at], "plon": near["lon"].to_numpy()[at]})
+
+    pairs = dealt.groupBy("block", "piece").cogroup(copies.groupBy("block", "piece")).applyInPandas(compare, f"point_id {kinds['point_id']}, lat double, lon double, place_id {kinds['place_id']}, plat double, plon double")
+    best = pairs.select("point_id", F.struct(haversine(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")).alias("distance"), "place_id").alias("b"))
+    return best.groupBy("point_id").agg(F.min("b").alias("b")).select("point_id", F.col("b.place_id").alias("place_id"), F.col("b.distance").alias("distance"))

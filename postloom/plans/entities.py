@@ -132,13 +132,26 @@ WITH p AS (SELECT vec_id AS point_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(em
      d AS (SELECT p.point_id, c.point_id AS place_id, pow(p.x - c.x, 2) + pow(p.y - c.y, 2) AS d2 FROM p JOIN p c ON c.point_id % 10 = 0)
 SELECT point_id, CAST(arg_min(place_id, (d2, place_id)) AS BIGINT) AS place_id, round(sqrt(min(d2)), 9) AS distance FROM d GROUP BY point_id
 """)
-def join_nearest_geocode(spark, sf_dir):
+def join_nearest_plane(spark, sf_dir):
     """Places are every tenth point."""
     points = _points(spark, sf_dir)
     places = points.filter("point_id % 10 = 0").select(F.col("point_id").alias("place_id"), F.col("x").alias("px"), F.col("y").alias("py"))
     return geo.nearest(points, places, 0.05).select("point_id", "place_id", F.round("distance", 9).alias("distance"))
 
 
+@query("""
+WITH p AS (SELECT vec_id AS point_id, greatest(-90, least(90, CAST(embedding[1] AS DOUBLE) * 250)) AS lat, (CAST(embedding[2] AS DOUBLE) * 600 + 5400) % 360 - 180 AS lon FROM embeddings),
+     d AS (SELECT p.point_id, c.point_id AS place_id, 2 * 6371.0088 * asin(least(1, sqrt(pow(sin(radians(c.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(c.lat)) * pow(sin(radians(c.lon - p.lon) / 2), 2)))) AS km FROM p JOIN p c ON c.point_id % 10 = 0)
+SELECT point_id, CAST(arg_min(place_id, (km, place_id)) AS BIGINT) AS place_id, round(min(km), 6) AS distance FROM d GROUP BY point_id
+""")
+def join_nearest_geocode(spark, sf_dir):
+    """Places are every tenth point, on all longitudes and up to the poles."""
+    lat, lon = (F.col("embedding")[i].cast("double") for i in range(2))
+    points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), F.greatest(F.lit(-90.0), F.least(F.lit(90.0), lat * 250)).alias("lat"), ((lon * 600 + 5400) % 360 - 180).alias("lon"))
+    places = points.filter("point_id % 10 = 0").withColumnRenamed("point_id", "place_id")
+    return geo.nearest_on_sphere(points, places).select("point_id", "place_id", F.round("distance", 6).alias("distance"))
+
+
 @query("SELECT event_id, CASE event_type WHEN 'view' THEN 'v.tar' WHEN 'click' THEN 'c.tar' END AS tar FROM events")
 def join_dict_lookup(spark, sf_dir):
     names = spark.createDataFrame([("view", "v.tar"), ("click", "c.tar")], "event_type string, tar string")

@@ -271,6 +271,18 @@ def kw_sentence_flag(spark, sf_dir):
     return contains_any(docs, sentences.select(F.col("text").alias("sentence"))).select("doc_id", F.col("found").cast("int").alias("has_sentence"))
 
 
+@query(r"""
+WITH p AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\p{L}{14,}')) AS phrase FROM benchmark)
+SELECT d.doc_id, count(p.phrase) > 0 AS found FROM documents d LEFT JOIN p ON contains(d.text, p.phrase) GROUP BY d.doc_id
+""")
+def kw_phrase_table(spark, sf_dir):
+    """Whether any long word of the benchmark is part of a text: a table of phrases of any length, as automata."""
+    from postloom.operators.match import phrase_flags
+
+    phrases = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}{14,}"), F.lit(0))).alias("phrase"))
+    return phrase_flags(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", phrases, "phrase").select("doc_id", "found")
+
+
 @query(r"""
 SELECT avg(CAST(regexp_matches(text, 'ing\b') AS INTEGER)) AS share_class, avg(CAST(regexp_matches(text, 'ing\b|tion\b') AS INTEGER)) AS share_all
 FROM (SELECT text FROM documents ORDER BY n_chars DESC, doc_id LIMIT 200)

@@ -279,8 +279,8 @@ def test_short_sentences_of_any_letters_and_repeated_ids(spark):
     docs = spark.createDataFrame([(1, "say (a+b) now"), (1, "nothing"), (2, "über.alles"), (2, None), (None, "x|y"), (3, "ab")], "doc_id int, text string")
     sentences = spark.createDataFrame([("(a+b)",), ("über.",), ("x|y",), ("a+b) n",)], "sentence string")
     want = [(None, "True"), (1, "False"), (1, "True"), (2, "False"), (2, "True"), (3, "False")]
-    for most in (1 << 20, 0):
-        got = match.contains_any(docs, sentences, pattern_bytes=most).collect()
+    for most in (1 << 20, 4):
+        got = match.contains_any(docs, sentences, part_bytes=most).collect()
         assert sorted(((r.doc_id, str(r.found)) for r in got), key=str) == sorted(want, key=str)
     assert match.contains_any(docs, sentences.limit(0)).filter("found").count() == 0
 
@@ -304,3 +304,63 @@ def test_attention_classes(spark):
     got = {r.w: r["class"] for r in evaluation.attention(df, "w", "k", "a", good, ((1, 4), (8, 9))).collect()}
     assert got == {"all": 3, "both": 2, "first": 1, "none": 0, "short": 1, "late": 2}
     assert {r.w for r in evaluation.attention(df, "w", "k", "a", good, ((1, 4), (8, 9)), least=2).collect()} == {"all", "both", "late"}
+
+
+def test_many_phrases_take_one_scan_a_part(spark):
+    rng = np.random.default_rng(0)
+    words = ["".join(rng.choice(list("abcdefg é😀"), 9)) for _ in range(100_000)]
+    texts = ["".join(rng.choice(list("abcdefg é😀"), 400)) for _ in range(60)] + [words[0], "x" + words[5] + "y", "zzz", "", None]
+    phrases = spark.createDataFrame([(w,) for w in [*words, "", None]], "p string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    known = set(words)
+    want = [None if t is None else any(t[k : k + 9] in known for k in range(len(t))) for t in texts]
+    for part_bytes in (1 << 24, 1 << 19):
+        got = match.phrase_flags(docs, "t", phrases, "p", part_bytes=part_bytes)
+        assert [r.found for r in got.orderBy("id").collect()] == want
+    assert True in want and False in want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    assert [r.found for r in match.phrase_flags(docs, "t", phrases.limit(0), "p").orderBy("id").collect()] == [None if t is None else False for t in texts]
+
+
+def _great_circle(a, b):
+    u, v = (np.radians(np.asarray(x, float)) for x in (a, b))
+    h = np.sin((v[None, :, 0] - u[:, None, 0]) / 2) ** 2 + np.cos(u[:, None, 0]) * np.cos(v[None, :, 0]) * np.sin((v[None, :, 1] - u[:, None, 1]) / 2) ** 2
+    return 2 * 6371.0088 * np.arcsin(np.sqrt(np.minimum(h, 1)))
+
+
+@pytest.mark.parametrize("block", [8, 1024])
+def test_nearest_on_sphere_equals_all_pairs(spark, block):
+    rng = np.random.default_rng(block)
+    places = np.concatenate([np.column_stack([rng.uniform(-90, 90, 150), rng.uniform(-180, 180, 150)]), np.column_stack([rng.uniform(-5, 5, 60), (rng.uniform(178, 182, 60) + 180) % 360 - 180]), [[90, 0], [-90, 77], [10, 180], [10, -180]], [[48.85, 2.35]] * 3, rng.normal([40, -74], 0.02, (200, 2))])
+    points = np.concatenate([np.column_stack([rng.uniform(-90, 90, 150), rng.uniform(-180, 180, 150)]), np.column_stack([rng.uniform(-5, 5, 60), (rng.uniform(178, 182, 60) + 180) % 360 - 180]), [[89.99, 120], [-89.9, -60], [90, 5]], rng.normal([40, -74], 0.5, (100, 2))])
+    one = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(points)] + [(9000, None, 1.0), (9001, 95.0, 1.0), (9002, 1.0, float("nan"))], "point_id int, lat double, lon double")
+    two = spark.createDataFrame([(i, *map(float, v), "x") for i, v in enumerate(places)] + [(-1, None, 0.0, "x")], "place_id long, lat double, lon double, distance string")
+    gaps = _great_circle(points, places)
+    got = {r.point_id: (r.place_id, r.distance) for r in geo.nearest_on_sphere(one, two, block).collect()}
+    assert set(got) == set(range(len(points)))
+    for i, (place, km) in got.items():
+        assert abs(km - gaps[i].min()) < 1e-6 and abs(gaps[i, place] - gaps[i].min()) < 1e-6
+    assert got[len(points) - 101][0] == 214 - 4  # the pole
+    assert geo.nearest_on_sphere(one, two.limit(0)).count() == 0 and geo.nearest_on_sphere(one.limit(0), two).count() == 0
+
+
+def test_nearest_in_a_city_meets_few_blocks(spark, monkeypatch):
+    """100,000 places in one city: a point meets a few blocks of them, and many points of one block are dealt to several tasks."""
+    rng = np.random.default_rng(1)
+    city, points = rng.normal([40, -74], 0.05, (100_000, 2)), rng.normal([40, -74], 0.06, (300, 2))
+    monkeypatch.setattr(geo, "POINTS", 5)
+    met, whole = [], geo._candidates
+    two = spark.createDataFrame([(i, *v) for i, v in enumerate(city.tolist())], "place_id long, lat double, lon double")
+    one = spark.createDataFrame([(i, *v) for i, v in enumerate(points.tolist())], "point_id long, lat double, lon double")
+    got = {r.point_id: r.distance for r in geo.nearest_on_sphere(one, two, 512).collect()}
+    want = np.concatenate([_great_circle(points[k : k + 20], city).min(1) for k in range(0, 300, 20)])
+    assert max(abs(got[i] - w) for i, w in enumerate(want)) < 1e-6
+    unit = geo._unit(city[:, 0], city[:, 1])
+    unit = unit[np.argsort(geo._morton(unit), kind="stable")]
+    balls = [unit[k : k + 512] for k in range(0, len(unit), 512)]
+    centre = np.array([(b.max(0) + b.min(0)) / 2 for b in balls])
+    radius = np.array([np.linalg.norm(b - c, axis=1).max() for b, c in zip(balls, centre, strict=True)])
+    i, _ = whole(geo._unit(points[:, 0], points[:, 1]), centre, radius)
+    met.append(len(i) / len(points))
+    assert met[0] < 0.2 * len(balls)
