@@ -1,4 +1,4 @@
-"""Points and areas: boxes and even-odd rings in the JVM, met through a grid; nearest places on the plane and on the sphere."""
+"""Points and areas: boxes and even-odd rings in the JVM, met through cells of areas; nearest places on the plane and on the sphere."""
 
 from __future__ import annotations
 
@@ -39,18 +39,133 @@ def rings_of(wkt: Column) -> Column:
     return F.transform(F.regexp_extract_all(wkt, F.lit(r"\(([^()]+)\)"), F.lit(1)), lambda r: F.transform(F.split(F.trim(r), r"\s*,\s*"), point))
 
 
+#: Edges of a cell that isn't cut further, and the finest cells: 4**-FINEST times the width asked for.
+EDGES, FINEST = 12, 5
+#: Where in a cell the point of known side stands; no vertex of a map is likely there.
+ASIDE = (0.5 + 0.01 * 2**0.5, 0.5 + 0.01 * 3**0.5)
+
+
+def _crossed(e: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> np.ndarray:
+    """Which edges (rows ax, ay, bx, by) meet a box, its border too."""
+    dx, dy = e[:, 2] - e[:, 0], e[:, 3] - e[:, 1]
+    low, high = np.zeros(len(e)), np.ones(len(e))
+    for d, a, lo, hi in ((dx, e[:, 0], x0, x1), (dy, e[:, 1], y0, y1)):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            s, t = (lo - a) / d, (hi - a) / d
+        flat, inside = d == 0, (a >= lo) & (a <= hi)
+        low = np.where(flat, np.where(inside, low, 2.0), np.maximum(low, np.minimum(s, t)))
+        high = np.where(flat, high, np.minimum(high, np.maximum(s, t)))
+    return low <= high + 1e-12
+
+
+def _turns(e: np.ndarray, x: float, y: float, rx: float, ry: float) -> int:
+    """Edges that the way from (x, y), level to rx and then upright to ry, crosses."""
+    ax, ay, bx, by = e.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at_x, at_y = (bx - ax) * (y - ay) / (by - ay) + ax, (by - ay) * (rx - ax) / (bx - ax) + ay
+    level = ((ay > y) != (by > y)) & (at_x > min(x, rx)) & (at_x <= max(x, rx))
+    upright = ((ax > rx) != (bx > rx)) & (at_y > min(y, ry)) & (at_y <= max(y, ry))
+    return int(level.sum() + upright.sum())
+
+
+def cover(rings: list, cell: float, edges: int = EDGES) -> list[tuple]:
+    """The cells of an area: (level, cx, cy, side of the known point, its x and y, edges of the cell).
+
+    Cells are ``cell * 4**level`` wide; they are cut into 16 as long as more than ``edges`` edges meet them, down to ``FINEST`` levels. A cell
+    that no edge meets is inside as a whole, and has no edges, or is left out. So there are about as many cells as the
+    outline needs, however large the area is.
+    """
+    parts = [np.array([(p["x"], p["y"]) for p in ring], float) for ring in rings if ring]  # null coordinates become nan
+    if not parts:
+        return []
+    all_edges = np.concatenate([np.column_stack([r, np.roll(r, -1, 0)]) for r in parts])
+    all_edges = all_edges[~np.isnan(all_edges).any(1)]
+    if not len(all_edges):
+        return []
+    x0, y0, x1, y1 = all_edges[:, ::2].min(), all_edges[:, 1::2].min(), all_edges[:, ::2].max(), all_edges[:, 1::2].max()
+    level = int(np.ceil(np.log(max(x1 - x0, y1 - y0, cell) / cell) / np.log(4) - 1e-9))
+    side = cell * 4.0**level
+    stack, out = [], []
+    for cx in range(int(np.floor(x0 / side)), int(np.floor(x1 / side)) + 1):
+        for cy in range(int(np.floor(y0 / side)), int(np.floor(y1 / side)) + 1):
+            rx, ry = (cx + ASIDE[0]) * side, (cy + ASIDE[1]) * side
+            stack.append((level, cx, cy, _turns(all_edges, rx, ry, 2 * x1 - x0 + side, ry) % 2, all_edges))
+    while stack:
+        level, cx, cy, within, near = stack.pop()
+        side = cell * 4.0**level
+        own = near[_crossed(near, cx * side - 1e-9 * side, cy * side - 1e-9 * side, (cx + 1 + 1e-9) * side, (cy + 1 + 1e-9) * side)]
+        rx, ry = (cx + ASIDE[0]) * side, (cy + ASIDE[1]) * side
+        if not len(own):
+            if within:
+                out.append((level, cx, cy, True, rx, ry, []))
+        elif len(own) <= edges or level <= -FINEST:
+            out.append((level, cx, cy, bool(within), rx, ry, own.tolist()))
+        else:
+            small = side / 4
+            for i in range(4):
+                for j in range(4):
+                    to = ((4 * cx + i + ASIDE[0]) * small, (4 * cy + j + ASIDE[1]) * small)
+                    stack.append((level - 1, 4 * cx + i, 4 * cy + j, (within + _turns(own, *to, rx, ry)) % 2, own))
+    return out
+
+
+def covers(areas: DataFrame, cell: float) -> DataFrame:
+    """A row for each cell of each area, with the area's columns but its rings."""
+    rings = F.col("rings") if "rings" in areas.columns else F.array("ring")
+    kept = [c for c in areas.columns if c not in ("ring", "rings")]
+    kinds = dict(areas.dtypes)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rings_at = batch.schema.get_field_index("_rings")
+            for i, area in enumerate(batch.column(rings_at).to_pylist()):
+                found = cover(area, cell) if area is not None else []
+                if found:
+                    own = [c.take(pa.array([i] * len(found))) for k, c in enumerate(batch.columns) if k != rings_at]
+                    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.float64(), pa.list_(pa.list_(pa.float64())))
+                    cells = [pa.array(v, t) for v, t in zip(zip(*found, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*own, *cells], names=[*kept, "_level", "_cx", "_cy", "_in", "_rx", "_ry", "_edges"])
+
+    columns = "".join(f"`{c}` {kinds[c]}, " for c in kept) + "_level int, _cx long, _cy long, _in boolean, _rx double, _ry double, _edges array<array<double>>"
+    return areas.select(*kept, rings.alias("_rings")).mapInArrow(run, columns)
+
+
 def spatial_join(points: DataFrame, areas: DataFrame, cell: float) -> DataFrame:
     """Points (x, y) with the areas (area_id and ring, or rings where there are holes or several parts) that they are in or on.
 
-    An area meets the points of the grid cells that its box covers, by an equi-join on the cell, and is tested only there.
+    Areas are cut into cells once (``cover``): large ones where the outline is far, small ones along it. A point meets its cell of
+    each level that occurs, by an equi-join. In a cell that no edge meets it is inside; in another one it is tested by the cell's own
+    edges only, from a point whose side is known. The area's rings aren't in the result.
     """
-    rings = F.col("rings") if "rings" in areas.columns else F.array("ring")
-    corners = F.flatten(rings)
-    cells = lambda v: F.sequence(F.floor(F.array_min(v) / cell), F.floor(F.array_max(v) / cell))
-    known = areas.filter(F.size(corners) > 0)
-    covered = known.withColumn("cx", F.explode(cells(corners["x"]))).withColumn("cy", F.explode(cells(corners["y"])))
-    placed = points.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
-    return placed.join(covered, ["cx", "cy"]).filter(inside_rings(F.col("x"), F.col("y"), rings)).drop("cx", "cy")
+    known = checkpoint(covers(areas, cell))
+    levels = sorted(r["_level"] for r in known.select("_level").distinct().collect())  # a few
+    x, y = F.col("x"), F.col("y")
+    at = lambda v, side: F.floor(v / side).cast("long")
+    places = [F.struct(F.lit(k).alias("_level"), at(x, cell * 4.0**k).alias("_cx"), at(y, cell * 4.0**k).alias("_cy")) for k in levels]
+    none = F.array().cast("array<struct<_level:int,_cx:bigint,_cy:bigint>>")
+    whole = x.isNotNull() & y.isNotNull() & (F.abs(x) < float("inf")) & (F.abs(y) < float("inf"))
+    placed = points.withColumn("_place", F.explode(F.when(whole, F.array(*places) if places else none))).select(*points.columns, "_place.*")
+    rx, ry = F.col("_rx"), F.col("_ry")
+    side = lambda e, i: e[i]
+
+    def on(e: Column) -> Column:
+        ax, ay, bx, by = (side(e, i) for i in range(4))
+        return ((bx - ax) * (y - ay) - (by - ay) * (x - ax) == 0) & x.between(F.least(ax, bx), F.greatest(ax, bx)) & y.between(F.least(ay, by), F.greatest(ay, by))
+
+    def crosses(e: Column) -> Column:
+        ax, ay, bx, by = (side(e, i) for i in range(4))
+        at_x = (bx - ax) * (y - ay) / F.when(by == ay, F.lit(1.0)).otherwise(by - ay) + ax
+        at_y = (by - ay) * (rx - ax) / F.when(bx == ax, F.lit(1.0)).otherwise(bx - ax) + ay
+        level = ((ay > y) != (by > y)) & (at_x > F.least(x, rx)) & (at_x <= F.greatest(x, rx))
+        upright = ((ax > rx) != (bx > rx)) & (at_y > F.least(y, ry)) & (at_y <= F.greatest(y, ry))
+        return level != upright  # both: twice, so the side is the same
+
+    edges = F.col("_edges")
+    within = F.when(F.size(edges) == 0, F.col("_in")).otherwise(F.exists(edges, on) | (F.col("_in") != (F.size(F.filter(edges, crosses)) % 2 == 1)))
+    kept = [c for c in known.columns if not c.startswith("_")]
+    return placed.join(known, ["_level", "_cx", "_cy"]).filter(within).select(*points.columns, *(known[c] for c in kept))
 
 
 def haversine(lat: Column, lon: Column, other_lat: Column, other_lon: Column) -> Column:

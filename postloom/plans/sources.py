@@ -215,9 +215,14 @@ def src_excel_official(spark, sf_dir):
     return readers.unpivot_months(wide, "n_nationkey", after="2010")
 
 
-@query("SELECT * FROM (VALUES (1, 10), (2, 20), (3, 30)) AS t(point, rank)")
+@query("SELECT point, rank, event_id FROM (VALUES (1, 10), (2, 20), (3, 30)) AS t(point, rank) JOIN (SELECT event_id, row_number() OVER (ORDER BY value DESC, event_id) AS rank FROM events) USING (rank)")
 def src_local_rows(spark, sf_dir):
-    return spark.createDataFrame(list(zip((1, 2, 3), (10, 20, 30), strict=True)), "point int, rank int")
+    """Rows of the program's own, points and ranks, with the events of these ranks."""
+    from postloom.operators.retrieval import ranked
+
+    points = spark.createDataFrame(list(zip((1, 2, 3), (10, 20, 30), strict=True)), "point int, rank int")
+    events = ranked(table(spark, sf_dir, "events").select("event_id", "value"), "value", "event_id")
+    return readers.lookup(events, points, "rank").select("point", F.col("rank").cast("int").alias("rank"), "event_id")
 
 
 @query(EVENTS_SQL)

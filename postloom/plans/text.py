@@ -101,11 +101,11 @@ def prj_drop_rename_literal(spark, sf_dir):
 
 @query("SELECT lang, source, CAST(dense_rank() OVER (ORDER BY first_id) - 1 AS INTEGER) AS geo_id FROM (SELECT lang, source, min(doc_id) AS first_id FROM documents GROUP BY lang, source)")
 def prj_geo_id(spark, sf_dir):
-    """A dense number for each place, in order of first appearance. The window runs over one row a place."""
-    from pyspark.sql.window import Window
+    """A dense number for each place, in order of first appearance."""
+    from postloom.operators.retrieval import dense_ranked
 
-    first = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.min("doc_id").alias("first_id"))
-    return first.select("lang", "source", (F.dense_rank().over(Window.orderBy("first_id")) - 1).alias("geo_id"))
+    first = table(spark, sf_dir, "documents").groupBy("lang", "source").agg((-F.min("doc_id")).alias("first"))
+    return dense_ranked(first, "first").select("lang", "source", (F.col("dense_rank") - 1).cast("int").alias("geo_id"))
 
 
 @query("SELECT event_id, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 END AS code FROM events")

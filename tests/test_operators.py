@@ -102,6 +102,47 @@ def test_holes_and_parts(spark):
     assert sorted((r.p, r.area_id) for r in geo.spatial_join(points, areas, 0.7).collect()) == [(1, 1), (1, 2), (3, 1), (4, 2)]
 
 
+def _star(n, x, y, size, seed):
+    rng = np.random.default_rng(seed)
+    t = np.sort(rng.uniform(0, 2 * np.pi, n))
+    r = size * rng.uniform(0.4, 1, n)
+    return np.column_stack([x + r * np.cos(t), y + r * np.sin(t)])
+
+
+def _odd(ring, p):
+    a, b = ring, np.roll(ring, -1, 0)
+    inside = np.zeros(len(p), bool)
+    for (ax, ay), (bx, by) in zip(a, b, strict=True):
+        if ay != by:
+            inside ^= ((ay > p[:, 1]) != (by > p[:, 1])) & (p[:, 0] < (bx - ax) * (p[:, 1] - ay) / (by - ay) + ax)
+    return inside
+
+
+@pytest.mark.parametrize("cell", [0.01, 0.5, 100.0])
+def test_cells_of_areas_equal_whole_outlines(spark, cell):
+    """Stars, holes and parts of many sizes; cells follow the outline, not the area."""
+    shapes = {1: [_star(300, 0, 0, 50, 1)], 2: [_star(40, 3, 3, 2, 2), _star(20, 3, 3, 0.5, 3)], 3: [_star(9, -60, 10, 0.02, 4), _star(7, 61, -8, 5, 5)], 4: [np.array([[0, 0], [4, 0], [4, 4], [0, 4.0]])]}
+    areas = spark.createDataFrame([(k, [[(float(a), float(b)) for a, b in ring] for ring in rings], "x") for k, rings in shapes.items()] + [(5, None, "x"), (6, [], "x")], "area_id int, rings array<array<struct<x: double, y: double>>>, name string")
+    rng = np.random.default_rng(9)
+    p = np.concatenate([rng.uniform(-70, 70, (1500, 2)), rng.uniform(0, 6, (800, 2)), rng.normal([-60, 10], 0.02, (300, 2)), [[2, 0], [4, 4], [0, 2]]])
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(p)] + [(9000, None, 1.0)], "p int, x double, y double")
+    got = {(r.p, r.area_id) for r in geo.spatial_join(points, areas, cell).collect()}
+    want = set()
+    for k, rings in shapes.items():
+        odd = np.logical_xor.reduce([_odd(r, p) for r in rings])
+        want |= {(int(i), k) for i in np.flatnonzero(odd)}
+    want |= {(len(p) - j, 4) for j in (1, 2, 3)}  # on the edge
+    assert got == want
+
+
+def test_large_areas_have_few_cells():
+    box = [{"x": float(a), "y": float(b)} for a, b in ((0.3, 0.3), (5000, 0.3), (5000, 5000), (0.3, 5000))]
+    assert len(geo.cover([box], 0.1)) < 50
+    ring = [{"x": float(a), "y": float(b)} for a, b in _star(5000, 0, 0, 100, 7)]
+    cells = geo.cover([ring], 1.0)
+    assert len(cells) < 40_000 and sum(len(c[6]) for c in cells) / sum(1 for c in cells if c[6]) < 13
+
+
 def test_contains_any(spark):
     docs = spark.createDataFrame([(1, "xa b c dy"), (2, "none"), (3, "the end"), (4, None)], "doc_id int, text string")
     sentences = spark.createDataFrame([("a b c d",), ("the en",), ("",), (None,)], "sentence string")
