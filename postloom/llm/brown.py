@@ -484,7 +484,8 @@ def score(docs: DataFrame, *, frequent: int = FREQUENT, classes: int = CLASSES,
 
     Learned from the rows that aren't held out (rows without id are neither held out nor learned from). Null and empty
     texts have one token, the end. Without training text both scores are those of no counts, 0. Rows that repeat count as
-    often as they come and keep their rows; other columns are left out.
+    often as they come and keep their rows; other columns are left out, whatever their names. Very long texts are whole: a task holds
+    a text's words and classes. Words of one count are ordered by their bytes.
     """
     remainder = crc_mod("doc_id", FOLDS)
     rows = with_empty_text(docs, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder == HELD_OUT, F.lit(False)).alias("held_out"), F.coalesce(remainder != HELD_OUT, F.lit(False)).alias("training"))

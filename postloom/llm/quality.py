@@ -209,7 +209,8 @@ def score(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, p
 
     Whole texts are scored. Null and empty texts have statistics of zero and get their score. Without labels of both kinds
     every score is the share of label 1, or 0.5. Rows that repeat stay; a null id stays null and isn't held out; other
-    columns are left out.
+    columns are left out, whatever their names. Very long texts are whole; a task holds the words of one block of texts, or of one
+    longer text.
     """
     model = shared(docs.sparkSession, learn(docs, labels, per_label=per_label))
     rows = with_empty_text(docs, F.col("doc_id").cast("long").alias("doc_id"), labelled.held_out().alias("held_out"))

@@ -121,7 +121,8 @@ def score(docs: DataFrame, labels: DataFrame, *, per_label: int = labelled.PER_L
 
     Learned from a bounded sample (see ``labelled.sample``); whole texts are scored. Null and empty texts get the score
     of a text without n-grams. Without labels of both kinds every score is the share of label 1, or 0.5. Rows that
-    repeat stay; a null id stays null and isn't held out; other columns are left out.
+    repeat stay; a null id stays null and isn't held out; other columns are left out, whatever their names. Very long texts are whole;
+    a task holds the n-grams of one block of texts, or of one longer text.
     """
     found = labelled.sample(docs, labels, "toxic", per_label=per_label)
     model = fit(found["text"].tolist(), found["y"].to_numpy(), labelled.prior(labels, "toxic"))
