@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -217,6 +218,27 @@ def _unit(lat, lon) -> np.ndarray:
     return np.column_stack([np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)])
 
 
+def _kilometres(lat: float, lon: float, other_lat: float, other_lon: float) -> float:
+    """``haversine`` in the C library's doubles, step by step as in SQL: places that are as far but for the last bits come in SQL's order."""
+    dlat, dlon = math.radians(other_lat - lat) / 2, math.radians(other_lon - lon) / 2
+    return 2 * 6371.0088 * math.asin(min(1.0, math.sqrt(math.pow(math.sin(dlat), 2) + math.cos(math.radians(lat)) * math.cos(math.radians(other_lat)) * math.pow(math.sin(dlon), 2))))
+
+
+def _nearest_of(lat: np.ndarray, lon: np.ndarray, place: np.ndarray, plat: np.ndarray, plon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kilometres to the nearest of the places, and its place: the chord leaves those that rounding could put first, kilometres and place decide."""
+    unit, other = _unit(lat, lon), _unit(plat, plon)
+    best, at = np.full(len(unit), np.inf), np.zeros(len(unit), np.int64)
+    for k in range(0, len(unit), 1024):
+        chord = np.sqrt(((unit[k : k + 1024, None] - other) ** 2).sum(2))
+        i, c = np.nonzero(chord <= chord.min(1)[:, None] + CHORD_SLACK)
+        i += k
+        km = np.fromiter(map(_kilometres, lat[i].tolist(), lon[i].tolist(), plat[c].tolist(), plon[c].tolist()), float, len(i))
+        order = np.lexsort((place[c], km, i))
+        first = order[np.flatnonzero(np.diff(i[order], prepend=-1))]
+        best[i[first]], at[i[first]] = km[first], c[first]
+    return best, place[at]
+
+
 def _morton(unit: np.ndarray) -> np.ndarray:
     """A number for each unit vector that is close for close ones: 20 bits of each coordinate, by turns."""
     code = np.zeros(len(unit), np.int64)
@@ -304,12 +326,11 @@ def nearest_on_sphere(points: DataFrame, places: DataFrame, block: int = PLACES)
     copies = blocks.join(pieces, "block").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
 
     def compare(key: tuple, own: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        near = near.sort_values("place_id", ignore_index=True)
-        unit, other = _unit(own["lat"], own["lon"]), _unit(near["lat"], near["lon"])
-        at = np.concatenate([((unit[k : k + 1024, None] - other) ** 2).sum(2).argmin(1) for k in range(0, len(unit), 1024)]) if len(own) and len(near) else np.zeros(0, int)
-        own = own.iloc[: len(at)]
-        return pd.DataFrame({"point_id": own["point_id"].to_numpy(), "lat": own["lat"].to_numpy(), "lon": own["lon"].to_numpy(), "place_id": near["place_id"].to_numpy()[at], "plat": near["lat"].to_numpy()[at], "plon": near["lon"].to_numpy()[at]})
-
-    pairs = dealt.groupBy("block", "piece").cogroup(copies.groupBy("block", "piece")).applyInPandas(compare, f"point_id {kinds['point_id']}, lat double, lon double, place_id {kinds['place_id']}, plat double, plon double")
-    best = pairs.select("point_id", F.struct(haversine(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")).alias("distance"), "place_id").alias("b"))
-    return best.groupBy("point_id").agg(F.min("b").alias("b")).select("point_id", F.col("b.place_id").alias("place_id"), F.col("b.distance").alias("distance"))
+        own = own if len(near) else own.iloc[:0]
+        spots = [f[c].to_numpy(float) for f in (own, near) for c in ("lat", "lon")]
+        km, place = _nearest_of(*spots[:2], near["place_id"].to_numpy(), *spots[2:]) if len(own) else (np.zeros(0), near["place_id"].to_numpy()[:0])
+        return pd.DataFrame({"point_id": own["point_id"].to_numpy(), "place_id": place, "distance": km})
+
+    pairs = dealt.groupBy("block", "piece").cogroup(copies.groupBy("block", "piece")).applyInPandas(compare, empty)
+    best = F.min(F.struct("distance", "place_id")).alias("b")
+    return pairs.groupBy("point_id").agg(best).select("point_id", F.col("b.place_id").alias("place_id"), F.col("b.distance").alias("distance"))

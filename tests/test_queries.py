@@ -53,3 +53,14 @@ def test_sentence_flag_whole_needs_the_whole_sentence(spark, tmp_path):
     spark.createDataFrame([(1, sentence)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = registry.queries()["kw_sentence_flag"](spark, str(tmp_path)).collect()
     assert {r.doc_id: r.has_sentence for r in got} == {1: 1, 2: 0}
+
+
+def test_nearest_geocode_at_the_poles_is_that_of_sql(spark, tmp_path):
+    """Places on a pole are equally far but for the last bits of the distance, which SQL puts in order."""
+    rows = [(i, [(0.5 if i % 10 == 0 else 0.3 + i * 7919 % 600 / 9973) * (-1) ** (i % 20 // 10), (i * 104729 % 6007) / 6007 - 0.5]) for i in range(600)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert rows_of(registry.queries()["join_nearest_geocode"](spark, str(tmp_path))) == rows_of_sql(con, SQL["join_nearest_geocode"])
