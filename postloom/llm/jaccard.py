@@ -2,10 +2,9 @@
 
 Texts with the same set of shingles form a class, and classes stand for their texts from then on. A class has one path of
 MinHash values for each tree of the forest; the sorted paths of a tree are its prefix trie, and the classes below a node are
-neighbours in that order. Classes meet first at whole paths. A bounded sample of the pairs at hand is verified, and as long as
-its least similar true pair may have been missed with more than the allowed probability, the matched prefix is shortened
-by one value, and the pairs that part right behind it are added; at the length that reaches the recall for pairs at
-the threshold itself there is nothing left to shorten for. Classes that meet are compared by sketches of one bit for each
+neighbours in that order. Classes meet at whole paths, and at all shorter prefixes down to the length that reaches the recall for pairs at the threshold
+itself, unless of all pairs that shorter prefixes would add, not one has a sketch that leaves open whether it is so little alike that whole
+paths may miss it; nothing is estimated from a sample. Classes that meet are compared by sketches of one bit for each
 MinHash value: pairs that the sketches put five standard deviations below the threshold are dropped, in nodes of any size, so
 that a passage which many texts share links none of them. What remains forms clusters by connected components; a cluster's
 shingle sets are shipped in blocks of bounded size, every pair of blocks is verified at once by counting common shingles, and
@@ -27,8 +26,6 @@ from postloom.llm.components import components
 SHINGLE, THRESHOLD = 5, 0.8
 #: Trees, MinHash values of a whole path, and the recall of pairs at the threshold.
 TREES, DEPTH, RECALL = 32, 8, 0.9999
-#: Pairs that are verified to measure the recall of a prefix length.
-SAMPLE = 400
 #: Classes of a node that are compared in step with those of other nodes; classes of a node that one task may see.
 SMALL_NODE, HOT_NODE = 32, 10_000
 #: Classes and shingles of a block, about.
@@ -57,6 +54,12 @@ def sketch_agreement(threshold: float, bits: int = TREES * DEPTH, deviations: fl
     return int(bits * p - deviations * np.sqrt(bits * p * (1 - p)))
 
 
+def sketch_sure(depth: int = DEPTH, recall: float = RECALL, bits: int = TREES * DEPTH, deviations: float = 3.0) -> int:
+    """Bits from which on sketches show a pair that prefixes of ``depth`` values find with the recall: those of the least similar such pair, and so many standard deviations."""
+    p = (1 + (1 - (1 - recall) ** (1 / TREES)) ** (1 / depth)) / 2
+    return int(np.ceil(bits * p + deviations * np.sqrt(bits * p * (1 - p))))
+
+
 def shingles(data: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts, in order within each, and where each text's begin.
 
@@ -227,6 +230,23 @@ def _meet(depth: int, floor: int, least_agreement: int):
     return run
 
 
+def _unsure(depth: int, floor: int, least_agreement: int, sure: int):
+    """Edges of prefixes shorter than ``depth`` whose sketches agree in fewer than ``sure`` bits; a task stops at its first ones."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, paths, sketch in _whole_nodes(batches, floor):
+            bits = np.ascontiguousarray(sketch).view(U64)
+            for shorter in range(floor, depth):
+                a, b = meetings(np.arange(len(keys)), paths, bits, shorter, least_agreement)
+                open_ = 8 * bits.shape[1] * bits.itemsize - np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64) < sure
+                if open_.any():
+                    yield _edges(keys[a[open_][:1]], keys[b[open_][:1]])
+                    return
+
+    return run
+
+
 def _meet_blocks(least_agreement: int):
     def run(table: pa.Table) -> pa.Table:
         keys = table.column("key").to_numpy()
@@ -336,7 +356,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, recall: fl
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")))
     classes = checkpoint(signed.filter("ck IS NOT NULL").groupBy("ck").agg(head.alias("head"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")).withColumn("key", F.xxhash64("ck")))
     salts = max(16, classes.count() // SALT_ROWS)
-    clusters = components(_meetings(texts, classes, threshold, recall))
+    clusters = components(_meetings(classes, threshold, recall))
     links = _links(texts, classes, clusters, threshold, salts)
     linked = components(links.select(F.col("ck").alias("a"), F.col("least").alias("b")))
     sums = links.groupBy("ck").agg(F.sum("links").alias("links"))
@@ -358,33 +378,7 @@ def _of_classes(texts: DataFrame, classes: DataFrame) -> DataFrame:
     return wanted.select("text").mapInArrow(_sets, "ck binary, set binary").filter("ck IS NOT NULL").dropDuplicates(["ck"])
 
 
-@lean
-def _similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = []
-        for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a, b = np.frombuffer(one, U64), np.frombuffer(two, U64)
-            common = len(np.intersect1d(a, b, assume_unique=True))
-            found.append(common / (len(a) + len(b) - common))
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64())], names=["similarity"])
-
-
-def _verified(texts: DataFrame, classes: DataFrame, edges: DataFrame, threshold: float, most: int) -> list[float]:
-    """Similarities, at the threshold or over it, of at most ``most`` of the pairs, chosen by a hash."""
-    some = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().orderBy(F.xxhash64("a", "b"), "a", "b").limit(most).collect()
-    if not some:
-        return []
-    spark = texts.sparkSession
-    pairs = spark.createDataFrame([(r.a, r.b) for r in some], "a long, b long")
-    keys = spark.createDataFrame([(k,) for k in {x for r in some for x in r}], "key long")
-    sets = _of_classes(texts, F.broadcast(classes.select("key", "head").join(F.broadcast(keys), "key", "left_semi"))).select(F.xxhash64("ck").alias("key"), "set")  # 2 * most rows, about
-    sets = checkpoint(sets.join(F.broadcast(keys), "key", "left_semi"))
-    both = F.broadcast(pairs).join(sets.select(F.col("key").alias("a"), F.col("set").alias("one")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("two")), "b")
-    found = both.select("one", "two").mapInArrow(_similarities, "similarity double").collect()  # ``most`` numbers, about
-    return [r.similarity for r in found if r.similarity >= threshold - 1e-9]
-
-
-def _meetings(texts: DataFrame, classes: DataFrame, threshold: float, recall: float) -> DataFrame:
+def _meetings(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
     """Edges (a, b) of class keys that connect all classes which meet in a node and whose sketches allow a link."""
     floor, least = prefix_depth(threshold, recall), sketch_agreement(threshold)
     paths = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("sig", t * PATH + 1, F.lit(PATH)))
@@ -404,10 +398,8 @@ def _meetings(texts: DataFrame, classes: DataFrame, threshold: float, recall: fl
     for depth in range(DEPTH, floor - 1, -1):
         met = checkpoint(trie.mapInArrow(_meet(depth, floor, least), "a long, b long"))
         edges = met if edges is None else edges.unionByName(met)
-        if depth > floor:
-            similar = _verified(texts, classes, edges, threshold, SAMPLE)
-            if similar and chance(min(similar), depth) >= recall:
-                break
+        if depth == DEPTH > floor and trie.mapInArrow(_unsure(depth, floor, least, sketch_sure(depth, recall)), "a long, b long").isEmpty():
+            break
     return edges
 
 

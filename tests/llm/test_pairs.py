@@ -167,6 +167,17 @@ def test_prefixes_are_shortened_only_as_far_as_the_pairs_need(spark, monkeypatch
     assert depths == list(range(jaccard.DEPTH, jaccard.prefix_depth() - 1, -1)) and found[1000].class_id == 0 and found[0].n_links == 2
 
 
+@pytest.mark.parametrize("seed", [113, 797])
+def test_a_pair_that_whole_paths_miss_is_found_among_many_likelier_ones(spark, seed):
+    """The pair shares seven or six values in its best tree; 450 pairs that are more alike don't hide it."""
+    words = [f"w{seed}x{i}" for i in range(49)]
+    other = [*words[:20], f"z{seed}", *words[21:]]
+    alike = [(10 + 2 * i + k, " ".join([*(f"d{i}y{j}" for j in range(120)), *["more"] * k])) for i in range(450) for k in range(2)]
+    docs = [(1, " ".join(words)), (2, " ".join(other)), *alike]
+    found = {r.doc_id: r for r in jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found[2].class_id == 1 and found[1].n_links == 1 and all(found[10 + 2 * i].n_links == 1 for i in range(450))
+
+
 def test_a_shared_passage_links_nothing(spark, monkeypatch):
     """Hundreds of documents that share more than half of their shingles: none is as similar as the threshold."""
     monkeypatch.setattr(jaccard, "HOT_NODE", 100)
