@@ -432,3 +432,18 @@ def test_blocks_are_shipped_by_tiles(spark, monkeypatch):
     got = {(r.a, r.b) for r in vectors.similar_pairs(df, "id", "v", 0.5, block=16).collect()}
     s = u @ u.T
     assert got == {(i, j) for i in range(600) for j in range(i + 1, 600) if s[i, j] >= 0.5}
+
+
+def test_nearest_on_the_plane_meets_few_places_where_they_are_dense(spark, monkeypatch):
+    """All places in one grid cell: a point is compared with the places of a few blocks, and far points and equal spots count."""
+    rng = np.random.default_rng(6)
+    at = np.concatenate([rng.normal(0, 0.001, (6000, 2)), [[0.0005, 0.0005]] * 3])
+    xy = np.concatenate([rng.normal(0, 0.001, (200, 2)), [[1e9, -1e9], [0.0005, 0.0005]]])
+    points = spark.createDataFrame([(i, *v) for i, v in enumerate(xy.tolist())] + [(900, float("nan"), 0.0), (901, float("inf"), 0.0)], "point_id long, x double, y double")
+    places = spark.createDataFrame([(i, *v) for i, v in enumerate(at.tolist())] + [(-1, None, 0.0)], "place_id long, px double, py double")
+    met, whole = spark.sparkContext.accumulator(0), geo._planar
+    monkeypatch.setattr(geo, "_planar", lambda x, y, *near: met.add(len(x) * len(near[0])) or whole(x, y, *near))
+    got = {r.point_id: (r.place_id, r.distance) for r in geo.nearest(points, places, 0.05, block=16).collect()}
+    squares = (xy[:, None, 0] - at[:, 0]) ** 2 + (xy[:, None, 1] - at[:, 1]) ** 2
+    assert {i: p for i, (p, _) in got.items()} == dict(enumerate(squares.argmin(1).tolist())) and got[201] == (6000, 0.0)
+    assert met.value < 0.25 * len(xy) * len(at)
