@@ -44,23 +44,24 @@ def gap_pattern(parts: list[str]) -> str:
     return r"[.\w\s\d]*".join(parts)
 
 
-def _after_all(run: Column, parts: list[str]) -> Column:
-    """Where the first way to find the parts one after the other ends; null if there is none."""
-    at = F.lit(1)
-    for p in parts:
-        at = F.nullif(F.call_function("locate", F.lit(p), run, at), F.lit(0)) + len(p)
-    return at
+def run_pattern(parts: list[str], most: int | None = None) -> str:
+    """As ``gap_pattern`` for plain parts, in one pass: it begins where a run of gap characters begins, goes to the first place of each part and never back.
+
+    With ``most`` it begins at the first part, and gaps are no longer than that.
+    """
+    up_to = lambda p: rf"(?:(?!{p})[.\w\s]){'*' if most is None else f'{{0,{most}}}'}+{p}"
+    return (r"(?:^|[^.\w\s])" + up_to(parts[0]) if most is None else parts[0]) + "".join(map(up_to, parts[1:]))
 
 
 def ngram_gap(text: Column, parts: list[str]) -> Column:
     """One part: a substring (a pattern if it has a bar); more: in order with a gap.
 
-    Plain parts are looked for between the characters that no gap may hold, which needs no backtracking over the text.
+    Plain parts need no backtracking over the text: short gaps are looked for first, then gaps of any length, only in texts with all parts.
     """
     if len(parts) == 1:
         return text.rlike(parts[0]) if "|" in parts[0] else text.contains(parts[0])
     if all(re.fullmatch(r"[a-zA-Z0-9 ]+", p) for p in parts):
-        return F.exists(F.split(text, r"[^.\w\s]+"), lambda run: _after_all(run, parts).isNotNull())
+        return reduce(Column.__and__, map(text.contains, parts)) & (text.rlike(run_pattern(parts, 200)) | text.rlike(run_pattern(parts)))
     return text.rlike(gap_pattern(parts))
 
 

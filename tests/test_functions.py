@@ -71,3 +71,13 @@ def test_unaccent_over_all_of_unicode(spark):
     others = [c for c in map(chr, range(sys.maxunicode + 1)) if c not in named and unicodedata.category(c)[0] in "LNPSZ" and unicodedata.category(c) != "Cs"]
     kept = spark.createDataFrame([("".join(others[i : i + 5000]),) for i in range(0, len(others), 5000)], "c string").filter(text.unaccent(F.col("c")) != F.col("c")).collect()
     assert not kept
+
+
+def test_ngram_gap_is_one_pattern_in_one_pass(spark):
+    """Texts aren't cut into runs, runs of any length need no stack, and the order counts within a run only."""
+    texts = ["of the to", "of, the to", "x of: of a the.\nto", "to the of", "the oftheto", "the " * 300_000, "the " * 300_000 + "and", "the, " * 100_000 + "and", "thand", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    two, three = text.ngram_gap(F.col("t"), ["the", "and"]), text.ngram_gap(F.col("t"), ["of", "the", "to"])
+    got = [tuple(r) for r in df.orderBy("k").select(two, three).collect()]
+    assert got == [(False, True), (False, False), (False, True), (False, False), (False, True), (False, False), (True, False), (False, False), (False, False), (False, False), (None, None)]
+    assert "split" not in str(two) and text.run_pattern(["the", "and"]) == r"(?:^|[^.\w\s])(?:(?!the)[.\w\s])*+the(?:(?!and)[.\w\s])*+and"
