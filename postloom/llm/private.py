@@ -3,7 +3,8 @@
 Two kinds of spans are found. Base spans are matches of fixed patterns and always stay. Beside them, generators of high recall
 propose further, overlapping spans: addresses with spelled-out marks, and every run of digit groups that might be a number. Trees
 over their format and context give each a score, isotonic regression on held-out examples makes it a probability, and a
-threshold for each kind, at which examples show few false ones, selects what is redacted too.
+threshold for each kind, at which examples show few false ones, selects what is redacted too. Trees, calibration and thresholds come
+from sums over all examples.
 
 There are no labels for such data, so the corpus's own base spans are the positive examples, as they are and rewritten in the ways
 people write them; the same spans with a defect (a false check digit, a part too many, letters beside), made-up counts, dates
@@ -18,6 +19,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +27,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm.base import checkpoint, lean, shared, text_chunks
-from postloom.llm.quality import Trees, grow, walk
+from postloom.llm.quality import Trees, binned, walk
 
 #: In the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-"
-#: Examples of each kind that trees learn from: base spans, and other candidates, at most.
-PER_CLASS = 1500
+#: Trees: bins of a feature, trees, their depth, the learning rate, and the fewest examples in a leaf.
+BINS, TREES, DEPTH, RATE, LEAST = 32, 60, 4, 0.2, 5
+#: Parts of a unit that derivatives are rounded to, so that their sums over any partitioning are exact and the same.
+UNIT = float(1 << 24)
+#: Examples of a block, about; blocks' scores are written anew after so many trees; tasks of a pass, at most.
+BLOCK, RENEWED, TASKS = 1 << 16, 10, 64
 #: Characters beside a span that features see.
 BESIDE = 32
 #: Share of right ones among the examples over a threshold, and the most false ones among the other candidates.
@@ -143,7 +149,7 @@ def _beside(c: str) -> int:
 
 
 def features(left: str, span: str, right: str) -> list[float]:
-    """Format of the span and what stands beside it."""
+    """Format of the span and what stands beside it; numbers of four digits and more are rounded to three, so that few values differ."""
     groups = _RUN.findall(span)
     digits, sizes = "".join(groups), [len(g) for g in groups] or [0]
     seps = _RUN.split(span)[1:-1]
@@ -151,7 +157,7 @@ def features(left: str, span: str, right: str) -> list[float]:
     head, _, tail = span.partition("@")
     label = re.split(r"[^A-Za-z0-9]+", span)[-1]
     close, before = left.lower()[-24:], left[-16:]
-    return [
+    found = [
         len(span), len(digits), len(groups), sizes[0], sizes[-1], min(sizes), max(sizes), len(set(seps)), len(set(sizes)),
         sum(map(len, seps)), span.count(" "), span.count("."), span.count("-"), span.count("(") + span.count("["), span.count("/") + span.count("_"),
         span[:1] == "+", span[:1] == "(", digits[:2] == "00", bool(digits) and luhn(digits), max((int(g[:18]) for g in groups), default=0), octets(span),
@@ -160,6 +166,7 @@ def features(left: str, span: str, right: str) -> list[float]:
         _beside(left[-1:]), _beside(right[:1]), _beside(left[-2:-1]), _beside(right[1:2]), sum(c.isdigit() for c in before), sum(c.isdigit() for c in right[:16]),
         *(any(w in close for w in CUES[k]) for k in KINDS),
     ]
+    return [float(v if v < 1000 else f"{v:.2e}") for v in found]
 
 
 # ---- examples ----
@@ -251,21 +258,29 @@ def examples(rows: list[tuple[str, bool, str, str, str]], kind: str, seed: int =
 
 @dataclass
 class Detector:
-    """For each kind: trees, the calibration's steps (raw score, probability) and the threshold on the probability."""
+    """For each kind: trees, the calibration's steps (score, probability), the threshold on the probability, and the number of examples."""
 
     trees: dict[str, Trees] = field(default_factory=dict)
     steps: dict[str, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
     threshold: dict[str, float] = field(default_factory=dict)
+    examples: dict[str, int] = field(default_factory=dict)
 
     def probability(self, kind: str, x: np.ndarray) -> np.ndarray:
         at, value = self.steps[kind]
-        return value[np.maximum(np.searchsorted(at, walk(self.trees[kind], x), "right") - 1, 0)]
+        return value[np.maximum(np.searchsorted(at, score_steps(walk(self.trees[kind], x)), "right") - 1, 0)]
 
 
-def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def score_steps(p: np.ndarray) -> np.ndarray:
+    """Scores as whole numbers, 64 steps to a unit of log odds: of any number of examples at most 2,065 differ."""
+    p = np.clip(p, 1e-7, 1 - 1e-7)
+    return np.rint(64 * np.log(p / (1 - p)))
+
+
+def isotonic(score: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Scores at which the probability steps up, and the probabilities: neighbours are pooled until they rise."""
+    weight = np.ones(len(y)) if weight is None else weight
     at, first = np.unique(score, return_inverse=True)
-    total, hits = np.bincount(first).astype(float), np.bincount(first, y)
+    total, hits = np.bincount(first, weight), np.bincount(first, y * weight)
     pools: list[list[float]] = []  # score, hits, total
     for a, h, n in zip(at, hits, total, strict=True):
         pools.append([a, h, n])
@@ -276,28 +291,213 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[0] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
-def cut(p: np.ndarray, y: np.ndarray, other: np.ndarray, precision: float = PRECISION, false_rate: float = FALSE_RATE) -> float:
+def cut(p: np.ndarray, y: np.ndarray, other: np.ndarray, weight: np.ndarray, precision: float = PRECISION, false_rate: float = FALSE_RATE) -> float:
     """The least probability from which on examples are right often enough; infinite if there is none."""
     for t in np.unique(p):
-        chosen = p >= t
-        if t > 0.5 and y[chosen].sum() >= precision * (chosen.sum() + 1) and (chosen & other).sum() <= false_rate * max(other.sum(), 1):
+        chosen = np.where(p >= t, weight, 0)
+        if t > 0.5 and (y * chosen).sum() >= precision * (chosen.sum() + 1) and (other * chosen).sum() <= false_rate * max((other * weight).sum(), 1):
             return float(t)
     return float("inf")
 
 
-def train(rows: list[tuple[str, bool, str, str, str]]) -> Detector:
-    """A detector from (kind, whether base, left, span, right); a kind without base spans has none. A third calibrates."""
+# ---- trees from all examples ----
+
+
+def quantiles(value: np.ndarray, n: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """Inner quantiles of values with counts, interpolated as ``numpy.quantile`` does."""
+    order = np.argsort(value)
+    value, upto = value[order], np.cumsum(n[order])
+    at = np.arange(1, bins) / bins * (upto[-1] - 1)
+    low, high = (value[np.searchsorted(upto, r, "right")] for r in (np.floor(at), np.ceil(at)))
+    return low + (high - low) * (at - np.floor(at))
+
+
+def _held(left: str, span: str, right: str) -> bool:
+    """Whether an example is one of the third that calibrates."""
+    return zlib.crc32(f"{left}{span}{right}".encode("utf-8", "surrogatepass")) % 3 == 0
+
+
+def _made(batch: pa.RecordBatch) -> Iterator[tuple[str, bool, np.ndarray, np.ndarray, np.ndarray]]:
+    """kind, whether held out, features, labels and origins of the examples of a batch of rows (kind, base, left, span, right)."""
+    rows = list(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True))
+    held = [_held(*r[2:]) for r in rows]
+    for kind in KINDS:
+        for apart in (False, True):
+            x, y, origin = examples([r for r, h in zip(rows, held, strict=True) if h == apart], kind)
+            if len(y):
+                yield kind, apart, x, y, origin
+
+
+@lean
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each value of each feature is among the examples that aren't held out; labels of all are feature -1 (-2: held out)."""
+    seen: dict[tuple[str, int, float], int] = {}
+    for batch in batches:
+        for kind, apart, x, y, _ in _made(batch):
+            for k, column in [(-2 if apart else -1, y)] + ([] if apart else list(enumerate(x.T))):
+                for v, n in zip(*(a.tolist() for a in np.unique(column, return_counts=True)), strict=True):
+                    seen[kind, k, v] = seen.get((kind, k, v), 0) + n
+    if seen:
+        kind, k, v = zip(*seen, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(k, pa.int32()), pa.array(v, pa.float64()), pa.array(list(seen.values()), pa.int64())], names=["kind", "feature", "value", "n"])
+
+
+_BLOCK = "kind string, held boolean, codes binary, y binary, origin binary, z binary"
+
+
+def _blocks(model: dict[str, Trees]):
+    """Examples as bins of their features, in blocks of one kind."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, bool], list[tuple[np.ndarray, ...]]] = {}
+
+        def block(key: tuple[str, bool]) -> pa.RecordBatch:
+            codes, y, origin = (np.concatenate(a) for a in zip(*held.pop(key), strict=True))
+            z = np.full(len(y), model[key[0]].bias)
+            return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]]), *(pa.array([a.tobytes()], pa.binary()) for a in (codes, y, origin, z))], names=["kind", "held", "codes", "y", "origin", "z"])
+
+        for batch in batches:
+            for kind, apart, x, y, origin in _made(batch):
+                if kind in model:
+                    held.setdefault((kind, apart), []).append((binned(x, model[kind].edges).astype(np.uint8), y.astype(np.uint8), origin.astype(np.uint8)))
+                    if sum(len(a[1]) for a in held[kind, apart]) >= BLOCK:
+                        yield block((kind, apart))
+        for key in list(held):
+            yield block(key)
+
+    return run
+
+
+def _down(model: Trees, t: int, codes: np.ndarray, levels: int) -> np.ndarray:
+    """The node, counted within its level, that each row comes to in a tree after so many levels."""
+    node, rows = np.zeros(len(codes), np.int64), np.arange(len(codes))
+    for level in range(levels):
+        own = 2**level - 1 + node
+        node = 2 * node + (codes[rows, model.feature[t, own]] > model.bound[t, own])
+    return node
+
+
+def _scored(model: Trees, codes: np.ndarray, z: bytes, first: int, end: int) -> np.ndarray:
+    """Log odds after the trees up to ``end``, from those after the trees up to ``first``."""
+    z = np.frombuffer(z).copy()
+    for t in range(first, end):
+        z += model.value[t, _down(model, t, codes, DEPTH)]
+    return z
+
+
+def _read(batches: Iterator[pa.RecordBatch], held: bool, model: dict[str, Trees]) -> Iterator[tuple[str, np.ndarray, dict]]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = {name: batch.column(j)[k].as_py() for j, name in enumerate(batch.schema.names)}
+            if row["held"] == held:
+                yield row["kind"], np.frombuffer(row["codes"], np.uint8).reshape(-1, len(model[row["kind"]].edges)), row
+
+
+def _sums(model: dict[str, Trees], first: int, t: int, level: int):
+    """Sums of both derivatives and counts of a task's examples by node, feature and bin at one level of the ``t``-th tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for kind, codes, row in _read(batches, False, model):
+            m, width = codes.shape[1], 2**level
+            p = 1 / (1 + np.exp(-_scored(model[kind], codes, row["z"], first, t)))
+            y = np.frombuffer(row["y"], np.uint8)
+            cell = _down(model[kind], t, codes, level) * BINS
+            weights = [np.rint(v * UNIT) for v in (y - p, p * (1 - p))] + [None]
+            part = np.array([[np.bincount(cell + codes[:, k], w, width * BINS).reshape(width, BINS) for k in range(m)] for w in weights]).transpose(0, 2, 1, 3)
+            total[kind] = total[kind] + part if kind in total else part
+        for kind, part in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([part.tobytes()], pa.binary())], names=["kind", "sums"])
+
+    return run
+
+
+def _renewed(model: dict[str, Trees], first: int, end: int):
+    """The blocks with the scores after the trees up to ``end``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = [_scored(model[r["kind"]], codes, r["z"], first, end).tobytes() for k in range(batch.num_rows) for held in (False, True) for _, codes, r in _read(iter([batch.slice(k, 1)]), held, model)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(z, pa.binary())], names=batch.schema.names)
+
+    return run
+
+
+def _split(model: Trees, t: int, level: int, sums: np.ndarray) -> None:
+    """Sets the best split of each node of a level, and behind the last one the leaves' values; as ``quality.grow``."""
+    width, bins = 2**level, sums.shape[-1]
+    total = sums / np.array([UNIT, UNIT, 1]).reshape(3, 1, 1, 1)
+    (gl, hl, cl), (ga, ha, ca) = np.cumsum(total, 3), total.sum(3, keepdims=True)
+    gain = gl**2 / (hl + 1) + (ga - gl) ** 2 / (ha - hl + 1) - ga**2 / (ha + 1)
+    gain[(cl < LEAST) | (ca - cl < LEAST)] = 0
+    gain = gain.reshape(width, -1)
+    rows, best = np.arange(width), gain.argmax(1)
+    good = gain[rows, best] > 1e-6
+    at = slice(width - 1, 2 * width - 1)
+    feature = model.feature[t, at] = np.where(good, best // bins, 0)
+    model.bound[t, at] = np.where(good, best % bins, bins)
+    if level == DEPTH - 1:
+        split = np.where(good, best % bins, bins - 1)  # without a split all go to the first leaf
+        g, h = gl[rows, feature, split], hl[rows, feature, split]
+        ga, ha = ga[rows, feature, 0], ha[rows, feature, 0]
+        model.value[t] = RATE * (np.stack([g, ga - g], 1) / (np.stack([h, ha - h], 1) + 1)).ravel()
+
+
+def _calibration(model: dict[str, Trees], first: int):
+    """How many held-out examples of each origin have each score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kind, codes, row in _read(batches, True, model):
+            step = score_steps(1 / (1 + np.exp(-_scored(model[kind], codes, row["z"], first, TREES))))
+            found, n = np.unique(np.stack([step, np.frombuffer(row["origin"], np.uint8)]), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(n)), pa.array(found[0]), pa.array(found[1].astype(np.int32)), pa.array(n, pa.int64())], names=["kind", "step", "origin", "n"])
+
+    return run
+
+
+def train(rows: DataFrame) -> Detector:
+    """A detector from all rows (kind, whether base, left, span, right); a kind without base spans has none. A third calibrates.
+
+    Bins, trees, calibration and thresholds come from sums over all examples, which stay with the tasks: of each level of each tree
+    the driver gets the sums by node, feature and bin of at most TASKS tasks. All kinds' trees are grown in the same passes.
+    """
     found = Detector()
+    rows = rows.select("kind", "base", "left", "span", "right")
+    counts: dict[tuple[str, int], tuple[list[float], list[int]]] = {}
+    for r in rows.mapInArrow(_values, "kind string, feature int, value double, n long").groupBy("kind", "feature", "value").agg(F.sum("n").alias("n")).collect():  # values of three digits
+        values, n = counts.setdefault((r.kind, r.feature), ([], []))
+        values.append(r.value)
+        n.append(r.n)
+    size = 0
     for kind in KINDS:
-        apart = [zlib.crc32(f"{left}{span}{right}".encode("utf-8", "surrogatepass")) % 3 == 0 for _, _, left, span, right in rows]
-        x, y, _ = examples([r for r, held in zip(rows, apart, strict=True) if not held], kind)
-        x2, y2, origin = examples([r for r, held in zip(rows, apart, strict=True) if held], kind)
-        if len(y) == 0 or len(y2) == 0 or y.max() == 0 or y2.max() == 0:
+        labels = [dict(zip(*counts.get((kind, k), ((), ())), strict=True)) for k in (-1, -2)]
+        found.examples[kind] = sum(sum(x.values()) for x in labels)
+        if not all(x.get(1.0) for x in labels):
             continue
-        found.trees[kind] = grow(x, y, np.ones(len(y)), bins=32, trees=60, depth=4, rate=0.2, least=5)
-        raw = walk(found.trees[kind], x2)
-        found.steps[kind] = isotonic(raw, y2)
-        found.threshold[kind] = cut(found.probability(kind, x2), y2, origin == 3)
+        size += found.examples[kind]
+        share = float(np.clip(labels[0][1.0] / sum(labels[0].values()), 1e-4, 1 - 1e-4))
+        edges = np.array([quantiles(*map(np.array, counts[kind, k])) for k in range(sum(a == kind and b >= 0 for a, b in counts))])
+        found.trees[kind] = Trees(edges, np.zeros((TREES, 2**DEPTH - 1), np.int64), np.full((TREES, 2**DEPTH - 1), BINS, np.int64), np.zeros((TREES, 2**DEPTH)), float(np.log(share / (1 - share))))
+    model = found.trees
+    if not model:
+        return found
+    blocks, first = checkpoint(rows.mapInArrow(_blocks(model), _BLOCK)).coalesce(min(-(-size // (2 * BLOCK)), TASKS)), 0
+    for t in range(TREES):
+        if t - first == RENEWED:
+            blocks, first = checkpoint(blocks.mapInArrow(_renewed(model, first, t), _BLOCK)), t
+        for level in range(DEPTH):
+            total: dict[str, np.ndarray] = {}
+            for kind, part in blocks.mapInArrow(_sums(model, first, t, level), "kind string, sums binary").collect():
+                total[kind] = total.get(kind, 0) + np.frombuffer(part).reshape(3, 2**level, -1, BINS)
+            for kind, sums in total.items():
+                _split(model[kind], t, level, sums)
+    steps = blocks.mapInArrow(_calibration(model, first), "kind string, step double, origin int, n long").groupBy("kind", "step", "origin").agg(F.sum("n").alias("n")).collect()  # 2,065 steps, four origins
+    for kind in model:
+        step, origin, n = (np.array(a) for a in zip(*(r[1:] for r in steps if r.kind == kind), strict=True))
+        y = (origin < 2).astype(float)
+        at, value = found.steps[kind] = isotonic(step, y, n)
+        found.threshold[kind] = cut(value[np.searchsorted(at, step, "right") - 1], y, origin == 3, n)
     return found
 
 
@@ -378,45 +578,34 @@ def _mapped(model, column: int, result: Callable[[str, list], object], kind: pa.
     return run
 
 
-def _sample(most: int):
-    """Base spans and other candidates of a task's texts with what is beside them: of each kind those of the least digests."""
-
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, bool], dict[int, tuple[str, str, str]]] = {(k, b): {} for k in KINDS for b in (False, True)}
-
-        def least(rows: dict[int, tuple[str, str, str]]) -> dict[int, tuple[str, str, str]]:
-            return {h: rows[h] for h in sorted(rows)[:most]}
-
-        for batch in batches:
-            for _, text in _texts(batch.column(0)):
-                own = base(text)
-                for is_base, spans in ((True, own), (False, others(text, own))):
-                    for kind, start, end in spans:
-                        parts = around(text, start, end)
-                        digest = hashlib.blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest()
-                        rows = held[kind, is_base]
-                        rows[int.from_bytes(digest, "little", signed=True)] = parts
-                        if len(rows) >= 4 * most:
-                            held[kind, is_base] = least(rows)
-        for (kind, is_base), rows in held.items():
-            if rows := least(rows):
-                left, span, right = zip(*rows.values(), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(rows)), pa.array([is_base] * len(rows)), pa.array(list(rows), pa.int64()), pa.array(left), pa.array(span), pa.array(right)], names=["kind", "base", "h", "left", "span", "right"])
-
-    return run
-
-
-def learn(docs: DataFrame, *, text: str = "text", per_class: int = PER_CLASS) -> Detector:
-    """A detector from ``per_class`` base spans and as many other candidates of each kind, those of the least digests in all texts.
-
-    Equal spans with equal surroundings, as in copies of a text, count once.
+@lean
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Base spans and other candidates of all texts with what is beside them, and a digest; equal ones of a batch once."""
+    for batch in batches:
+        found: dict[tuple[str, bool, str, str, str], int] = {}
+        for _, text in _texts(batch.column(0)):
+            own = base(text)
+            for is_base, spans in ((True, own), (False, others(text, own))):
+                for kind, start, end in spans:
+                    parts = around(text, start, end)
+                    digest = hashlib.blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest()
+                    found[(kind, is_base, *parts)] = int.from_bytes(digest, "little", signed=True)
+        if found:
+            kind, is_base, left, span, right = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(is_base), pa.array(list(found.values()), pa.int64()), pa.array(left), pa.array(span), pa.array(right)], names=["kind", "base", "h", "left", "span", "right"])
+
+
+def learn(docs: DataFrame, *, text: str = "text", per_class: int | None = None) -> Detector:
+    """A detector from all base spans and all other candidates of all texts.
+
+    With ``per_class``, from so many of each kind at most, those of the least digests. Equal spans with equal surroundings, as in
+    copies of a text, count once.
     """
-    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_sample(per_class), "kind string, base boolean, h long, left string, span string, right string")
-    rows = checkpoint(rows.dropDuplicates(["kind", "base", "h"]))
-    parts = [rows.filter((F.col("kind") == k) & (F.col("base") == b)).orderBy("h").limit(per_class) for k in KINDS for b in (True, False)]
-    found = [tuple(r)[:2] + tuple(r)[3:] for part in parts for r in part.collect()]  # 8 * per_class short rows at most
-    return train(sorted(found))
+    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_candidates, "kind string, base boolean, h long, left string, span string, right string")
+    rows = checkpoint(rows.repartition(TASKS, "h").dropDuplicates(["kind", "base", "h", "left", "span", "right"]))  # few rows, but much work for each
+    if per_class is not None:
+        rows = reduce(DataFrame.unionByName, [rows.filter((F.col("kind") == k) & (F.col("base") == b)).orderBy("h", "left", "span", "right").limit(per_class) for k in KINDS for b in (True, False)])
+    return train(rows)
 
 
 def find(docs: DataFrame, model: Detector, *, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ import time
 import numpy as np
 import pytest
 
-from postloom.llm import private, queries
+from postloom.llm import private, quality, queries
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -121,6 +121,25 @@ def test_rows(spark, model):
     assert private.find(df.limit(0), model).count() == 0
 
 
+def test_all_examples_are_learned_from(spark):
+    """Over 1,500 spans of a kind: trees, calibration and threshold are those of all of them, grown in one place."""
+    rng = random.Random(8)
+    texts = [f"w{rng.randrange(50)} mail{i}.{rng.randrange(99)}@host{rng.randrange(9)}.example.com and no{rng.randrange(9)}{i} @ here.{rng.randrange(99)} so" for i in range(2400)]
+    model = private.learn(spark.createDataFrame(enumerate(texts), "doc_id long, text string").repartition(3))
+    rows = sorted({("email", is_base, *private.around(t, a, b)) for t in texts for own in [private.base(t)] for is_base, spans in ((True, own), (False, private.others(t, own))) for k, a, b in spans if k == "email"})
+    x, y, _ = private.examples([r for r in rows if not private._held(*r[2:])], "email")
+    x2, y2, origin = private.examples([r for r in rows if private._held(*r[2:])], "email")
+    assert model.examples["email"] == len(y) + len(y2) > 2400 * 7
+    whole = quality.grow(x, y, np.ones(len(y)), bins=32, trees=60, depth=4, rate=0.2, least=5)
+    assert np.allclose(model.trees["email"].edges, whole.edges)
+    assert (model.trees["email"].feature == whole.feature).mean() > 0.9  # splits of equal gain but for rounding may differ
+    assert np.allclose(quality.walk(model.trees["email"], x2), quality.walk(whole, x2), atol=0.01)
+    score = private.score_steps(quality.walk(model.trees["email"], x2))
+    at, p = private.isotonic(score, y2)
+    assert model.steps["email"][0].tolist() == at.tolist() and np.allclose(model.steps["email"][1], p)
+    assert model.threshold["email"] == pytest.approx(private.cut(model.probability("email", x2), y2, origin == 3, np.ones(len(y2))))
+
+
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "call (743) 555-3824"), (2, None)], "doc_id long, text string")
     model = private.learn(df)
