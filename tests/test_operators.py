@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from postloom.operators import entities, evaluation, geo, match, panels, retrieval, vectors
+from postloom.operators import entities, evaluation, geo, lift, match, panels, retrieval, vectors
 from postloom.sources import readers, writers
 
 
@@ -211,6 +211,24 @@ def test_similar_classes_count_copies(spark):
     assert got == {i: (min(i, 60), links[i]) for i in range(len(v))}
 
 
+def test_ngram_counts(spark, monkeypatch):
+    """Counts, sums and groups with nulls, over one text at a time, are those of all n-grams listed."""
+    texts = ["A b  a b", "a b a B a b", None, "", "a", " ", "c É c É c", "b a\nb a"]
+    data = [(("x", "y", None)[i % 3], t, None if i % 4 == 1 else i - 3) for i, t in enumerate(texts * 3)]
+    df = spark.createDataFrame(data, "g string, text string, v long").coalesce(1)
+    for chunk in (1, lift.CHUNK):
+        monkeypatch.setattr(lift, "CHUNK", chunk)
+        for n in (1, 2, 3):
+            want = {}
+            for g, t, v in data:
+                w = t.lower().split(" ") if t is not None else []
+                for i in range(len(w) - n + 1):
+                    want.setdefault((g, " ".join(w[i : i + n])), []).append(v)
+            known = {k: [v for v in vs if v is not None] for k, vs in want.items()}
+            got = lift.ngram_counts(df, n, by=F.col("g"), number=F.col("v")).collect()
+            assert {(r.by, r.gram): (r.n, r.total, r.known) for r in got} == {k: (len(vs), sum(known[k]), len(known[k])) for k, vs in want.items()} and len(got) == len(want)
+
+
 def test_communities_are_greedy(spark):
     rng = np.random.default_rng(1)
     v = np.repeat(rng.normal(size=(6, 4)), [9, 7, 5, 3, 2, 1], axis=0) + rng.normal(scale=0.25, size=(27, 4))
