@@ -166,8 +166,7 @@ WITH g AS (SELECT event_type, unnest(list_transform(range(1, len(w)), lambda i:
 SELECT event_type AS cluster, gram, count(*) AS n FROM g GROUP BY event_type, gram QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, gram) <= 20
 """)
 def agg_top_ngrams(spark, sf_dir):
-    grams = table(spark, sf_dir, "documents").select(F.col("lang").alias("cluster"), F.explode(text.ngrams(F.split(F.lower("text"), " "), 2)).alias("gram"))
-    counts = grams.groupBy("cluster", "gram").agg(F.count("*").alias("n"))
+    counts = lift.ngram_counts(table(spark, sf_dir, "documents"), 2, by=F.col("lang")).withColumnRenamed("by", "cluster")
     return counts.withColumn("k", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("n"), "gram"))).filter("k <= 20").drop("k")
 
 
