@@ -10,11 +10,26 @@ from postloom.sources.readers import scratch
 from postloom.streaming import windows
 
 
-def _stream(spark, sf_dir):
-    """Events twice over, in files, and a late closing event that moves the watermark past all others."""
+#: Rows of a file at most, about. A file is a micro-batch, so neither its tasks nor the state grow with the table.
+ROWS = 1 << 22
+
+
+def _stream(spark, sf_dir, rows=None):
+    """Events twice over, in files, and a late closing event that moves the watermark past all others.
+
+    Each file holds a span of time. Files are written one after the other and read in that order, so no event comes behind the watermark.
+    """
     events = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
-    path = scratch(spark)
-    events.unionByName(events).coalesce(1).write.parquet(f"{path}/a")
+    path, twice = scratch(spark), events.unionByName(events)
+    spans = -(-2 * events.count() // (rows or ROWS))
+    if spans > 1:
+        twice.repartitionByRange(spans, "ts").write.parquet(f"{path}-spans")
+        files = sorted(spark.read.schema(events.schema).parquet(f"{path}-spans").inputFiles(), key=lambda f: f.rpartition("/")[2])  # by their partitions' numbers
+        parts = [spark.read.schema(events.schema).parquet(f) for f in files]
+    else:
+        parts = [twice]
+    for k, part in enumerate(parts):  # small row groups, so that tasks share a file
+        part.coalesce(1).write.option("parquet.block.size", 1 << 24).parquet(f"{path}/a{k:05d}")
     last = spark.createDataFrame([(-1, -1)], "event_id long, user_id long").withColumn("ts", F.lit("2030-01-01 00:00:00").cast("timestamp"))
     last.coalesce(1).write.parquet(f"{path}/b")
     return windows.posts(spark, f"{path}/*", events.schema, 1), path

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postloom.operators import entities, evaluation, geo, lift, match, panels, retrieval, vectors
+from postloom.plans import streams
 from postloom.sources import readers, writers
 
 
@@ -299,6 +300,20 @@ def test_communities_of_many_links(spark):
     assert written() - before < 40e6
 
 
+def test_streams_of_many_spans(spark, data, monkeypatch):
+    """Files, and so micro-batches, hold bounded spans of time in order; the results are those of one batch."""
+    one = sorted(rows(streams.stream_sessions(spark, data)))
+    monkeypatch.setattr(streams, "ROWS", 300, raising=False)
+    _, path = streams._stream(spark, data)
+    files = spark.read.parquet(f"{path}/*").withColumn("f", F.col("_metadata.file_path")).groupBy("f", "_metadata.file_modification_time").agg(F.count("*"), F.min("ts"), F.max("ts")).orderBy("file_modification_time").collect()
+    assert len(files) == 8 and sum(f[2] for f in files) == 2001 and max(f[2] for f in files) <= 600
+    assert len({f[1] for f in files}) == 8 and all(f[4] < g[3] for f, g in zip(files, files[1:], strict=False))
+    assert sorted(rows(streams.stream_sessions(spark, data))) == one
+    ids = rows(streams.stream_dedupe(spark, data))
+    assert len(ids) == len(set(ids)) == 1000
+    assert sum(n for _, n in rows(streams.stream_windowed_counts(spark, data))) == 2000
+
+
 def test_motifs_beyond_the_first_slice(spark):
     data = [(f"the w{i}", float(100 - i)) for i in range(20)] + [("a b", 5.0), ("b c", 5.0), ("c d", 4.0), ("x x", 3.0), ("y z", None), ("z q", None), ("k l", None)]
     df = spark.createDataFrame(data, "motif string, lift double")
